@@ -92,24 +92,30 @@ def _coder(docs: DataFrame, vocabulary: str, pattern: str) -> Callable[[], ByteB
     return lambda: ByteBpe(load_ranks(shared.value[0]), shared.value[1])
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None) -> DataFrame:
     """Append ``ids_col`` (array<int>) to every row; null texts count as empty. An existing column of that name is replaced.
 
+    With ``check_col``, a boolean column also tells whether the ids decode to the text's bytes.
     The vocabulary file has a fixed size, which bounds the broadcast. No shuffle.
     """
     make = _coder(docs, vocabulary, pattern)
-    kept = docs.drop(ids_col)
+    kept = docs.drop(ids_col, check_col) if check_col else docs.drop(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = make()
         for batch in batches:
-            texts = batch.column(text_col)
-            for lo in range(0, batch.num_rows, 256):
-                ids = [coder.encode(x.as_py() or "") for x in texts.slice(lo, 256)]
-                col = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32), np.concatenate(ids).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, 256).columns, col], names=[*batch.schema.names, ids_col])
-
-    return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"`{ids_col}` array<int>"]))
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                texts = [x.as_py() or "" for x in part.column(text_col)]
+                ids = [coder.encode(x) for x in texts]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                more = [pa.ListArray.from_arrays(ends, np.concatenate(ids).astype(np.int32))]
+                if check_col:
+                    more.append(pa.array([coder.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*batch.schema.names, ids_col, *([check_col] if check_col else [])])
+
+    schema = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"`{ids_col}` array<int>"]
+    return kept.mapInArrow(run, ", ".join([*schema, f"`{check_col}` boolean"] if check_col else schema))
 
 
 def decode(rows: DataFrame, vocabulary: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
