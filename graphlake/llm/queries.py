@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphlake.llm import bpe, decontaminate, html, minhash, quality, toxicity, urls, vectors
+from graphlake.llm import bpe, decontaminate, html, licenses, minhash, quality, toxicity, urls, vectors
 from graphlake.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_matches(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_matches"), "license", "dice")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,8 +63,12 @@ QUERIES: dict[str, Query] = {
     "op4_html_extraction": op4_html_extraction,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality": op7_quality,
+    "op8_license_scan": op8_license_scan,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {"op2_url_filters": urls.verdict_sql()}
+SQL: dict[str, str] = {
+    "op2_url_filters": urls.verdict_sql(),
+    "op8_license_scan": licenses.license_sql(),
+}
