@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,13 +14,31 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes handled by one vectorised step of a Python worker; bounds its memory.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+#: Bytes of one Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slim(df: DataFrame) -> DataFrame:
+    """``df``, after lowering the session's bound on Arrow batches where it is larger: long texts else make batches of 64 MB."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (conf.get(key, None) or "").rstrip("b")
+    if now.isdigit() and int(now) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+def released() -> None:
+    """Give freed memory back to the system at the end of a task: workers are reused."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is configured."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -51,11 +71,13 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
 
     A null counts as the empty text. Rows are never cut, so one long text makes a larger slice.
     """
-    col = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    col = batch.column(column)
     n = len(col)
     if not n:
         return
-    offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + n + 1]
+    col = pc.fill_null(col, "") if col.null_count else col
+    wide = pa.types.is_large_string(col.type)
+    offsets = np.frombuffer(col.buffers()[1], np.int64 if wide else np.int32)[col.offset : col.offset + n + 1].astype(np.int64)
     data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:

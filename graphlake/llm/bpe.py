@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphlake.llm._common import released, slim
+
 CHUNK, OVERLAP = 1 << 16, 256
 
 
@@ -88,7 +90,7 @@ def _bytes_of(docs: DataFrame, path: str) -> bytes:
 
 
 def _coder(docs: DataFrame, vocabulary: str, pattern: str) -> Callable[[], ByteBpe]:
-    shared = docs.sparkSession.sparkContext.broadcast((_bytes_of(docs, vocabulary), pattern))
+    shared = slim(docs).sparkSession.sparkContext.broadcast((_bytes_of(docs, vocabulary), pattern))
     return lambda: ByteBpe(load_ranks(shared.value[0]), shared.value[1])
 
 
@@ -113,6 +115,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
                 if check_col:
                     more.append(pa.array([coder.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*batch.schema.names, ids_col, *([check_col] if check_col else [])])
+        released()
 
     schema = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"`{ids_col}` array<int>"]
     return kept.mapInArrow(run, ", ".join([*schema, f"`{check_col}` boolean"] if check_col else schema))
@@ -147,5 +150,6 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
                 a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 b.append(hashlib.sha256(coder.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        released()
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.llm._common import mixed, plain_words, text_slices
+from graphlake.llm._common import mixed, plain_words, released, slim, text_slices
 
 #: Bytes of benchmark text that one pass broadcasts.
 BLOCK_BYTES = 16 << 20
@@ -203,7 +203,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Items that share an id count once. A null item id is the empty string. Repeated rows are judged
     each on its own. An empty benchmark leaves every document clean.
     """
-    state = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumns(
+    state = slim(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumns(
         {"mask": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>")}
     )
     kind = state.schema["doc_id"].dataType.simpleString()
@@ -219,7 +219,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no benchmark window. No shuffle."""
     window = options.get("window", 10)
-    out = docs
+    out = slim(docs)
     for block in _blocks(benchmark, options.get("item_col", "item_id"), options.get("item_text", "text"), options.get("block_bytes", BLOCK_BYTES)):
         tests = docs.sparkSession.sparkContext.broadcast(TestSuffixes(block, window))
 
@@ -234,6 +234,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
                     good += (total[first[1:]] == total[first[:-1]]).tolist()
                 if len(good) == batch.num_rows:
                     yield batch.filter(pa.array(good, pa.bool_()))
+            released()
 
         out = out.mapInArrow(keep, docs.schema)
     return out

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphlake.llm._common import released, slim
+
 #: Share of the standard deviation that a node's fused score must reach.
 SPREAD = 0.5
 #: Share of the content's characters that the article's element must hold.
@@ -232,7 +234,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
     """
     drop = {html_col, text_col, "n_chars"}
     kept = [c for c in pages.columns if c not in drop]
-    rows = pages.select(*kept, F.col(html_col).cast("string").alias("__page"))
+    rows = slim(pages).select(*kept, F.col(html_col).cast("string").alias("__page"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,6 +242,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
                 part = batch.slice(lo, 200)
                 texts = [main_text(x.as_py()) for x in part.column("__page")]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*kept, text_col, "n_chars"])
+        released()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema), f"`{text_col}` string", "n_chars long"])
     return rows.mapInArrow(run, schema)

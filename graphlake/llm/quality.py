@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.llm._common import Words, byte_table, mixed, text_slices
+from graphlake.llm._common import Words, byte_table, mixed, released, slim, text_slices
 from graphlake.llm.labelled import held_out, training_sample
 
 #: Labelled rows of each class in the model: the bound of what is broadcast.
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
                 c = term_counts(data, off)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), batch.column("label").slice(lo, hi - lo), pa.array([x.tobytes() for x in c], pa.binary())], names=["id", "label", "counts"])
 
-    sample = training_sample(docs, labels, label_col, per_class, id_col, text_col)
+    sample = training_sample(slim(docs), labels, label_col, per_class, id_col, text_col)
     kind = sample.schema["id"].dataType.simpleString()
     rows = sample.mapInArrow(run, f"id {kind}, label int, counts binary").toArrow().sort_by("id")
     counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.float32).reshape(-1, TERMS)
@@ -121,8 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 def _scores(model, batch: pa.RecordBatch, text_col: str) -> np.ndarray:
     out = np.empty(batch.num_rows)
     for lo, hi, data, off in text_slices(batch, text_col):
-        for a in range(0, hi - lo, 1024):
-            b = min(hi - lo, a + 1024)
+        for a in range(0, hi - lo, 256):
+            b = min(hi - lo, a + 256)
             out[lo + a : lo + b] = model.score(term_counts(data[off[a] : off[b]], off[a : b + 1] - off[a]))
     return out
 
@@ -133,23 +133,25 @@ def classify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
     A null or wordless text scores the share of label 1 in the sample (0.5 without labels). A null id
     counts as not held out. Rows are judged one by one, repeated ones alike. No shuffle.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = slim(docs).sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = scorer(shared.value, batch, "text")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        released()
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def keep_rows(docs: DataFrame, model, wanted: int, text_col: str = "text", threshold: float = THRESHOLD, scorer: Callable = _scores) -> DataFrame:
     """The rows of ``docs`` predicted ``wanted``, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = slim(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array((scorer(shared.value, batch, text_col) >= threshold) == bool(wanted)))
+        released()
 
     return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.llm._common import saved
+from graphlake.llm._common import released, saved, slim
 
 TARGET, LIMIT, LANES = 2048, 4096, 2048
 MAGIC = b"GLTK"
@@ -360,7 +360,7 @@ def write_blocks(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 2
     """
     with open(vocabulary, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast((f.read(), pattern))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = slim(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,6 +413,7 @@ def write_blocks(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 2
         close()
         if blocks:
             yield flush()
+        released()
 
     return rows.mapInArrow(run, BLOCKS)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.llm._common import mixed, plain_words, text_slices
+from graphlake.llm._common import mixed, plain_words, slim, text_slices
 from graphlake.llm.labelled import training_sample
 
 #: Labelled rows of each class that the lexicon and the fit use.
@@ -267,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
 
     Without toxic labels the lexicon is empty and every score is near 0.
     """
-    sample = training_sample(docs, labels, label_col, per_class, id_col, text_col)
+    sample = training_sample(slim(docs), labels, label_col, per_class, id_col, text_col)
     size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     nt, nc = size.get(1, 0), size.get(0, 0)
     if not nt:
