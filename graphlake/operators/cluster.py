@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import defaultdict, deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -95,9 +95,9 @@ def _leiden(ids: list[str], pairs: list[tuple[str, str]], total: float, resoluti
         com, weight = list(range(n)), strength[:]
         shuffled = list(range(n))
         random.Random(42 + level).shuffle(shuffled)
-        queue, waiting, moved = shuffled[:], set(shuffled), False
+        queue, waiting, moved = deque(shuffled), set(shuffled), False
         while queue:
-            v = queue.pop(0)
+            v = queue.popleft()
             waiting.discard(v)
             own, k = com[v], strength[v]
             weight[own] -= k

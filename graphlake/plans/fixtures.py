@@ -48,11 +48,11 @@ EDGES = f"""
     FROM ({RAW_EDGES}) WHERE source NOT LIKE 'part%' GROUP BY source, target
 """
 
-#: The upper part of the catalogue: regions, nations and suppliers, a tree for each region.
-FOREST_EDGES = f"SELECT * FROM ({EDGES}) WHERE relation = 'contains' AND target NOT LIKE 'customer%'"
-#: The same as one tree: the first region holds the others.
+#: What contains what: regions, nations, their suppliers and customers, a tree for each region.
+FOREST_EDGES = f"SELECT * FROM ({EDGES}) WHERE relation = 'contains'"
+#: The same as one tree: the first region holds the others. Its nodes are all that take part in it.
 SMALL_EDGES = f"{FOREST_EDGES} UNION ALL SELECT 'region_0', concat('region_', r_regionkey), 'contains', 'EXTRACTED' FROM region WHERE r_regionkey > 0"
-SMALL_NODES = f"SELECT * FROM ({NODES}) WHERE ord < 3000000000"
+SMALL_NODES = f"SELECT * FROM ({NODES}) WHERE source_file NOT LIKE 'lib/%'"
 
 #: What each user did next: a small directed graph with cycles.
 EVENTS = """

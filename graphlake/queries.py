@@ -159,29 +159,28 @@ def bfs_edges(spark, sf_dir):
 
 @query()
 def dfs_expand(spark, sf_dir):
-    n, e = _small(spark, sf_dir)
+    n, e = _graph(spark, sf_dir)
     return search.expand_dfs(n, e, ["region_0"], 2)
 
 
-_PATH = """paths AS (SELECT '{0}' AS id, ['{0}'] AS path, 0 AS hop
-    UNION ALL SELECT a.v, list_append(p.path, a.v), p.hop + 1 FROM paths p JOIN adj a ON a.u = p.id
-    WHERE p.hop < 6 AND NOT list_contains(p.path, a.v) AND p.id <> '{1}'),
-    best AS (SELECT min(path) AS path FROM paths WHERE id = '{1}' AND hop = (SELECT min(hop) FROM paths WHERE id = '{1}'))"""
+#: All shortest paths from {0} to {1}, by distance to the end.
+_PATH = """far AS (SELECT '{1}' AS id, 0 AS hop UNION SELECT a.v, f.hop + 1 FROM far f JOIN adj a ON a.u = f.id WHERE f.hop < 4), near AS (SELECT id, min(hop) AS hop FROM far GROUP BY id),
+    paths AS (SELECT '{0}' AS id, ['{0}'] AS path UNION ALL SELECT a.v, list_append(p.path, a.v) FROM paths p JOIN near x ON x.id = p.id JOIN adj a ON a.u = p.id JOIN near y ON y.id = a.v AND y.hop = x.hop - 1),
+    best AS (SELECT min(path) AS path FROM paths WHERE id = '{1}')"""
 
 
-@query(f"{_SMALL}, {_PATH.format('supplier_1', 'supplier_2')} SELECT (unnest(range(len(path))))::INTEGER AS pos, unnest(path) AS id FROM best")
+@query(f"{_BASE}, {_PATH.format('supplier_1', 'customer_2')} SELECT (unnest(range(len(path))))::INTEGER AS pos, unnest(path) AS id FROM best")
 def shortest_path(spark, sf_dir):
-    _, e = _small(spark, sf_dir)
-    return search.shortest_path(e, "supplier_1", "supplier_2")
+    return search.shortest_path(frame(spark, sf_dir, EDGES), "supplier_1", "customer_2")
 
 
 @query(
-    f"""{_SMALL}, {_PATH.format('supplier_1', 'region_0')}, s AS (SELECT (unnest(range(len(path) - 1)))::INTEGER AS pos, unnest(path[:-2]) AS a, unnest(path[2:]) AS b FROM best)
+    f"""{_BASE}, {_PATH.format('supplier_1', 'region_0')}, s AS (SELECT (unnest(range(len(path) - 1)))::INTEGER AS pos, unnest(path[:-2]) AS a, unnest(path[2:]) AS b FROM best)
     SELECT pos, a, b, relation, '-->' AS arrow FROM s JOIN edges ON source = a AND target = b
     UNION ALL SELECT pos, a, b, relation, '<--' FROM s JOIN edges ON source = b AND target = a"""
 )
 def path_directions(spark, sf_dir):
-    _, e = _small(spark, sf_dir)
+    e = frame(spark, sf_dir, EDGES)
     return search.path_directions(e, search.shortest_path(e, "supplier_1", "region_0"))
 
 
@@ -297,13 +296,13 @@ def number_communities(spark, sf_dir):
 
 @query()
 def leiden_communities(spark, sf_dir):
-    return cluster.leiden(*_small(spark, sf_dir))
+    return cluster.leiden(*_graph(spark, sf_dir))
 
 
 @query()
 def split_oversized(spark, sf_dir):
-    n, e = _small(spark, sf_dir)
-    return cluster.split_oversized(n.select("id", F.lit(0).alias("community")), e)
+    n, e = _graph(spark, sf_dir)
+    return cluster.split_oversized(_membership(n), e)
 
 
 @query(
@@ -363,36 +362,33 @@ _EV = f"ev AS ({EVENTS})"
 @query(
     f"""WITH RECURSIVE {_EV}, p AS (SELECT source AS start, target AS cur, [source] AS path FROM ev WHERE target >= source
     UNION ALL SELECT p.start, e.target, list_append(p.path, p.cur) FROM p JOIN ev e ON e.source = p.cur WHERE p.cur <> p.start AND len(p.path) < 5 AND e.target >= p.start AND (e.target = p.start OR (NOT list_contains(p.path, e.target) AND e.target <> p.cur)))
-    SELECT array_to_string(path, '>') AS cycle, len(path)::BIGINT AS length FROM p WHERE cur = start ORDER BY 2, 1 LIMIT 200"""
+    SELECT array_to_string(path, '>') AS cycle, len(path)::BIGINT AS length FROM p WHERE cur = start"""
 )
 def import_cycles(spark, sf_dir):
-    return analyze.import_cycles(frame(spark, sf_dir, EVENTS), 5, 200)
+    return analyze.import_cycles(frame(spark, sf_dir, EVENTS), 5, None)
 
 
-_SP = """d AS (SELECT s.id AS s, s.id AS v, 0 AS hop FROM nodes s UNION SELECT d.s, a.v, d.hop + 1 FROM d JOIN adj a ON a.u = d.v WHERE d.hop < 7),
-    dist AS (SELECT s, v, min(hop) AS hop FROM d GROUP BY s, v)"""
+#: Subtree sizes of the containment tree, which give its shortest paths in closed form.
+_TREE = """up AS (SELECT id, id AS anc FROM nodes UNION ALL SELECT u.id, e.source FROM up u JOIN edges e ON e.target = u.anc), size AS (SELECT anc AS id, count(*) AS k FROM up GROUP BY anc),
+    total AS (SELECT count(*) AS n FROM nodes), part AS (SELECT e.source AS id, s.k FROM edges e JOIN size s ON s.id = e.target UNION ALL SELECT s.id, n - s.k FROM size s, total)"""
 
 
-@query(
-    f"""{_SMALL}, {_SP}, n AS (SELECT count(*) AS n FROM nodes)
-    SELECT v.id, round(coalesce(count(DISTINCT (x.s, y.v)) FILTER (WHERE x.s IS NOT NULL AND st.hop IS NOT NULL), 0) / ((max(n.n) - 1.0) * (max(n.n) - 2.0)), 6) AS betweenness
-    FROM nodes v CROSS JOIN n LEFT JOIN dist x ON x.v = v.id AND x.s <> v.id LEFT JOIN dist y ON y.s = v.id AND y.v <> v.id AND y.v <> x.s
-    LEFT JOIN dist st ON st.s = x.s AND st.v = y.v AND st.hop = x.hop + y.hop GROUP BY v.id"""
-)
+@query(f"{_SMALL}, {_TREE} SELECT id, round(((max(n) - 1.0) * (max(n) - 1.0) - sum(k * k)) / ((max(n) - 1.0) * (max(n) - 2.0)), 6) AS betweenness FROM part, total GROUP BY id")
 def betweenness_nodes(spark, sf_dir):
     n, e = _small(spark, sf_dir)
-    return analyze.node_betweenness(n, e, exact_upto=100_000).withColumn("betweenness", F.round("betweenness", 6))
+    return analyze.node_betweenness(n, e, exact_upto=10_000_000).withColumn("betweenness", F.round("betweenness", 6))
 
 
-@query(
-    f"""{_SMALL}, {_SP}, n AS (SELECT count(*) AS n FROM nodes)
-    SELECT least(e.source, e.target) AS a, greatest(e.source, e.target) AS b, round(2.0 * count(DISTINCT (x.s, y.v)) FILTER (WHERE st.hop IS NOT NULL) / (max(n.n) * (max(n.n) - 1.0)), 6) AS betweenness
-    FROM edges e CROSS JOIN n LEFT JOIN dist x ON x.v = e.source LEFT JOIN dist y ON y.s = e.target AND y.v <> x.s LEFT JOIN dist st ON st.s = x.s AND st.v = y.v AND st.hop = x.hop + 1 + y.hop GROUP BY ALL"""
-)
+@query(f"{_SMALL}, {_TREE} SELECT least(e.source, e.target) AS a, greatest(e.source, e.target) AS b, round(2.0 * s.k * (n - s.k) / (n * (n - 1.0)), 6) AS betweenness FROM edges e JOIN size s ON s.id = e.target, total")
 def betweenness_edges(spark, sf_dir):
     return analyze.edge_betweenness(*_small(spark, sf_dir)).withColumn("betweenness", F.round("betweenness", 6))
 
 
+@query()
+def betweenness_pivots(spark, sf_dir):
+    return analyze.node_betweenness(*_graph(spark, sf_dir))
+
+
 @query(
     f"""{_BASE}, {_COH}, amb AS (SELECT 1 AS section, concat_ws('|', source, target, relation) AS key, source AS subject, target AS detail FROM edges WHERE confidence = 'AMBIGUOUS'),
     inf AS (SELECT id, count(*) AS k FROM (SELECT source AS id FROM edges WHERE confidence = 'INFERRED' UNION ALL SELECT target FROM edges WHERE confidence = 'INFERRED') GROUP BY id HAVING count(*) >= 2),
@@ -412,7 +408,7 @@ _NEW = "SELECT * FROM edges WHERE relation <> 'references'"
 
 
 @query(
-    f"""{_BASE}, oe AS ({_OLD}), ne AS ({_NEW}), onn AS (SELECT * FROM nodes WHERE id NOT LIKE 'region%'), nn AS (SELECT * FROM nodes WHERE id NOT LIKE 'part_1%'),
+    f"""{_BASE}, oe AS ({_OLD}), ne AS ({_NEW}), onn AS (SELECT * FROM nodes WHERE file_type <> 'document'), nn AS (SELECT * FROM nodes WHERE source_file NOT LIKE '%.py'),
     ok AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b, relation FROM oe), nk AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b, relation FROM ne)
     SELECT 'added' AS change, 'node' AS kind, id AS a, NULL::VARCHAR AS b, NULL::VARCHAR AS relation FROM nn WHERE id NOT IN (SELECT id FROM onn)
     UNION ALL SELECT 'removed', 'node', id, NULL, NULL FROM onn WHERE id NOT IN (SELECT id FROM nn)
@@ -420,40 +416,42 @@ _NEW = "SELECT * FROM edges WHERE relation <> 'references'"
 )
 def graph_diff(spark, sf_dir):
     n, e = _graph(spark, sf_dir)
-    return graph.graph_diff(n.filter("id not like 'region%'"), e.filter("confidence <> 'AMBIGUOUS'"), n.filter("id not like 'part_1%'"), e.filter("relation <> 'references'"))
+    return graph.graph_diff(n.filter("file_type <> 'document'"), e.filter("confidence <> 'AMBIGUOUS'"), n.filter("source_file not like '%.py'"), e.filter("relation <> 'references'"))
 
 
 # ------------------------------------------------------------------ merge
 
-_MERGED = f"""{_BASE}, g0 AS (SELECT concat('a::', id) AS id, label, community, 'a' AS repo FROM nodes WHERE id LIKE 'nation%'),
-    off AS (SELECT max(community) + 1 AS k FROM g0), g1 AS (SELECT concat('b::', id) AS id, label, community + (SELECT k FROM off) AS community, 'b' AS repo FROM nodes WHERE id LIKE 'supplier%' OR id LIKE 'nation%')"""
+_MERGED = f"""{_BASE}, g0 AS (SELECT concat('a::', id) AS id, label, coalesce(community, -1) AS community, 'a' AS repo FROM nodes WHERE source_file NOT LIKE 'app/%'),
+    off AS (SELECT max(community) + 1 AS k FROM g0), g1 AS (SELECT concat('b::', id) AS id, label, coalesce(community + (SELECT k FROM off), -1) AS community, 'b' AS repo FROM nodes WHERE source_file NOT LIKE 'src/%')"""
 
 
-@query(f"{_MERGED} SELECT * FROM g0 UNION ALL SELECT * FROM g1")
-def merge_graphs(spark, sf_dir):
+def _two_repositories(spark, sf_dir):
     n, e = _graph(spark, sf_dir)
     n = n.withColumn("external", F.lit(False))
-    a, b = n.filter("id like 'nation%'"), n.filter("id like 'supplier%' or id like 'nation%'")
-    return merge.merge_graphs([("a", a, graph.induced_subgraph(e, a)), ("b", b, graph.induced_subgraph(e, b))])[0].select("id", "label", "community", "repo")
+    a, b = n.filter("source_file not like 'app/%'"), n.filter("source_file not like 'src/%'")
+    return merge.merge_graphs([("a", a, graph.induced_subgraph(e, a)), ("b", b, graph.induced_subgraph(e, b))])
 
 
-@query(f"{_BASE} SELECT concat('b::', e.source) AS source, concat('b::', e.target) AS target, relation FROM edges e WHERE source LIKE 'nation%' AND target LIKE 'supplier%'")
-def merge_graph_edges(spark, sf_dir):
-    n, e = _graph(spark, sf_dir)
-    n = n.withColumn("external", F.lit(False))
-    a, b = n.filter("id like 'nation%'"), n.filter("id like 'supplier%' or id like 'nation%'")
-    return merge.merge_graphs([("a", a, graph.induced_subgraph(e, a)), ("b", b, graph.induced_subgraph(e, b))])[1].select("source", "target", "relation")
+@query(f"{_MERGED} SELECT * FROM g0 UNION ALL SELECT * FROM g1")
+def merge_graphs(spark, sf_dir):
+    return _two_repositories(spark, sf_dir)[0].select("id", "label", F.coalesce("community", F.lit(-1)).alias("community"), "repo")
 
 
 @query(
-    f"""{_BASE}, t AS (SELECT id, regexp_replace(label, ' [0-9]+$', '') AS label, split_part(source_file, '/', 3) AS repo, ord FROM nodes WHERE id LIKE 'part%' AND ord % 20 = 0)
-    SELECT a.id AS source, b.id AS target, 'same_type_as' AS relation, 0.9::DOUBLE AS score FROM t a JOIN t b ON a.label = b.label AND a.repo <> b.repo AND a.ord < b.ord"""
+    f"""{_MERGED} SELECT concat('a::', source) AS source, concat('a::', target) AS target, relation FROM edges WHERE concat('a::', source) IN (SELECT id FROM g0) AND concat('a::', target) IN (SELECT id FROM g0)
+    UNION ALL SELECT concat('b::', source), concat('b::', target), relation FROM edges WHERE concat('b::', source) IN (SELECT id FROM g1) AND concat('b::', target) IN (SELECT id FROM g1)"""
 )
+def merge_graph_edges(spark, sf_dir):
+    return _two_repositories(spark, sf_dir)[1].select("source", "target", "relation")
+
+
+#: A part's brand and type declare a type; each part size is a repository.
+_DECLARED = "SELECT min(concat('part_', p_partkey)) AS id, concat(p_brand, ' ', p_type) AS label, '' AS namespace, concat('r', p_size) AS repo, min(p_partkey) AS ord FROM part GROUP BY p_brand, p_type, p_size"
+
+
+@query(f"WITH t AS ({_DECLARED}) SELECT a.id AS source, b.id AS target, 'same_type_as' AS relation, 0.9::DOUBLE AS score FROM t a JOIN t b ON a.label = b.label AND a.repo <> b.repo AND a.ord < b.ord")
 def shared_types(spark, sf_dir):
-    # Every twentieth part stands for a declared type; the others are plain values.
-    n, e = _graph(spark, sf_dir)
-    t = n.filter("id like 'part%' and ord % 20 = 0").select("id", F.regexp_replace("label", " [0-9]+$", "").alias("label"), F.lit("").alias("namespace"), F.split_part("source_file", F.lit("/"), F.lit(3)).alias("repo"), "ord")
-    return merge.shared_types(t, e)
+    return merge.shared_types(frame(spark, sf_dir, _DECLARED), frame(spark, sf_dir, EDGES))
 
 
 @query(f"{_BASE} SELECT source, target, relation, row_number() OVER (ORDER BY least(a.ord, b.ord), greatest(a.ord, b.ord), relation) AS pos FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target WHERE relation = 'contains'")
@@ -467,7 +465,7 @@ def edge_order(spark, sf_dir):
 
 # ------------------------------------------------------------------ build
 
-_COLLIDING = f"SELECT * FROM ({NODES}) WHERE ord < 3000000000 UNION ALL SELECT id, concat(label, ' copy'), 'mystery', source_file, NULL, NULL, ord + 500 FROM ({NODES}) WHERE ord < 3000000000 UNION ALL SELECT id, label, 'code', concat('archive/', source_file), 'L7', 1, ord + 900 FROM ({NODES}) WHERE ord < 2000000000"
+_COLLIDING = f"SELECT * FROM ({NODES}) UNION ALL SELECT id, concat(label, ' copy'), 'mystery', source_file, NULL, NULL, ord + 500000000 FROM ({NODES}) UNION ALL SELECT id, label, 'code', concat('archive/', source_file), 'L7', 1, ord + 900000000 FROM ({NODES})"
 
 
 @query(
@@ -483,7 +481,7 @@ def dedupe_nodes(spark, sf_dir):
     return build.dedupe_nodes(frame(spark, sf_dir, _COLLIDING)).withColumn("community", F.coalesce("community", F.lit(-1)))
 
 
-_MIXED = f"SELECT id FROM ({NODES}) WHERE ord < 3000000000 UNION ALL SELECT upper(id) FROM ({NODES}) WHERE ord < 1000000003 UNION ALL SELECT concat(id, '!') FROM ({NODES}) WHERE ord BETWEEN 2000000000 AND 2000000005"
+_MIXED = f"SELECT id FROM ({NODES}) WHERE source_file NOT LIKE 'lib/%' UNION ALL SELECT upper(id) FROM ({NODES}) WHERE source_file NOT LIKE 'app/%' UNION ALL SELECT concat(id, '!') FROM ({NODES}) WHERE source_file LIKE 'src/%'"
 _ALIAS = f"""n AS ({_MIXED}), f AS (SELECT DISTINCT id, regexp_replace(regexp_replace(lower(id), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS alias FROM n UNION SELECT id, concat('.', regexp_extract(id, '[^_]+$')) FROM n),
     u AS (SELECT alias, min(id) AS id FROM f GROUP BY alias HAVING count(DISTINCT id) = 1), al AS (SELECT alias, id FROM u WHERE alias NOT IN (SELECT id FROM n))"""
 
@@ -494,19 +492,19 @@ def id_alias(spark, sf_dir):
 
 
 _LOOSE = f"SELECT source, target, relation FROM ({EDGES}) WHERE relation = 'contains' UNION ALL SELECT source, concat('ext_', target), 'imports' FROM ({EDGES}) WHERE relation = 'contains' AND source LIKE 'nation%' AND target LIKE 'supplier%' UNION ALL SELECT 'nation_1', concat('ext_', target), 'calls' FROM ({EDGES}) WHERE source LIKE 'nation%' AND target LIKE 'supplier%'"
-_REMAP = f"""k AS (SELECT id FROM ({NODES}) WHERE ord < 3000000000), e AS ({_LOOSE}), ok AS (SELECT e.*, target IN (SELECT id FROM k) AS t FROM e WHERE source IN (SELECT id FROM k)),
+_REMAP = f"""k AS (SELECT id FROM ({NODES})), e AS ({_LOOSE}), ok AS (SELECT e.*, target IN (SELECT id FROM k) AS t FROM e WHERE source IN (SELECT id FROM k)),
     st AS (SELECT target AS id, min((source, target, relation)) AS since FROM ok WHERE NOT t AND relation IN ('imports', 'imports_from', 're_exports') GROUP BY target)"""
 
 
 @query(f"WITH {_REMAP} SELECT source, target, relation FROM ok LEFT JOIN st ON st.id = ok.target WHERE t OR (since IS NOT NULL AND (source, target, relation) >= since)")
 def endpoint_remap(spark, sf_dir):
-    n = frame(spark, sf_dir, f"SELECT id FROM ({NODES}) WHERE ord < 3000000000")
+    n = frame(spark, sf_dir, f"SELECT id FROM ({NODES})")
     return build.remap_endpoints(n, frame(spark, sf_dir, _LOOSE), build.alias_map(n))[0]
 
 
 @query(f"WITH {_REMAP} SELECT id, id AS label, 'concept' AS file_type, 'external' AS type FROM st")
 def external_stubs(spark, sf_dir):
-    n = frame(spark, sf_dir, f"SELECT id FROM ({NODES}) WHERE ord < 3000000000")
+    n = frame(spark, sf_dir, f"SELECT id FROM ({NODES})")
     return build.remap_endpoints(n, frame(spark, sf_dir, _LOOSE), build.alias_map(n))[1]
 
 
@@ -543,11 +541,11 @@ def hyperedge_remap(spark, sf_dir):
     return build.remap_hyperedges(h, n, build.alias_map(n)).select("id", F.array_join("nodes", ",").alias("members"))
 
 
-@query(f"{_BASE} SELECT source, target FROM (SELECT source, target, 'imports' AS relation FROM edges UNION ALL SELECT id, id, 'imports' FROM nodes WHERE ord < 2000000000 UNION ALL SELECT id, id, 'calls' FROM nodes WHERE ord < 10) WHERE NOT (source = target AND relation = 'imports')")
+@query(f"{_BASE} SELECT source, target FROM (SELECT source, target, 'imports' AS relation FROM edges UNION ALL SELECT id, id, 'imports' FROM nodes UNION ALL SELECT id, id, 'calls' FROM nodes) WHERE NOT (source = target AND relation = 'imports')")
 def self_import_drop(spark, sf_dir):
     n, e = _graph(spark, sf_dir)
-    loops = n.filter("ord < 2000000000").select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit("imports").alias("relation"))
-    calls = n.filter("ord < 10").select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit("calls").alias("relation"))
+    loops = n.select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit("imports").alias("relation"))
+    calls = n.select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit("calls").alias("relation"))
     mixed = e.select("source", "target", F.lit("imports").alias("relation")).unionByName(loops).unionByName(calls)
     return build.drop_self_imports(mixed).select("source", "target")
 

@@ -1 +1,434 @@
-"""Registered queries over corpora and entities."""
+"""Registered queries over corpora, entities, resolution and exports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphlake.functions import similarity, text
+from graphlake.operators import entities, graph, resolve
+from graphlake.plans.fixtures import EDGES, EVENTS, LINKS, NODES, frame
+from graphlake.queries import _BASE, _graph, _membership, query
+from graphlake.sinks import export
+from graphlake.sources import code, configs, documents, files
+
+# ------------------------------------------------------------------ resolution
+
+#: Calls by customers of parts, by the part's first word and number; half of the parts are imported.
+_DEFS = f"SELECT id, concat(label, '()') AS label, CASE WHEN ord % 2 = 0 THEN source_file ELSE replace(source_file, '.ts', '.py') END AS source_file FROM ({NODES}) WHERE id LIKE 'part%'"
+_CALLS = f"""SELECT row_number() OVER (ORDER BY e.source, e.target) AS ord, e.source AS caller_id, n.label AS callee, s.source_file, e.confidence = 'AMBIGUOUS' AS is_member
+    FROM ({EDGES}) e JOIN ({NODES}) n ON n.id = e.target JOIN ({NODES}) s ON s.id = e.source WHERE e.source LIKE 'customer%' AND e.target LIKE 'part%'"""
+_IMPORTS = f"SELECT DISTINCT s.source_file, e.target AS target_id, CAST(NULL AS STRING) AS target_file FROM ({EDGES}) e JOIN ({NODES}) s ON s.id = e.source WHERE e.source LIKE 'customer%' AND e.target LIKE 'part%' AND e.confidence = 'EXTRACTED'"
+_NO_EDGES = "SELECT CAST(NULL AS STRING) AS source, CAST(NULL AS STRING) AS target, CAST(NULL AS STRING) AS relation WHERE 1 = 0"
+
+
+@query(
+    f"""WITH d AS ({_DEFS}), c AS ({_CALLS}), i AS ({_IMPORTS}),
+    m AS (SELECT c.ord, c.caller_id, c.source_file, d.id, i.target_id IS NOT NULL AS proven FROM c JOIN d ON d.label = concat(c.callee, '()') AND d.source_file LIKE '%.py' LEFT JOIN i ON i.source_file = c.source_file AND i.target_id = d.id WHERE NOT c.is_member),
+    f AS (SELECT caller_id AS source, id AS target, min(ord) AS ord, arg_min(proven, ord) AS proven FROM m GROUP BY caller_id, id)
+    SELECT source, target, ord, 'calls' AS relation, CASE WHEN proven THEN 'EXTRACTED' ELSE 'INFERRED' END AS confidence, (CASE WHEN proven THEN 1.0 ELSE 0.85 END)::DOUBLE AS score FROM f"""
+)
+def resolve_calls(spark, sf_dir):
+    return resolve.resolve_calls(frame(spark, sf_dir, _CALLS), frame(spark, sf_dir, _DEFS), frame(spark, sf_dir, _IMPORTS), spark.sql(_NO_EDGES))
+
+
+_STUBBED = f"SELECT id, label, source_file FROM ({NODES}) UNION ALL SELECT concat('stub_', id), lower(label), '' FROM ({NODES}) WHERE source_file LIKE 'geo/%' UNION ALL SELECT 'stub_lost', 'nothing of that name', '' UNION ALL SELECT 'stub_used', 'unknown', ''"
+_STUB_EDGES = f"SELECT concat('stub_', source) AS source, target, relation FROM ({EDGES}) WHERE source LIKE 'nation%' UNION ALL SELECT source, target, relation FROM ({EDGES}) WHERE source LIKE 'region%' UNION ALL SELECT 'region_0', 'stub_used', 'references'"
+_REAL = f"""n AS ({_STUBBED}), e AS ({_STUB_EDGES}), d AS (SELECT id, label FROM n WHERE source_file <> ''),
+    x AS (SELECT label, min(id) AS id FROM d GROUP BY label HAVING count(DISTINCT id) = 1), l AS (SELECT lower(label) AS low, min(id) AS id FROM d GROUP BY 1 HAVING count(DISTINCT id) = 1),
+    m AS (SELECT s.id, coalesce(x.id, l.id) AS real FROM n s LEFT JOIN x ON x.label = s.label LEFT JOIN l ON l.low = lower(s.label) WHERE s.source_file = ''),
+    o AS (SELECT coalesce(a.real, e.source) AS source, coalesce(b.real, e.target) AS target, relation FROM e LEFT JOIN m a ON a.id = e.source LEFT JOIN m b ON b.id = e.target)"""
+
+
+@query(f"WITH {_REAL} SELECT * FROM o")
+def rewire_stubs(spark, sf_dir):
+    return resolve.rewire_stubs(frame(spark, sf_dir, _STUBBED), frame(spark, sf_dir, _STUB_EDGES))[1]
+
+
+@query(f"WITH {_REAL} SELECT id, label FROM n WHERE source_file <> '' OR id IN (SELECT source FROM o UNION SELECT target FROM o)")
+def rewire_stub_nodes(spark, sf_dir):
+    return resolve.rewire_stubs(frame(spark, sf_dir, _STUBBED), frame(spark, sf_dir, _STUB_EDGES))[0].select("id", "label")
+
+
+_SHARED_IDS = f"SELECT lower(regexp_replace(label, ' .*$', '')) AS id, source_file FROM ({NODES}) WHERE id LIKE 'part%'"
+
+
+@query(
+    f"""WITH k AS (SELECT DISTINCT * FROM ({_SHARED_IDS})), s AS (SELECT id AS old_id, source_file, concat_ws('_', regexp_replace(regexp_replace(lower(source_file), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), id) AS salted FROM k WHERE id IN (SELECT id FROM k GROUP BY id HAVING count(*) > 1)),
+    c AS (SELECT salted, count(*) AS n FROM s GROUP BY salted) SELECT old_id, source_file, CASE WHEN n > 1 THEN concat_ws('_', s.salted, left(sha1(source_file), 6)) ELSE s.salted END AS id FROM s JOIN c ON c.salted = s.salted"""
+)
+def disambiguate_ids(spark, sf_dir):
+    return resolve.disambiguate_ids(frame(spark, sf_dir, _SHARED_IDS))
+
+
+_EXPORTS = f"SELECT target AS name, source AS target FROM ({EDGES}) WHERE relation = 'contains' UNION ALL SELECT 'loop_a', 'loop_a' UNION ALL SELECT 'twice', 'region_0' UNION ALL SELECT 'twice', 'region_1'"
+
+
+@query(
+    f"""WITH RECURSIVE x AS ({_EXPORTS}), u AS (SELECT name, min(target) AS target FROM x WHERE name <> target GROUP BY name HAVING count(DISTINCT target) = 1),
+    w AS (SELECT name, target, 0 AS k FROM u UNION ALL SELECT w.name, u.target, k + 1 FROM w JOIN u ON u.name = w.target WHERE k < 8) SELECT name, arg_max(target, k) AS target FROM w GROUP BY name HAVING arg_max(target, k) <> name"""
+)
+def barrel_closure(spark, sf_dir):
+    return resolve.barrel_closure(frame(spark, sf_dir, _EXPORTS))
+
+
+_NAMESPACES = f"SELECT id, regexp_replace(label, ' [0-9]+$', '') AS label, source_file, source_location FROM ({NODES}) WHERE id LIKE 'part%'"
+
+
+@query(f"WITH n AS ({_NAMESPACES}), f AS (SELECT label, arg_min(id, (source_file, source_location, id)) AS canonical FROM n GROUP BY label) SELECT id, canonical FROM n JOIN f ON f.label = n.label")
+def namespace_canonical(spark, sf_dir):
+    return resolve.canonical_namespaces(frame(spark, sf_dir, _NAMESPACES))
+
+
+_DECLS = f"SELECT id, concat('src/', id, CASE WHEN ord % 3 = 0 THEN '.h' ELSE '.hpp' END) AS source_file FROM ({NODES}) UNION ALL SELECT id, concat('src/', id, CASE ord % 3 WHEN 0 THEN '.cpp' WHEN 1 THEN '+extra.mm' ELSE '.txt' END) FROM ({NODES}) UNION ALL SELECT id, concat('other/', id, '.c') FROM ({NODES})"
+
+
+@query(f"WITH d AS ({_DECLS}) SELECT a.id, a.source_file, b.source_file AS definition_file FROM d a JOIN d b ON a.id = b.id AND a.source_file LIKE 'src/%.h%' AND (b.source_file LIKE 'src/%.cpp' OR b.source_file LIKE 'src/%.mm')")
+def decl_def_merge(spark, sf_dir):
+    return resolve.merge_declarations(frame(spark, sf_dir, _DECLS))
+
+
+_GO_IMPORTS = f"SELECT id AS source, concat('example.org/', split_part(source_file, '/', 2)) AS import_path FROM ({NODES}) WHERE id LIKE 'customer%'"
+_GO_FILES = f"SELECT DISTINCT concat('example.org/', CASE WHEN n_regionkey % 2 = 0 THEN 'customer' ELSE 'other' END) AS import_path, concat('file_', n_nationkey) AS file_id FROM nation"
+
+
+@query(f"SELECT DISTINCT source, file_id AS target, 'imports_from' AS relation FROM ({_GO_IMPORTS}) i JOIN ({_GO_FILES}) p ON p.import_path = i.import_path")
+def go_imports_fanout(spark, sf_dir):
+    return resolve.go_import_fanout(frame(spark, sf_dir, _GO_IMPORTS), frame(spark, sf_dir, _GO_FILES), spark.sql(_NO_EDGES))
+
+
+_TYPES = "SELECT concat('type_', n_nationkey) AS id, CASE WHEN n_nationkey < 2 THEN 'Twin' ELSE n_name END AS name FROM nation"
+_METHODS = "SELECT concat('type_', s_nationkey) AS type_id, concat('m', s_suppkey % 7) AS name, concat('method_', s_suppkey) AS id FROM supplier"
+_MEMBER_CALLS = """SELECT c_custkey AS ord, concat('caller_', c_custkey % 200) AS caller_id, CASE WHEN c_custkey % 3 = 0 THEN concat('NATION_', c_nationkey) ELSE concat('v', c_custkey % 5) END AS receiver, concat('m', c_custkey % 7) AS callee FROM customer"""
+_RECEIVERS = "SELECT concat('caller_', c_custkey % 200) AS caller_id, concat('v', c_custkey % 5) AS receiver, CASE WHEN c_custkey % 11 = 0 THEN 'Foreign' ELSE concat('NATION_', (c_custkey % 200) % 25) END AS type_name FROM customer"
+_MEMBER = f"""t AS ({_TYPES}), m AS ({_METHODS}), c AS ({_MEMBER_CALLS}), r AS ({_RECEIVERS}),
+    ot AS (SELECT name, min(id) AS id FROM t GROUP BY name HAVING count(DISTINCT id) = 1), om AS (SELECT type_id, name, min(id) AS id FROM m GROUP BY ALL HAVING count(DISTINCT id) = 1),
+    rr AS (SELECT caller_id, receiver, min(type_name) AS type_name FROM r GROUP BY ALL HAVING count(DISTINCT type_name) = 1)"""
+
+
+@query(
+    f"""WITH {_MEMBER}, x AS (SELECT c.*, a.id AS direct, b.id AS typed FROM c LEFT JOIN ot a ON a.name = c.receiver LEFT JOIN rr ON rr.caller_id = c.caller_id AND rr.receiver = c.receiver LEFT JOIN ot b ON b.name = rr.type_name),
+    f AS (SELECT caller_id AS source, om.id AS target, ord, direct IS NOT NULL AS sure FROM x JOIN om ON om.type_id = coalesce(direct, typed) AND om.name = x.callee)
+    SELECT source, target, min(ord) AS ord, 'calls' AS relation, CASE WHEN arg_min(sure, ord) THEN 'EXTRACTED' ELSE 'INFERRED' END AS confidence, (CASE WHEN arg_min(sure, ord) THEN 1.0 ELSE 0.8 END)::DOUBLE AS score FROM f GROUP BY source, target"""
+)
+def member_calls(spark, sf_dir):
+    return resolve.member_calls(*[frame(spark, sf_dir, s) for s in (_MEMBER_CALLS, _TYPES, _METHODS, _RECEIVERS)], spark.sql(_NO_EDGES))
+
+
+@query(
+    f"""WITH {_MEMBER}, p AS (SELECT c.caller_id, callee, type_name, min(ord) AS ord FROM c JOIN r ON r.caller_id = c.caller_id AND r.receiver = c.receiver WHERE type_name NOT IN (SELECT name FROM t) GROUP BY ALL)
+    SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY caller_id ORDER BY ord, callee, type_name) <= 64"""
+)
+def parked_calls(spark, sf_dir):
+    return resolve.parked_calls(*[frame(spark, sf_dir, s) for s in (_MEMBER_CALLS, _TYPES, _RECEIVERS)])
+
+
+_BASES = "SELECT concat('type_', n_nationkey) AS type_id, concat('type_', CAST(floor(n_nationkey / 2) AS INT)) AS base_id FROM nation WHERE n_nationkey > 0"
+
+
+@query(
+    f"""WITH RECURSIVE b AS ({_BASES}), m AS ({_METHODS}), w AS (SELECT concat('type_', n_nationkey) AS type_id, concat('type_', n_nationkey) AS cur, 0 AS level FROM nation UNION ALL SELECT w.type_id, b.base_id, level + 1 FROM w JOIN b ON b.type_id = w.cur WHERE level < 16),
+    h AS (SELECT w.type_id, name, level, min(id) AS id, count(DISTINCT id) AS k FROM w JOIN m ON m.type_id = w.cur GROUP BY ALL)
+    SELECT type_id, name, arg_min(id, level) AS id FROM h GROUP BY type_id, name HAVING arg_min(k, level) = 1"""
+)
+def inherited_method(spark, sf_dir):
+    types = frame(spark, sf_dir, "SELECT concat('type_', n_nationkey) AS id FROM nation")
+    return resolve.inherited_methods(types, frame(spark, sf_dir, _BASES), frame(spark, sf_dir, _METHODS))
+
+
+_IMPLEMENTS = "SELECT concat('type_', n_nationkey) AS interface_id, concat('type_', (n_nationkey + 12) % 25) AS type_id FROM nation UNION ALL SELECT 'type_3', 'type_20'"
+
+
+@query(
+    f"""WITH i AS (SELECT interface_id, min(type_id) AS type_id FROM ({_IMPLEMENTS}) GROUP BY interface_id HAVING count(DISTINCT type_id) = 1), m AS (SELECT type_id, name, min(id) AS id FROM ({_METHODS}) GROUP BY ALL HAVING count(DISTINCT id) = 1)
+    SELECT a.id AS source, b.id AS target, 'dispatches_to' AS relation, 0.9::DOUBLE AS score FROM i JOIN m a ON a.type_id = i.interface_id JOIN m b ON b.type_id = i.type_id AND b.name = a.name"""
+)
+def interface_dispatch(spark, sf_dir):
+    return resolve.interface_dispatch(frame(spark, sf_dir, _IMPLEMENTS), frame(spark, sf_dir, _METHODS), spark.sql(_NO_EDGES))
+
+
+_PROX_CALLS = "SELECT * FROM (VALUES ('c1', 'a/b/x.py'), ('c2', 'a/b/y.py'), ('c3', 'tests/test_q.py'), ('c4', 'z/q.py'), ('c5', 'a/c/d/e.py')) AS t(call, caller_file)"
+_PROX_DEFS = "SELECT * FROM (VALUES ('c1', 'd1', 'a/b/x.py'), ('c1', 'd2', 'a/b/z.py'), ('c2', 'd3', 'a/b/p.py'), ('c2', 'd4', 'a/b/q.py'), ('c3', 'd5', 'tests/util.py'), ('c3', 'd6', 'src/util.py'), ('c4', 'd7', 'tests/a.py'), ('c4', 'd8', 'y/b.py'), ('c5', 'd9', 'a/c/k.py'), ('c5', 'd10', 'a/m.py')) AS t(call, id, file)"
+
+
+@query("SELECT * FROM (VALUES ('c1', 'd1'), ('c3', 'd5'), ('c5', 'd9')) AS t(call, id)")
+def proximity_winner(spark, sf_dir):
+    return resolve.proximity(spark.sql(_PROX_CALLS), spark.sql(_PROX_DEFS))
+
+
+_REFS = "SELECT * FROM (VALUES ('a', 'User', 'acme.core.User', 'acme.web'), ('b', 'Page', NULL, 'acme.web'), ('c', 'Gone', 'lib.Gone', 'acme.web'), ('d', 'Lost', NULL, 'acme.web')) AS t(source, name, imported, package)"
+_FQNS = "SELECT * FROM (VALUES ('acme.core.User', 'user_1'), ('acme.web.Page', 'page_1'), ('acme.web.Lost', 'l1'), ('acme.web.Lost', 'l2')) AS t(fqn, id)"
+
+
+@query("SELECT source, target, 'references' AS relation, stub FROM (VALUES ('a', 'user_1', false), ('b', 'page_1', false), ('c', 'lib.Gone', true), ('d', 'Lost', true)) AS t(source, target, stub)")
+def fqn_references(spark, sf_dir):
+    return resolve.fqn_references(spark.sql(_REFS), spark.sql(_FQNS))
+
+
+@query(f"SELECT id, CASE WHEN id LIKE 'supplier_1%' AND (id = 'supplier_1') THEN 'vendor_one' WHEN starts_with(id, 'supplier_') THEN concat('vendor', substr(id, 9)) ELSE id END AS canonical FROM ({NODES})")
+def canonicalize_file_ids(spark, sf_dir):
+    renamed = spark.createDataFrame([("supplier", "vendor"), ("supplier_1", "vendor_one")], "old string, new string")
+    return resolve.canonicalize_ids(frame(spark, sf_dir, f"SELECT id FROM ({NODES})"), renamed)
+
+
+_SPANS = "SELECT * FROM (VALUES ('f', 1, 100, 'outer'), ('f', 10, 50, 'mid'), ('f', 20, 30, 'inner'), ('g', 5, 9, 'solo')) AS t(file, start, end, id)"
+_POINTS = "SELECT * FROM (VALUES ('f', 25), ('f', 45), ('f', 99), ('g', 7), ('g', 20)) AS t(file, pos)"
+
+
+@query("SELECT * FROM (VALUES ('f', 25, 'inner'), ('f', 45, 'mid'), ('f', 99, 'outer'), ('g', 7, 'solo')) AS t(file, pos, id)")
+def innermost_enclosing(spark, sf_dir):
+    return resolve.innermost_enclosing(spark.sql(_POINTS), spark.sql(_SPANS))
+
+
+# ------------------------------------------------------------------ entities
+
+#: Documents as concepts, their whole text as label.
+_CONCEPTS = "SELECT concat('doc_', doc_id) AS id, text AS label, CASE WHEN lang = 'en' THEN 'document' ELSE 'concept' END AS file_type, concat(source, '.md') AS source_file, 'L1' AS source_location, doc_id AS ord FROM documents"
+#: Part names and types as concepts of their brand's file, some with a slip of the pen.
+_NAMED = "SELECT concat('part_', p_partkey) AS id, concat(p_name, ' ', p_type, CASE WHEN p_size > 25 THEN ' component' ELSE ' componemt' END) AS label, 'concept' AS file_type, concat(p_brand, '.md') AS source_file, 'L1' AS source_location, p_partkey AS ord FROM part"
+_NORM = "trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g'), ' ')"
+_ENT = f"n AS (SELECT *, {_NORM} AS norm FROM ({_CONCEPTS}) WHERE {_NORM} <> ''), ch AS (SELECT norm, unnest(string_split(norm, '')) AS c FROM (SELECT DISTINCT norm FROM n)), cc AS (SELECT norm, c, count(*) AS k FROM ch WHERE c <> '' GROUP BY ALL), ent AS (SELECT norm, -sum(k / t * log2(k / t)) AS entropy FROM (SELECT *, sum(k) OVER (PARTITION BY norm) AS t FROM cc) GROUP BY norm)"
+
+
+@query(f"WITH {_ENT} SELECT id, n.norm, round(entropy, 6) AS entropy FROM n JOIN ent ON ent.norm = n.norm")
+def entropy_labels(spark, sf_dir):
+    return entities.entropy_labels(frame(spark, sf_dir, _CONCEPTS)).select("id", "norm", F.round("entropy", 6).alias("entropy"))
+
+
+@query(
+    f"""WITH {_ENT}, k AS (SELECT id, n.norm, ord, CASE WHEN file_type = 'concept' AND entropy >= 2.5 THEN '' ELSE source_file END AS scope FROM n JOIN ent ON ent.norm = n.norm),
+    b AS (SELECT norm, scope, arg_min(id, (length(id), ord, id)) AS winner FROM k GROUP BY ALL HAVING count(*) > 1) SELECT id, winner FROM k JOIN b ON b.norm = k.norm AND b.scope = k.scope WHERE id <> winner"""
+)
+def exact_norm_merge(spark, sf_dir):
+    return entities.exact_norm_merge(frame(spark, sf_dir, _CONCEPTS))
+
+
+@query()
+def minhash_signature(spark, sf_dir):
+    c = entities.fuzzy_candidates(frame(spark, sf_dir, _CONCEPTS))
+    return c.select("id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
+
+
+@query()
+def lsh_pairs(spark, sf_dir):
+    return similarity.lsh_pairs(entities.fuzzy_candidates(frame(spark, sf_dir, _CONCEPTS)), "id", "signature")
+
+
+@query()
+def fuzzy_merge(spark, sf_dir):
+    return entities.fuzzy_pairs(frame(spark, sf_dir, _NAMED))
+
+
+@query()
+def merge_map(spark, sf_dir):
+    return entities.merge_map(frame(spark, sf_dir, _NAMED))
+
+
+@query(
+    """WITH p AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b, a.s_name AS x, b.s_name AS y FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey)
+    SELECT a, b, round(jaro_similarity(x, y), 6) AS jaro, round(jaro_winkler_similarity(x, y), 6) AS winkler FROM p"""
+)
+def label_similarity(spark, sf_dir):
+    s = frame(spark, sf_dir, "SELECT s_suppkey, s_name, s_nationkey FROM supplier")
+    a, b = s.selectExpr("s_suppkey AS a", "s_name AS x", "s_nationkey AS k"), s.selectExpr("s_suppkey AS b", "s_name AS y", "s_nationkey AS k")
+    p = a.join(b, "k").filter("a < b")
+    return p.select("a", "b", F.round(similarity.jaro_similarity("x", "y"), 6).alias("jaro"), F.round(similarity.jaro_winkler_similarity("x", "y"), 6).alias("winkler"))
+
+
+@query(
+    """WITH v AS (SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS n FROM embeddings)
+    SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2])) / (a.n * b.n), 5) AS cosine FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id
+    WHERE list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2])) / (a.n * b.n) >= 0.3"""
+)
+def semantic_similarity_edges(spark, sf_dir):
+    v = frame(spark, sf_dir, "SELECT vec_id, label, embedding FROM embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, z: acc + z)
+    v = v.withColumn("n", F.sqrt(dot(F.col("v"), F.col("v"))))
+    a, b = v.selectExpr("vec_id AS a", "label", "v AS x", "n AS p"), v.selectExpr("vec_id AS b", "label", "v AS y", "n AS q")
+    return a.join(b, "label").filter("a < b").withColumn("cosine", dot(F.col("x"), F.col("y")) / (F.col("p") * F.col("q"))).filter("cosine >= 0.3").select("a", "b", F.round("cosine", 5).alias("cosine"))
+
+
+# ------------------------------------------------------------------ sources
+
+_PATHS = "SELECT path FROM (VALUES ('src/a.py'), ('doc/guide.md'), ('img/x.PNG'), ('paper.pdf'), ('clip.mp4'), ('.mcp.json'), ('data.bin'), ('.env'), ('.env.example'), ('keys/server.pem'), ('.ssh/config'), ('home/id_rsa.pub'), ('node_modules/x.js'), ('go.sum'), ('build/out.js'), ('src/keep/b.go'), ('logs/a/b.log'), ('logs/important.log'), ('.npmrc')) AS t(path)"
+
+
+@query(
+    f"""SELECT path, CASE WHEN path = '.mcp.json' THEN 'code' WHEN regexp_matches(path, '\\.(py|js|go)$') THEN 'code' WHEN path LIKE '%.pdf' THEN 'paper' WHEN lower(path) LIKE '%.png' THEN 'image' WHEN path LIKE '%.mp4' THEN 'video' WHEN path LIKE '%.md' THEN 'document' END AS category FROM ({_PATHS})"""
+)
+def classify_files(spark, sf_dir):
+    return spark.sql(_PATHS).select("path", files.category(F.col("path")).alias("category"))
+
+
+@query(f"SELECT path, path IN ('.env', 'keys/server.pem', '.ssh/config', 'home/id_rsa.pub', '.npmrc') AS sensitive, path IN ('node_modules/x.js', 'go.sum', 'build/out.js') AS skipped FROM ({_PATHS})")
+def sensitive_files(spark, sf_dir):
+    return spark.sql(_PATHS).select("path", files.is_sensitive(F.col("path")).alias("sensitive"), files.is_skipped(F.col("path")).alias("skipped"))
+
+
+@query(f"SELECT path, path IN ('logs/a/b.log', 'doc/guide.md', 'src/keep/b.go') OR path LIKE 'build/%' AS ignored FROM ({_PATHS})")
+def ignore_rules(spark, sf_dir):
+    return files.ignored(spark.sql(_PATHS), ["# comment", "*.log", "!important.log", "build/", "/doc", "src/**/b.go"])
+
+
+@query("SELECT doc_id, CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), ' ')) END::INTEGER AS words FROM documents")
+def word_count(spark, sf_dir):
+    return frame(spark, sf_dir, "SELECT doc_id, text FROM documents").select("doc_id", files.word_count(F.col("text")).alias("words"))
+
+
+@query("WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents), u AS (SELECT doc_id, unnest(t) AS w, unnest(range(len(t))) AS i FROM t), f AS (SELECT doc_id, w, min(i) AS i FROM u GROUP BY ALL), g AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS tokens FROM f GROUP BY doc_id) SELECT d.doc_id, coalesce(tokens, '') AS tokens FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id")
+def tokens(spark, sf_dir):
+    return frame(spark, sf_dir, "SELECT doc_id, text FROM documents").select("doc_id", F.array_join(text.tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS id FROM pages")
+def normalize_id_ascii(spark, sf_dir):
+    return frame(spark, sf_dir, "SELECT page_id, url FROM pages").select("page_id", text.normalize_id_ascii(F.col("url")).alias("id"))
+
+
+_MD = "SELECT 'a.md' AS path, concat_ws(chr(10), '---', 'title: \"Guide\"', 'tags: x', '---', '# Top', 'see [one](two.md) and [[Wiki|w]]', '## Sub', '```', '# not a heading', '[no](no.md)', '```', '### Deep', '## Next', '[ref]: https://example.org/x', '[anchor](#top)') AS content"
+
+
+@query("SELECT 'a.md' AS path, * FROM (VALUES (5, 1, 'Top', -1), (7, 2, 'Sub', 5), (12, 3, 'Deep', 7), (13, 2, 'Next', 5)) AS t(line, level, title, parent_line)")
+def markdown_headings(spark, sf_dir):
+    return documents.headings(spark.sql(_MD)).withColumn("parent_line", F.coalesce("parent_line", F.lit(-1)))
+
+
+@query("SELECT 'a.md' AS path, * FROM (VALUES (6, 'inline', 'two.md'), (6, 'wiki', 'Wiki'), (14, 'reference', 'https://example.org/x')) AS t(line, kind, target)")
+def markdown_links(spark, sf_dir):
+    return documents.links(spark.sql(_MD))
+
+
+@query("SELECT 'a.md' AS path, * FROM (VALUES ('title', 'Guide'), ('tags', 'x')) AS t(key, value)")
+def markdown_frontmatter(spark, sf_dir):
+    return documents.frontmatter(spark.sql(_MD))
+
+
+_SRC = "SELECT * FROM (VALUES ('m.py', concat_ws(chr(10), '# NOTE: keep in step', 'import os', 'class A(B):', '    def f(self):', '        # TODO fix', '        return g(os.path)', 'def g(x):', '    return x')), ('x.go', concat_ws(chr(10), '// Code generated. DO NOT EDIT', '// TODO: none', 'func main() {', '  run()', '}')), ('y.ts', concat_ws(chr(10), '// WHY: RFC 2119 and ADR-7', 'export class T extends U {', '  go() { help() }', '}')), ('bad.py', 'def (')) AS t(path, content)"
+
+
+@query("SELECT * FROM (VALUES ('m.py', 1, 'NOTE', 'keep in step'), ('m.py', 5, 'TODO', 'fix'), ('y.ts', 1, 'WHY', 'RFC 2119 and ADR-7')) AS t(path, line, kind, note)")
+def rationale_comments(spark, sf_dir):
+    return documents.rationale(spark.sql(_SRC))
+
+
+@query("SELECT * FROM (VALUES ('y.ts', 1, 'RFC-2119'), ('y.ts', 1, 'ADR-7')) AS t(path, line, document)")
+def document_citations(spark, sf_dir):
+    return documents.citations(spark.sql(_SRC))
+
+
+@query(
+    """SELECT * FROM (VALUES ('m.py', 'class', 'A', '', ''), ('m.py', 'base', 'A', 'A', 'B'), ('m.py', 'method', 'f', 'A', ''), ('m.py', 'call', 'g', 'A.f', 'g'), ('m.py', 'function', 'g', '', ''), ('m.py', 'import', 'os', '', 'os'),
+    ('x.go', 'function', 'main', '', ''), ('x.go', 'call', 'run', 'main', 'run'), ('y.ts', 'class', 'T', '', ''), ('y.ts', 'base', 'T', '', 'U'), ('y.ts', 'call', 'go', 'T', 'go'), ('y.ts', 'call', 'help', 'T', 'help'), ('bad.py', 'error', 'SyntaxError', '', '-')) AS t(path, kind, name, owner, target)"""
+)
+def extract_code(spark, sf_dir):
+    facts = code.extract_code(spark.sql(_SRC))
+    return facts.select("path", "kind", "name", F.coalesce("owner", F.lit("")).alias("owner"), F.when(F.col("kind") == "error", "-").otherwise(F.coalesce("target", F.lit(""))).alias("target"))
+
+
+_MANIFESTS = "SELECT * FROM (VALUES ('go.mod', concat_ws(chr(10), 'module example.org/a', 'require (', '  example.org/b v1.2.0', ')')), ('package.json', '{\"name\": \"web\", \"dependencies\": {\"left\": \"1\"}}'), ('x/pyproject.toml', concat_ws(chr(10), '[project]', 'name = \"py\"', 'dependencies = [\"Numpy>=1\"]')), ('broken/Cargo.toml', '= no'), ('pom.xml', concat('<project><groupId>g</groupId><artifactId>a</artifactId><properties><d>dep</d></properties><dependencies><dependency><groupId>g2</groupId><artifactId>$', '{d}</artifactId></dependency></dependencies></project>'))) AS t(path, content)"
+
+
+@query("SELECT * FROM (VALUES ('go.mod', 'go', 'example.org/a', ''), ('go.mod', 'go', 'example.org/a', 'example.org/b'), ('package.json', 'npm', 'web', ''), ('package.json', 'npm', 'web', 'left'), ('x/pyproject.toml', 'python', 'py', ''), ('x/pyproject.toml', 'python', 'py', 'numpy'), ('pom.xml', 'maven', 'g:a', ''), ('pom.xml', 'maven', 'g:a', 'g2:dep')) AS t(path, ecosystem, package, dependency)")
+def manifests(spark, sf_dir):
+    return code.manifests(spark.sql(_MANIFESTS))
+
+
+_CONFIG = "SELECT '.mcp.json' AS path, '{\"mcpServers\": {\"files\": {\"command\": \"npx\", \"args\": [\"-y\", \"@scope/files@1.2\"], \"env\": {\"TOKEN\": \"x\", \"HOME\": \"y\"}}, \"web\": {\"command\": \"node\", \"args\": [\"w.js\"]}}}' AS content"
+
+
+@query("SELECT '.mcp.json' AS path, * FROM (VALUES ('files', 'npx', '@scope/files', 'HOME,TOKEN'), ('web', 'node', '', '')) AS t(server, command, package, env)")
+def mcp_servers(spark, sf_dir):
+    return configs.mcp_servers(spark.sql(_CONFIG)).fillna("", ["package", "env"])
+
+
+@query("SELECT '.mcp.json' AS path, * FROM (VALUES ('mcpServers', 1), ('mcpServers.files', 2), ('mcpServers.web', 2), ('mcpServers.files.command', 3), ('mcpServers.files.args', 3), ('mcpServers.files.env', 3), ('mcpServers.web.command', 3), ('mcpServers.web.args', 3), ('mcpServers.files.env.TOKEN', 4), ('mcpServers.files.env.HOME', 4)) AS t(key, level)")
+def json_keys(spark, sf_dir):
+    return configs.json_keys(spark.sql(_CONFIG))
+
+
+@query("SELECT 1 AS chunk, 'a_b' AS source, 'c' AS target, 'calls' AS relation, 'EXTRACTED' AS confidence")
+def parse_fragment(spark, sf_dir):
+    answer = 'Sure:\n```json\n{"nodes": [], "edges": [{"source": "A b", "target": "C", "relation": "calls", "confidence": "extracted"}, {"source": "x"}]}\n```'
+    return configs.parse_fragment(spark.createDataFrame([(1, answer)], "chunk int, answer string"))
+
+
+@query(
+    """WITH RECURSIVE f AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, strlen(text) + 2000 AS cost FROM documents),
+    w AS (SELECT source, pos, 0 AS chunk, cost AS used FROM f WHERE pos = 1 UNION ALL SELECT f.source, f.pos, CASE WHEN w.used + f.cost > 30000 THEN chunk + 1 ELSE chunk END, CASE WHEN w.used + f.cost > 30000 THEN least(f.cost, 32000) ELSE w.used + least(f.cost, 32000) END FROM w JOIN f ON f.source = w.source AND f.pos = w.pos + 1)
+    SELECT source, pos, chunk FROM w"""
+)
+def chunk_budget(spark, sf_dir):
+    f = frame(spark, sf_dir, "SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, text FROM documents").select("source", F.col("pos").cast("long"), F.octet_length("text").cast("long").alias("size"), F.lit(False).alias("image"))
+    return files.chunk_files(f, 10_000, ["source"])
+
+
+@query("SELECT 'hit' AS state, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT 'miss', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def extraction_cache(spark, sf_dir):
+    f = frame(spark, sf_dir, "SELECT doc_id, concat('d', doc_id) AS path, text AS content FROM documents")
+    known = frame(spark, sf_dir, "SELECT doc_id FROM labels")
+    cache = f.join(known, "doc_id", "left_semi").select(files.cache_key("v1").alias("key"), F.lit(1).alias("facts"))
+    hits, misses = files.split_by_cache(f, cache, "v1")
+    return hits.groupBy(F.lit("hit").alias("state")).agg(F.count("*").alias("n")).union(misses.groupBy(F.lit("miss").alias("state")).agg(F.count("*").alias("n")))
+
+
+@query("WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS h FROM pages) SELECT concat('href_', h) AS id, count(*) AS degree FROM l GROUP BY h")
+def page_link_degree(spark, sf_dir):
+    return graph.degrees(frame(spark, sf_dir, LINKS)).filter("id like 'href%'")
+
+
+@query(f"SELECT source, target, weight FROM ({EVENTS})")
+def event_transitions(spark, sf_dir):
+    return frame(spark, sf_dir, EVENTS)
+
+
+# ------------------------------------------------------------------ exports
+
+@query(
+    f"""{_BASE} SELECT concat('MERGE (n:', upper(left(file_type, 1)), substr(file_type, 2), ' {{id: ''', id, ''', label: ''', label, '''}});') AS line FROM nodes
+    UNION ALL SELECT concat('MATCH (a {{id: ''', source, '''}}), (b {{id: ''', target, '''}}) MERGE (a)-[:', upper(relation), ' {{confidence: ''', confidence, '''}}]->(b);') FROM edges"""
+)
+def cypher_lines(spark, sf_dir):
+    return export.cypher_lines(*_graph(spark, sf_dir)).select("line")
+
+
+@query(
+    f"""{_BASE} SELECT part, key, line FROM (SELECT 1 AS part, id AS key, concat('<node id="', id, '"><data key="d0">', label, '</data></node>') AS line FROM nodes
+    UNION ALL SELECT 2, concat_ws('|', source, target, relation), concat('<edge source="', source, '" target="', target, '"><data key="d1">', relation, '</data></edge>') FROM edges)"""
+)
+def graphml_rows(spark, sf_dir):
+    return export.graphml_rows(*_graph(spark, sf_dir)).filter("part in (1, 2)")
+
+
+@query(f"{_BASE} SELECT least(a.community, b.community) AS a, greatest(a.community, b.community) AS b, count(*) AS n FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target WHERE a.community <> b.community GROUP BY 1, 2")
+def html_meta_graph(spark, sf_dir):
+    n, e = _graph(spark, sf_dir)
+    return export.html_meta_graph(_membership(n), e)
+
+
+@query(
+    f"""{_BASE}, t AS (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS m)
+    SELECT '1 summary' AS section, 0::BIGINT AS ord, concat(n, ' nodes, ', m, ' edges') AS line FROM t
+    UNION ALL SELECT '2 confidence', CASE confidence WHEN 'EXTRACTED' THEN 0 WHEN 'INFERRED' THEN 1 ELSE 2 END, concat(confidence, ': ', round_even(count(*) * 100.0 / max(m), 0)::INT, '%') FROM edges, t GROUP BY confidence
+    UNION ALL SELECT '3 hubs', -degree, concat(label, ' - ', degree, ' edges') FROM (SELECT * FROM nd WHERE id NOT LIKE 'region%' ORDER BY degree DESC, ord LIMIT 10)
+    UNION ALL SELECT '4 communities', community, concat('Community ', community, ': ', count(*), ' members') FROM nodes WHERE community IS NOT NULL GROUP BY community"""
+)
+def report_lines(spark, sf_dir):
+    n, e = _graph(spark, sf_dir)
+    return export.report_lines(n, e, _membership(n))
+
+
+@query()
+def graph_json(spark, sf_dir):
+    return export.graph_json_rows(*_graph(spark, sf_dir))
+
+
+@query()
+def wiki_articles(spark, sf_dir):
+    from graphlake.operators.cluster import label_by_hub
+
+    n, e = _graph(spark, sf_dir)
+    return export.wiki_articles(n, e, _membership(n), label_by_hub(n, e, _membership(n)))
+
+
+@query()
+def obsidian_notes(spark, sf_dir):
+    return export.obsidian_notes(*_graph(spark, sf_dir))
