@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm import bpe, decontaminate, html, licenses, minhash, quality, toxicity, urls, vectors
+from graphlake.llm import bpe, decontaminate, html, licenses, minhash, quality, tokenfile, toxicity, urls, vectors
 from graphlake.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return tokenfile.round_trip(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, end_id=2)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
@@ -61,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op2_url_filters": op2_url_filters,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_html_extraction": op4_html_extraction,
+    "op5_token_file": op5_token_file,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality": op7_quality,
     "op8_license_scan": op8_license_scan,
