@@ -12,6 +12,13 @@ Pairs whose sketches agree well are confirmed on the full sets. First each class
 are confirmed and joined to components; then all candidates that still lie between different
 components. A candidate inside one component cannot change the result.
 
+Rows of which the window left out neighbours, or of which a scan left out pairs, are crowded. The
+regions in which crowded rows still belong to different components are compared in full, in pairs
+of tiles: every row outside a tile pair's largest component meets all rows of other components.
+A row hands on its ``MOST`` best partners; where it had more, another round follows with four times
+as many, until no row had to leave out a partner. So no link of a crowded region is lost, and a
+region that is one component, as large groups of copies soon are, costs nothing.
+
 Chance of missing one link of similarity s in all trees: (1 - s**MIN_DEPTH) ** TREES, at
 s = 0.85 about 5e-9, at s = 0.8 about 6e-7.
 """
@@ -21,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -110,6 +118,9 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, t, np.int32)), *map(pa.array, k), pa.array(cls), pa.array(n), pa.array(rows, pa.binary())], names=names)
 
 
+#: Rows of one tile in crowded regions, and partners that a row hands on in the first round.
+TILE, MOST = 2048, 16
+
 PLANTED = "t int, k1 long, k2 long, k3 long, cls long, n long, sketch binary"
 FOUND = "kind int, a long, b long, est double, bid long, " + PLANTED
 
@@ -125,10 +136,13 @@ def _scan(similarity: float, edges: bool) -> Callable:
     """Pair neighbours of sorted rows; with ``edges``, also hand on the rows at both ends of the partition."""
     least = similarity - SKETCH_SLACK
 
-    def pairs(t, k, cls, n, sketch, old: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pairs(t, k, cls, n, sketch, old: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs to hand on with their estimates, and the crowded rows."""
         m = len(cls)
+        nothing = np.zeros(0, np.int64)
         if m < 2:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            return nothing, nothing, np.zeros(0), nothing
+        crowded = []
         lcp = np.where(t[1:] == t[:-1], _common_prefix(k), 0)
         run, ii, jj, ee = lcp.copy(), [], [], []
         for w in range(1, min(WINDOW, m - 1) + 1):
@@ -139,6 +153,8 @@ def _scan(similarity: float, edges: bool) -> Callable:
                 break
             i = i[i + w >= old]
             j = i + w
+            if w == WINDOW:
+                crowded += [i, j]
             ok = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9) & (cls[i] != cls[j])
             i, j = i[ok], j[ok]
             for c in range(0, len(i), 20000):
@@ -147,10 +163,12 @@ def _scan(similarity: float, edges: bool) -> Callable:
                 good = est >= least
                 ii.append(a[good]), jj.append(b[good]), ee.append(est[good])
         if not ii:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            return nothing, nothing, np.zeros(0), np.unique(np.concatenate(crowded)) if crowded else nothing
         i, j, e = np.concatenate(ii), np.concatenate(jj), np.concatenate(ee)
         keep = _worthwhile(i, j, e, m)
-        return cls[i[keep]], cls[j[keep]], e[keep]
+        left = np.ones(len(i), bool)
+        left[keep] = False
+        return cls[i[keep]], cls[j[keep]], e[keep], np.unique(np.concatenate([*crowded, i[left], j[left]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
@@ -159,10 +177,10 @@ def _scan(similarity: float, edges: bool) -> Callable:
         names = ["t", "k1", "k2", "k3", "cls", "n", "sketch"]
         schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("est", pa.float64()), ("bid", pa.int64()), ("t", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("k3", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
 
-        def ends(rows: pa.Table, bid: int) -> pa.RecordBatch:
+        def ends(rows: pa.Table, bid: int, kind: int = 1) -> pa.RecordBatch:
             m = rows.num_rows
             nul = pa.nulls(m, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), nul, nul, pa.nulls(m, pa.float64()), pa.array(np.full(m, bid)), *[rows.column(c).combine_chunks() for c in names]], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), nul, nul, pa.nulls(m, pa.float64()), pa.array(np.full(m, bid)), *[rows.column(c).combine_chunks() for c in names]], schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
@@ -177,13 +195,15 @@ def _scan(similarity: float, edges: bool) -> Callable:
                 t = t + rows.column("bid").to_numpy() * TREES
             k = [rows.column(c).to_numpy() for c in ("k1", "k2", "k3")]
             sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(rows.num_rows, SKETCH)
-            a, b, e = pairs(t, k, rows.column("cls").to_numpy(), rows.column("n").to_numpy(), sketch, tail.num_rows if tail is not None else 0)
+            a, b, e, crowded = pairs(t, k, rows.column("cls").to_numpy(), rows.column("n").to_numpy(), sketch, tail.num_rows if tail is not None else 0)
             if len(a):
                 m = len(a)
                 nul = pa.nulls(m, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(m, np.int32)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(e), nul, pa.nulls(m, pa.int32()), nul, nul, nul, nul, nul, pa.nulls(m, pa.binary())], schema=schema
                 )
+            if len(crowded):
+                yield ends(rows.select(names).take(pa.array(crowded)), 0, 2)
             tail = rows.slice(max(0, rows.num_rows - WINDOW))
         if tail is not None and edges:
             yield ends(tail.select(names), pid)
@@ -217,6 +237,54 @@ def _worthwhile(i: np.ndarray, j: np.ndarray, e: np.ndarray, m: int) -> np.ndarr
     return np.flatnonzero(keep)
 
 
+def _across(similarity: float, most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Pairs between different components of one tile pair of a crowded region."""
+    least = similarity - SKETCH_SLACK
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["tile", "cls"], kind="stable")
+        cls, comp, n, tile = (rows[c].to_numpy() for c in ("cls", "comp", "n", "tile"))
+        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), SKETCH)
+        first, second = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+        names, sizes = np.unique(comp, return_counts=True)
+        outside = comp != names[sizes.argmax()]
+        a, b, more = [], [], False
+        for own, other in ((first, second), (second, first)):
+            right = np.flatnonzero(tile == other)
+            for k in np.flatnonzero(outside & (tile == own)).tolist():
+                j = right[(comp[right] != comp[k]) & (np.minimum(n[right], n[k]) >= similarity * np.maximum(n[right], n[k]) - 1e-9)]
+                est = (sketch[j] == sketch[k]).mean(1)
+                j, est = j[est >= least], est[est >= least]
+                if len(j) > most:
+                    more = True
+                    j = j[np.argsort(-est, kind="stable")[:most]]
+                a.append(np.minimum(cls[j], cls[k]))
+                b.append(np.maximum(cls[j], cls[k]))
+            if first == second:
+                break
+        found = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates() if a else pd.DataFrame({"a": [], "b": []})
+        found["more"] = False
+        if more:
+            found = pd.concat([found.astype("Int64").assign(more=False), pd.DataFrame({"a": pd.array([None], "Int64"), "b": pd.array([None], "Int64"), "more": [True]})])
+        return found.astype({"a": "Int64", "b": "Int64", "more": bool})
+
+    return run
+
+
+def _crossing_pairs(crowd: DataFrame, comp: DataFrame, similarity: float, most: int) -> DataFrame | None:
+    """``a, b, more``: candidates between components in crowded regions; None where every region is one component."""
+    region = ["t", "k1", "k2"]
+    rows = saved(crowd.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component"), "crowd")
+    split = saved(rows.groupBy(*region).agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").drop("lo", "hi"), "regions")
+    if split.isEmpty():
+        return None
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    work = rows.join(split, region).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    work = work.select(*region, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "cls", "comp", "n", "sketch")
+    return saved(work.groupBy(*region, "i", "j").applyInPandas(_across(similarity, most), "a long, b long, more boolean"), "crossing")
+
+
 def _confirmer(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,15 +329,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = ["t", "k1", "k2", "k3", "cls"]
     found = saved(planted.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan(similarity, True), FOUND), "found")
     seams = found.filter("kind = 1").drop("kind", "a", "b", "est")
-    seams = seams.repartition("bid").sortWithinPartitions("bid", *order).mapInArrow(_scan(similarity, False), FOUND)
+    seams = saved(seams.repartition("bid").sortWithinPartitions("bid", *order).mapInArrow(_scan(similarity, False), FOUND), "seams")
     pairs = saved(
-        found.filter("kind = 0").select("a", "b", "est").union(seams.select("a", "b", "est"))
+        found.filter("kind = 0").select("a", "b", "est").union(seams.filter("kind = 0").select("a", "b", "est"))
         .groupBy("a", "b").agg(F.max("est").alias("est")),
         "pairs",
     )
+    region = ["t", "k1", F.shiftright("k2", 31).alias("k2"), "cls", "n", "sketch"]
+    crowd = saved(found.filter("kind = 2").select(*region).union(seams.filter("kind = 2").select(*region)).dropDuplicates(["t", "cls"]), "crowded")
     discard(found)
 
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowd.select("cls")).distinct()
     wanted = base.filter("doc_id is not null").withColumnRenamed("doc_id", "id").join(ends.hint("shuffle_hash"), "id")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,9 +360,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cb = comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     rest = pairs.join(best, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left")
     rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    rest = saved(rest, "rest")
     more = saved(_confirmed(rest, sets, percent), "links")
     if not more.isEmpty():
-        comp = connected_components(links.union(more))
+        links = links.union(more)
+        comp = connected_components(links)
+    tested, most = saved(best.union(rest), "tested"), MOST
+    while (crossing := _crossing_pairs(crowd, comp, similarity, most)) is not None:
+        fresh = saved(crossing.filter("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
+        new = saved(_confirmed(fresh, sets, percent), "links")
+        if not new.isEmpty():
+            links = links.union(new)
+            comp = connected_components(links)
+        if crossing.filter("more").isEmpty():
+            break
+        tested, most = tested.union(fresh), most * 4
     named = classes.select("f1", "f2", "cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.select("f1", "f2", F.coalesce("component", "cls").alias("comp"))
     out = marked.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
