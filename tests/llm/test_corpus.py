@@ -124,7 +124,7 @@ def test_quantisation_bound_is_rigorous():
     assert (np.abs(exact - near) <= length[:, None] * error[None] + error[:, None] * (length + error)[None] + 1e-12).all()
 
 
-PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <header>Site</header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies.</div>
 {article}<aside>More</aside><section id="comments"><p>First! Nice post, thanks, really, I mean it.</p></section><form>Mail <input></form><div class="ad">Buy, buy, buy.</div><footer>&copy; x</footer></body></html>"""
 
@@ -295,7 +295,8 @@ def test_decontamination_equals_brute_force(spark):
 def test_license_dice(spark):
     docs = spark.createDataFrame([(1, "x\nReleased under the MIT License.\ny"), (2, "released UNDER the (mit) license"), (3, "nothing of the kind here"), (4, None), (5, "This work is licensed under the\nGNU General Public License, version 3.")], "doc_id int, text string")
     got = {r.doc_id: (r.license, len(r.licenses)) for r in licenses.license_matches(docs).collect()}
-    assert got == {1: ("MIT", 1), 2: ("MIT", 1), 3: (None, 0), 4: (None, 0), 5: ("GPL-3.0", 1)}
+    # The first text matches twice: as a line, and as a paragraph with two more words (2 * 4 / (4 + 6) = 0.8).
+    assert got == {1: ("MIT", 2), 2: ("MIT", 1), 3: (None, 0), 4: (None, 0), 5: ("GPL-3.0", 1)}
     assert licenses.license_matches(awkward(spark)).count() == 12 and licenses.license_matches(awkward(spark, True)).count() == 0
 
 
