@@ -14,10 +14,10 @@ components. A candidate inside one component cannot change the result.
 
 Rows of which the window left out neighbours, or of which a scan left out pairs, are crowded. The
 regions in which crowded rows still belong to different components are compared in full, in pairs
-of tiles: every row outside a tile pair's largest component meets all rows of other components.
-A row hands on its ``MOST`` best partners; where it had more, another round follows with four times
-as many, until no row had to leave out a partner. So no link of a crowded region is lost, and a
-region that is one component, as large groups of copies soon are, costs nothing.
+of tiles: every row outside a region's largest component meets all rows of other components, and
+pairs whose sketches agree are confirmed on the full sets at once. A tile pair hands on a spanning
+forest of the links it found, at most one for each row. So no link of a crowded region is lost,
+and a region that is one component, as large groups of copies soon are, costs nothing.
 
 Chance of missing one link of similarity s in all trees: (1 - s**MIN_DEPTH) ** TREES, at
 s = 0.85 about 5e-9, at s = 0.8 about 6e-7.
@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlake.llm._common import discard, mixed, released, saved, slim, spaced_words, text_slices
@@ -118,8 +118,8 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, t, np.int32)), *map(pa.array, k), pa.array(cls), pa.array(n), pa.array(rows, pa.binary())], names=names)
 
 
-#: Rows of one tile in crowded regions, and partners that a row hands on in the first round.
-TILE, MOST = 2048, 16
+#: Rows and shingles of one tile in crowded regions.
+TILE, TILE_SHINGLES = 1024, 1 << 20
 
 PLANTED = "t int, k1 long, k2 long, k3 long, cls long, n long, sketch binary"
 FOUND = "kind int, a long, b long, est double, bid long, " + PLANTED
@@ -237,52 +237,72 @@ def _worthwhile(i: np.ndarray, j: np.ndarray, e: np.ndarray, m: int) -> np.ndarr
     return np.flatnonzero(keep)
 
 
-def _across(similarity: float, most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Pairs between different components of one tile pair of a crowded region."""
+def _across(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Links between different components of one tile pair of a crowded region: a spanning forest of them."""
+    similarity = percent / 100
     least = similarity - SKETCH_SLACK
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["tile", "cls"], kind="stable")
-        cls, comp, n, tile = (rows[c].to_numpy() for c in ("cls", "comp", "n", "tile"))
+        rows = rows.sort_values("cls", kind="stable")
+        cls, guest, outside = (rows[c].to_numpy() for c in ("cls", "guest", "outside"))
+        n = np.array([len(x) // 8 for x in rows["set"]], np.int64)
+        comp = np.unique(rows["comp"].to_numpy(), return_inverse=True)[1]
         sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), SKETCH)
-        first, second = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        names, sizes = np.unique(comp, return_counts=True)
-        outside = comp != names[sizes.argmax()]
-        a, b, more = [], [], False
-        for own, other in ((first, second), (second, first)):
-            right = np.flatnonzero(tile == other)
-            for k in np.flatnonzero(outside & (tile == own)).tolist():
-                j = right[(comp[right] != comp[k]) & (np.minimum(n[right], n[k]) >= similarity * np.maximum(n[right], n[k]) - 1e-9)]
-                est = (sketch[j] == sketch[k]).mean(1)
-                j, est = j[est >= least], est[est >= least]
-                if len(j) > most:
-                    more = True
-                    j = j[np.argsort(-est, kind="stable")[:most]]
-                a.append(np.minimum(cls[j], cls[k]))
-                b.append(np.maximum(cls[j], cls[k]))
-            if first == second:
-                break
-        found = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates() if a else pd.DataFrame({"a": [], "b": []})
-        found["more"] = False
-        if more:
-            found = pd.concat([found.astype("Int64").assign(more=False), pd.DataFrame({"a": pd.array([None], "Int64"), "b": pd.array([None], "Int64"), "more": [True]})])
-        return found.astype({"a": "Int64", "b": "Int64", "more": bool})
+        # Shingles as numbers of this group, so that one flag for each tells what a row shares with others.
+        bound = np.concatenate([[0], np.cumsum(n)])
+        known, ids = np.unique(np.frombuffer(b"".join(rows["set"]), np.uint64), return_inverse=True)
+        own = np.zeros(len(known), bool)
+        home = np.flatnonzero(~guest)
+        a, b = [], []
+        for k in np.flatnonzero(guest).tolist():
+            # Two outside rows meet twice, as guest and host: the one of the larger id is the guest that counts.
+            j = home[(comp[home] != comp[k]) & (~outside[home] | (cls[home] < cls[k]))]
+            j = j[np.minimum(n[j], n[k]) >= similarity * np.maximum(n[j], n[k]) - 1e-9]
+            j = j[(sketch[j] == sketch[k]).mean(1) >= least]
+            if not len(j):
+                continue
+            own[ids[bound[k] : bound[k + 1]]] = True
+            shared = own[np.concatenate([ids[bound[x] : bound[x + 1]] for x in j.tolist()])]
+            inter = np.add.reduceat(shared.astype(np.int64), np.concatenate([[0], np.cumsum(n[j])[:-1]]))
+            own[ids[bound[k] : bound[k + 1]]] = False
+            for x in j[100 * inter >= percent * (n[j] + n[k] - inter)].tolist():
+                if comp[x] != comp[k]:
+                    a.append(min(cls[x], cls[k]))
+                    b.append(max(cls[x], cls[k]))
+                    comp[comp == comp[x]] = comp[k]
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return run
 
 
-def _crossing_pairs(crowd: DataFrame, comp: DataFrame, similarity: float, most: int) -> DataFrame | None:
-    """``a, b, more``: candidates between components in crowded regions; None where every region is one component."""
+def _crossing_links(crowd: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """``a, b``: links between components in crowded regions; None where every region is one component."""
     region = ["t", "k1", "k2"]
     rows = saved(crowd.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component"), "crowd")
-    split = saved(rows.groupBy(*region).agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").drop("lo", "hi"), "regions")
+    parts = rows.groupBy(*region, "comp").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    whole = parts.groupBy(*region).agg(F.sum("m").alias("m"), F.sum("w").alias("w"), F.max(F.struct("m", "w", "comp")).alias("main"), F.count("*").alias("comps"))
+    split = whole.filter("comps > 1").select(
+        *region, F.col("main.comp").alias("main"),
+        _tiles(F.col("m"), F.col("w")).alias("tiles"), _tiles(F.col("m") - F.col("main.m"), F.col("w") - F.col("main.w")).alias("others"),
+    )
+    split = saved(split, "regions")
     if split.isEmpty():
         return None
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    work = rows.join(split, region).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-    work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    work = work.select(*region, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "cls", "comp", "n", "sketch")
-    return saved(work.groupBy(*region, "i", "j").applyInPandas(_across(similarity, most), "a long, b long, more boolean"), "crossing")
+    work = rows.join(split, region).withColumn("outside", F.col("comp") != F.col("main"))
+    tile = lambda seed, of: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    columns = [*region, "i", "j", "guest", "outside", "cls", "comp", "n", "sketch"]
+    hosts = work.withColumns({"guest": F.lit(False), "i": tile(1, "tiles")}).withColumn("j", every("others")).select(columns)
+    guests = work.filter("outside").withColumns({"guest": F.lit(True), "j": tile(2, "others")}).withColumn("i", every("tiles")).select(columns)
+    full = hosts.unionByName(guests).join(sets.withColumnRenamed("id", "cls"), "cls")
+    # Dealt by tile pair: by the region alone, all tiles of a large one would meet in one task.
+    key = [*region, "i", "j"]
+    return saved(full.repartition(*key).groupBy(*key).applyInPandas(_across(percent), "a long, b long"), "links")
+
+
+def _tiles(rows: Column, shingles: Column) -> Column:
+    """Tiles of bounded rows and bounded shingles."""
+    return F.greatest(F.lit(1), F.ceil(rows / TILE), F.ceil(shingles / TILE_SHINGLES)).cast("int")
 
 
 def _confirmer(percent: int) -> Callable:
@@ -365,16 +385,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         links = links.union(more)
         comp = connected_components(links)
-    tested, most = saved(best.union(rest), "tested"), MOST
-    while (crossing := _crossing_pairs(crowd, comp, similarity, most)) is not None:
-        fresh = saved(crossing.filter("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
-        new = saved(_confirmed(fresh, sets, percent), "links")
-        if not new.isEmpty():
-            links = links.union(new)
-            comp = connected_components(links)
-        if crossing.filter("more").isEmpty():
-            break
-        tested, most = tested.union(fresh), most * 4
+    crossing = _crossing_links(crowd, comp, sets, percent)
+    if crossing is not None and not crossing.isEmpty():
+        comp = connected_components(links.union(crossing))
     named = classes.select("f1", "f2", "cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.select("f1", "f2", F.coalesce("component", "cls").alias("comp"))
     out = marked.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
