@@ -4,22 +4,25 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphlake.fixed import IMAGE_SUFFIXES, JSON_NOISE_LABELS, NOISE_LABELS, PAPER_SUFFIXES, STRUCTURAL_RELATIONS, SURPRISE_FAMILIES
 from graphlake.functions.text import suffix, top_level_dir
 from graphlake.operators.build import is_concept_node, is_file_node, lookup
 from graphlake.operators.graph import both_ways, node_degrees, with_pair
-from graphlake.schema import CODE_SUFFIXES, IMAGE_SUFFIXES, JSON_NOISE_LABELS, NOISE_LABELS, PAPER_SUFFIXES, SURPRISE_FAMILIES, family_of
+from graphlake.plans.storage import cut
+from graphlake.schema import CODE_SUFFIXES
 
 
 def god_nodes(nodes: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:
     """The best connected entities: no files, concepts, JSON keys or builtin names."""
     n = node_degrees(nodes, edges)
-    json_key = F.endswith(F.lower("source_file"), F.lit(".json")) & F.lower(F.trim("label")).isin(*sorted(JSON_NOISE_LABELS))
-    noise = F.col("label").isin(*sorted(NOISE_LABELS))
+    json_key = F.endswith(F.lower("source_file"), F.lit(".json")) & F.lower(F.trim("label")).isin(*JSON_NOISE_LABELS)
+    noise = F.col("label").isin(*NOISE_LABELS)
     n = n.filter(~is_file_node(F.col("label"), F.col("source_file"), F.col("degree")) & ~is_concept_node(F.col("source_file")) & ~json_key & ~noise)
     return n.orderBy(F.desc("degree"), "ord").limit(top).select("id", "label", "degree")
 
@@ -33,12 +36,11 @@ def scored_surprises(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges between files with their surprise score and reasons; structural relations and file nodes excluded."""
     n = node_degrees(nodes, edges)
     n = n.withColumn("plain", is_file_node(F.col("label"), F.col("source_file"), F.col("degree")) | is_concept_node(F.col("source_file")))
-    family = family_of(SURPRISE_FAMILIES)
-    n = n.withColumns({"category": file_category(F.col("source_file")), "dir": top_level_dir(F.col("source_file")), "family": lookup(family, suffix(F.col("source_file")))})
+    n = n.withColumns({"category": file_category(F.col("source_file")), "dir": top_level_dir(F.col("source_file")), "family": lookup(SURPRISE_FAMILIES, suffix(F.col("source_file")))})
     cols = ["label", "source_file", "community", "degree", "plain", "category", "dir", "family"]
     u = n.select(F.col("id").alias("source"), *[F.col(c).alias(f"u_{c}") for c in cols])
     v = n.select(F.col("id").alias("target"), *[F.col(c).alias(f"v_{c}") for c in cols])
-    e = edges.filter(~F.col("relation").isin("imports", "imports_from", "contains", "method")).join(u, "source").join(v, "target")
+    e = edges.filter(~F.col("relation").isin(*STRUCTURAL_RELATIONS)).join(u, "source").join(v, "target")
     e = e.filter(~F.col("u_plain") & ~F.col("v_plain") & (F.col("u_source_file") != F.col("v_source_file")))
     conf = F.coalesce(F.when(F.col("confidence") == "", "EXTRACTED").otherwise(F.col("confidence")), F.lit("EXTRACTED"))
     crossing = F.coalesce(F.col("u_family") != F.col("v_family"), F.lit(False))
@@ -71,7 +73,7 @@ def surprises(nodes: DataFrame, edges: DataFrame, top: int = 5) -> DataFrame:
 def community_surprises(nodes: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:
     """The least certain edge between each pair of communities."""
     c = nodes.filter("community is not null").select("id", "community")
-    e = edges.filter(~F.col("relation").isin("imports", "imports_from", "contains", "method"))
+    e = edges.filter(~F.col("relation").isin(*STRUCTURAL_RELATIONS))
     e = e.join(c.select(F.col("id").alias("source"), F.col("community").alias("cu")), "source").join(c.select(F.col("id").alias("target"), F.col("community").alias("cv")), "target").filter("cu <> cv")
     doubt = F.when(F.col("confidence") == "AMBIGUOUS", 0).when(F.col("confidence") == "INFERRED", 1).otherwise(2)
     best = e.groupBy(F.least("cu", "cv").alias("a"), F.greatest("cu", "cv").alias("b")).agg(F.min(F.struct(doubt.alias("doubt"), "source", "target", "relation", "confidence")).alias("e"))
@@ -141,29 +143,58 @@ def _brandes(adjacency: dict[str, list[str]], sources: list[str], edges: bool) -
     return out
 
 
-#: Edges up to which adjacency is sent to every task; beyond, betweenness is refused.
+#: Edges up to which adjacency is sent to every task; beyond, the sums are made by joins.
 BETWEENNESS_EDGES = 2_000_000
 
 
+def _dependencies_by_joins(sources: DataFrame, around: DataFrame, per_edge: bool) -> DataFrame:
+    """The sums of :func:`_brandes` by joins, one for each level on the way out and one on the way back.
+
+    Neighbours of a level lie in it, before it or after it, so only two levels tell what is new. Each
+    level is a table of (source, node); no task holds more of the graph than its share.
+    """
+    ahead = around.select(F.col("u").alias("v"), F.col("v").alias("w"))
+    levels = [cut(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))]
+    while not levels[-1].isEmpty():
+        step = levels[-1].join(ahead, "v").groupBy("s", F.col("w").alias("v")).agg(F.sum("paths").alias("paths"))
+        for old in levels[-2:]:
+            step = step.join(old.select("s", "v"), ["s", "v"], "left_anti")
+        levels.append(cut(step))
+    sums = []
+    below = levels[-2].withColumn("share", F.lit(0.0)) if len(levels) > 2 else None
+    for above in reversed(levels[:-2]):
+        parents = above.select("s", F.col("v").alias("w"), F.col("paths").alias("ways"))
+        flow = cut(below.join(ahead, "v").join(parents, ["s", "w"]).select("s", "v", "w", (F.col("ways") / F.col("paths") * (1 + F.col("share"))).alias("c")))
+        if per_edge:
+            sums.append(flow.groupBy(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).agg(F.sum("c").alias("d")))
+        else:
+            sums.append(below.groupBy(F.col("v").alias("id")).agg(F.sum("share").alias("d")))
+        shares = flow.groupBy("s", F.col("w").alias("v")).agg(F.sum("c").alias("share"))
+        below = above.join(shares, ["s", "v"], "left").fillna(0.0, "share")
+    if not sums:
+        return sources.sparkSession.createDataFrame([], "a string, b string, d double" if per_edge else "id string, d double")
+    return reduce(DataFrame.unionByName, sums)
+
+
 def _dependencies(nodes: DataFrame, edges: DataFrame, pivots: int | None, per_edge: bool, exact_upto: int) -> tuple[DataFrame, int, int]:
     n = nodes.count()
-    size = edges.count()
-    if size > BETWEENNESS_EDGES:
-        raise ValueError(f"betweenness holds the graph in each task: {size} edges are over {BETWEENNESS_EDGES}")
+    around = both_ways(edges.filter("source <> target"))
+    k = n if n <= exact_upto else min(n, pivots or n)
+    sources = nodes.select("id") if k == n else nodes.select("id").orderBy(F.xxhash64("id"), "id").limit(k)
+    if edges.count() > BETWEENNESS_EDGES:
+        return _dependencies_by_joins(sources, cut(around), per_edge), n, k
     adjacency: dict[str, list[str]] = {}
-    for r in both_ways(edges.filter("source <> target")).toLocalIterator():
+    for r in around.toLocalIterator():
         adjacency.setdefault(r["u"], []).append(r["v"])
     shared = nodes.sparkSession.sparkContext.broadcast(adjacency)
-    k = n if n <= exact_upto else min(n, pivots or n)
-    sources = nodes.select("id") if k == n else nodes.select("id").orderBy(F.xxhash64("id"), "id").limit(k)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             d = _brandes(shared.value, part["id"].tolist(), per_edge)
             if per_edge:
-                yield pd.DataFrame({"a": [x[0] for x in d], "b": [x[1] for x in d], "d": list(d.values())})
+                yield pd.DataFrame({"a": pd.Series([x[0] for x in d], dtype=object), "b": pd.Series([x[1] for x in d], dtype=object), "d": pd.Series(list(d.values()), dtype=float)})
             else:
-                yield pd.DataFrame({"id": list(d), "d": list(d.values())})
+                yield pd.DataFrame({"id": pd.Series(list(d), dtype=object), "d": pd.Series(list(d.values()), dtype=float)})
 
     spread = sources.repartition(max(1, min(64, k // 8)), "id")
     return spread.mapInPandas(run, "a string, b string, d double" if per_edge else "id string, d double"), n, k

@@ -7,18 +7,19 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphlake.fixed import ACTIVE_DIRS, ARCHIVED_DIRS, BUILD_FAMILIES, FILE_TYPES, IMPORT_RELATIONS
 from graphlake.functions.text import normalize_id_ascii, suffix
-from graphlake.schema import BUILD_FAMILIES, FILE_TYPES, IMPORT_RELATIONS, family_of
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(sorted(table.items()))]), key)
+    return F.element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())]), key)
 
 
 def lifecycle_penalty(path: Column) -> Column:
-    """0 for current, 1 for ordinary, 2 for archived places."""
-    p = F.concat(F.lit("/"), F.lower(path), F.lit("/"))
-    return F.when(p.rlike("/(archive|archived|deprecated|legacy|old)/"), 2).when(p.rlike("/(active|current)/"), 0).otherwise(1)
+    """0 where a directory says that it is current, else 2 where one says archived, else 1."""
+    parts = F.split(F.lower(path), "/")
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    return F.when(F.exists(folders, lambda p: p.isin(*ACTIVE_DIRS)), 0).when(F.exists(folders, lambda p: p.isin(*ARCHIVED_DIRS)), 2).otherwise(1)
 
 
 def dedupe_nodes(nodes: DataFrame) -> DataFrame:
@@ -84,8 +85,7 @@ def drop_cross_language(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     For calls an unknown suffix is a family of its own.
     """
-    family = family_of(BUILD_FAMILIES)
-    kinds = nodes.select("id", suffix(F.col("source_file")).alias("x")).withColumn("family", F.coalesce(lookup(family, F.col("x")), F.lit("")))
+    kinds = nodes.select("id", suffix(F.col("source_file")).alias("x")).withColumn("family", F.coalesce(lookup(BUILD_FAMILIES, F.col("x")), F.lit("")))
     s = kinds.select(F.col("id").alias("source"), F.col("x").alias("sx"), F.col("family").alias("sf"))
     t = kinds.select(F.col("id").alias("target"), F.col("x").alias("tx"), F.col("family").alias("tf"))
     calls = (F.col("relation") == "calls") & (F.col("confidence") == "INFERRED") & (F.col("sx") != "") & (F.col("tx") != "") & (F.col("sf") != F.col("tf"))

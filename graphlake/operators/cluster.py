@@ -192,14 +192,20 @@ def label_moves(edges: DataFrame, rounds: int = 8) -> DataFrame:
     return state
 
 
-def split_oversized(membership: DataFrame, edges: DataFrame, share: float = 0.25, floor: int = 10, least_cohesion: float = 0.05, loose_from: int = 50) -> DataFrame:
-    """Run Leiden again inside communities over ``max(floor, share * nodes)`` and large loose ones, on their own edges."""
+def split_oversized(membership: DataFrame, edges: DataFrame, share: float = 0.25, floor: int = 10, least_cohesion: float = 0.05, loose_from: int = 50, component_limit: int = 500_000) -> DataFrame:
+    """Run Leiden again inside communities over ``max(floor, share * nodes)`` and large loose ones, on their own edges.
+
+    A community of over ``component_limit`` inner edges is split by :func:`label_moves` instead of one task.
+    """
     n = membership.count()
     c = cohesion(membership, edges)
     big = c.filter((F.col("size") > max(floor, int(n * share))) | ((F.col("size") >= loose_from) & (F.col("cohesion") < least_cohesion))).select("community")
     a = membership.select(F.col("id").alias("lo"), "community")
     b = membership.select(F.col("id").alias("hi"), F.col("community").alias("other"))
     inner = with_pair(edges).select("lo", "hi").distinct().join(a, "lo").join(b, "hi").filter("community = other").join(big, "community", "left_semi")
+    huge = inner.groupBy("community").agg(F.count("*").alias("m")).filter(F.col("m") > component_limit).select("community")
+    moved = label_moves(inner.join(huge, "community", "left_semi").select(F.col("lo").alias("source"), F.col("hi").alias("target")))
+    inner = inner.join(huge, "community", "left_anti")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         links = list(zip(rows["lo"], rows["hi"], strict=True))
@@ -209,7 +215,7 @@ def split_oversized(membership: DataFrame, edges: DataFrame, share: float = 0.25
             least[g] = min(least.get(g, x), x)
         return pd.DataFrame({"id": list(found), "part": [least[g] for g in found.values()]})
 
-    parts = inner.groupBy("community").applyInPandas(run, "id string, part string")
+    parts = inner.groupBy("community").applyInPandas(run, "id string, part string").unionByName(moved.withColumnRenamed("community", "part"))
     own = F.col("community").cast("string")
     return membership.join(parts, "id", "left").select("id", F.when(F.col("part").isNotNull(), F.concat(own, F.lit("/"), "part")).otherwise(own).alias("community"))
 

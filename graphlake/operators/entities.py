@@ -9,15 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphlake.fixed import ANCHORED_TYPES, STOPWORDS, VARIANT_ENDING
 from graphlake.functions.similarity import jaro, jaro_winkler, lsh_pairs, minhash_signature, osa_distance
 from graphlake.functions.text import entropy, norm_label_ascii
 from graphlake.operators.cluster import connected_components
 
 THRESHOLD, ENTROPY = 92.0, 2.5
-#: Types that belong to their file: they never merge across files.
-ANCHORED = ("document", "image", "paper", "rationale")
-_STOPWORDS = frozenset("a an and as at by for from in into of on or the to with".split())
-_VARIANT = re.compile(r"^(.*\D)(\d+|[a-z])$")
+_VARIANT = re.compile(VARIANT_ENDING)
 
 
 def entropy_labels(nodes: DataFrame) -> DataFrame:
@@ -80,7 +78,7 @@ def should_merge(a: str, b: str, cross_file: bool) -> bool:
     if a != b and _numbers(a) != _numbers(b):
         return False
     ta, tb = a.split(), b.split()
-    return len(ta) != len(tb) or all(x == y or x in _STOPWORDS or y in _STOPWORDS or _same_word(x, y) for x, y in zip(ta, tb, strict=True))
+    return len(ta) != len(tb) or all(x == y or x in STOPWORDS or y in STOPWORDS or _same_word(x, y) for x, y in zip(ta, tb, strict=True))
 
 
 @F.pandas_udf(T.BooleanType())
@@ -101,7 +99,7 @@ def fuzzy_pairs(nodes: DataFrame) -> DataFrame:
     p = pairs.join(a, F.col("a") == F.col("a_id")).join(b, F.col("b") == F.col("b_id")).withColumn("cross", F.col("a_file") != F.col("b_file"))
     short, long = F.least(F.length("a_norm"), F.length("b_norm")), F.greatest(F.length("a_norm"), F.length("b_norm"))
     bound = (short / long + 2) / 3
-    p = p.filter((bound + 0.4 * (1 - bound) >= THRESHOLD / 100) & ~(F.col("cross") & (F.col("a_file_type").isin(*ANCHORED) | F.col("b_file_type").isin(*ANCHORED))))
+    p = p.filter((bound + 0.4 * (1 - bound) >= THRESHOLD / 100) & ~(F.col("cross") & (F.col("a_file_type").isin(*ANCHORED_TYPES) | F.col("b_file_type").isin(*ANCHORED_TYPES))))
     return p.filter(merges("a_norm", "b_norm", "cross")).select("a", "b")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.schema import CONFIDENCE_RANK, GENERIC_RELATIONS
+from graphlake.fixed import CONFIDENCE_RANK, GENERIC_RELATIONS
 
 
 def rank_of(confidence: Column) -> Column:

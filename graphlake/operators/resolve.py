@@ -6,13 +6,15 @@ emit only pairs that are not related yet, first raw call first.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphlake.fixed import BUILTIN_GLOBALS, CALL_FAMILIES, CASE_FREE_SUFFIXES, IMPORT_BOUND_SUFFIXES, TEST_DIRS, TEST_NAMES
 from graphlake.functions.text import suffix
 from graphlake.operators.build import lookup
 from graphlake.plans.storage import cut
-from graphlake.schema import SURPRISE_FAMILIES, family_of
 
 
 def unique_match(candidates: DataFrame, keys: list[str], target: str = "id") -> DataFrame:
@@ -36,62 +38,107 @@ def definition_key(label: Column) -> Column:
 
 
 def is_test_path(path: Column) -> Column:
-    p = F.lower(path)
-    return p.rlike(r"(^|/)(tests?|__tests__|specs?|testing)/") | p.rlike(r"(^|/)(test_[^/]*|[^/]*_test\.[^/]*|[^/]*\.(test|spec)\.[^/]*)$")
+    """A test directory among the segments, or a test's file name."""
+    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    name = F.element_at(parts, -1)
+    return F.exists(parts, lambda p: F.lower(p).isin(*TEST_DIRS)) | reduce(Column.__or__, [name.rlike(p) for p in TEST_NAMES])
 
 
-def common_dirs(a: Column, b: Column) -> Column:
-    """Leading path segments that two files share, names excluded."""
-    x, y = F.split(a, "/"), F.split(b, "/")
-    x, y = F.slice(x, 1, F.size(x) - 1), F.slice(y, 1, F.size(y) - 1)
-    same = F.zip_with(x, y, lambda p, q: F.coalesce((p == q).cast("int"), F.lit(0)))
-    return F.aggregate(same, F.struct(F.lit(0).alias("n"), F.lit(1).alias("on")), lambda acc, s: F.struct((acc["n"] + acc["on"] * s).alias("n"), (acc["on"] * s).alias("on")))["n"]
+def _dir_steps(path: Column) -> Column:
+    """``(step, place)`` by which a file is looked for: the file, its directory, and every directory above by depth."""
+    parts = F.split(path, "/")
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    text = F.array_join(folders, "/")
+    above = F.transform(F.filter(F.sequence(F.lit(0), F.size(folders)), lambda k: k > 0), lambda k: F.struct(k.cast("int").alias("step"), F.array_join(F.slice(folders, 1, k), "/").alias("place")))
+    nearest = F.array(F.struct(F.lit(_FILE).alias("step"), path.alias("place")), F.struct(F.lit(_DIR).alias("step"), text.alias("place")), F.struct(F.lit(_ANY).alias("step"), F.lit("").alias("place")))
+    return F.concat(nearest, above)
 
 
-def proximity(calls: DataFrame, candidates: DataFrame) -> DataFrame:
-    """For calls ``call, caller_file`` and candidates ``call, id, file``: the one nearest candidate, if there is one.
+#: Steps of :func:`nearest` beside directory depths: the same file, the same directory, anywhere.
+_FILE, _DIR, _ANY = 1_000_000, 500_000, 0
+
 
-    Outside tests, definitions in tests count only if there is no other. Then the same file, the same
-    directory, or the longest common directory path of at least one segment decides.
+def nearest(calls: DataFrame, definitions: DataFrame, on: list[str]) -> DataFrame:
+    """For calls ``call, caller_file, *on`` the one definition ``id, file, *on`` that is nearest by path, if there is one.
+
+    Calls outside tests see no definitions in tests; calls in tests see only those, if there are any. A
+    single definition left is it. Else those in the same file decide, else those in the same directory,
+    else those under the longest common directory of at least one segment; two of a kind decide nothing.
+
+    Definitions are first summed up for each place, as least and greatest id, so a name with many
+    definitions and many calls makes no pairs of them.
     """
-    c = candidates.join(calls, "call").withColumn("test", is_test_path(F.col("file")) & ~is_test_path(F.col("caller_file")))
-    plain = c.groupBy("call").agg(F.min(F.col("test").cast("int")).alias("least"))
-    c = c.join(plain, "call").filter(F.col("test").cast("int") == F.col("least"))
-    dir_of = lambda p: F.regexp_replace(p, "[^/]*$", "")
-    near = F.when(F.col("file") == F.col("caller_file"), 1_000_000).when(dir_of(F.col("file")) == dir_of(F.col("caller_file")), 500_000).otherwise(common_dirs(F.col("file"), F.col("caller_file")))
-    ranked = c.withColumn("near", near).filter("near > 0").groupBy("call", "near").agg(F.min("id").alias("id"), F.max("id").alias("other"))
-    best = ranked.groupBy("call").agg(F.max_by(F.struct("id", "other"), "near").alias("b"))
-    return best.filter("b.id = b.other").select("call", "b.id")
+    d = definitions.select(*on, "id", is_test_path(F.col("file")).alias("test"), F.explode(_dir_steps(F.col("file"))).alias("x"))
+    places = d.groupBy(*on, "test", "x").agg(F.min("id").alias("id"), F.max("id").alias("other"))
+    c = calls.select("call", *on, is_test_path(F.col("caller_file")).alias("from_test"), F.explode(_dir_steps(F.col("caller_file"))).alias("x"))
+    met = c.join(places, [*on, "x"]).filter(F.col("from_test") | ~F.col("test"))
+    pick = F.max_by(F.struct("id", "other"), "x.step")
+    best = met.groupBy("call", "test").agg(pick.alias("b"), F.max("x.step").alias("step"), F.max(F.when(F.col("x.step") == _ANY, F.struct("id", "other"))).alias("all"))
+    # Of tests and others, tests first: only calls in tests have both.
+    best = best.groupBy("call").agg(F.max_by(F.struct("b", "step", "all"), F.col("test").cast("int")).alias("r")).select("call", "r.*")
+    found = F.when(F.col("all.id") == F.col("all.other"), F.col("all.id")).when((F.col("step") != _ANY) & (F.col("b.id") == F.col("b.other")), F.col("b.id"))
+    return best.select("call", found.alias("id")).filter("id is not null")
+
+
+def proximity(calls: DataFrame, candidates: DataFrame) -> DataFrame:
+    """For calls ``call, caller_file`` and candidates ``call, id, file``: the nearest one by :func:`nearest`."""
+    own = calls.withColumn("key", F.col("call"))
+    return nearest(own, candidates.withColumnRenamed("call", "key"), ["key"])
+
+
+def _bare(label: Column) -> Column:
+    """A label without surrounding parentheses and leading dots."""
+    return F.regexp_replace(F.regexp_replace(label, r"^[()]+|[()]+$", ""), r"^\.+", "")
 
 
 def resolve_calls(calls: DataFrame, nodes: DataFrame, imports: DataFrame, existing: DataFrame) -> DataFrame:
     """Bind bare calls ``ord, caller_id, callee, source_file, is_member`` to definitions: edges ``calls``.
 
-    Candidates have the callee's label and the caller's language family. One candidate binds:
-    EXTRACTED with score 1 if the caller's file imports it or its file, else INFERRED with 0.85, save that
-    JavaScript needs an import. Of several, the one imported symbol binds, else the one imported module's,
-    else the nearest by path. ``imports`` holds ``source_file, target_id`` and ``source_file, target_file``.
+    Library names are never bound. Candidates have the callee's label, or where no definition has it and
+    the caller's language ignores case, that label in lower case; their language family is the
+    caller's or unknown. One candidate binds: EXTRACTED with score 1 if the caller's file imports it or its
+    file, else INFERRED with 0.85, save that JavaScript needs an import. Of several, the one imported
+    symbol binds, else the one imported module's, else the nearest by path. ``imports`` holds
+    ``source_file, target_id`` and ``source_file, target_file``.
+
+    All candidates of a name are summed up before any join with calls; a name that a third of all calls
+    use costs one row for each call.
     """
-    family = family_of(SURPRISE_FAMILIES)
-    defs = nodes.select("id", F.regexp_replace("label", r"\(\)$", "").alias("callee"), F.col("source_file").alias("file"))
-    defs = defs.withColumn("family", F.coalesce(lookup(family, suffix(F.col("file"))), F.lit("")))
-    c = calls.filter(~F.col("is_member")).withColumn("family", F.coalesce(lookup(family, suffix(F.col("source_file"))), F.lit("")))
-    c = c.select(F.col("ord").alias("call"), "caller_id", "callee", F.col("source_file").alias("caller_file"), "family")
-    m = c.join(defs, ["callee", "family"]).filter("caller_id <> id")
-    by_id = imports.filter("target_id is not null").select(F.col("source_file").alias("caller_file"), F.col("target_id").alias("id"), F.lit(True).alias("symbol")).distinct()
-    by_file = imports.filter("target_file is not null").select(F.col("source_file").alias("caller_file"), F.col("target_file").alias("file"), F.lit(True).alias("module")).distinct()
-    m = m.join(by_id, ["caller_file", "id"], "left").join(by_file, ["caller_file", "file"], "left").fillna(False, ["symbol", "module"])
-    one = lambda flag: F.when(F.count_if(flag) == 1, F.max(F.when(flag, F.col("id"))))
-    seen = m.groupBy("call", "caller_id", "caller_file", "family").agg(
-        F.count_distinct("id").alias("n"), F.max("id").alias("only"), F.max(F.col("symbol") | F.col("module")).alias("evidence"), one(F.col("symbol")).alias("by_symbol"), one(F.col("module")).alias("by_module")
-    )
-    near = proximity(c.select("call", "caller_file"), m.select("call", "id", "file")).withColumnRenamed("id", "nearest")
-    seen = seen.join(near, "call", "left")
-    chosen = F.when(F.col("n") == 1, F.col("only")).otherwise(F.coalesce("by_symbol", "by_module", "nearest"))
-    proven = F.when(F.col("n") == 1, F.col("evidence")).otherwise(F.coalesce("by_symbol", "by_module").isNotNull())
-    found = seen.select(F.col("call").alias("ord"), F.col("caller_id").alias("source"), chosen.alias("target"), proven.alias("proven"), "family")
-    found = found.filter("target is not null and (family <> 'js' or proven)")
-    found = found.select("source", "target", "ord", F.lit("calls").alias("relation"), F.when(F.col("proven"), "EXTRACTED").otherwise("INFERRED").alias("confidence"), F.when(F.col("proven"), 1.0).otherwise(0.85).alias("score"))
+    on = ["name", "family"]
+    kind = lambda path: F.coalesce(lookup(CALL_FAMILIES, suffix(path)), F.lit(""))
+    case_free = lambda path: F.coalesce(suffix(path).isin(*CASE_FREE_SUFFIXES), F.lit(False))
+    defs = nodes.filter(F.col("file_type") != "rationale") if "file_type" in nodes.columns else nodes
+    defs = defs.select("id", _bare(F.col("label")).alias("label"), F.coalesce("source_file", F.lit("")).alias("file")).filter("label <> ''")
+    exact = defs.select("label").distinct().select(F.col("label").alias("callee"), F.lit(True).alias("exact"))
+    # A definition of unknown family is met by callers of every family, and every definition by unknown callers.
+    every = F.array(*[F.lit(f) for f in ["", *dict.fromkeys(CALL_FAMILIES.values())]])
+    met_by = F.when(kind(F.col("file")) == "", every).otherwise(F.array(kind(F.col("file")), F.lit("")))
+    names = F.array_compact(F.array(F.concat(F.lit("="), "label"), F.when(case_free(F.col("file")), F.concat(F.lit("~"), F.lower("label")))))
+    defs = defs.withColumn("family", F.explode(met_by)).withColumn("name", F.explode(names)).select(*on, "id", "file")
+
+    c = calls.filter(~F.col("is_member") & (F.col("callee") != "") & ~F.col("callee").isin(*BUILTIN_GLOBALS)).join(exact, "callee", "left")
+    name = F.when(F.col("exact"), F.concat(F.lit("="), "callee")).when(case_free(F.col("source_file")), F.concat(F.lit("~"), F.lower("callee")))
+    c = c.select(F.col("ord").alias("call"), "caller_id", F.col("source_file").alias("caller_file"), name.alias("name"), kind(F.col("source_file")).alias("family")).filter("name is not null")
+
+    def one(candidates: DataFrame, keys: list[str], alias: str) -> DataFrame:
+        return candidates.groupBy(*keys).agg(F.min("id").alias(alias), F.max("id").alias(f"{alias}_other"))
+
+    by_id = imports.filter("target_id is not null").select(F.col("source_file").alias("caller_file"), F.col("target_id").alias("id")).distinct().join(defs, "id")
+    by_file = imports.filter("target_file is not null").select(F.col("source_file").alias("caller_file"), F.col("target_file").alias("file")).distinct().join(defs, "file")
+    seen = c.join(one(defs, on, "only"), on).join(one(by_id, ["caller_file", *on], "symbol"), ["caller_file", *on], "left").join(one(by_file, ["caller_file", *on], "module"), ["caller_file", *on], "left")
+    unique = lambda k: F.when(F.col(k) == F.col(f"{k}_other"), F.col(k))
+    alone = F.col("only") == F.col("only_other")
+    imported = F.coalesce(unique("symbol"), unique("module"))
+    seen = seen.select("call", "caller_id", "caller_file", *on, F.when(alone, F.col("only")).otherwise(imported).alias("target"), F.when(alone, F.coalesce("symbol", "module").isNotNull()).otherwise(imported.isNotNull()).alias("proven"))
+    near = nearest(seen.filter("target is null").select("call", "caller_file", *on), defs, on)
+    found = seen.join(near, "call", "left").withColumn("target", F.coalesce("target", "id")).filter("target is not null")
+    found = found.filter(F.col("proven") | ~suffix(F.col("caller_file")).isin(*IMPORT_BOUND_SUFFIXES))
+    nowhere = nodes.filter(F.coalesce("source_file", F.lit("")) == "").select(F.col("id").alias("target")).distinct()
+    found = found.join(nowhere, "target", "left_anti")
+    found = found.select(
+        F.col("caller_id").alias("source"), "target", F.col("call").alias("ord"), F.lit("calls").alias("relation"),
+        F.when(F.col("proven"), "EXTRACTED").otherwise("INFERRED").alias("confidence"), F.when(F.col("proven"), 1.0).otherwise(0.85).alias("score"),
+    )
     return new_edges(found, existing)
 
 

@@ -150,7 +150,7 @@ _PROX_CALLS = "SELECT * FROM (VALUES ('c1', 'a/b/x.py'), ('c2', 'a/b/y.py'), ('c
 _PROX_DEFS = "SELECT * FROM (VALUES ('c1', 'd1', 'a/b/x.py'), ('c1', 'd2', 'a/b/z.py'), ('c2', 'd3', 'a/b/p.py'), ('c2', 'd4', 'a/b/q.py'), ('c3', 'd5', 'tests/util.py'), ('c3', 'd6', 'src/util.py'), ('c4', 'd7', 'tests/a.py'), ('c4', 'd8', 'y/b.py'), ('c5', 'd9', 'a/c/k.py'), ('c5', 'd10', 'a/m.py')) AS t(call, id, file)"
 
 
-@query("SELECT * FROM (VALUES ('c1', 'd1'), ('c3', 'd5'), ('c5', 'd9')) AS t(call, id)")
+@query("SELECT * FROM (VALUES ('c1', 'd1'), ('c3', 'd5'), ('c4', 'd8'), ('c5', 'd9')) AS t(call, id)")
 def proximity_winner(spark, sf_dir):
     return resolve.proximity(spark.sql(_PROX_CALLS), spark.sql(_PROX_DEFS))
 
@@ -234,19 +234,6 @@ def label_similarity(spark, sf_dir):
     return p.select("a", "b", F.round(similarity.jaro_similarity("x", "y"), 6).alias("jaro"), F.round(similarity.jaro_winkler_similarity("x", "y"), 6).alias("winkler"))
 
 
-@query(
-    """WITH v AS (SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS n FROM embeddings)
-    SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2])) / (a.n * b.n), 5) AS cosine FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id
-    WHERE list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2])) / (a.n * b.n) >= 0.3"""
-)
-def semantic_similarity_edges(spark, sf_dir):
-    v = frame(spark, sf_dir, "SELECT vec_id, label, embedding FROM embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, z: acc + z)
-    v = v.withColumn("n", F.sqrt(dot(F.col("v"), F.col("v"))))
-    a, b = v.selectExpr("vec_id AS a", "label", "v AS x", "n AS p"), v.selectExpr("vec_id AS b", "label", "v AS y", "n AS q")
-    return a.join(b, "label").filter("a < b").withColumn("cosine", dot(F.col("x"), F.col("y")) / (F.col("p") * F.col("q"))).filter("cosine >= 0.3").select("a", "b", F.round("cosine", 5).alias("cosine"))
-
-
 # ------------------------------------------------------------------ sources
 
 _PATHS = "SELECT path FROM (VALUES ('src/a.py'), ('doc/guide.md'), ('img/x.PNG'), ('paper.pdf'), ('clip.mp4'), ('.mcp.json'), ('data.bin'), ('.env'), ('.env.example'), ('keys/server.pem'), ('.ssh/config'), ('home/id_rsa.pub'), ('node_modules/x.js'), ('go.sum'), ('build/out.js'), ('src/keep/b.go'), ('logs/a/b.log'), ('logs/important.log'), ('.npmrc')) AS t(path)"

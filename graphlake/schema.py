@@ -1,69 +1,13 @@
-"""Row shapes, vocabularies and language families."""
+"""Row shapes and the suffixes of source files."""
 
 from __future__ import annotations
 
 NODE_COLUMNS = ("id", "label", "file_type", "source_file", "source_location", "community", "ord")
 EDGE_COLUMNS = ("source", "target", "relation", "confidence", "score", "location", "context")
 
-CONFIDENCE_RANK = {"EXTRACTED": 3, "INFERRED": 2, "AMBIGUOUS": 1}
-FILE_TYPES = ("code", "concept", "document", "image", "paper", "rationale")
-GENERIC_RELATIONS = ("mentions", "references", "uses")
-IMPORT_RELATIONS = ("imports", "imports_from", "re_exports")
-
-#: Families within which a build keeps inferred calls and imports.
-BUILD_FAMILIES = {
-    "c": "c cc cpp cu cuh cxx h hh hpp hxx m metal mm",
-    "cs": "cs",
-    "go": "go",
-    "js": "cjs cts js jsx mjs mts ts tsx",
-    "jvm": "groovy java kt scala",
-    "lua": "lua",
-    "php": "php",
-    "py": "py pyi",
-    "rb": "rake rb",
-    "rs": "rs",
-    "swift": "swift",
-}
-#: Families by which surprises judge that an edge crosses languages.
-SURPRISE_FAMILIES = {
-    "c": "c cc cpp cxx h hpp",
-    "cobol": "cbl cob cobol cpy",
-    "dotnet": "cs vb",
-    "erlang": "erl escript hrl",
-    "go": "go",
-    "js": "cjs cts ejs js jsx mjs mts svelte ts tsx vue",
-    "jvm": "java kt kts scala",
-    "php": "php",
-    "python": "py pyw",
-    "r": "r",
-    "ruby": "rake rb",
-    "rust": "rs",
-    "solidity": "sol",
-    "swift": "swift",
-}
-PAPER_SUFFIXES = (".pdf",)
-IMAGE_SUFFIXES = (".gif", ".jpeg", ".jpg", ".png", ".svg", ".webp")
-VIDEO_SUFFIXES = (".avi", ".m4a", ".mkv", ".mov", ".mp3", ".mp4", ".wav", ".webm")
-DOCUMENT_SUFFIXES = (".adoc", ".md", ".mdx", ".rst", ".txt")
-CODE_SUFFIXES = tuple(
-    "." + s
-    for s in sorted(
-        "astro bash c cc cjs cpp cs css cts cxx dart erl ex exs go gradle groovy h hpp hs html hxx java jl js jsx kt kts lua luau m mjs ml mm mts php pl ps1 py pyi pyw r rake rb rs scala sh sol sql swift ts tsx vb vue zig".split()
-    )
-)
-
-#: Labels too common in code to say anything as hubs.
-NOISE_LABELS = frozenset(
-    "ABCMeta Any AnyObject AppKit AsyncMock Bool Callable ClassVar Codable Color Combine Counter Data Date Decodable Dict DispatchQueue Double Encodable Enum Equatable Error "
-    "False Final Float Font Foundation Hashable Identifiable Comparable Int List Literal LocalizedError MagicMock Mock NSError NSLock NSObject NSString NonCallableMagicMock "
-    "NonCallableMock Optional OrderedDict Path PropertyMock Protocol Sendable Set String SwiftUI True Tuple Type UIKit URL UUID Union View abc bool bytearray bytes complex "
-    "datetime defaultdict float int io json object os patch re sentinel str sys typing".split()
-)
-JSON_NOISE_LABELS = frozenset(
-    "bundleddependencies bundledependencies data dependencies description devdependencies end id items key name optionaldependencies peerdependencies properties start title type value version".split()
-)
-
-
-def family_of(families: dict[str, str]) -> dict[str, str]:
-    """Suffix with its dot -> family."""
-    return {f".{s}": family for family, suffixes in families.items() for s in suffixes.split()}
+#: Suffixes of files that the extractors read.
+CODE_SUFFIXES = (
+    ".astro", ".bash", ".c", ".cc", ".cjs", ".cpp", ".cs", ".css", ".cts", ".cxx", ".dart", ".erl", ".ex", ".exs", ".go", ".gradle", ".groovy", ".h", ".hpp", ".hs",
+    ".hxx", ".java", ".jl", ".js", ".jsx", ".kt", ".kts", ".lua", ".luau", ".m", ".mjs", ".ml", ".mm", ".mts", ".php", ".pl", ".ps1", ".py", ".pyi", ".pyw",
+    ".r", ".rake", ".rb", ".rs", ".scala", ".sh", ".sol", ".sql", ".swift", ".ts", ".tsx", ".vb", ".vue", ".zig",
+)

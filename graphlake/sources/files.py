@@ -3,31 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import groupby
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphlake.fixed import CREDENTIAL_DIRS, DOCUMENT_SUFFIXES, IMAGE_SUFFIXES, LOCK_FILES, PAPER_SUFFIXES, SENSITIVE_NAMES, SKIP_DIRS, TEMPLATE_NAMES, VIDEO_SUFFIXES
 from graphlake.functions.text import suffix
-from graphlake.schema import CODE_SUFFIXES, IMAGE_SUFFIXES, PAPER_SUFFIXES, VIDEO_SUFFIXES
-
-SKIP_DIRS = tuple(
-    sorted(
-        ".angular .cache .eggs .git .idea .mypy_cache .next .nox .nuxt .obsidian .parcel-cache .pytest_cache .ruff_cache .serverless .svelte-kit .terraform .tox .turbo .venv .worktrees "
-        "__pycache__ __snapshots__ build dist lcov-report lib64 node_modules site-packages storybook-static target venv visual-test visual-tests".split()
-    )
-)
-LOCK_FILES = tuple(sorted("Cargo.lock Gemfile.lock composer.lock go.sum go.work.sum package-lock.json pnpm-lock.yaml poetry.lock yarn.lock".split()))
-DOCUMENTS = tuple(f".{s}" for s in "html md mdx qmd rst skill txt yaml yml".split())
-_STORES = tuple(f".{s}" for s in "aws azure docker gnupg kube ssh".split())
-_SECRETS = (
-    r"(?i)^\.env(rc)?(\.|$)",
-    r"(?i)\.(cert|crt|der|key|p12|p8|pem|pfx)$",
-    r"(?i)(^|[^a-z0-9])id_(dsa|ecdsa|ed25519|rsa)(\.pub)?$",
-    r"(?i)^secring(\.(gpg|pgp))?$",
-    r"(?i)\.(boto|git-credentials|htpasswd|netrc|npmrc|pgpass|pypirc)$",
-)
-_TEMPLATE = r"(?i)\.(defaults?|dist|example|sample|template)$"
+from graphlake.schema import CODE_SUFFIXES
 
 
 def name_of(path: Column) -> Column:
@@ -37,19 +22,20 @@ def name_of(path: Column) -> Column:
 def category(path: Column) -> Column:
     """code, mcp, paper, image, video or document by name, in this precedence; null for other files."""
     s = suffix(path)
-    mcp = F.lower(name_of(path)).isin(".mcp.json", "mcp.json", "mcp_servers.json", "claude_desktop_config.json")
-    return F.when(mcp, "code").when(s.isin(*CODE_SUFFIXES), "code").when(s.isin(*PAPER_SUFFIXES), "paper").when(s.isin(*IMAGE_SUFFIXES), "image").when(s.isin(*VIDEO_SUFFIXES), "video").when(s.isin(*DOCUMENTS), "document")
+    name = F.lower(name_of(path))
+    mcp = F.endswith(name, F.lit(".mcp.json")) | (name == "mcp.json")
+    return F.when(mcp, "code").when(s.isin(*CODE_SUFFIXES), "code").when(s.isin(*PAPER_SUFFIXES), "paper").when(s.isin(*IMAGE_SUFFIXES), "image").when(s.isin(*VIDEO_SUFFIXES), "video").when(s.isin(*DOCUMENT_SUFFIXES), "document")
 
 
 def is_sensitive(path: Column) -> Column:
     """Credential stores, keys and secret settings; templates of them are not."""
     parts = F.split(path, "/")
-    stored = F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.lower(p).isin(*_STORES))
+    stored = F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.lower(p).isin(*CREDENTIAL_DIRS))
     name = name_of(path)
     secret = F.lit(False)
-    for pattern in _SECRETS:
+    for pattern in SENSITIVE_NAMES:
         secret = secret | name.rlike(pattern)
-    return stored | (secret & ~name.rlike(_TEMPLATE))
+    return stored | (secret & ~name.rlike(TEMPLATE_NAMES))
 
 
 def is_skipped(path: Column) -> Column:
@@ -93,12 +79,49 @@ def ignored(paths: DataFrame, rules: list[str]) -> DataFrame:
     return paths.select("path", verdict.alias("ignored"))
 
 
+def _hidden(spark: SparkSession, root: str) -> list[tuple[str, int]]:
+    """``(uri, length)`` of files below ``root`` with a segment that starts with ``_`` or ``.``, pruned as :func:`is_skipped` prunes."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(conf)
+    out, waiting = [], [(top, False)]
+    while waiting:
+        folder, inside = waiting.pop()
+        for status in fs.listStatus(folder):
+            name = status.getPath().getName()
+            below = inside or name.startswith(("_", "."))
+            if status.isDirectory():
+                if name not in SKIP_DIRS:
+                    waiting.append((status.getPath(), below))
+            elif below:
+                out.append((status.getPath().toString(), status.getLen()))
+    return out
+
+
+def _read_files(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pyarrow.fs as arrow_fs
+
+    for part in parts:
+        content = []
+        for uri in part["path"]:
+            fs, path = arrow_fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+            with fs.open_input_stream(path) as f:
+                content.append(f.read())
+        yield part.assign(content=content)
+
+
 def scan(spark: SparkSession, root: str, rules: list[str] = ()) -> DataFrame:
     """Files under ``root``: ``path, category, state, length, content``; state is kept, sensitive, ignored or unclassified.
 
-    Content is a column like any other: plans that do not use it do not read it.
+    Content is a column like any other: plans that do not use it do not read it. Spark's own sources pass over
+    names that start with ``_`` or ``.``, such as package initialisers and settings: these are listed
+    by the driver through Hadoop's file system and read by the tasks through Arrow's.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "content")
+    hidden = _hidden(spark, root)
+    if hidden:
+        more = spark.createDataFrame(hidden, "path string, length long").repartition(max(1, len(hidden) // 256))
+        files = files.unionByName(more.mapInPandas(_read_files, "path string, length long, content binary"))
     top = F.lit(re.sub(r"^file:/+", "/", root).rstrip("/") + "/")
     plain = F.regexp_replace("path", "^file:/+", "/")
     files = files.withColumn("path", F.when(F.startswith(plain, top), F.substring(plain, F.length(top) + 1, F.length(plain))).otherwise(plain))

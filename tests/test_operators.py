@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from graphlake.functions import similarity, text
-from graphlake.operators import analyze, build, cluster, entities, graph, merge, search
+from graphlake.operators import analyze, build, cluster, entities, graph, merge, resolve, search
 from graphlake.sources import code, configs, files
 
 EDGE = "source string, target string, relation string, confidence string, score double, location string, context string"
@@ -105,7 +106,7 @@ def test_random_graph_traversal(spark):
 def test_betweenness_of_a_path(spark):
     n, e = nodes(spark, "a", "b", "c"), edges(spark, ("a", "b"), ("b", "c"))
     assert {r.id: r.betweenness for r in analyze.node_betweenness(n, e).collect()} == {"a": 0.0, "b": 1.0, "c": 0.0}
-    assert {r.betweenness for r in analyze.edge_betweenness(n, e).collect()} == {pytest.approx(4 / 6)}
+    assert [r.betweenness for r in analyze.edge_betweenness(n, e).collect()] == [pytest.approx(4 / 6)] * 2
 
 
 def test_leiden_finds_cliques_and_repeats(spark):
@@ -154,8 +155,14 @@ def test_scan_and_streaming(spark, tmp_path):
     (tmp_path / "in/src").mkdir(parents=True)
     (tmp_path / "in/src/a.py").write_text("def f():\n    return g()\n")
     (tmp_path / "in/.env").write_text("x")
+    (tmp_path / "in/src/__init__.py").write_text("from a import f\n")
+    (tmp_path / "in/.git").mkdir()
+    (tmp_path / "in/.git/HEAD").write_text("x")
     got = {r.path: (r.category, r.state) for r in files.scan(spark, str(tmp_path / "in")).select("path", "category", "state").collect()}
-    assert got == {"src/a.py": ("code", "kept"), ".env": (None, "sensitive")}
+    assert got == {"src/a.py": ("code", "kept"), "src/__init__.py": ("code", "kept"), ".env": (None, "sensitive")}
+    text_of = files.scan(spark, str(tmp_path / "in")).filter("path = 'src/__init__.py'").first()
+    assert bytes(text_of["content"]) == b"from a import f\n" and text_of["length"] == 16
+    (tmp_path / "in/src/__init__.py").unlink()
     seen = []
     (tmp_path / "in/.env").unlink()
     for _ in range(2):
@@ -174,6 +181,12 @@ def test_graph_document_round_trip(spark, tmp_path):
     assert [(r.source, r.target, r.confidence_score) for r in e2.collect()] == [("a", "b", 1.0)]
 
 
+def test_files_without_facts(spark):
+    f = spark.createDataFrame([("a.txt", ""), ("b.py", "")], "path string, content string").coalesce(1)
+    assert code.extract_code(f).count() == 0 and code.manifests(f).count() == 0
+    assert len(code.extract_code(f).collect()) == len(code.manifests(f).collect()) == 0
+
+
 def test_code_facts_survive_broken_files(spark):
     f = spark.createDataFrame([("a.py", "def ("), ("b.rs", "fn main() {\n  run();\n}")], "path string, content string")
     got = {(r.path, r.kind, r.name) for r in code.extract_code(f).collect()}
@@ -184,3 +197,77 @@ def test_shorten(spark):
     long = "word " * 40
     out = spark.range(1).select(text.shorten_label(F.lit(long))).first()[0]
     assert len(out) <= 80 and out.endswith("...")
+
+
+def test_betweenness_beyond_the_broadcast_bound(spark, monkeypatch):
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("d", "e"), ("e", "f"), ("f", "g"), ("c", "f"), ("x", "y"), ("a", "a")]
+    ids = sorted({i for p in pairs for i in p} | {"alone"})
+    n, e = nodes(spark, *ids), edges(spark, *pairs)
+
+    def both():
+        by_node = {r.id: round(r.betweenness, 9) for r in analyze.node_betweenness(n, e).collect()}
+        return by_node, {(r.a, r.b): round(r.betweenness, 9) for r in analyze.edge_betweenness(n, e).collect()}
+
+    held = both()
+    monkeypatch.setattr(analyze, "BETWEENNESS_EDGES", 0)
+    assert both() == held
+    assert analyze.node_betweenness(nodes(spark, "alone"), e.limit(0)).first()["betweenness"] == 0.0
+
+
+def brute_binding(call, defs, imports):
+    """The target of one bare call and whether an import proves it, by trying all definitions."""
+    from graphlake import fixed
+
+    def test(path):
+        return any(p.lower() in fixed.TEST_DIRS for p in path.split("/")) or any(re.search(p, path.split("/")[-1]) for p in fixed.TEST_NAMES)
+
+    def kind(path):
+        return fixed.CALL_FAMILIES.get("." + path.rsplit(".", 1)[-1].lower(), "")
+
+    _, _, callee, file, _ = call
+    if callee in fixed.BUILTIN_GLOBALS:
+        return None, False
+    own = [d for d in defs if d[1] == f"{callee}()"]
+    if not own and file.endswith(fixed.CASE_FREE_SUFFIXES):
+        own = [d for d in defs if d[1].lower() == f"{callee}()".lower() and d[2].endswith(fixed.CASE_FREE_SUFFIXES)]
+    own = [d for d in own if not kind(file) or kind(d[2]) in ("", kind(file))]
+    symbols = [d for d in own if (file, d[0]) in imports]
+    modules = [d for d in own if (file, d[2]) in imports]
+    if len(own) == 1:
+        return own[0][0], bool(symbols or modules)
+    if len(symbols) == 1 or len(modules) == 1:
+        return (symbols if len(symbols) == 1 else modules)[0][0], True
+    tests = [d for d in own if test(d[2])]
+    left = tests if test(file) and tests else [d for d in own if not test(d[2])]
+    if len(left) == 1:
+        return left[0][0], False
+    folder = file.split("/")[:-1]
+    same_file, same_dir = [d for d in left if d[2] == file], [d for d in left if d[2].split("/")[:-1] == folder]
+    if same_file or same_dir:
+        near = same_file or same_dir
+        return (near[0][0] if len(near) == 1 else None), False
+    depth = lambda d: next((k for k, (a, b) in enumerate(zip(folder, d[2].split("/")[:-1], strict=False)) if a != b), min(len(folder), d[2].count("/")))
+    most = max(map(depth, left), default=0)
+    best = [d for d in left if depth(d) == most]
+    return (best[0][0] if most > 0 and len(best) == 1 else None), False
+
+
+def test_resolve_calls_equals_brute_force(spark):
+    rng = random.Random(11)
+    folders = ["src", "src/a", "src/a/b", "src/c", "tests", "lib/x", "src/a/tests"]
+    files_ = [f"{d}/{n}{x}" for d in folders for n in ("m", "n", "test_q") for x in (".py", ".ts", ".php", ".txt")]
+    names = ["run", "Run", "load", "print", "save"]
+    defs = [(f"d{k}", f"{rng.choice(names)}()", rng.choice(files_)) for k in range(60)]
+    calls = [(k, f"caller{k}", rng.choice([*names, "LOAD", "gone"]), rng.choice(files_), False) for k in range(400)]
+    imports = {(rng.choice(files_), rng.choice([rng.choice(defs)[0], rng.choice(files_)])) for _ in range(300)}
+    table = [(a, b if b.startswith("d") and "/" not in b else None, b if "/" in b else None) for a, b in sorted(imports)]
+    got = resolve.resolve_calls(
+        spark.createDataFrame(calls, "ord long, caller_id string, callee string, source_file string, is_member boolean"), spark.createDataFrame(defs, "id string, label string, source_file string"),
+        spark.createDataFrame(table, "source_file string, target_id string, target_file string"), spark.createDataFrame([], "source string, target string, relation string"),
+    )
+    want = {}
+    for call in calls:
+        target, proven = brute_binding(call, defs, imports)
+        if target and (proven or not call[3].endswith(".ts")):
+            want[call[1]] = (target, "EXTRACTED" if proven else "INFERRED")
+    assert {r.source: (r.target, r.confidence) for r in got.collect()} == want and len(want) > 50
