@@ -129,6 +129,8 @@ IMPORT_BOUND_SUFFIXES = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", "
 
 # ---- Fixed values: names ----
 
+#: Words that begin a comment worth keeping.
+RATIONALE_MARKS = ("NOTE", "IMPORTANT", "HACK", "WHY", "RATIONALE", "TODO", "FIXME")
 #: Library names that are never bound to a project's definitions.
 BUILTIN_GLOBALS = (
     "String", "Number", "Boolean", "Object", "Array", "Symbol", "BigInt", "Date", "RegExp",

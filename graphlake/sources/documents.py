@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-KINDS = ("FIXME", "HACK", "IMPORTANT", "NOTE", "RATIONALE", "TODO", "WHY")
+from graphlake.fixed import RATIONALE_MARKS
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def rationale(files: DataFrame) -> DataFrame:
     """``path, line, kind, note`` of comments that begin with a marker word; generated files have none."""
     rows = lines(files)
     generated = rows.filter("line <= 5").filter(F.lower("text").rlike("generated|do not edit")).select("path").distinct()
-    pattern = rf"^\s*(?:#|//|--|;|\*|/\*)+\s*({'|'.join(KINDS)})\b[:\s-]*(.*?)\s*(?:\*/)?\s*$"
+    pattern = rf"^\s*(?:#|//|--|;|\*|/\*)+\s*({'|'.join(RATIONALE_MARKS)})\b[:\s-]*(.*?)\s*(?:\*/)?\s*$"
     hit = rows.filter(F.col("text").rlike(pattern)).join(generated, "path", "left_anti")
     return hit.select("path", "line", F.regexp_extract("text", pattern, 1).alias("kind"), F.regexp_extract("text", pattern, 2).alias("note"))
 
