@@ -3,10 +3,11 @@
 A block holds whole documents (or a part of one very long document) and is coded on its own:
 its models start empty and its header carries a checksum of the ids and of the coded bytes, so
 blocks can be written, read and repaired in any order. For each id the order-2 and order-1
-contexts each predict one id; the chances that they are right come from adaptive counters,
-by the confidence of either context, whose opinions are mixed under adaptive weights. The mixed
-chances split the coder's range into "the order-2 guess", "the order-1 guess" and "neither"; in
-the last case the id's bytes follow under adaptive order-0 frequencies.
+contexts each predict the id that followed them last. The chances that they are right come from
+adaptive counters, by what the last guesses came to and by whether both guesses agree, whose opinions
+are mixed under adaptive weights. The mixed chances split the coder's range into "the order-2
+guess", "the order-1 guess" and "neither"; in the last case the id's bytes follow under
+order-0 frequencies that are renewed ever more seldom.
 
 Many blocks are coded in lockstep as lanes of numpy arrays. Whole-number arithmetic keeps writers
 and readers equal on all machines.
@@ -30,99 +31,98 @@ from graphlake.llm._common import released, saved, slim
 TARGET, LIMIT, LANES = 2048, 4096, 2048
 MAGIC = b"GLTK"
 _HEAD = struct.Struct("<4sBIII")  # magic, bytes of an id, ids, crc32 of the ids, coded bytes
-_BITS = 12
-_ONE = 1 << _BITS
-_LEAST = np.uint64(1 << 48)
-_SH1, _SH2 = 11, 12
+#: Bits of the chances of a guess and of a digit; three symbols fit between two looks at the range.
+_GUESS, _DIGIT = 10, 11
+_ONE, _WHOLE = 1 << _GUESS, 1 << _DIGIT
+#: The range lies in 2**32 to 2**48; below, 16 bits are shifted out.
+_LEAST, _TOP = 1 << 32, 1 << 48
+#: Hash bits of the contexts of one and of two ids, and places of one lane's table of digit shares.
+_SH1, _SH2, _ROW = 9, 10, 259
 
 
 class Models:
-    """Adaptive state of ``lanes`` blocks; ``chances`` before, ``learn`` after each id."""
-
-    def __init__(self, lanes: int, digits: int):
-        self.lanes, self.digits = lanes, digits
-        self.guess1 = np.full(lanes << _SH1, -1, np.int32)
-        self.guess2 = np.full(lanes << _SH2, -1, np.int32)
-        self.sure1 = np.zeros(lanes << _SH1, np.int32)
-        self.sure2 = np.zeros(lanes << _SH2, np.int32)
-        self.by2 = np.full(lanes * 16, 1 << 14, np.int32)
-        self.by1 = np.full(lanes * 32, 1 << 14, np.int32)
-        self.one = np.full(lanes * 16, 1 << 13, np.int32)
+    """Adaptive state of ``lanes`` blocks: ``chances`` before, ``learn`` after each id."""
+
+    def __init__(self, lanes: int, digits: int, inverse: bool = False):
+        self.lanes, self.digits, self.inverse = lanes, digits, inverse
+        lane = np.arange(lanes, dtype=np.int64)
+        self.at1, self.at2, self.at8, self.at16, self.row = lane << _SH1, lane << _SH2, lane << 3, lane << 4, lane * _ROW
+        self.guess1, self.guess2 = np.zeros(lanes << _SH1, np.int32), np.zeros(lanes << _SH2, np.int32)
+        self.by2, self.by1, self.one = np.full(lanes * 8, 1 << 14, np.int32), np.full(lanes * 16, 1 << 14, np.int32), np.full(lanes * 8, 1 << 13, np.int32)
         self.weight = np.full(lanes, 128, np.int32)
-        self.freq = [np.ones((lanes, 256), np.int32) for _ in range(digits)]
-        self.cum = [np.tile((np.arange(257) * (_ONE // 256)).astype(np.int32), (lanes, 1)) for _ in range(digits)]
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
-        self.lane = np.arange(lanes, dtype=np.int64)
+        self.recent = np.zeros(lanes, np.int64)
+        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.count = [np.zeros((lanes, 256), np.int64) for _ in range(digits)]
+        self.cum = [np.zeros((lanes, _ROW), np.int64) for _ in range(digits)]
+        self.symbol = [np.zeros(0, np.uint8)] * digits
+        for d in range(digits):
+            # The last two places are the share of a digit that is not coded: all of it.
+            self.cum[d][:, 258] = _WHOLE
+            self._share(d, lanes)
+
+    def _share(self, d: int, n: int) -> None:
+        c = np.cumsum(1 + 24 * self.count[d][:n], axis=1)
+        self.cum[d][:n, 1:257] = c * (_WHOLE - 256) // c[:, -1:] + np.arange(1, 257)
+        if self.inverse:
+            mark = np.zeros((n, _WHOLE), np.uint8)
+            mark[np.arange(n)[:, None], self.cum[d][:n, 1:256]] = 1
+            self.symbol[d] = np.cumsum(mark, axis=1, dtype=np.uint8).reshape(-1)
+
+    def refresh(self, n: int, ids: np.ndarray, coded: np.ndarray) -> None:
+        """Take the digits of ``ids`` (steps x lanes) that were ``coded`` since the last time into the order-0 shares."""
+        step, lane = np.nonzero(coded[:, :n])
+        value = ids[step, lane]
+        for d in range(self.digits):
+            at = (lane << 8) + ((value >> (8 * (self.digits - 1 - d))) & 255)
+            self.count[d][:n] += np.bincount(at, minlength=n << 8).reshape(n, 256)
+            self._share(d, n)
 
     def chances(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Guesses of order 2 and 1 for the first ``n`` lanes and their shares of the range."""
-        lane = self.lane[:n]
-        h1 = (self.last[:n] * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - _SH1)
-        h2 = ((self.last[:n] * 0x9E3779B1 + self.before[:n] * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - _SH2)
-        self.k1, self.k2 = (lane << _SH1) + h1, (lane << _SH2) + h2
-        g1, g2 = self.guess1[self.k1], self.guess2[self.k2]
-        self.s1, self.s2 = self.sure1[self.k1], self.sure2[self.k2]
-        self.ok2 = g2 >= 0
+        """Guesses of order 2 and 1 for the first ``n`` lanes, 0 for none and else the id plus 1, and their shares of the range."""
+        h = self.last[:n] * np.uint32(0x9E3779B1)
+        self.k1 = self.at1[:n] + (h >> np.uint32(32 - _SH1))
+        self.k2 = self.at2[:n] + ((h + self.before[:n] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _SH2))
+        g1, g2 = self.guess1.take(self.k1), self.guess2.take(self.k2)
         same = g1 == g2
-        self.ok1 = (g1 >= 0) & ~same
-        self.a, self.b, self.c = (lane << 4) + self.s2, (lane << 5) + (same << 4) + self.s1, (lane << 4) + self.s1
-        self.pa, self.pb = self.by2[self.a], self.by1[self.b]
+        self.has2, self.has1 = (g2 > 0).astype(np.int32), ((g1 > 0) & ~same).astype(np.int32)
+        self.a = self.at8[:n] + self.recent[:n]
+        self.b = self.at16[:n] + self.recent[:n] + (same.view(np.int8) << 3)
+        self.pa, self.pb, self.pc = self.by2.take(self.a), self.by1.take(self.b), self.one.take(self.a)
         w = self.weight[:n]
-        mixed = (self.pa * w + self.pb * (256 - w)) >> 8
-        f2 = np.clip(mixed >> 4, 1, 4000) * self.ok2
+        f2 = (((self.pb << 8) + (self.pa - self.pb) * w) >> 14) + 1
+        f2 = np.minimum(f2, _ONE - 64) * self.has2
         rest = _ONE - f2
-        self.pc = self.one[self.c]
-        f1 = np.clip((rest * self.pc) >> 16, 1, rest - 32) * self.ok1
+        f1 = np.minimum(((rest * self.pc) >> 16) + 1, rest - 16) * self.has1
         return g2, g1, f2, f1
 
-    def learn(self, n: int, ids: np.ndarray, g2: np.ndarray, g1: np.ndarray, miss: np.ndarray) -> None:
-        hit2, hit1 = ids == g2, ids == g1
-        ok = self.ok2.astype(np.int32)
-        goal = hit2.astype(np.int32) * 65535
-        self.by2[self.a] += ((goal - self.pa) >> 4) * ok
-        self.by1[self.b] += ((goal - self.pb) >> 4) * ok
-        self.weight[:n] = np.clip(self.weight[:n] + ((np.abs(goal - self.pb) - np.abs(goal - self.pa)) >> 11) * ok, 16, 240)
-        ask1 = (self.ok1 & ~hit2).astype(np.int32)
-        self.one[self.c] += ((hit1.astype(np.int32) * 65535 - self.pc) >> 4) * ask1
-        for guess, sure, k, s, g, hit in ((self.guess2, self.sure2, self.k2, self.s2, g2, hit2), (self.guess1, self.sure1, self.k1, self.s1, g1, hit1)):
-            weak = s < 2
-            guess[k] = np.where(hit | ~weak, g, ids)
-            sure[k] = np.where(hit, np.minimum(s + 1, 15), np.where(weak, 0, s >> 1))
-        if len(miss):
-            v = ids[miss].astype(np.int64)
-            for d in range(self.digits):
-                self.freq[d][miss, (v >> (8 * (self.digits - 1 - d))) & 255] += 24
+    def learn(self, n: int, named: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """``named`` is the id plus 1."""
+        goal2, goal1 = hit2 * np.int32(65535), hit1 * np.int32(65535)
+        off2, off1 = goal2 - self.pa, goal2 - self.pb
+        self.by2[self.a] = self.pa + (off2 >> 4) * self.has2
+        self.by1[self.b] = self.pb + (off1 >> 4) * self.has2
+        self.one[self.a] = self.pc + ((goal1 - self.pc) >> 4) * (self.has1 & ~hit2.view(np.int8))
+        w = self.weight[:n] + ((np.abs(off1) - np.abs(off2)) >> 11) * self.has2
+        self.weight[:n] = np.minimum(np.maximum(w, 16), 240)
+        self.recent[:n] = ((self.recent[:n] << 1) | (hit2 | hit1)) & 7
+        self.guess1[self.k1] = named
+        self.guess2[self.k2] = named
         self.before[:n] = self.last[:n]
-        self.last[:n] = ids
-
-    def refresh(self, n: int) -> None:
-        """Bring the order-0 shares up to date."""
-        for d in range(self.digits):
-            c = np.cumsum(self.freq[d][:n], axis=1)
-            self.cum[d][:n, 1:] = c * (_ONE - 256) // c[:, -1:] + np.arange(1, 257, dtype=np.int32)
+        self.last[:n] = named
 
 
 def _due(step: int) -> bool:
-    return step in (16, 32, 64) or step % 128 == 0 and step > 0
-
-
-def _settle(low: np.ndarray, size: np.ndarray, emit: Callable[[np.ndarray], None], lanes: np.ndarray | None = None) -> None:
-    """Shift out 16 bits wherever they are certain, or make them so where the range is too small."""
-    at = np.arange(len(low)) if lanes is None else lanes
-    while len(at):
-        l, r = low[at], size[at]
-        sure = (l ^ (l + r)) < _LEAST
-        small = r < _LEAST
-        go = sure | small
-        if not go.all():
-            at, l, r, sure, small = at[go], l[go], r[go], sure[go], small[go]
-        if not len(at):
-            return
-        r = np.where(small & ~sure, (~l + np.uint64(1)) & (_LEAST - np.uint64(1)), r)
-        emit(at)
-        low[at] = l << np.uint64(16)
-        size[at] = r << np.uint64(16)
+    """The order-0 shares are renewed at steps 16, 32, 64, 128, and so on."""
+    return step >= 16 and step & (step - 1) == 0
+
+
+def _looks(digits: int) -> list[bool]:
+    """Before which digits the range must be looked at: no more than 32 bits may go between two looks."""
+    out, bits = [], _GUESS
+    for _ in range(digits):
+        out.append(bits + _DIGIT > 32)
+        bits = _DIGIT if out[-1] else bits + _DIGIT
+    return out
 
 
 def encode_blocks(blocks: list[np.ndarray], digits: int = 2) -> list[bytes]:
@@ -133,52 +133,69 @@ def encode_blocks(blocks: list[np.ndarray], digits: int = 2) -> list[bytes]:
         own = order[lo : lo + LANES]
         n, length = len(own), np.array([len(blocks[i]) for i in own])
         steps = int(length.max(initial=0))
-        ids = np.zeros((steps, n), np.int32)
+        ids = np.zeros((n, steps), np.int32)
         for k, i in enumerate(own):
-            ids[: length[k], k] = blocks[i]
+            ids[k, : length[k]] = blocks[i]
+        ids = np.ascontiguousarray(ids.T)
         model = Models(n, digits)
-        low, size = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
-        words = np.zeros((n, 64), np.uint16)
+        low, size = np.zeros(n, np.int64), np.full(n, _TOP, np.int64)
+        # A word may hold a carry in its bit 16 until all is coded.
+        words = np.zeros((n, 64), np.uint32)
         used = np.zeros(n, np.int64)
-
-        def emit(at: np.ndarray) -> None:
-            words[at, used[at]] = (low[at] >> np.uint64(48)).astype(np.uint16)
-            used[at] += 1
-
-        for step in range(steps):
-            m = int(np.searchsorted(-length, -step, "left"))
-            if step % 8 == 0 and used[:m].max() + 64 > words.shape[1]:
-                words = np.concatenate([words, np.zeros_like(words)], 1)
+        looks = _looks(digits)
+        coded = np.zeros((steps, n), bool)
+        since = 0
+
+        def settle(m: int) -> None:
+            at = np.flatnonzero(size[:m] < _LEAST)
+            while len(at):
+                l, place = low[at], used[at]
+                words[at, place] = l >> 32
+                low[at] = (l & (_LEAST - 1)) << 16
+                used[at] = place + 1
+                r = size[at] << 16
+                size[at] = r
+                at = at[r < _LEAST]
+
+        active = np.searchsorted(-length, -np.arange(steps), "left").tolist()
+        for step, m in enumerate(active):
+            if step % 16 == 0:
+                if used[:m].max() + 96 > words.shape[1]:
+                    words = np.concatenate([words, np.zeros_like(words)], 1)
+                if _due(step):
+                    model.refresh(m, ids[since:step], coded[since:step])
+                    since = step
             x = ids[step, :m]
+            named = x + 1
             g2, g1, f2, f1 = model.chances(m)
-            hit2, hit1 = x == g2, x == g1
-            start = np.where(hit2, 0, np.where(hit1, f2, f2 + f1))
-            width = np.where(hit2, f2, np.where(hit1, f1, _ONE - f2 - f1))
-            r = size[:m] >> np.uint64(_BITS)
-            low[:m] += r * start.astype(np.uint64)
-            size[:m] = r * width.astype(np.uint64)
-            miss = np.flatnonzero(~(hit2 | hit1))
-            if len(miss):
-                v = x[miss].astype(np.int64)
-                for d in range(digits):
-                    if d and d % 2 == 0:
-                        _settle(low, size, emit, miss)
-                    digit = (v >> (8 * (digits - 1 - d))) & 255
-                    a = model.cum[d][miss, digit]
-                    b = model.cum[d][miss, digit + 1]
-                    r = size[miss] >> np.uint64(_BITS)
-                    low[miss] += r * a.astype(np.uint64)
-                    size[miss] = r * (b - a).astype(np.uint64)
-            _settle(low[:m], size[:m], emit)
-            model.learn(m, x, g2, g1, miss)
-            if _due(step):
-                model.refresh(m)
-        if words.shape[1] < (used.max(initial=0) + 4):
-            words = np.concatenate([words, np.zeros((n, 8), np.uint16)], 1)
-        for _ in range(4):
-            at = np.arange(n)
-            emit(at)
-            low <<= np.uint64(16)
+            hit2 = named == g2
+            hit1 = (named == g1) & ~hit2
+            miss = coded[step, :m]
+            np.equal(hit2, hit1, out=miss)  # neither: both never hit
+            past2, past1 = f2 * ~hit2, f1 * miss
+            r = size[:m] >> _GUESS
+            low[:m] += r * (past2 + past1)
+            size[:m] = r * np.where(miss, _ONE - past2 - past1, np.where(hit1, f1, f2))
+            for d in range(digits):
+                if looks[d]:
+                    settle(m)
+                digit = np.where(miss, (x >> (8 * (digits - 1 - d))) & 255, 257)
+                cum, place = model.cum[d].reshape(-1), model.row[:m] + digit
+                a = cum.take(place)
+                r = size[:m] >> _DIGIT
+                low[:m] += r * a
+                size[:m] = r * (cum.take(place + 1) - a)
+            settle(m)
+            model.learn(m, named, hit2, hit1)
+        if words.shape[1] < used.max(initial=0) + 3:
+            words = np.concatenate([words, np.zeros((n, 3), np.uint32)], 1)
+        for _ in range(3):
+            words[np.arange(n), used] = low >> 32
+            low = (low & (_LEAST - 1)) << 16
+            used += 1
+        while (carry := words >> 16).any():
+            words &= 0xFFFF
+            words[:, :-1] += carry[:, 1:]
         for k, i in enumerate(own):
             body = words[k, : used[k]].astype("<u2").tobytes()
             raw = np.asarray(blocks[i]).astype("<u4").tobytes()
@@ -204,55 +221,65 @@ def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
         n, length = len(own), np.array([heads[i][2] for i in own])
         steps = int(length.max(initial=0))
         ids = np.zeros((steps, n), np.int32)
-        most = max(heads[i][4] // 2 for i in own) + 8
-        words = np.zeros((n, most), np.uint64)
+        words = np.zeros((n, max(heads[i][4] // 2 for i in own) + 8), np.uint16)
         for k, i in enumerate(own):
-            body = np.frombuffer(data[i], "<u2", heads[i][4] // 2, _HEAD.size)
-            words[k, : len(body)] = body
-        model = Models(n, digits)
-        low, size = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
-        code = (words[:, 0] << np.uint64(48)) | (words[:, 1] << np.uint64(32)) | (words[:, 2] << np.uint64(16)) | words[:, 3]
-        used = np.full(n, 4)
-
-        def emit(at: np.ndarray) -> None:
-            code[at] = (code[at] << np.uint64(16)) | words[at, used[at]]
-            used[at] += 1
-
-        for step in range(steps):
-            m = int(np.searchsorted(-length, -step, "left"))
+            words[k, : heads[i][4] // 2] = np.frombuffer(data[i], "<u2", heads[i][4] // 2, _HEAD.size)
+        model = Models(n, digits, inverse=True)
+        size = np.full(n, _TOP, np.int64)
+        # What the coded number exceeds the bottom of the range by.
+        over = (words[:, 0].astype(np.int64) << 32) | (words[:, 1].astype(np.int64) << 16) | words[:, 2]
+        used = np.full(n, 3)
+        looks = _looks(digits)
+        coded = np.zeros((steps, n), bool)
+        wide = np.arange(n, dtype=np.int64) << _DIGIT
+        since = 0
+
+        def settle(m: int) -> None:
+            at = np.flatnonzero(size[:m] < _LEAST)
+            while len(at):
+                place = used[at]
+                over[at] = (over[at] << 16) | words[at, place]
+                used[at] = place + 1
+                r = size[at] << 16
+                size[at] = r
+                at = at[r < _LEAST]
+
+        active = np.searchsorted(-length, -np.arange(steps), "left").tolist()
+        for step, m in enumerate(active):
+            if step % 16 == 0 and _due(step):
+                model.refresh(m, ids[since:step], coded[since:step])
+                since = step
             g2, g1, f2, f1 = model.chances(m)
-            r = size[:m] >> np.uint64(_BITS)
-            v = np.minimum((code[:m] - low[:m]) // r, np.uint64(_ONE - 1)).astype(np.int64)
-            hit2 = v < f2
-            hit1 = ~hit2 & (v < f2 + f1)
-            start = np.where(hit2, 0, np.where(hit1, f2, f2 + f1))
-            width = np.where(hit2, f2, np.where(hit1, f1, _ONE - f2 - f1))
-            low[:m] += r * start.astype(np.uint64)
-            size[:m] = r * width.astype(np.uint64)
-            x = np.where(hit2, g2, g1)
-            miss = np.flatnonzero(~(hit2 | hit1))
-            if len(miss):
-                value = np.zeros(len(miss), np.int64)
-                for d in range(digits):
-                    if d and d % 2 == 0:
-                        _settle(low, size, emit, miss)
-                    r = size[miss] >> np.uint64(_BITS)
-                    v = np.minimum((code[miss] - low[miss]) // r, np.uint64(_ONE - 1)).astype(np.int32)
-                    cum, digit = model.cum[d], np.zeros(len(miss), np.int64)
-                    for bit in (128, 64, 32, 16, 8, 4, 2, 1):
-                        digit += bit * (cum[miss, digit + bit] <= v)
-                    a, b = cum[miss, digit], cum[miss, digit + 1]
-                    low[miss] += r * a.astype(np.uint64)
-                    size[miss] = r * (b - a).astype(np.uint64)
-                    value = (value << 8) | digit
-                x[miss] = value
-            ids[step, :m] = x
-            _settle(low[:m], size[:m], emit)
-            model.learn(m, x, g2, g1, miss)
-            if _due(step):
-                model.refresh(m)
+            r = size[:m] >> _GUESS
+            both = f2 + f1
+            t2, t1 = r * f2, r * both
+            o = over[:m]
+            past2 = o >= t2
+            miss = coded[step, :m]
+            np.greater_equal(o, t1, out=miss)
+            hit2, hit1 = ~past2, past2 & ~miss
+            o -= np.where(miss, t1, t2 * past2)
+            size[:m] = r * np.where(miss, _ONE - both, np.where(hit1, f1, f2))
+            value = np.zeros(m, np.int64)
+            for d in range(digits):
+                if looks[d]:
+                    settle(m)
+                r = size[:m] >> _DIGIT
+                # Both are under 2**48 and the quotient under 2**12: its whole part is exact in floating point.
+                v = np.minimum((o / r).astype(np.int64), _WHOLE - 1)
+                digit = np.where(miss, model.symbol[d].take(wide[:m] + v).astype(np.int64), 257)
+                cum, place = model.cum[d].reshape(-1), model.row[:m] + digit
+                a = cum.take(place)
+                o -= r * a
+                size[:m] = r * (cum.take(place + 1) - a)
+                value = (value << 8) | digit
+            named = np.where(miss, value + 1, np.where(hit1, g1, g2))
+            ids[step, :m] = named - 1
+            settle(m)
+            model.learn(m, named, hit2, hit1)
+        ids = np.ascontiguousarray(ids.T)
         for k, i in enumerate(own):
-            got = np.ascontiguousarray(ids[: length[k], k]).astype(np.uint32)
+            got = ids[k, : length[k]].astype(np.uint32)
             if zlib.crc32(got.astype("<u4").tobytes()) != heads[i][3]:
                 raise ValueError("token block does not decode to its checksum")
             out[i] = got
