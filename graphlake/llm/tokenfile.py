@@ -19,6 +19,7 @@ import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -373,6 +374,12 @@ class Tokenizer:
         return self.library.encode(text, add_special_tokens=False).ids
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(data: bytes, pattern: str) -> Tokenizer:
+    """Built once for each worker process, which many tasks share."""
+    return Tokenizer(data, pattern)
+
+
 # ------------------------------------------------------------------ tables of blocks
 
 _PART = pa.struct([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("whole", pa.bool_())])
@@ -391,7 +398,7 @@ def write_blocks(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 2
     rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(*shared.value)
+        tokenizer = _tokenizer(*shared.value)
         digits = 2 if max(tokenizer.size, end_id + 1) <= 1 << 16 else 3
         part = TaskContext.get().partitionId()
         place = block = row = 0
