@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,7 +92,13 @@ def _bytes_of(docs: DataFrame, path: str) -> bytes:
 
 def _coder(docs: DataFrame, vocabulary: str, pattern: str) -> Callable[[], ByteBpe]:
     shared = slim(docs).sparkSession.sparkContext.broadcast((_bytes_of(docs, vocabulary), pattern))
-    return lambda: ByteBpe(load_ranks(shared.value[0]), shared.value[1])
+    return lambda: _built(*shared.value)
+
+
+@lru_cache(maxsize=1)
+def _built(data: bytes, pattern: str) -> ByteBpe:
+    """Built once for each worker process, which many tasks share."""
+    return ByteBpe(load_ranks(data), pattern)
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None) -> DataFrame:
