@@ -329,3 +329,28 @@ def test_pipeline_equals_its_operators(spark):
     ids = sorted(sets)
     assert not any(5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a in ids for b in ids if a < b and sets[a] and sets[b])
     assert {r.doc_id for r in rows} == set(ids)
+
+
+def test_pipeline_stages_awkward(spark):
+    import corpus_pipeline
+
+    def docs(empty):
+        return awkward(spark, empty).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+
+    for name, stage in corpus_pipeline.STAGES:
+        given = docs(False)
+        out = stage(spark, given, SF)
+        rows = out.collect()
+        assert len(rows) <= 12 and stage(spark, docs(True), SF).count() == 0
+        if name != "byte_bpe":
+            assert out.columns == given.columns and {r.doc_id for r in rows} <= {r.doc_id for r in given.collect()}
+        if name == "near_dedup":
+            # The nearly equal long texts are one group; rows that repeat an id stay together, and so do empty texts.
+            assert sorted((r.doc_id for r in rows), key=str) == sorted([1, 2, 3, 4, 5, 6, 8, 8, None, 9, 10], key=str)
+        if name in ("decontaminate", "byte_bpe"):
+            assert len(rows) == 12
+
+
+def test_html_bounds_and_entities():
+    page = "<body><div id='main'><p>One &eacute;&#233;&#x2014; two,&nbsp;three. And more words, so that it is long enough.</p><p>a&lt;b</p></div><div class='comments'><p>I disagree, strongly, with all of this, and here is why.</p></div></body>"
+    assert html.main_text(page) == "One éé— two, three. And more words, so that it is long enough. a<b"
