@@ -12,11 +12,15 @@ from graphlake.operators.resolve import unique_match
 
 
 def repo_tags(paths: DataFrame) -> DataFrame:
-    """``path, tag``: the last segment, with its parent where several share it, and a number where that still repeats."""
-    parts = F.split(F.regexp_replace("path", "/+$", ""), "/")
-    n = paths.select("path", "ord", F.element_at(parts, -1).alias("name"), F.try_element_at(parts, F.lit(-2)).alias("parent"))
+    """``path, tag`` of graph documents ``ord, path``: the directory above the document's own, ``repo`` where there is none.
+
+    Where several share it, its parent is put in front, and what still repeats is numbered from the second on.
+    """
+    parts = F.split("path", "/")
+    at = lambda k: F.coalesce(F.try_element_at(parts, F.lit(-k)), F.lit(""))
+    n = paths.select("path", "ord", F.when(at(3).isin("", "."), "repo").otherwise(at(3)).alias("name"), at(4).alias("parent"))
     same = n.groupBy("name").agg(F.count("*").alias("k"))
-    n = n.join(same, "name").withColumn("tag", F.when((F.col("k") > 1) & F.col("parent").isNotNull() & (F.col("parent") != ""), F.concat_ws("-", "parent", "name")).otherwise(F.col("name")))
+    n = n.join(same, "name").withColumn("tag", F.when((F.col("k") > 1) & ~F.col("parent").isin("", "."), F.concat_ws("_", "parent", "name")).otherwise(F.col("name")))
     again = F.row_number().over(Window.partitionBy("tag").orderBy("ord", "path"))
     return n.withColumn("i", again).select("path", F.when(F.col("i") > 1, F.concat_ws("-", "tag", F.col("i").cast("string"))).otherwise(F.col("tag")).alias("tag"))
 
@@ -57,9 +61,11 @@ def merge_graphs(graphs: list[tuple[str, DataFrame, DataFrame]]) -> tuple[DataFr
 
 
 def dedupe_hyperedges(hyperedges: DataFrame) -> DataFrame:
-    """The first hyperedge of each id."""
+    """The first hyperedge of each id; those without an id all stay."""
     rest = [c for c in hyperedges.columns if c not in ("id", "ord")]
-    return hyperedges.groupBy("id").agg(F.min(F.struct("ord", *rest)).alias("r")).select("id", *[F.col(f"r.{c}").alias(c) for c in rest])
+    named = F.coalesce("id", F.lit("")) != ""
+    first = hyperedges.filter(named).groupBy("id").agg(F.min(F.struct("ord", *rest)).alias("r")).select("id", *[F.col(f"r.{c}").alias(c) for c in rest])
+    return first.unionByName(hyperedges.filter(~named).select("id", *rest))
 
 
 def shared_types(types: DataFrame, existing: DataFrame) -> DataFrame:

@@ -165,6 +165,11 @@ def explain_node(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
     return own.unionByName(near)
 
 
+def community_members(nodes: DataFrame, edges: DataFrame, community: int) -> DataFrame:
+    """``id, label, source_file, degree`` of one community."""
+    return node_degrees(nodes.filter(F.col("community") == community), edges).select("id", "label", "source_file", "degree")
+
+
 def within_budget(lines: DataFrame, line: str, order: list[Column | str], budget: int) -> DataFrame:
     """Lines in order while their bytes, with one line end each, fit ``3 * budget``.
 

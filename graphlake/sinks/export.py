@@ -62,12 +62,21 @@ def graph_json_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(e)
 
 
-def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """One canonical node-link document, at ``path`` (a folder holding one text file).
+#: Nodes and links up to which one document is written.
+DOCUMENT_ROWS = 2_000_000
 
-    A single JSON document has a single writer: its lines are sorted and joined in one task.
+
+def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str, most: int = DOCUMENT_ROWS) -> None:
+    """One canonical node-link document at ``path`` (a folder holding one text file), up to ``most`` rows.
+
+    A single document has a single writer. A larger graph is written as the same lines in two sorted tables,
+    ``path/nodes`` and ``path/links``, by many; ``configs.read_graph_lines`` reads those.
     """
     rows = graph_json_rows(nodes, edges)
+    if rows.count() > most:
+        for k, name in ((0, "nodes"), (1, "links")):
+            rows.filter(F.col("part") == k).orderBy("key", "line").select("line").write.mode("overwrite").text(f"{path}/{name}")
+        return
     doc = rows.groupBy().agg(F.array_sort(F.collect_list(F.struct("part", "key", "line"))).alias("x"))
     part = lambda k: F.array_join(F.transform(F.filter("x", lambda r: r["part"] == k), lambda r: r["line"]), ",\n")
     doc.select(F.concat(F.lit('{"directed":false,"multigraph":false,"graph":{},"nodes":['), part(0), F.lit('],\n"links":['), part(1), F.lit('],"hyperedges":[]}')).alias("value")).coalesce(1).write.mode("overwrite").text(path)

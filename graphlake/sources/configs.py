@@ -48,6 +48,15 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def read_graph_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a graph written as lines in ``path/nodes`` and ``path/links``."""
+    nodes = spark.read.schema(_NODE).json(f"{path}/nodes").filter("id is not null and id <> ''")
+    edges = spark.read.schema(_LINK).json(f"{path}/links")
+    ids = nodes.select("id")
+    edges = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return nodes, edges
+
+
 def parse_fragment(answers: DataFrame) -> DataFrame:
     """Node and edge lists in model answers ``chunk, answer``: fences and prose around the JSON object are cut.
 

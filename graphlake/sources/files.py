@@ -27,6 +27,21 @@ def category(path: Column) -> Column:
     return F.when(mcp, "code").when(s.isin(*CODE_SUFFIXES), "code").when(s.isin(*PAPER_SUFFIXES), "paper").when(s.isin(*IMAGE_SUFFIXES), "image").when(s.isin(*VIDEO_SUFFIXES), "video").when(s.isin(*DOCUMENT_SUFFIXES), "document")
 
 
+def language_of(path: Column, registry: list[tuple[str, tuple[str, ...], tuple[str, ...]]]) -> Column:
+    """Language of a file by ``(language, suffixes, names)``: by its whole name, else by its longest suffix of several dots.
+
+    Of languages that claim one suffix or name the last counts; a leading dot begins no suffix.
+    """
+    suffixes = {x.lower(): language for language, own, _ in registry for x in own}
+    names = {x: language for language, _, own in registry for x in own}
+    table = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair]) if d else F.create_map(F.lit(""), F.lit(None).cast("string"))
+    name = name_of(path)
+    parts = F.split(F.lower(name), "\\.")
+    tails = F.transform(F.filter(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda k: (k <= F.size(parts)) & ((k > 2) | (F.element_at(parts, 1) != ""))), lambda k: F.concat(F.lit("."), F.array_join(F.slice(parts, k, F.size(parts) - k + 1), ".")))
+    known = F.filter(F.transform(tails, lambda t: F.try_element_at(table(suffixes), t)), lambda x: x.isNotNull())
+    return F.coalesce(F.try_element_at(table(names), name), F.get(known, F.lit(0)))
+
+
 def is_sensitive(path: Column) -> Column:
     """Credential stores, keys and secret settings; templates of them are not."""
     parts = F.split(path, "/")
