@@ -28,7 +28,8 @@ _NO_EDGES = "SELECT CAST(NULL AS STRING) AS source, CAST(NULL AS STRING) AS targ
     SELECT source, target, ord, 'calls' AS relation, CASE WHEN proven THEN 'EXTRACTED' ELSE 'INFERRED' END AS confidence, (CASE WHEN proven THEN 1.0 ELSE 0.85 END)::DOUBLE AS score FROM f"""
 )
 def resolve_calls(spark, sf_dir):
-    return resolve.resolve_calls(frame(spark, sf_dir, _CALLS), frame(spark, sf_dir, _DEFS), frame(spark, sf_dir, _IMPORTS), spark.sql(_NO_EDGES))
+    bound = resolve.resolve_calls(frame(spark, sf_dir, _CALLS), frame(spark, sf_dir, _DEFS), frame(spark, sf_dir, _IMPORTS), spark.sql(_NO_EDGES))
+    return bound.withColumn("ord", F.col("ord").cast("long"))
 
 
 _STUBBED = f"SELECT id, label, source_file FROM ({NODES}) UNION ALL SELECT concat('stub_', id), lower(label), '' FROM ({NODES}) WHERE source_file LIKE 'geo/%' UNION ALL SELECT 'stub_lost', 'nothing of that name', '' UNION ALL SELECT 'stub_used', 'unknown', ''"

@@ -45,7 +45,8 @@ _CALLED = f"SELECT source, target, 'calls' AS relation FROM ({EDGES}) WHERE sour
     FROM p JOIN k ON k.label = concat(p.callee, '()') AND callable AND NOT is_class LEFT JOIN c ON c.source = p.caller_id AND c.target = k.id WHERE c.source IS NULL"""
 )
 def indirect_calls(spark, sf_dir):
-    return languages.indirect_calls(frame(spark, sf_dir, _PASSED), frame(spark, sf_dir, _CALLABLES), frame(spark, sf_dir, _CALLED))
+    found = languages.indirect_calls(frame(spark, sf_dir, _PASSED), frame(spark, sf_dir, _CALLABLES), frame(spark, sf_dir, _CALLED))
+    return found.withColumn("ord", F.col("ord").cast("long"))
 
 
 #: Python files in one directory for each part size; a brand's initialiser makes a package.
