@@ -4,7 +4,7 @@ Terms are words, and stems that toxic texts use with several endings. A term cou
 different contexts (neighbour words) it has in toxic texts, so copies of one text teach nothing
 new. Its weight is the log ratio of its document rates in toxic and other texts. Unknown
 words are walked through a trie of the lexicon by a Levenshtein automaton, which finds terms
-within one edit; how far such a match is trusted is learned from the sample. Each
+within one edit; such a match weighs the less the more clean texts hold forms near its term. Each
 match is weighed by its context window: less inside quotation marks or after a word of
 reporting, more beside a word that addresses the reader. The weights of a text are summed and
 mapped to a score by a logistic fit on the sample.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,8 @@ QUOTED, ADDRESSED = 0.4, 1.25
 THRESHOLD = 0.5
 #: Share of toxic texts for which the point of score 0.5 is chosen.
 SHARE = 0.1
-MISSPELT = 0.02
+#: Share of a term's rate in toxic texts at which they are taken to misspell it.
+MISSPELT = 0.1
 
 _QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’"}
 _REPORTING = re.compile(r"\b(said|says|quoted?|quoting|wrote|called|the (?:word|term|insult)|sagte|schrieb|zitat|dit|écrit|citation|dijo|escribió|cita)\W*$", re.I)
@@ -100,8 +102,10 @@ def _hashed(words, texts: list[str]) -> np.ndarray:
 class Lexicon:
     """Terms with weights, ready for whole slices of text at once."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], trusted: float = 0.0, clean_near: frozenset[str] = frozenset(), fit: tuple[float, float] = (-3.0, 2.0)):
-        self.words, self.stems, self.trusted, self.clean_near, self.fit = words, stems, trusted, clean_near, fit
+    def __init__(self, words: dict[str, float], stems: dict[str, float], trusted: float = 0.0, clean_near: frozenset[str] = frozenset(), fit: tuple[float, float] = (-3.0, 2.0), misspelt: dict[str, float] | None = None):
+        #: ``misspelt`` holds each word's weight when misspelled; without it that is its share ``trusted`` of its own.
+        self.misspelt = {w: x * trusted for w, x in words.items()} if misspelt is None else misspelt
+        self.words, self.stems, self.clean_near, self.fit = words, stems, clean_near, fit
         self._built = None
 
     def __getstate__(self):
@@ -179,7 +183,7 @@ class Lexicon:
         for i in sorted({*np.flatnonzero(weight).tolist(), *near}):
             text = int(np.searchsorted(first, i, "right")) - 1
             if i in near:
-                yield text, int(s[i]), int(e[i]), self.words[near[i]] * self.trusted, near[i]
+                yield text, int(s[i]), int(e[i]), self.misspelt[near[i]], near[i]
             else:
                 yield text, int(s[i]), int(e[i]), float(weight[i]), None
 
@@ -266,7 +270,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _cut(x: np.ndarray, y: np.ndarray) -> float | None:
-    """The middle of the widest gap at which the fewest texts are misjudged, were ``SHARE`` of them toxic."""
+    """A third into the widest gap at which the fewest texts are misjudged, were ``SHARE`` of them toxic.
+
+    The gap holds no text of the sample; its upper part is left to texts with one sure term.
+    """
     order = np.argsort(x, kind="stable")
     x, y = x[order], y[order]
     missed = np.cumsum(y) / max(1, y.sum()) * SHARE
@@ -277,7 +284,7 @@ def _cut(x: np.ndarray, y: np.ndarray) -> float | None:
     cost = np.where(gap > 0, (missed + blamed)[:-1], np.inf)
     best = np.flatnonzero(cost <= cost.min() + 1e-12)
     k = best[np.argmax(gap[best])]
-    return float((x[k] + x[k + 1]) / 2)
+    return float((2 * x[k] + x[k + 1]) / 3)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Lexicon:
@@ -349,21 +356,22 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
                     if term is None:
                         sure[text] += w * context_factor(bytes(data[left:a]).decode(errors="ignore"), bytes(data[b:right]).decode(errors="ignore"))
                     else:
-                        near[text].append(bytes(lowered(data[a:b])).decode(errors="ignore").lower())
+                        near[text].append(bytes(lowered(data[a:b])).decode(errors="ignore").lower() + " " + term)
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), pa.array(sure), pa.array(near, pa.list_(pa.string()))], names=["label", "sure", "near"])
 
     rows = sample.select("label", "text").mapInArrow(trials, "label int, sure double, near array<string>").toArrow().to_pylist()
-    clean_near = frozenset(w for r in rows if not r["label"] for w in r["near"])
-    # Trust in a misspelling: how much oftener toxic than other texts hold one and no other match, by
-    # half-samples; MISSPELT is the rate among toxic texts that is taken for granted.
-    half = frozenset(w for k, r in enumerate(rows) if k % 2 and not r["label"] for w in r["near"])
-    only = [r for k, r in enumerate(rows) if k % 2 == 0 and not r["sure"] and any(w not in half for w in r["near"])]
-    toxic = sum(r["label"] / max(1, nt) for r in only) + MISSPELT
-    other = sum((1 - r["label"]) / max(1, nc) for r in only) + 1 / max(2, nc)
-    trusted = max(0.0, min(1.0, math.log(max(1.0, toxic / other)) / 5))
+    rows.sort(key=lambda r: (r["label"], r["sure"], r["near"]))  # the halves below depend on no order of tasks
+    texts = [[x.split(" ") for x in r["near"]] for r in rows if not r["label"]]
+    clean_near = frozenset(w for near in texts for w, _ in near)
+    # A misspelling weighs the log ratio of its rates, as a term does: in toxic texts MISSPELT of the term's own rate is
+    # taken for granted; in clean texts the forms near it are counted that the other half of them does not know.
+    half = frozenset(w for near in texts[1::2] for w, _ in near)
+    odd = Counter(t for near in texts[::2] for t in {t for w, t in near if w not in half})
+    rate = {r["term"]: MISSPELT * r["docs"] / (nt + 1) for r in terms if not r["stem"]}
+    misspelt = {t: max(0.0, min(x, math.log(rate[t] / ((odd[t] + 0.5) / (len(texts[::2]) + 1))))) for t, x in weights[False].items()}
     y = np.array([r["label"] for r in rows], float)
     x = np.log1p(np.array([r["sure"] for r in rows], float))
-    return Lexicon(weights[False], weights[True], trusted, clean_near, _logistic(x, y))
+    return Lexicon(weights[False], weights[True], clean_near=clean_near, fit=_logistic(x, y), misspelt=misspelt)
 
 
 def scores(lexicon: Lexicon, batch: pa.RecordBatch, text_col: str) -> np.ndarray:
