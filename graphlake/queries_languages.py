@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphlake.operators import languages, merge, search
 from graphlake.plans.fixtures import EDGES, NODES, frame
 from graphlake.queries import _BASE, _graph, query
-from graphlake.sources import files
+from graphlake.sources import code, files
 
 #: Suppliers reference types ``brand.Type`` of parts; half of the brands are imported, some types are the project's own.
 _GO_TYPES = "SELECT concat('own_', p_partkey) AS id, concat('example.org/', lower(replace(p_brand, '#', ''))) AS import_path, replace(p_type, ' ', '') AS name FROM part WHERE p_size < 10"
@@ -113,3 +113,20 @@ def language_lookup(spark, sf_dir):
 @query(f"{_BASE} SELECT id, label, source_file, degree FROM nd WHERE community = 3")
 def community_members(spark, sf_dir):
     return search.community_members(*_graph(spark, sf_dir), 3)
+
+
+
+
+def _facts(spark):
+    rows = [("t.py", 'def run(x):\n    return x\nTABLE = {"a": run}\nmap(run, key=run)\ngetattr(o, "stop")\n'), ("p.astro", '---\nimport { h } from "./h"\n---\n<p>import no from "no"</p>\n<script>\nfunction go() {\n}\n</script>\n')]
+    return code.extract_code(spark.createDataFrame(rows, "path string, content string"))
+
+
+@query("SELECT * FROM (VALUES ('t.py', 'run', 3, 'table'), ('t.py', 'run', 4, 'argument'), ('t.py', 'run', 4, 'argument'), ('t.py', 'o', 5, 'argument'), ('t.py', 'stop', 5, 'getattr')) AS t(path, name, line, target)")
+def indirect_references(spark, sf_dir):
+    return _facts(spark).filter("kind = 'indirect'").select("path", "name", "line", "target")
+
+
+@query("SELECT * FROM (VALUES ('p.astro', 'import', './h', 2), ('p.astro', 'function', 'go', 6)) AS t(path, kind, name, line)")
+def component_scripts(spark, sf_dir):
+    return _facts(spark).filter("path = 'p.astro'").select("path", "kind", "name", "line")

@@ -1,8 +1,9 @@
 """Per-file extraction: Python by its own syntax tree, other languages by line patterns.
 
 Both return one table ``path, kind, name, owner, line, end_line, target``: definitions (class, function, method),
-imports, calls (target is the callee, owner the innermost definition) and bases. A file that cannot be
-parsed gives one ``error`` row and no others.
+imports, calls (target is the callee, owner the innermost definition), bases and, of Python, names used as
+values (``indirect``, target is the place: argument, table or getattr). Of component files only the scripts
+are read, at their own lines. A file that cannot be parsed gives one ``error`` row and no others.
 """
 
 from __future__ import annotations
@@ -69,8 +70,29 @@ class _Walk(ast.NodeVisitor):
     def visit_Call(self, node: ast.Call) -> None:
         if name := _dotted(node.func):
             self.add("call", name.rsplit(".", 1)[-1], node, name)
+        for given in [*node.args, *(k.value for k in node.keywords)]:
+            self.handed_on(given, "argument")
+        if name == "getattr" and len(node.args) > 1 and isinstance(node.args[1], ast.Constant) and isinstance(node.args[1].value, str):
+            self.add("indirect", node.args[1].value, node, "getattr")
         self.generic_visit(node)
 
+    def handed_on(self, node: ast.AST, context: str) -> None:
+        """A name that is used as a value where a function may be meant; local names bind to nothing later."""
+        if isinstance(node, ast.Name):
+            self.add("indirect", node.id, node, context)
+
+    def visit_Dict(self, node: ast.Dict) -> None:
+        for value in node.values:
+            self.handed_on(value, "table")
+        self.generic_visit(node)
+
+    def visit_List(self, node: ast.List) -> None:
+        for value in node.elts:
+            self.handed_on(value, "table")
+        self.generic_visit(node)
+
+    visit_Tuple = visit_Set = visit_List
+
 
 def _python(path: str, text: str) -> list[tuple]:
     walk = _Walk(path)
@@ -88,7 +110,26 @@ _KEYWORDS = frozenset("assert catch class constructor def do elif else elsif exc
 _COMMENT = re.compile(r"^\s*(?://|#(?!include)|\*|/\*|--)")
 
 
+_SCRIPT = re.compile(r"<script\b[^>]*>(.*?)</script\s*>", re.S | re.I)
+_FENCED = re.compile(r"\A\s*---[ \t]*\n(.*?)^---[ \t]*$", re.S | re.M)
+
+
+def scripts_only(path: str, text: str) -> str:
+    """A component file with all but its scripts blank, line for line: the leading fenced part and script elements."""
+    if not path.endswith((".astro", ".vue", ".svelte")):
+        return text
+    spans = [m.span(1) for m in _SCRIPT.finditer(text)]
+    if path.endswith(".astro") and (m := _FENCED.match(text)):
+        spans = [m.span(1), *(s for s in spans if s[0] >= m.end())]
+    out, place = [], 0
+    for a, b in spans:
+        out += [re.sub(r"[^\n]", " ", text[place:a]), text[a:b]]
+        place = b
+    return "".join([*out, re.sub(r"[^\n]", " ", text[place:])])
+
+
 def _patterns(path: str, text: str) -> list[tuple]:
+    text = scripts_only(path, text)
     rows, open_defs, depth = [], [], 0
     for number, line in enumerate(text.split("\n"), 1):
         if _COMMENT.match(line):
