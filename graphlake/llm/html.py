@@ -40,9 +40,10 @@ _BLOCK = set(
 #: Elements that are never part of an article.
 _NEVER = set("nav footer aside form head button select dialog menu input label fieldset canvas audio video".split())
 _NAMES = re.compile(
-    r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widget|ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|notification|alert|popup|modal|subscribe|newsletter|login|signup|share|sharing|social|related|recommend\w*|comments?|disqus|replies|reply|respond|form|search|pagination|pager|toolbar|copyright)(?:$|[-_\s\d])",
+    r"(?:^|[-_\s])(nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widget|ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|notification|alert|popup|modal|subscribe|newsletter|login|signup|share|sharing|social|related|recommend\w*|comments?|disqus|replies|reply|respond|form|search|pagination|pager|toolbar|copyright|discussion|feedback|overlay|gdpr)(?=$|[-_\s\d])",
     re.I,
 )
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 _CLOSES_P = _BLOCK - {"br", "body", "html", "head", "caption", "dd", "dt", "li", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "figcaption", "summary"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
@@ -72,8 +73,11 @@ def _never(name: str, attributes: str, parent: Element) -> bool:
             key = key.lower()
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in _ROLES:
                 return True
-            if key in ("class", "id") and _NAMES.search(value):
-                return True
+            if key in ("class", "id"):
+                found = {m.group(1).lower() for m in _NAMES.finditer(value + " " + _CAMEL.sub("-", value))}
+                # The head of an article holds its title.
+                if found - ({"header"} if inside.parent is not None else set()):
+                    return True
     elif attributes and name == "article" and re.search(r"comment|reply|advert|teaser|related|promo", attributes, re.I):
         return True
     return False

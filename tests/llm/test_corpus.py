@@ -354,3 +354,9 @@ def test_pipeline_stages_awkward(spark):
 def test_html_bounds_and_entities():
     page = "<body><div id='main'><p>One &eacute;&#233;&#x2014; two,&nbsp;three. And more words, so that it is long enough.</p><p>a&lt;b</p></div><div class='comments'><p>I disagree, strongly, with all of this, and here is why.</p></div></body>"
     assert html.main_text(page) == "One éé— two, three. And more words, so that it is long enough. a<b"
+
+
+def test_html_names_of_blocks():
+    story = "<p>A first, rather long paragraph, with several marks; and more of it.</p><p>And a second one, which is as long as the first, or nearly so.</p>"
+    page = f"<body><div class='siteHeader'>Site</div><div id='mainNav'>Menu</div><article><div class='article-header'><h1>Title</h1></div>{story}<div class='cookieNotice'>Ok?</div><div class='post-footer'>Share</div></article><div class='page_sideBar'>More</div><ol class='user-comments'><li>First, and so on, and so on.</li></ol></body>"
+    assert html.main_text(page) == "Title A first, rather long paragraph, with several marks; and more of it. And a second one, which is as long as the first, or nearly so."
