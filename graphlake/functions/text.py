@@ -65,9 +65,10 @@ def tokens(text: Column) -> Column:
 
 def entropy(label: Column) -> Column:
     """Shannon entropy of the label's characters, in bits."""
-    chars = F.filter(F.split(label, ""), lambda c: c != "")
-    n = F.size(chars)
-    parts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)) / n)
+    chars = F.filter(F.array_distinct(F.split(label, "")), lambda c: c != "")
+    n = F.length(label)
+    # A character's count is what the label loses without it: one pass over the string for each distinct one.
+    parts = F.transform(chars, lambda c: (n - F.length(F.replace(label, c, F.lit("")))) / n)
     return F.when(n > 0, -F.aggregate(parts, F.lit(0.0), lambda a, p: a + p * F.log2(p))).otherwise(0.0)
 
 
