@@ -300,6 +300,37 @@ def test_license_dice(spark):
     assert licenses.license_matches(awkward(spark)).count() == 12 and licenses.license_matches(awkward(spark, True)).count() == 0
 
 
+def test_license_windows(spark):
+    mit, apache = licenses.WHOLE["MIT"], licenses.WHOLE["Apache-2.0"][0]
+    comment = "#!/bin/sh\n#\n# " + "\n# ".join(re.findall(r".{1,60}(?: |$)", apache)) + "\n#\nexit 0"
+    texts = [
+        ("Copyright 2021 Acme. Released under the MIT License.", "MIT", 1.0, 1),
+        ("This article is licensed under CC BY 4.0.", "CC-BY-4.0", 1.0, 1),
+        ("word " * 300 + mit[0] + " word" * 300, "MIT", 1.0, 1),
+        ("MIT License\n\nCopyright (c) 2020 A B\n\n" + mit[0] + "\n\n" + mit[1][len(mit[0]) :], "MIT", 1.0, None),
+        (comment, "Apache-2.0", 1.0, None),
+        ("We say: released under the MIT License. They say: licensed under CC BY 4.0.", "CC-BY-4.0", 1.0, 2),
+        ("x\n\nReleased under the MIT License.\n\ny", "MIT", 1.0, 1),
+        ("Licensed words under many of the general conditions of a permission.", None, 0.0, 0),
+        ("word", None, 0.0, 0),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(texts)], "doc_id int, text string")
+    got = {r.doc_id: r for r in licenses.license_matches(docs).collect()}
+    for i, (text, name, dice, n) in enumerate(texts):
+        assert (got[i].license, got[i].dice) == (name, dice), text[:80]
+        assert n is None or len(got[i].licenses) == n, got[i].licenses
+    # Every window of every template, by brute force: the best Dice of a text is found.
+    for i, (text, name, dice, _) in enumerate(texts):
+        w, best = licenses._words(text), 0.0
+        for t in (t for g in (licenses.TEMPLATES, licenses.WHOLE) for ts in g.values() for t in ts):
+            v = licenses._words(t)
+            own = set(zip(v, v[1:]))
+            for k in range(max(1, len(w) - len(v) + 1)):
+                part = set(zip(w[k : k + len(v)], w[k + 1 : k + len(v)]))
+                best = max(best, 2 * len(part & own) / (len(part) + len(own)))
+        assert got[i].dice == pytest.approx(best if best >= licenses.THRESHOLD else 0.0, abs=1e-8), text[:80]
+
+
 def test_queries_with_sql(spark):
     import duckdb
 
