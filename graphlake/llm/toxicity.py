@@ -27,7 +27,7 @@ from graphlake.llm.labelled import training_sample
 
 #: Labelled rows of each class that the lexicon and the fit use.
 PER_CLASS = 6000
-MIN_CONTEXTS, MIN_RATIO, MIN_ENDINGS, CANDIDATES = 4, 20.0, 3, 20000
+MIN_CONTEXTS, MIN_RATIO, MIN_ENDINGS = 4, 20.0, 3
 STEM = range(4, 13)
 FUZZY_LENGTH, WINDOW_CHARS = 5, 80
 QUOTED, ADDRESSED = 0.4, 1.25
@@ -297,52 +297,21 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     nt, nc = size.get(1, 0), size.get(0, 0)
     if not nt:
         return Lexicon({}, {}, fit=(-5.0, 1.0))
+    form = "term string, stem boolean, contexts long, endings long, docs long"
     terms = (
-        sample.filter("label = 1").select("text").mapInArrow(_terms_of, "term string, stem boolean, contexts long, endings long, docs long")
+        sample.filter("label = 1").select("text").mapInArrow(_terms_of, form)
         .groupBy("term", "stem").agg(F.bit_count(F.bit_or("contexts")).alias("contexts"), F.bit_count(F.bit_or("endings")).alias("endings"), F.sum("docs").alias("docs"))
         .filter(f"contexts >= {MIN_CONTEXTS} and (not stem or endings >= {MIN_ENDINGS})")
-        .orderBy(F.desc(F.col("contexts") * F.length("term")), "term", "stem").limit(CANDIDATES).collect()
     )
-    words = {r["term"]: 1.0 for r in terms if not r["stem"]}
-    stems = {r["term"]: 1.0 for r in terms if r["stem"]}
-    shared = docs.sparkSession.sparkContext.broadcast((Lexicon(words, {}), Lexicon({}, stems)))
-
-    def clean_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = plain_words()
-        seen: dict[tuple[str, bool], int] = {}
-        for batch in batches:
-            for _, _, data, off in text_slices(batch, "text"):
-                for stem, lex in zip((False, True), shared.value, strict=True):
-                    known = lex.stems if stem else lex.words
-                    hits = set()
-                    low = lowered(data)
-                    s, e, first = tok.split(low, off)
-                    uniq = {}
-                    h = tok.hashes(low, s, e)
-                    text = np.repeat(np.arange(len(off) - 1), np.diff(first))
-                    _, index, inverse = np.unique(h, return_index=True, return_inverse=True)
-                    for k, i in enumerate(index.tolist()):
-                        w = bytes(low[s[i] : e[i]]).decode(errors="ignore").lower()
-                        own = [w[:n] for n in STEM if n < len(w) and w[:n] in known] if stem else [w] if w in known else []
-                        if own:
-                            uniq[k] = own
-                    hit = np.isin(inverse.reshape(-1), np.array(list(uniq), np.int64))
-                    for k, d in zip(inverse.reshape(-1)[hit].tolist(), text[hit].tolist(), strict=True):
-                        hits.update((t, d) for t in uniq[k])
-                    for t, _ in hits:
-                        seen[t, stem] = seen.get((t, stem), 0) + 1
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen]), pa.array(list(seen.values()), pa.int64())], names=["term", "stem", "n"])
-
-    clean = {(r["term"], r["stem"]): r["n"] for r in sample.filter("label = 0").select("text").mapInArrow(clean_counts, "term string, stem boolean, n long").groupBy("term", "stem").agg(F.sum("n").alias("n")).collect()}
-    need = math.log(max(2, len(terms)))
+    clean = sample.filter("label = 0").select("text").mapInArrow(_terms_of, form).groupBy("term", "stem").agg(F.sum("docs").alias("n"))
+    ratio = (F.col("docs") / (nt + 1)) / ((F.coalesce("n", F.lit(0)) + 0.5) / (nc + 1))
+    # Contexts beyond what the clean rate explains; copies of one text have one context.
+    surprise = F.least("contexts", "docs") * F.log(F.greatest("ratio", F.lit(1e-9)) * max(1.0, nt / max(1, nc)))
+    need = math.log(max(2, terms.count()))
+    terms = terms.join(clean, ["term", "stem"], "left").withColumn("ratio", ratio).filter((F.col("ratio") >= MIN_RATIO) & (surprise > need + 5)).collect()
     weights: dict[bool, dict[str, float]] = {False: {}, True: {}}
-    for r in terms:
-        ratio = (r["docs"] / (nt + 1)) / ((clean.get((r["term"], r["stem"]), 0) + 0.5) / (nc + 1))
-        # Contexts beyond what the clean rate explains; copies of one text have one context.
-        surprise = min(r["contexts"], r["docs"]) * math.log(max(ratio, 1e-9) * max(1.0, nt / max(1, nc)))
-        if ratio >= MIN_RATIO and surprise > need + 5:
-            weights[r["stem"]][r["term"]] = math.log(ratio)
+    for r in sorted(terms, key=lambda r: (r["term"], r["stem"])):
+        weights[r["stem"]][r["term"]] = math.log(r["ratio"])
     first = Lexicon(weights[False], weights[True], trusted=1.0)
     trial = docs.sparkSession.sparkContext.broadcast(first)
 

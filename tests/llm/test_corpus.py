@@ -292,6 +292,16 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.contamination(awkward(spark, True), b).count() == 0
 
 
+def test_lexicon_keeps_short_terms_among_many_candidates(spark):
+    rng = np.random.default_rng(0)
+    words = ["".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (20_500, 12))]
+    pile = [words[i] for _ in range(10) for i in rng.permutation(len(words))]
+    parts = [" ".join(pile[k::40]) for k in range(40)]
+    rows = [(k, t + (f" left{k % 8} zorg right{k % 8}" if k < 40 else ""), int(k < 40)) for k, t in enumerate(parts + parts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert "zorg" in toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")).words
+
+
 def test_license_dice(spark):
     docs = spark.createDataFrame([(1, "x\nReleased under the MIT License.\ny"), (2, "released UNDER the (mit) license"), (3, "nothing of the kind here"), (4, None), (5, "This work is licensed under the\nGNU General Public License, version 3.")], "doc_id int, text string")
     got = {r.doc_id: (r.license, len(r.licenses)) for r in licenses.license_matches(docs).collect()}
