@@ -33,7 +33,7 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    return tokenfile.round_trip(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, end_id=2)
+    return tokenfile.round_trip(table(spark, sf_dir, "documents"), vocabulary, end_id=2)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

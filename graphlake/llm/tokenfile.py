@@ -1,24 +1,28 @@
 """Token-id files: blocks of ids under an adaptive context-mixing range coder.
 
-A block holds whole documents (or a part of one very long document) and is coded on its own:
-its models start empty and its header carries a checksum of the ids and of the coded bytes, so
-blocks can be written, read and repaired in any order. For each id the order-2 and order-1
-contexts each predict the id that followed them last. The chances that they are right come from
-adaptive counters, by what the last guesses came to and by whether both guesses agree, whose opinions
-are mixed under adaptive weights. The mixed chances split the coder's range into "the order-2
-guess", "the order-1 guess" and "neither"; in the last case the id's bytes follow under
-order-0 frequencies that are renewed ever more seldom.
-
-Many blocks are coded in lockstep as lanes of numpy arrays. Whole-number arithmetic keeps writers
-and readers equal on all machines.
+A block holds whole documents (or a part of one very long document) and is coded on its own: its
+models start empty and its header carries a checksum of the ids and of the coded bytes, so blocks
+can be written, read and repaired in any order. A block is cut into up to ``STRANDS`` equal runs that
+are coded side by side and learn from each other.
+
+For each id the contexts of the last two ids and of the last one guess the id that followed them last,
+with a level of trust that grows with each right guess. Both levels, and whether the guesses agree,
+select the mixed shares of "the order-2 guess", "the order-1 guess" and "neither", which follow what
+such guesses came to in the block so far. In the last case the id follows under the order-0 shares of
+the ids that no guess named so far; an id that has none follows as plain bits. All shares are
+renewed ever more seldom, at doubling steps.
+
+Many strands of many blocks are coded in lockstep as lanes of numpy arrays. Whole-number arithmetic
+keeps writers and readers equal on all machines.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,263 +31,361 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.llm._common import released, saved, slim
+from graphlake.llm._common import discard, released, saved, slim, text_slices
 
-TARGET, LIMIT, LANES = 2048, 4096, 2048
-MAGIC = b"GLTK"
-_HEAD = struct.Struct("<4sBIII")  # magic, bytes of an id, ids, crc32 of the ids, coded bytes
-#: Bits of the chances of a guess and of a digit; three symbols fit between two looks at the range.
-_GUESS, _DIGIT = 10, 11
-_ONE, _WHOLE = 1 << _GUESS, 1 << _DIGIT
+#: Ids after which a block is closed, most ids of a block, its strands, and blocks coded at a time.
+TARGET, LIMIT, STRANDS, BLOCKS_AT_ONCE = 12288, 24576, 16, 256
+MAGIC = b"GLT2"
+_HEAD = struct.Struct("<4sBII")  # magic, bytes of an id, ids, crc32 of the ids; then bytes of each strand
+#: Bits of the shares of guesses and of order 0; ids that order 0 may list.
+_GUESS, _SLOT = 10, 12
+_ONE, _SLOTS = 1 << _GUESS, 1 << _SLOT
+_LISTED = 2048
 #: The range lies in 2**32 to 2**48; below, 16 bits are shifted out.
 _LEAST, _TOP = 1 << 32, 1 << 48
-#: Hash bits of the contexts of one and of two ids, and places of one lane's table of digit shares.
-_SH1, _SH2, _ROW = 9, 10, 259
-
-
-class Models:
-    """Adaptive state of ``lanes`` blocks: ``chances`` before, ``learn`` after each id."""
-
-    def __init__(self, lanes: int, digits: int, inverse: bool = False):
-        self.lanes, self.digits, self.inverse = lanes, digits, inverse
-        lane = np.arange(lanes, dtype=np.int64)
-        self.at1, self.at2, self.at8, self.at16, self.row = lane << _SH1, lane << _SH2, lane << 3, lane << 4, lane * _ROW
-        self.guess1, self.guess2 = np.zeros(lanes << _SH1, np.int32), np.zeros(lanes << _SH2, np.int32)
-        self.by2, self.by1, self.one = np.full(lanes * 8, 1 << 14, np.int32), np.full(lanes * 16, 1 << 14, np.int32), np.full(lanes * 8, 1 << 13, np.int32)
-        self.weight = np.full(lanes, 128, np.int32)
-        self.recent = np.zeros(lanes, np.int64)
-        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.count = [np.zeros((lanes, 256), np.int64) for _ in range(digits)]
-        self.cum = [np.zeros((lanes, _ROW), np.int64) for _ in range(digits)]
-        self.symbol = [np.zeros(0, np.uint8)] * digits
-        for d in range(digits):
-            # The last two places are the share of a digit that is not coded: all of it.
-            self.cum[d][:, 258] = _WHOLE
-            self._share(d, lanes)
-
-    def _share(self, d: int, n: int) -> None:
-        c = np.cumsum(1 + 24 * self.count[d][:n], axis=1)
-        self.cum[d][:n, 1:257] = c * (_WHOLE - 256) // c[:, -1:] + np.arange(1, 257)
-        if self.inverse:
-            mark = np.zeros((n, _WHOLE), np.uint8)
-            mark[np.arange(n)[:, None], self.cum[d][:n, 1:256]] = 1
-            self.symbol[d] = np.cumsum(mark, axis=1, dtype=np.uint8).reshape(-1)
-
-    def refresh(self, n: int, ids: np.ndarray, coded: np.ndarray) -> None:
-        """Take the digits of ``ids`` (steps x lanes) that were ``coded`` since the last time into the order-0 shares."""
-        step, lane = np.nonzero(coded[:, :n])
-        value = ids[step, lane]
-        for d in range(self.digits):
-            at = (lane << 8) + ((value >> (8 * (self.digits - 1 - d))) & 255)
-            self.count[d][:n] += np.bincount(at, minlength=n << 8).reshape(n, 256)
-            self._share(d, n)
-
-    def chances(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Guesses of order 2 and 1 for the first ``n`` lanes, 0 for none and else the id plus 1, and their shares of the range."""
-        h = self.last[:n] * np.uint32(0x9E3779B1)
-        self.k1 = self.at1[:n] + (h >> np.uint32(32 - _SH1))
-        self.k2 = self.at2[:n] + ((h + self.before[:n] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _SH2))
-        g1, g2 = self.guess1.take(self.k1), self.guess2.take(self.k2)
-        same = g1 == g2
-        self.has2, self.has1 = (g2 > 0).astype(np.int32), ((g1 > 0) & ~same).astype(np.int32)
-        self.a = self.at8[:n] + self.recent[:n]
-        self.b = self.at16[:n] + self.recent[:n] + (same.view(np.int8) << 3)
-        self.pa, self.pb, self.pc = self.by2.take(self.a), self.by1.take(self.b), self.one.take(self.a)
-        w = self.weight[:n]
-        f2 = (((self.pb << 8) + (self.pa - self.pb) * w) >> 14) + 1
-        f2 = np.minimum(f2, _ONE - 64) * self.has2
-        rest = _ONE - f2
-        f1 = np.minimum(((rest * self.pc) >> 16) + 1, rest - 16) * self.has1
-        return g2, g1, f2, f1
-
-    def learn(self, n: int, named: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+#: Hash bits of the contexts of one and of two ids, and the states of their two levels of trust.
+_SH1, _SH2, _STATES = 10, 12, 32
+_TABLE = _SLOTS + 1
+
+
+def _first_shares() -> np.ndarray:
+    """Shares of the two guesses before anything is known, by state: order-2 trust, order-1 trust, agreement."""
+    s = np.arange(_STATES)
+    by2 = np.array([0, 300, 600, 800])[s >> 3]
+    by1 = np.array([0, 100, 250, 500])[(s >> 1) & 3] * (1 - (s & 1))
+    return np.stack([by2, by1 * (1000 - by2) // 1000, 1000 - by2 - by1 * (1000 - by2) // 1000], 1)
+
+
+_PRIOR = _first_shares()
+
+
+def _strands(n: int) -> int:
+    """Strands of a block of ``n`` ids: short blocks have fewer."""
+    return min(STRANDS, 1 + n // 512)
+
+
+def _plain(digits: int) -> list[tuple[int, int]]:
+    """Bits and shifts in which an id of ``digits`` bytes is written as plain bits."""
+    return [(min(16, left), left - min(16, left)) for left in range(8 * digits, 0, -16)]
+
+
+class Lanes:
+    """The strands of some blocks, longest first, and the models they share block by block."""
+
+    def __init__(self, sizes: list[int]):
+        self.blocks = len(sizes)
+        steps = np.array([-(-n // _strands(n)) for n in sizes], np.int64)
+        begin = np.minimum(np.arange(STRANDS)[None, :] * steps[:, None], np.array(sizes, np.int64).reshape(-1, 1))
+        length = np.minimum(begin + steps[:, None], np.array(sizes, np.int64).reshape(-1, 1)) - begin
+        lanes = np.argsort(-length.ravel(), kind="stable")
+        self.n = int((length > 0).sum())
+        lanes = lanes[: self.n]
+        self.block, self.strand = lanes // STRANDS, lanes % STRANDS
+        self.begin, self.length = begin.ravel()[lanes], length.ravel()[lanes]
+        self.steps = int(self.length.max(initial=0))
+        self.active = np.searchsorted(-self.length, -np.arange(self.steps), "left").tolist()
+        self.at1, self.at2 = self.block << _SH1, self.block << _SH2
+        self.states, self.row = (self.block * _STATES), self.block * _TABLE
+        self.heard1, self.heard2 = np.zeros(self.blocks << _SH1, np.int32), np.zeros(self.blocks << _SH2, np.int32)
+        self.last, self.before = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
+        self.seen = np.zeros((self.blocks, _STATES, 3), np.int64)
+        self.state = np.zeros((self.steps, self.n), np.uint8)
+        self.kind = np.zeros((self.steps, self.n), np.uint8)
+        self.named, self.counts = np.zeros(0, np.int64), np.zeros((self.blocks, 0), np.int64)
+        self._settle_shares()
+        # Order 0: for each block and slot the id plus 1 (0: none of those listed), its first slot and its slots.
+        self.table = np.zeros((self.blocks, _TABLE), np.int64)
+        self.table[:, :_SLOTS] = _SLOTS
+        self.table[:, _SLOTS] = _SLOTS
+
+    def _settle_shares(self) -> None:
+        hits = self.seen + _PRIOR[None] * 3 / 1000
+        part = hits / hits.sum(2, keepdims=True)
+        f2 = np.clip((part[:, :, 0] * _ONE).astype(np.int64), 1, _ONE - 64)
+        f1 = np.clip((part[:, :, 1] * _ONE).astype(np.int64), 1, _ONE - 32 - f2)
+        self.share2, self.both = f2.ravel(), (f2 + f1).ravel()
+
+    def chances(self, step: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What orders 2 and 1 heard last in the contexts (id plus 1, times 4, plus trust), the share of the first, and of both."""
+        h = self.last[:m] * 0x9E3779B1
+        self.k1 = ((h >> (32 - _SH1)) & ((1 << _SH1) - 1)) + self.at1[:m]
+        h += self.before[:m]
+        h &= 0x7FFFFFFF
+        h *= 0x85EBCA6B
+        h >>= 32 - _SH2
+        h &= (1 << _SH2) - 1
+        h += self.at2[:m]
+        self.k2 = h
+        e1, e2 = self.heard1[self.k1].astype(np.int64), self.heard2[h].astype(np.int64)
+        state = (e2 & 3) << 3
+        state |= (e1 & 3) << 1
+        state |= (e1 ^ e2) < 4
+        self.state[step, :m] = state
+        state += self.states[:m]
+        return e2, e1, self.share2[state], self.both[state]
+
+    def learn(self, m: int, named: np.ndarray, e2: np.ndarray, e1: np.ndarray) -> None:
         """``named`` is the id plus 1."""
-        goal2, goal1 = hit2 * np.int32(65535), hit1 * np.int32(65535)
-        off2, off1 = goal2 - self.pa, goal2 - self.pb
-        self.by2[self.a] = self.pa + (off2 >> 4) * self.has2
-        self.by1[self.b] = self.pb + (off1 >> 4) * self.has2
-        self.one[self.a] = self.pc + ((goal1 - self.pc) >> 4) * (self.has1 & ~hit2.view(np.int8))
-        w = self.weight[:n] + ((np.abs(off1) - np.abs(off2)) >> 11) * self.has2
-        self.weight[:n] = np.minimum(np.maximum(w, 16), 240)
-        self.recent[:n] = ((self.recent[:n] << 1) | (hit2 | hit1)) & 7
-        self.guess1[self.k1] = named
-        self.guess2[self.k2] = named
-        self.before[:n] = self.last[:n]
-        self.last[:n] = named
+        fresh = (named << 2) + 1
+        most = fresh + 2
+        self.heard1[self.k1] = np.where((e1 ^ most) < 4, np.minimum(e1 + 1, most), fresh)
+        self.heard2[self.k2] = np.where((e2 ^ most) < 4, np.minimum(e2 + 1, most), fresh)
+        self.before[:m] = self.last[:m]
+        self.last[:m] = named
+
+    def renew(self, ids: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Take steps ``lo`` to ``hi`` of ``ids`` (steps x lanes) into the shares; returns order 0 as keys, first slots and slots."""
+        valid = np.arange(lo, hi)[:, None] < self.length[None, :]
+        cell = (self.states[None, :] + self.state[lo:hi]) * 3 + self.kind[lo:hi]
+        self.seen += np.bincount(cell[valid], minlength=self.blocks * _STATES * 3).reshape(self.seen.shape)
+        self._settle_shares()
+        missed = valid & (self.kind[lo:hi] == 2)
+        new = ids[lo:hi][missed]
+        if not len(new) and not len(self.named):
+            return None
+        there = np.zeros(1 + max(int(new.max(initial=0)), int(self.named.max(initial=0))), bool)
+        there[new] = there[self.named] = True
+        named = np.flatnonzero(there)
+        rank = np.cumsum(there) - 1
+        width = len(named)
+        cell = rank[new] + np.broadcast_to(self.block * width, missed.shape)[missed]
+        counts = np.bincount(cell, minlength=self.blocks * width).reshape(self.blocks, width)
+        counts[:, rank[self.named]] += self.counts
+        self.named, self.counts = named, counts
+        cell = np.flatnonzero(counts)
+        total = counts.reshape(-1)[cell]
+        block = cell // width
+        keep, least = np.ones(len(cell), bool), 1
+        while True:
+            many = np.bincount(block[keep], minlength=self.blocks) > _LISTED
+            if not many.any():
+                break
+            least += 1
+            keep &= ~(many[block] & (total < least))
+        mass = np.bincount(block, total, self.blocks)
+        stray = np.bincount(block, np.where(keep & (total > 1), 0, np.where(keep, 1, total)), self.blocks)
+        cell, block, total = cell[keep], block[keep], total[keep]
+        own = np.bincount(block, minlength=self.blocks)
+        spare = np.clip((stray * (_SLOTS - own) / np.maximum(mass, 1)).astype(np.int64), 16, _SLOTS // 2)
+        held = np.bincount(block, total, self.blocks).astype(np.int64)
+        slots = 1 + total * (_SLOTS - own - spare)[block] // np.maximum(held, 1)[block]
+        end = np.cumsum(slots)
+        used = np.bincount(block, slots, self.blocks).astype(np.int64)
+        base = np.concatenate([[0], np.cumsum(used)[:-1]])
+        first = end - slots - base[block]
+        entry = ((named[cell % width] + 1) << 32) | (first << 16) | slots
+        rest = (used << 16) | (_SLOTS - used)
+        table = np.repeat(rest[:, None], _TABLE, 1)
+        table[:, _SLOTS] = _SLOTS
+        where = np.repeat(block * _TABLE + first, slots) + np.arange(int(slots.sum())) - np.repeat(end - slots, slots)
+        table.reshape(-1)[where] = np.repeat(entry, slots)
+        self.table = table
+        return cell, entry, rest
 
 
 def _due(step: int) -> bool:
-    """The order-0 shares are renewed at steps 16, 32, 64, 128, and so on."""
-    return step >= 16 and step & (step - 1) == 0
+    """The shares are renewed at steps 8, 16, 32, 64, and so on."""
+    return step >= 8 and step & (step - 1) == 0
 
 
-def _looks(digits: int) -> list[bool]:
-    """Before which digits the range must be looked at: no more than 32 bits may go between two looks."""
-    out, bits = [], _GUESS
-    for _ in range(digits):
-        out.append(bits + _DIGIT > 32)
-        bits = _DIGIT if out[-1] else bits + _DIGIT
+def encode_blocks(blocks: list[np.ndarray], digits: int = 2) -> list[bytes]:
+    """Coded blocks with their headers, in the order given."""
+    out: list[bytes] = []
+    for lo in range(0, len(blocks), BLOCKS_AT_ONCE):
+        out += _encode([np.asarray(b) for b in blocks[lo : lo + BLOCKS_AT_ONCE]], digits)
     return out
 
 
-def encode_blocks(blocks: list[np.ndarray], digits: int = 2) -> list[bytes]:
-    """Coded blocks with their headers, in the order given."""
-    out: list[bytes] = [b""] * len(blocks)
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    for lo in range(0, len(order), LANES):
-        own = order[lo : lo + LANES]
-        n, length = len(own), np.array([len(blocks[i]) for i in own])
-        steps = int(length.max(initial=0))
-        ids = np.zeros((n, steps), np.int32)
-        for k, i in enumerate(own):
-            ids[k, : length[k]] = blocks[i]
-        ids = np.ascontiguousarray(ids.T)
-        model = Models(n, digits)
-        low, size = np.zeros(n, np.int64), np.full(n, _TOP, np.int64)
-        # A word may hold a carry in its bit 16 until all is coded.
-        words = np.zeros((n, 64), np.uint32)
-        used = np.zeros(n, np.int64)
-        looks = _looks(digits)
-        coded = np.zeros((steps, n), bool)
-        since = 0
-
-        def settle(m: int) -> None:
-            at = np.flatnonzero(size[:m] < _LEAST)
-            while len(at):
-                l, place = low[at], used[at]
-                words[at, place] = l >> 32
-                low[at] = (l & (_LEAST - 1)) << 16
-                used[at] = place + 1
-                r = size[at] << 16
-                size[at] = r
-                at = at[r < _LEAST]
-
-        active = np.searchsorted(-length, -np.arange(steps), "left").tolist()
-        for step, m in enumerate(active):
-            if step % 16 == 0:
-                if used[:m].max() + 96 > words.shape[1]:
-                    words = np.concatenate([words, np.zeros_like(words)], 1)
-                if _due(step):
-                    model.refresh(m, ids[since:step], coded[since:step])
-                    since = step
-            x = ids[step, :m]
+def _encode(blocks: list[np.ndarray], digits: int) -> list[bytes]:
+    lanes = Lanes([len(b) for b in blocks])
+    n, steps, plain = lanes.n, lanes.steps, _plain(digits)
+    ids = np.zeros((n, steps), np.int32)
+    for k in range(n):
+        ids[k, : lanes.length[k]] = blocks[lanes.block[k]][lanes.begin[k] : lanes.begin[k] + lanes.length[k]]
+    ids, most = np.ascontiguousarray(ids.T), int(ids.max(initial=0))
+    low, size = np.zeros(n, np.int64), np.full(n, _TOP, np.int64)
+    # A word may hold a carry in its bit 16 until all is coded.
+    width = steps + 64
+    words = np.zeros((n, width), np.uint32)
+    flat, used = words.reshape(-1), np.arange(n) * width
+
+    def settle(m: int) -> None:
+        at = np.flatnonzero(size[:m] < _LEAST)
+        while len(at):
+            l, place = low[at], used[at]
+            flat[place] = l >> 32
+            l &= _LEAST - 1
+            l <<= 16
+            low[at] = l
+            place += 1
+            used[at] = place
+            r = size[at]
+            r <<= 16
+            size[at] = r
+            at = at[r < _LEAST]
+
+    lo = 0
+    while lo < steps:
+        order0 = lanes.renew(ids, lo // 2 if lo > 8 else 0, lo) if lo else None
+        hi = min(steps, 2 * lo if lo else 8)
+        # First slots and slots of all ids of these steps at once.
+        if order0 is None:
+            entry = np.full((hi - lo, n), _SLOTS, np.int64)
+        else:
+            cell, listed, rest = order0
+            dense = np.repeat(rest[:, None], len(lanes.named) + 1, 1)
+            dense[cell // len(lanes.named), cell % len(lanes.named)] = listed
+            rank = np.full(most + 1, len(lanes.named))
+            rank[lanes.named] = np.arange(len(lanes.named))
+            entry = dense.reshape(-1)[rank[ids[lo:hi]] + lanes.block * (len(lanes.named) + 1)]
+        room = int((used - np.arange(n) * width).max(initial=0)) + 3 * (hi - lo) + 8
+        if room > width:
+            words = np.concatenate([words, np.zeros((n, room - width), np.uint32)], 1)
+            used += np.arange(n) * (room - width)
+            flat, width = words.reshape(-1), room
+        for step in range(lo, hi):
+            m = lanes.active[step]
+            x = ids[step, :m].astype(np.int64)
             named = x + 1
-            g2, g1, f2, f1 = model.chances(m)
-            hit2 = named == g2
-            hit1 = (named == g1) & ~hit2
-            miss = coded[step, :m]
-            np.equal(hit2, hit1, out=miss)  # neither: both never hit
-            past2, past1 = f2 * ~hit2, f1 * miss
+            e2, e1, f2, both = lanes.chances(step, m)
+            miss2 = (e2 >> 2) != named
+            miss = miss2 & ((e1 >> 2) != named)
+            kind = lanes.kind[step, :m]
+            np.add(miss2.view(np.uint8), miss.view(np.uint8), out=kind)
             r = size[:m] >> _GUESS
-            low[:m] += r * (past2 + past1)
-            size[:m] = r * np.where(miss, _ONE - past2 - past1, np.where(hit1, f1, f2))
-            for d in range(digits):
-                if looks[d]:
-                    settle(m)
-                digit = np.where(miss, (x >> (8 * (digits - 1 - d))) & 255, 257)
-                cum, place = model.cum[d].reshape(-1), model.row[:m] + digit
-                a = cum.take(place)
-                r = size[:m] >> _DIGIT
-                low[:m] += r * a
-                size[:m] = r * (cum.take(place + 1) - a)
+            a, b = r * f2, r * both
+            low[:m] += np.where(miss, b, a * miss2)
+            w = np.where(miss, size[:m] - b, np.where(miss2, b - a, a)) >> _SLOT
+            own = np.where(miss, entry[step - lo, :m], _SLOTS)
+            low[:m] += w * ((own >> 16) & 0xFFFF)
+            size[:m] = w * (own & 0xFFFF)
+            bare = np.flatnonzero((own < 1 << 32) & miss)
             settle(m)
-            model.learn(m, named, hit2, hit1)
-        if words.shape[1] < used.max(initial=0) + 3:
-            words = np.concatenate([words, np.zeros((n, 3), np.uint32)], 1)
-        for _ in range(3):
-            words[np.arange(n), used] = low >> 32
-            low = (low & (_LEAST - 1)) << 16
-            used += 1
-        while (carry := words >> 16).any():
-            words &= 0xFFFF
-            words[:, :-1] += carry[:, 1:]
-        for k, i in enumerate(own):
-            body = words[k, : used[k]].astype("<u2").tobytes()
-            raw = np.asarray(blocks[i]).astype("<u4").tobytes()
-            head = _HEAD.pack(MAGIC, digits, len(blocks[i]), zlib.crc32(raw), len(body))
-            out[i] = head + body + struct.pack("<I", zlib.crc32(head + body))
+            if len(bare):
+                for bits, shift in plain:
+                    r = size[bare] >> bits
+                    low[bare] += r * ((x[bare] >> shift) & ((1 << bits) - 1))
+                    size[bare] = r
+                    settle(m)
+            lanes.learn(m, named, e2, e1)
+        lo = hi
+    for _ in range(3):
+        flat[used] = low >> 32
+        low = (low & (_LEAST - 1)) << 16
+        used += 1
+    used -= np.arange(n) * width
+    while (carry := words >> 16).any():
+        words &= 0xFFFF
+        words[:, :-1] += carry[:, 1:]
+    words = words.astype("<u2")
+    bodies: list[list[bytes]] = [[b""] * _strands(len(b)) for b in blocks]
+    for k in range(n):
+        bodies[lanes.block[k]][lanes.strand[k]] = words[k, : used[k]].tobytes()
+    out = []
+    for ids_, body in zip(blocks, bodies, strict=True):
+        head = _HEAD.pack(MAGIC, digits, len(ids_), zlib.crc32(ids_.astype("<u4").tobytes())) + np.array([len(x) for x in body], "<u4").tobytes()
+        whole = head + b"".join(body)
+        out.append(whole + struct.pack("<I", zlib.crc32(whole)))
     return out
 
 
 def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
     """The ids of coded blocks; a block that fails a checksum raises ValueError."""
-    heads = []
+    out: list[np.ndarray] = []
+    for lo in range(0, len(data), BLOCKS_AT_ONCE):
+        out += _decode(data[lo : lo + BLOCKS_AT_ONCE])
+    return out
+
+
+def _decode(data: list[bytes]) -> list[np.ndarray]:
+    heads, bodies = [], []
     for x in data:
-        if len(x) < _HEAD.size + 4 or x[:4] != MAGIC or zlib.crc32(x[:-4]) != struct.unpack("<I", x[-4:])[0]:
+        if len(x) < _HEAD.size + 8 or x[:4] != MAGIC or zlib.crc32(memoryview(x)[:-4]) != struct.unpack("<I", x[-4:])[0]:
             raise ValueError("token block is damaged")
-        heads.append(_HEAD.unpack(x[: _HEAD.size]))
-    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(data)
-    order = sorted(range(len(data)), key=lambda i: (heads[i][1], -heads[i][2]))
+        heads.append(_HEAD.unpack_from(x))
+        own = _strands(heads[-1][2])
+        bodies.append(np.cumsum([_HEAD.size + 4 * own, *np.frombuffer(x, "<u4", own, _HEAD.size).tolist()]))
+    kinds = {h[1] for h in heads}
+    if len(kinds) > 1:
+        # Blocks of narrow and of wide ids are decoded apart.
+        parts = {k: iter(_decode([x for x, h in zip(data, heads, strict=True) if h[1] == k])) for k in kinds}
+        return [next(parts[h[1]]) for h in heads]
+    if not data:
+        return []
+    plain = _plain(kinds.pop())
+    lanes = Lanes([h[2] for h in heads])
+    n, steps = lanes.n, lanes.steps
+    ids = np.zeros((steps, n), np.int32)
+    longest = max((int(np.diff(b).max()) for b in bodies), default=0) // 2
+    words = np.zeros((n, longest + 8), np.int64)
+    for k in range(n):
+        b, s = lanes.block[k], lanes.strand[k]
+        begin, end = int(bodies[b][s]), int(bodies[b][s + 1])
+        words[k, : (end - begin) // 2] = np.frombuffer(data[b], "<u2", (end - begin) // 2, begin)
+    size = np.full(n, _TOP, np.int64)
+    # What the coded number exceeds the bottom of the range by.
+    over = (words[:, 0].astype(np.int64) << 32) | (words[:, 1].astype(np.int64) << 16) | words[:, 2]
+    flat, used = words.reshape(-1), np.arange(n) * words.shape[1] + 3
+
+    def settle(m: int) -> None:
+        at = np.flatnonzero(size[:m] < _LEAST)
+        while len(at):
+            place = used[at]
+            o = over[at]
+            o <<= 16
+            o |= flat[place]
+            over[at] = o
+            place += 1
+            used[at] = place
+            r = size[at]
+            r <<= 16
+            size[at] = r
+            at = at[r < _LEAST]
+
     lo = 0
-    while lo < len(order):
-        digits = heads[order[lo]][1]
-        own = [i for i in order[lo : lo + LANES] if heads[i][1] == digits]
-        lo += len(own)
-        n, length = len(own), np.array([heads[i][2] for i in own])
-        steps = int(length.max(initial=0))
-        ids = np.zeros((steps, n), np.int32)
-        words = np.zeros((n, max(heads[i][4] // 2 for i in own) + 8), np.uint16)
-        for k, i in enumerate(own):
-            words[k, : heads[i][4] // 2] = np.frombuffer(data[i], "<u2", heads[i][4] // 2, _HEAD.size)
-        model = Models(n, digits, inverse=True)
-        size = np.full(n, _TOP, np.int64)
-        # What the coded number exceeds the bottom of the range by.
-        over = (words[:, 0].astype(np.int64) << 32) | (words[:, 1].astype(np.int64) << 16) | words[:, 2]
-        used = np.full(n, 3)
-        looks = _looks(digits)
-        coded = np.zeros((steps, n), bool)
-        wide = np.arange(n, dtype=np.int64) << _DIGIT
-        since = 0
-
-        def settle(m: int) -> None:
-            at = np.flatnonzero(size[:m] < _LEAST)
-            while len(at):
-                place = used[at]
-                over[at] = (over[at] << 16) | words[at, place]
-                used[at] = place + 1
-                r = size[at] << 16
-                size[at] = r
-                at = at[r < _LEAST]
-
-        active = np.searchsorted(-length, -np.arange(steps), "left").tolist()
-        for step, m in enumerate(active):
-            if step % 16 == 0 and _due(step):
-                model.refresh(m, ids[since:step], coded[since:step])
-                since = step
-            g2, g1, f2, f1 = model.chances(m)
+    while lo < steps:
+        if lo:
+            lanes.renew(ids, lo // 2 if lo > 8 else 0, lo)
+        table = lanes.table.reshape(-1)
+        hi = min(steps, 2 * lo if lo else 8)
+        for step in range(lo, hi):
+            m = lanes.active[step]
+            e2, e1, f2, both = lanes.chances(step, m)
             r = size[:m] >> _GUESS
-            both = f2 + f1
-            t2, t1 = r * f2, r * both
+            a, b = r * f2, r * both
             o = over[:m]
-            past2 = o >= t2
-            miss = coded[step, :m]
-            np.greater_equal(o, t1, out=miss)
-            hit2, hit1 = ~past2, past2 & ~miss
-            o -= np.where(miss, t1, t2 * past2)
-            size[:m] = r * np.where(miss, _ONE - both, np.where(hit1, f1, f2))
-            value = np.zeros(m, np.int64)
-            for d in range(digits):
-                if looks[d]:
+            miss2, miss = o >= a, o >= b
+            np.add(miss2.view(np.uint8), miss.view(np.uint8), out=lanes.kind[step, :m])
+            o -= np.where(miss, b, a * miss2)
+            w = np.where(miss, size[:m] - b, np.where(miss2, b - a, a)) >> _SLOT
+            # Both are under 2**48 and the quotient under 2**13: its whole part is exact in floating point.
+            slot = np.minimum((o / w).astype(np.int64), _SLOTS - 1)
+            entry = table[np.where(miss, slot, _SLOTS) + lanes.row[:m]]
+            o -= w * ((entry >> 16) & 0xFFFF)
+            size[:m] = w * (entry & 0xFFFF)
+            named = np.where(miss, entry >> 32, np.where(miss2, e1, e2) >> 2)
+            bare = np.flatnonzero(named == 0)
+            settle(m)
+            if len(bare):
+                value = np.zeros(len(bare), np.int64)
+                for bits, _ in plain:
+                    r = size[bare] >> bits
+                    v = np.minimum(over[bare] // r, (1 << bits) - 1)
+                    over[bare] -= r * v
+                    size[bare] = r
+                    value = (value << bits) | v
                     settle(m)
-                r = size[:m] >> _DIGIT
-                # Both are under 2**48 and the quotient under 2**12: its whole part is exact in floating point.
-                v = np.minimum((o / r).astype(np.int64), _WHOLE - 1)
-                digit = np.where(miss, model.symbol[d].take(wide[:m] + v).astype(np.int64), 257)
-                cum, place = model.cum[d].reshape(-1), model.row[:m] + digit
-                a = cum.take(place)
-                o -= r * a
-                size[:m] = r * (cum.take(place + 1) - a)
-                value = (value << 8) | digit
-            named = np.where(miss, value + 1, np.where(hit1, g1, g2))
+                named[bare] = value + 1
             ids[step, :m] = named - 1
-            settle(m)
-            model.learn(m, named, hit2, hit1)
-        ids = np.ascontiguousarray(ids.T)
-        for k, i in enumerate(own):
-            got = ids[k, : length[k]].astype(np.uint32)
-            if zlib.crc32(got.astype("<u4").tobytes()) != heads[i][3]:
-                raise ValueError("token block does not decode to its checksum")
-            out[i] = got
+            lanes.learn(m, named, e2, e1)
+        lo = hi
+    ids = np.ascontiguousarray(ids.T)
+    out = [np.zeros(h[2], np.uint32) for h in heads]
+    for k in range(n):
+        out[lanes.block[k]][lanes.begin[k] : lanes.begin[k] + lanes.length[k]] = ids[k, : lanes.length[k]]
+    for got, h in zip(out, heads, strict=True):
+        if zlib.crc32(got.astype("<u4").tobytes()) != h[3]:
+            raise ValueError("token block does not decode to its checksum")
     return out
 
 
@@ -328,6 +430,10 @@ def crc32_join(first: int, second: int, size: int) -> int:
 
 # ------------------------------------------------------------------ the tokenizer
 
+#: Bytes of a slice of texts that is cut into pieces at a time, and pieces and ids a worker remembers.
+PIECE_SLICE, PIECES, PIECE_IDS = 2 << 20, 1 << 20, 1 << 23
+_LETTER, _NUMBER, _SPACE, _OTHER, _UNKNOWN = 1, 2, 3, 4, 0
+
 
 def _byte_letters() -> dict[str, int]:
     """The printable stand-ins for bytes in byte-level vocabularies."""
@@ -338,46 +444,172 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Tokenizer:
-    """Ids as the tokenizers library gives them for a byte-level BPE file, special strings as ordinary text.
+    """Ids of the tokenizers library for whole texts, ``add_special_tokens=False``; added tokens in a text count.
 
-    Where the file is plain byte-level BPE whose merges are numbered in their order, the same ids
-    come several times faster from a rank encoder; a probe text checks that both agree.
-    Otherwise the tokenizers library itself encodes.
+    For plain byte-level BPE files the texts of a slice are cut into the pieces that the library's own
+    pre-tokenizer makes, and the library's model encodes every distinct piece once. What counts as
+    letter, number or white space is asked of the library, once for each character. Texts that hold an
+    added token, and all texts of other files, are encoded by the library as they are.
     """
 
-    _PROBE = "Ab's  c9\n\n d<|endoftext|> é世界!? \t'll 12.5　x " + "".join(map(chr, range(32, 400)))
+    _PROBE = "Ab's  c9\n\n d é世界!? \t'll 12.5　x ''re 'T's 'ver   z\x1c a  \n 'd" + "".join(map(chr, range(32, 400))) + " \n"
 
-    def __init__(self, data: bytes, pattern: str):
-        import tiktoken
+    def __init__(self, data: bytes):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_str(data.decode())
-        self.library.encode_special_tokens = True
-        self.fast = None
         spec = json.loads(data)
+        self.added = [t["content"].encode() for t in spec.get("added_tokens") or []]
+        self.letters = {b: c for c, b in _byte_letters().items()}
+        self.kinds = np.zeros(0x110000, np.uint8)
+        self.forget()
         pre = spec.get("pre_tokenizer") or {}
-        if spec["model"].get("type", "BPE") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer"):
-            letters = _byte_letters()
-            special = {t["content"] for t in spec.get("added_tokens", [])}
-            ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-            merged = [("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in spec["model"]["merges"]]
-            numbers = [spec["model"]["vocab"][m] for m in merged]
-            if numbers == sorted(numbers) and len(ranks) == 256 + len(numbers):
-                fast = tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-                if fast.encode_ordinary(self._PROBE) == self.library.encode(self._PROBE, add_special_tokens=False).ids:
-                    self.fast = fast
+        plain = (
+            (spec["model"].get("type") or "BPE") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
+            and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec["model"].get("dropout")
+        )
+        self.pieces = bool(plain) and self._agrees()
         self.size = self.library.get_vocab_size()
 
-    def encode(self, text: str) -> list[int]:
-        if self.fast is not None:
-            return self.fast.encode_ordinary(text)
+    def _agrees(self) -> bool:
+        off, ids = self._by_pieces(self._PROBE.encode(), np.array([0, len(self._PROBE.encode())]))
+        return ids.tolist() == self.plain(self._PROBE) and len(off) == 2
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.start, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
+
+    def _piece(self, piece: str) -> list[int]:
+        return [t.id for t in self.library.model.tokenize("".join([self.letters[b] for b in piece.encode()]))]
+
+    def plain(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
+    def _kinds(self, points: np.ndarray) -> np.ndarray:
+        kind = self.kinds[points]
+        if not kind.all():
+            cut = self.library.pre_tokenizer.pre_tokenize_str
+            for c in np.unique(points[kind == _UNKNOWN]).tolist():
+                x = chr(c)
+                if len(cut("\t" + x)) == 1:
+                    self.kinds[c] = _SPACE
+                elif len(cut("a" + x)) == 1:
+                    self.kinds[c] = _LETTER
+                elif len(cut("1" + x)) == 1:
+                    self.kinds[c] = _NUMBER
+                else:
+                    self.kinds[c] = _OTHER
+            kind = self.kinds[points]
+        return kind
+
+    def bounds(self, data: bytes, off: np.ndarray) -> np.ndarray:
+        """Byte places where the pieces of the texts ``data[off[k]:off[k + 1]]`` begin, and the end of all."""
+        raw = np.frombuffer(data, np.uint8)
+        n = len(raw)
+        if not n:
+            return np.zeros(1, np.int64)
+        chars = None
+        points, edge = raw, off[:-1][off[:-1] < n]
+        if int(raw.max()) >= 128:
+            points = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
+            chars = np.flatnonzero((raw & 0xC0) != 0x80)
+            edge = np.searchsorted(chars, edge)
+            n = len(points)
+        kind = self._kinds(points)
+        begin = np.zeros(n + 4, bool)
+        begin[edge] = True
+        begin[n:] = True
+        first = begin[:n].copy()
+        cut = np.ones(n + 4, bool)
+        cut[1:n] = kind[1:] != kind[:-1]
+        cut[:n] |= first
+        space = kind == _SPACE
+        # The last of a run of white space stands apart where more follows, and a blank then joins what follows.
+        last = space[:-1] & ~space[1:] & ~first[1:]
+        cut[: n - 1][last] = True
+        cut[1:n][last & (points[:-1] == 32)] = False
+        mark = np.flatnonzero(points == 39)
+        mark = mark[cut[mark]]
+        if len(mark):
+            ahead = np.zeros((len(mark), 2), np.int64)
+            for k in (1, 2):
+                at = mark + k
+                inside = at < n
+                inside[inside] = ~first[at[inside]] if k == 1 else ~(first[at[inside]] | first[at[inside] - 1])
+                ahead[inside, k - 1] = points[at[inside]]
+            one = np.isin(ahead[:, 0], [115, 116, 109, 100])
+            two = np.isin((ahead[:, 0] << 8) | ahead[:, 1], [(ord(a) << 8) | ord(b) for a, b in ("re", "ve", "ll")])
+            cut[mark[one | two] + 1] = False
+            cut[mark[one] + 2] = True
+            cut[mark[two] + 2] = False
+            cut[mark[two] + 3] = True
+        at = np.flatnonzero(cut[:n])
+        return np.append(at if chars is None else chars[at], len(raw))
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        known = self.known
+        new = [p for p in pieces if p not in known]
+        if new:
+            if len(known) + len(new) > PIECES or self.used > PIECE_IDS:
+                self.forget()
+                known, new = self.known, pieces
+            for lo in range(0, len(new), 4096):
+                part = [self._piece(p) for p in new[lo : lo + 4096]]
+                ids = np.array([i for x in part for i in x], np.int32)
+                while self.used + len(ids) > len(self.flat):
+                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+                while len(known) + len(part) + 1 > len(self.start):
+                    self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+                self.flat[self.used : self.used + len(ids)] = ids
+                ends = self.used + np.cumsum([len(x) for x in part])
+                self.start[len(known) + 1 : len(known) + 1 + len(part)] = ends
+                for p in new[lo : lo + 4096]:
+                    known[p] = len(known)
+                self.used += len(ids)
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+
+    def _by_pieces(self, data: bytes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bounds = self.bounds(data, off)
+        if len(bounds) < 2:
+            return np.zeros(len(off), np.int64), np.zeros(0, np.int32)
+        column = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        number = self._numbers(column.dictionary.to_pylist())
+        begin = self.start[number]
+        size = self.start[number + 1] - begin
+        end = np.cumsum(size)
+        own = self.flat[np.arange(int(end[-1])) + np.repeat(begin - end + size, size)]
+        lists = pa.ListArray.from_arrays(np.append(0, end).astype(np.int32), own).take(column.indices)
+        total = lists.offsets.to_numpy()
+        return total[np.searchsorted(bounds, off)].astype(np.int64), lists.values.to_numpy()
+
+    def encode_slice(self, data: bytes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts joined, and where each text's begin in them."""
+        if not self.pieces:
+            return self._joined([self.plain(data[a:b].decode()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
+        if not any(t in data for t in self.added):
+            return self._by_pieces(data, off)
+        parts = []
+        for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+            text = data[a:b]
+            named = any(t in text for t in self.added)
+            parts.append(self.plain(text.decode()) if named else self._by_pieces(text, np.array([0, len(text)]))[1])
+        return self._joined(parts)
+
+    @staticmethod
+    def _joined(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        off = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+        return off, np.concatenate([np.asarray(x, np.int32) for x in parts]) if parts else np.zeros(0, np.int32)
+
+    def encode(self, text: str) -> list[int]:
+        data = text.encode()
+        return self.encode_slice(data, np.array([0, len(data)]))[1].tolist()
+
 
 @lru_cache(maxsize=1)
-def _tokenizer(data: bytes, pattern: str) -> Tokenizer:
+def _tokenizer(data: bytes) -> Tokenizer:
     """Built once for each worker process, which many tasks share."""
-    return Tokenizer(data, pattern)
+    return Tokenizer(data)
 
 
 # ------------------------------------------------------------------ tables of blocks
@@ -386,19 +618,19 @@ _PART = pa.struct([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int32()
 BLOCKS = "part int, block long, start long, n int, docs array<struct<doc_id:long,row:long,n:int,whole:boolean>>, data binary"
 
 
-def write_blocks(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_blocks(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text, append ``end_id`` and return the blocks in ascending order of ids, by part and block.
 
     ``start`` counts the ids before the block in its part. Null texts count as empty; null ids come
     first; rows that repeat an id follow in the order of their texts.
     """
     with open(vocabulary, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast((f.read(), pattern))
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = slim(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(*shared.value)
+        tokenizer = _tokenizer(shared.value)
         digits = 2 if max(tokenizer.size, end_id + 1) <= 1 << 16 else 3
         part = TaskContext.get().partitionId()
         place = block = row = 0
@@ -429,21 +661,24 @@ def write_blocks(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 2
             return out
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.array([*tokenizer.encode(text.as_py()), end_id], np.int32)
-                if held + len(ids) > LIMIT:
-                    close()
-                whole = len(ids) <= LIMIT
-                for lo in range(0, len(ids), LIMIT):
-                    piece = ids[lo : lo + LIMIT]
-                    open_ids.append(piece)
-                    open_docs.append({"doc_id": doc, "row": row, "n": len(piece), "whole": whole})
-                    held += len(piece)
-                    if held >= TARGET or not whole:
+            names = batch.column("doc_id").to_pylist()
+            for first, _, data, off in text_slices(batch, "text", PIECE_SLICE):
+                begin, flat = tokenizer.encode_slice(data.tobytes(), off)
+                for k in range(len(off) - 1):
+                    ids = np.append(flat[begin[k] : begin[k + 1]], np.int32(end_id))
+                    if held + len(ids) > LIMIT:
                         close()
-                row += 1
-                if len(blocks) >= LANES:
-                    yield flush()
+                    whole = len(ids) <= LIMIT
+                    for lo in range(0, len(ids), LIMIT):
+                        piece = ids[lo : lo + LIMIT]
+                        open_ids.append(piece)
+                        open_docs.append({"doc_id": names[first + k], "row": row, "n": len(piece), "whole": whole})
+                        held += len(piece)
+                        if held >= TARGET or not whole:
+                            close()
+                    row += 1
+                    if len(blocks) >= BLOCKS_AT_ONCE:
+                        yield flush()
         close()
         if blocks:
             yield flush()
@@ -483,9 +718,9 @@ def read_documents(blocks: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
 
         for batch in batches:
-            for r in batch.select(["part", "start", "docs", "data"]).to_pylist():
+            for r in batch.to_pylist():
                 waiting.append(r)
-                if len(waiting) >= LANES:
+                if len(waiting) >= BLOCKS_AT_ONCE:
                     yield flush()
         if waiting:
             yield flush()
@@ -513,6 +748,6 @@ def read_documents(blocks: DataFrame) -> DataFrame:
     return out.select("doc_id", (F.col("base") + F.col("at")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 
-def round_trip(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 2) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     """Write ``docs`` as a table of blocks in the shared folder and read its documents back."""
-    return read_documents(saved(write_blocks(docs, vocabulary, pattern, end_id), "tokens"))
+    return read_documents(saved(write_blocks(docs, vocabulary, end_id), "tokens"))
