@@ -135,6 +135,51 @@ def test_html_keeps_the_article_only(wrap):
     assert html.main_text(PAGE.format(article=wrap.format(body))) == "A title Some boldface text, with & and <tags>. Short. one two A last, rather long paragraph of text, so that it counts."
 
 
+def test_html_query_equals_the_article_of_each_page(spark):
+    """All pages of the table follow one template, whose article a pattern can cut out."""
+    import html as entities
+
+    from graphlake.llm.queries import op4_html_extraction
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    rows = op4_html_extraction(spark, SF).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        article = re.search(r"<article>(.*?)</article>", pages[r.page_id] or "", re.S)
+        raw = re.sub(r"</?(?:p|h1|br|div)[^>]*>", " ", re.sub(r"<!--.*?-->", "", article.group(1), flags=re.S)) if article else ""
+        text = " ".join(entities.unescape(re.sub(r"<[^>]*>", "", raw)).split())
+        assert (r.text, r.n_chars) == (text, len(text))
+
+
+def test_html_ratios_decide():
+    """Paths pick the text: of two boxes without telling names the one with sentences; names only weigh."""
+    long = "One sentence, of some length; and more of it. " * 4
+    page = "<body><div class=x>%s</div><div class=y>%s</div></body>" % ("<a href=q>Go</a><br>" * 20, f"<p>{long}</p>" * 5 + "<p>Short.</p>")
+    assert html.main_text(page).count("Go") == 0 and html.main_text(page).endswith("Short.")
+    saved, html._content = html._content, lambda score: score >= 0
+    try:
+        assert "Go" in html.main_text(page)
+    finally:
+        html._content = saved
+    for name in ("discussion", "share-holders", "form-factors", "notice"):
+        page = f"<article><h1>T</h1><p>{long}</p><section class='{name}'><p>{long}kept</p></section></article>"
+        assert html.main_text(page).endswith("kept"), name
+    assert html.main_text(f"<article><p>{long}<math><mi>x</mi></math> <label>tag</label></p></article>").endswith("x tag")
+    assert "mine" not in html.main_text(f"<article><p>{long}</p><div class='comment-list'><p>{long}mine</p></div></article>")
+
+
+@pytest.mark.parametrize("part", ["<div>", "<a ", "<b>", "<p>x", '<a "', "<li>a", "<div><b></p>", "<i></section>"])
+def test_html_time_is_linear(part):
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        html.main_text(part * n + "x")
+        return time.process_time() - start
+
+    assert seconds(200_000) < 60
+
+
 def test_html_awkward(spark):
     assert html.main_text(None) == html.main_text("") == html.main_text("<nav>x</nav>") == ""
     assert html.main_text("plain a < b & c") == "plain a < b & c"
