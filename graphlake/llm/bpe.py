@@ -1,10 +1,14 @@
 """Byte-level BPE encoding by overlapping chunks, and decoding.
 
-A text longer than ``CHUNK`` characters is read as chunks that overlap. Each chunk is
-pre-tokenised from its own start. The pattern only looks ahead, so where the boundaries of
-a chunk and of the one before it meet at one place of their overlap, they agree from there on:
-the chunks are stitched at that place. If an overlap holds no common boundary it is doubled.
-The pieces between stitches are then encoded independently, and their ids joined.
+A text longer than ``CHUNK`` characters is read as chunks that overlap, which ``THREADS`` threads
+pre-tokenise in parallel, each from its own start. The pattern only looks ahead, so where the
+boundaries of a chunk and of the one before it meet at one place of their overlap, they agree from
+there on: the chunks are stitched at that place. If an overlap holds no common boundary it is
+doubled. The pieces between stitches are then encoded in parallel, and their ids joined.
+
+A run of white space of ``RUN`` characters or more holds no boundary to stitch at. By the pattern it is one
+pre-token, but for its last character where more text follows; so it is cut out by this rule and
+encoded as one piece, and the texts before and after it are encoded on their own.
 Decoding joins the bytes of the ids; characters cut by id borders come out whole.
 """
 
@@ -13,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +27,9 @@ from pyspark.sql import functions as F
 
 from graphlake.llm._common import released, slim
 
-CHUNK, OVERLAP = 1 << 16, 256
+CHUNK, OVERLAP, RUN, THREADS = 1 << 14, 256, 1 << 12, 2
+#: White space as the pattern has it.
+_WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -32,36 +39,44 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
 class ByteBpe:
     """Encoder and decoder over a rank file's vocabulary and a pre-token pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, run: int = RUN):
         import regex
         import tiktoken
 
         self.pattern = regex.compile(pattern)
+        self.runs = regex.compile(f"{_WHITE}{{{run},}}")
         self.chunk, self.overlap = chunk, overlap
         self.pieces = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.vocabulary = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, i in ranks.items():
             self.vocabulary[i] = token
 
-    def bounds(self, text: str, start: int, lo: int, end: int) -> list[int]:
-        """Ends of pre-tokens from ``start`` that are at least ``lo``; the last may be cut at ``end``."""
-        return [m.end() for m in self.pattern.finditer(text, start, end) if m.end() >= lo]
+    def bounds(self, text: str, start: int, end: int) -> np.ndarray:
+        """Ends of the pre-tokens from ``start``; the last may be cut at ``end``."""
+        found = self.pattern.findall(text, start, end, concurrent=True)
+        return start + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
 
     def stitches(self, text: str) -> list[int]:
         """Places to cut ``text`` that are pre-token boundaries of the whole."""
-        cuts, n = [0], len(text)
-        while n - cuts[-1] > self.chunk + self.overlap:
-            at, width = cuts[-1] + self.chunk, self.overlap
+        n, chunk, width = len(text), self.chunk, self.overlap
+        starts = list(range(0, max(n - width, 1), chunk))
+        with ThreadPoolExecutor(THREADS) as pool:
+            found = list(pool.map(lambda at: self.bounds(text, at, min(n, at + chunk + width)), starts))
+        cuts, known = [0], found[0]
+        for at, own in zip(starts[1:], found[1:], strict=True):
+            stop, width = min(n, at + self.overlap), self.overlap
             while True:
-                stop = min(n, at + width)
-                other = set(self.bounds(text, at, at + 1, stop))
-                common = next((x for x in self.bounds(text, cuts[-1], at, stop) if x in other and x <= stop - 3 and self._settled(text, x)), None)
-                if common or stop == n:
+                common = np.intersect1d(known[(known > at) & (known <= stop - 3)], own, assume_unique=True)
+                cut = next((x for x in common.tolist() if self._settled(text, x)), 0)
+                if cut or stop == n:
                     break
                 width *= 2
-            if not common:
-                break
-            cuts.append(common)
+                stop = min(n, at + width)
+                known = self.bounds(text, cuts[-1], stop)
+                own = self.bounds(text, at, max(stop, min(n, at + chunk + self.overlap)))
+            if cut:
+                cuts.append(cut)
+                known = own
         return [*cuts, n]
 
     @staticmethod
@@ -72,11 +87,25 @@ class ByteBpe:
         """
         return not text[x - 1].isspace() and not "\x1c" <= text[x] <= "\x1f"
 
-    def encode(self, text: str) -> np.ndarray:
+    def _joined(self, text: str) -> np.ndarray:
         if len(text) <= self.chunk + self.overlap:
             return np.array(self.pieces.encode_ordinary(text), np.uint32)
         cuts = self.stitches(text)
-        return np.concatenate([np.array(self.pieces.encode_ordinary(text[a:b]), np.uint32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        parts = [text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return np.concatenate([np.array(x, np.uint32) for x in self.pieces.encode_ordinary_batch(parts, num_threads=THREADS)])
+
+    def encode(self, text: str) -> np.ndarray:
+        if len(text) <= self.chunk:
+            # A run of this length is no strain for the library's own pre-tokenizer.
+            return self._joined(text)
+        out, place = [], 0
+        for run in self.runs.finditer(text):
+            a, b = run.span()
+            b -= b < len(text)
+            # The library's entry for one pre-token as it is.
+            out += [self._joined(text[place:a]), np.array(self.pieces._encode_single_piece(text[a:b].encode()), np.uint32)]
+            place = b
+        return np.concatenate([*out, self._joined(text[place:])])
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids.tolist()))
@@ -103,6 +132,7 @@ def _built(data: bytes, pattern: str) -> ByteBpe:
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None) -> DataFrame:
     """Append ``ids_col`` (array<int>) to every row; null texts count as empty. An existing column of that name is replaced.
+    Repeated rows are encoded each on its own; texts of any length, long runs of one character included, are encoded whole.
 
     With ``check_col``, a boolean column also tells whether the ids decode to the text's bytes.
     The vocabulary file has a fixed size, which bounds the broadcast. No shuffle.
@@ -143,7 +173,10 @@ def decode(rows: DataFrame, vocabulary: str, pattern: str, ids_col: str = "ids",
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode every text and decode its ids: ``doc_id, n_tokens, ids_sha256, decoded_sha256``, one row per row."""
+    """Encode every text and decode its ids: ``doc_id, n_tokens, ids_sha256, decoded_sha256``, one row per row.
+
+    Null and empty texts have no ids and the digests of no bytes. Other columns are not read.
+    """
     make = _coder(docs, vocabulary, pattern)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 

@@ -253,15 +253,59 @@ def test_bpe_chunks_equal_whole():
     import random
 
     with open(MULTI, "rb") as f:
-        coder = bpe.ByteBpe(bpe.load_ranks(f.read()), public_tokenizers.PATTERN, chunk=40, overlap=4)
+        coder = bpe.ByteBpe(bpe.load_ranks(f.read()), public_tokenizers.PATTERN, chunk=40, overlap=4, run=12)
     rng = random.Random(5)
-    for alphabet in ("ab \n", "a  \n\t'sre ll1!é世", "x", " ", "'s't d've 12 ab.!?  \n", "aé \u00a0\u3000.!", "ab\x1c\x1f!\x85 \u2028"):
+    for alphabet in ("a     \t\n", "  \u3000\x1c.", "ab \n", "a  \n\t'sre ll1!é世", "x", " ", "'s't d've 12 ab.!?  \n", "aé \u00a0\u3000.!", "ab\x1c\x1f!\x85 \u2028"):
         for _ in range(60):
             t = "".join(rng.choice(alphabet) for _ in range(rng.choice([5, 90, 700])))
             ids = coder.encode(t)
             assert ids.tolist() == coder.pieces.encode_ordinary(t) and coder.decode(ids) == t.encode()
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "x", "\t\u3000"])
+def test_bpe_long_runs(run):
+    with open(MULTI, "rb") as f:
+        coder = bpe.ByteBpe(bpe.load_ranks(f.read()), public_tokenizers.PATTERN)
+    for text in (run * 2_000_000, "word " + run * 1_000_000 + " more"):
+        assert coder.decode(coder.encode(text)) == text.encode()
+    small = f"word {run * 3000} more"  # short enough for the library's pre-tokenizer
+    cut = bpe.ByteBpe({bytes([b]): b for b in range(256)}, public_tokenizers.PATTERN, chunk=64, run=16)
+    assert cut.encode(small).tolist() == cut.pieces.encode_ordinary(small)
+    own = bpe.ByteBpe(dict(zip(coder.vocabulary, range(len(coder.vocabulary)), strict=True)), public_tokenizers.PATTERN, chunk=64, run=16)
+    assert own.encode(small).tolist() == coder.pieces.encode_ordinary(small)
+
+
+def test_bpe_query_equals_brute_force(spark):
+    """Every row of the table against pre-tokens by the pattern and merges by rank, done plainly."""
+    import regex
+
+    from graphlake.llm.queries import op6_byte_bpe
+
+    with open(MULTI, "rb") as f:
+        ranks = bpe.load_ranks(f.read())
+    known = {}
+
+    def merged(piece):
+        if piece not in known:
+            parts = [bytes([b]) for b in piece]
+            while len(parts) > 1:
+                best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 30))
+                if parts[best] + parts[best + 1] not in ranks:
+                    break
+                parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            known[piece] = [ranks[p] for p in parts]
+        return known[piece]
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = op6_byte_bpe(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        t = texts[r.doc_id]
+        ids = [i for m in regex.findall(public_tokenizers.PATTERN, t) for i in (merged(m.encode()) if m.encode() not in ranks else [ranks[m.encode()]])]
+        assert r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
 def test_bpe_awkward(spark):
     got = bpe.digests(awkward(spark), MULTI, public_tokenizers.PATTERN).collect()
     by = {r.doc_id: r for r in got}
