@@ -95,6 +95,8 @@ class Words:
     """
 
     _base = 0x9E3779B97F4A7C13  # 3 modulo 8: powers keep their order
+    #: Bytes hashed at a time, which bounds the tables and the running sums.
+    _span = 1 << 20
     _powers = np.ones(1, np.uint64)
     _inverse = np.ones(1, np.uint64)
 
@@ -105,12 +107,11 @@ class Words:
         self.values = values[fold]
 
     @classmethod
-    def _tables(cls, n: int) -> None:
-        if len(cls._powers) < n:
-            size = max(n, 1 << 20)
-            base = np.full(size, cls._base % 2**64, np.uint64)
+    def _tables(cls) -> None:
+        if len(cls._powers) == 1:
+            base = np.full(cls._span + 1, cls._base % 2**64, np.uint64)
             base[0] = 1
-            inv = np.full(size, pow(cls._base, -1, 2**64), np.uint64)
+            inv = np.full(cls._span + 1, pow(cls._base, -1, 2**64), np.uint64)
             inv[0] = 1
             cls._powers, cls._inverse = np.cumprod(base), np.cumprod(inv)
 
@@ -134,13 +135,30 @@ class Words:
         return starts, ends, np.searchsorted(starts, offsets)
 
     def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if not len(starts):
-            return np.zeros(0, np.uint64)
-        self._tables(len(data) + 1)
-        total = np.empty(len(data) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(self.values[data] * self._powers[: len(data)], out=total[1:])
-        return mixed((total[ends] - total[starts]) * self._inverse[starts] + (ends - starts).astype(np.uint64))
+        self._tables()
+        out = np.zeros(len(starts), np.uint64)
+        lo = 0
+        while lo < len(starts):
+            begin = starts[lo]
+            hi = max(int(np.searchsorted(ends, begin + self._span, "right")), lo + 1)
+            a, b = starts[lo:hi] - begin, ends[lo:hi] - begin
+            if b[-1] > self._span:
+                out[lo] = self._long(data[begin : ends[lo]])
+            else:
+                total = np.zeros(b[-1] + 1, np.uint64)
+                np.cumsum(self.values[data[begin : ends[hi - 1]]] * self._powers[: b[-1]], out=total[1:])
+                out[lo:hi] = (total[b] - total[a]) * self._inverse[a]
+            lo = hi
+        return mixed(out + (ends - starts).astype(np.uint64))
+
+    def _long(self, word: np.ndarray) -> int:
+        """The sum of one word beyond the tables, part by part."""
+        out, factor, step = 0, 1, pow(self._base, self._span, 2**64)
+        for k in range(0, len(word), self._span):
+            part = word[k : k + self._span]
+            out = (out + factor * int((self.values[part] * self._powers[: len(part)]).sum())) % 2**64
+            factor = factor * step % 2**64
+        return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

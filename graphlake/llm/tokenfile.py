@@ -10,7 +10,7 @@ with a level of trust that grows with each right guess. Both levels, and whether
 select the mixed shares of "the order-2 guess", "the order-1 guess" and "neither", which follow what
 such guesses came to in the block so far. In the last case the id follows under the order-0 shares of
 the ids that no guess named so far; an id that has none follows as plain bits. All shares are
-renewed ever more seldom, at doubling steps.
+renewed ever more seldom, at steps that grow threefold.
 
 Many strands of many blocks are coded in lockstep as lanes of numpy arrays. Whole-number arithmetic
 keeps writers and readers equal on all machines.
@@ -31,10 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.llm._common import discard, released, saved, slim, text_slices
+from graphlake.llm._common import Words, discard, released, saved, slim, text_slices
 
 #: Ids after which a block is closed, most ids of a block, its strands, and blocks coded at a time.
-TARGET, LIMIT, STRANDS, BLOCKS_AT_ONCE = 12288, 24576, 16, 256
+TARGET, LIMIT, STRANDS, BLOCKS_AT_ONCE = 12288, 16384, 32, 256
 MAGIC = b"GLT2"
 _HEAD = struct.Struct("<4sBII")  # magic, bytes of an id, ids, crc32 of the ids; then bytes of each strand
 #: Bits of the shares of guesses and of order 0; ids that order 0 may list.
@@ -88,9 +88,9 @@ class Lanes:
         self.states, self.row = (self.block * _STATES), self.block * _TABLE
         self.heard1, self.heard2 = np.zeros(self.blocks << _SH1, np.int32), np.zeros(self.blocks << _SH2, np.int32)
         self.last, self.before = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
-        self.seen = np.zeros((self.blocks, _STATES, 3), np.int64)
+        self.seen = np.zeros((self.blocks, _STATES, 4), np.int64)
         self.state = np.zeros((self.steps, self.n), np.uint8)
-        self.kind = np.zeros((self.steps, self.n), np.uint8)
+        self.kind = np.full((self.steps, self.n), 3, np.uint8)  # 0 and 1: the guesses; 2: neither; 3: past the strand's end
         self.named, self.counts = np.zeros(0, np.int64), np.zeros((self.blocks, 0), np.int64)
         self._settle_shares()
         # Order 0: for each block and slot the id plus 1 (0: none of those listed), its first slot and its slots.
@@ -99,7 +99,7 @@ class Lanes:
         self.table[:, _SLOTS] = _SLOTS
 
     def _settle_shares(self) -> None:
-        hits = self.seen + _PRIOR[None] * 3 / 1000
+        hits = self.seen[:, :, :3] + _PRIOR[None] * 3 / 1000
         part = hits / hits.sum(2, keepdims=True)
         f2 = np.clip((part[:, :, 0] * _ONE).astype(np.int64), 1, _ONE - 64)
         f1 = np.clip((part[:, :, 1] * _ONE).astype(np.int64), 1, _ONE - 32 - f2)
@@ -135,12 +135,15 @@ class Lanes:
 
     def renew(self, ids: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         """Take steps ``lo`` to ``hi`` of ``ids`` (steps x lanes) into the shares; returns order 0 as keys, first slots and slots."""
-        valid = np.arange(lo, hi)[:, None] < self.length[None, :]
-        cell = (self.states[None, :] + self.state[lo:hi]) * 3 + self.kind[lo:hi]
-        self.seen += np.bincount(cell[valid], minlength=self.blocks * _STATES * 3).reshape(self.seen.shape)
+        kind = self.kind[lo:hi]
+        cell = self.state[lo:hi].astype(np.int64)
+        cell += self.states
+        cell <<= 2
+        cell |= kind
+        self.seen += np.bincount(cell.ravel(), minlength=self.blocks * _STATES * 4).reshape(self.seen.shape)
         self._settle_shares()
-        missed = valid & (self.kind[lo:hi] == 2)
-        new = ids[lo:hi][missed]
+        missed = np.flatnonzero(kind.ravel() == 2)
+        new = ids[lo:hi].ravel()[missed].astype(np.int64)
         if not len(new) and not len(self.named):
             return None
         there = np.zeros(1 + max(int(new.max(initial=0)), int(self.named.max(initial=0))), bool)
@@ -148,7 +151,7 @@ class Lanes:
         named = np.flatnonzero(there)
         rank = np.cumsum(there) - 1
         width = len(named)
-        cell = rank[new] + np.broadcast_to(self.block * width, missed.shape)[missed]
+        cell = rank[new] + (self.block * width)[missed % self.n]
         counts = np.bincount(cell, minlength=self.blocks * width).reshape(self.blocks, width)
         counts[:, rank[self.named]] += self.counts
         self.named, self.counts = named, counts
@@ -183,9 +186,8 @@ class Lanes:
         return cell, entry, rest
 
 
-def _due(step: int) -> bool:
-    """The shares are renewed at steps 8, 16, 32, 64, and so on."""
-    return step >= 8 and step & (step - 1) == 0
+#: The shares are renewed at this step and whenever the steps have grown by this factor.
+_FIRST, _GROWTH = 8, 3
 
 
 def encode_blocks(blocks: list[np.ndarray], digits: int = 2) -> list[bytes]:
@@ -226,8 +228,8 @@ def _encode(blocks: list[np.ndarray], digits: int) -> list[bytes]:
 
     lo = 0
     while lo < steps:
-        order0 = lanes.renew(ids, lo // 2 if lo > 8 else 0, lo) if lo else None
-        hi = min(steps, 2 * lo if lo else 8)
+        order0 = lanes.renew(ids, lo // _GROWTH if lo > _FIRST else 0, lo) if lo else None
+        hi = min(steps, _GROWTH * lo if lo else _FIRST)
         # First slots and slots of all ids of these steps at once.
         if order0 is None:
             entry = np.full((hi - lo, n), _SLOTS, np.int64)
@@ -345,9 +347,9 @@ def _decode(data: list[bytes]) -> list[np.ndarray]:
     lo = 0
     while lo < steps:
         if lo:
-            lanes.renew(ids, lo // 2 if lo > 8 else 0, lo)
+            lanes.renew(ids, lo // _GROWTH if lo > _FIRST else 0, lo)
         table = lanes.table.reshape(-1)
-        hi = min(steps, 2 * lo if lo else 8)
+        hi = min(steps, _GROWTH * lo if lo else _FIRST)
         for step in range(lo, hi):
             m = lanes.active[step]
             e2, e1, f2, both = lanes.chances(step, m)
@@ -430,8 +432,8 @@ def crc32_join(first: int, second: int, size: int) -> int:
 
 # ------------------------------------------------------------------ the tokenizer
 
-#: Bytes of a slice of texts that is cut into pieces at a time, and pieces and ids a worker remembers.
-PIECE_SLICE, PIECES, PIECE_IDS = 2 << 20, 1 << 20, 1 << 23
+#: Bytes of a slice of texts that is cut into pieces at a time, and pieces and bytes of pieces a worker remembers.
+PIECE_SLICE, PIECES, PIECE_BYTES = 2 << 20, 1 << 21, 64 << 20
 _LETTER, _NUMBER, _SPACE, _OTHER, _UNKNOWN = 1, 2, 3, 4, 0
 
 
@@ -443,6 +445,14 @@ def _byte_letters() -> dict[str, int]:
     return out
 
 
+def _stored(store: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``store`` with ``more`` after its ``used`` values, grown where it must."""
+    if used + len(more) > len(store):
+        store = np.concatenate([store, np.zeros(max(len(store), len(more)), store.dtype)])
+    store[used : used + len(more)] = more
+    return store
+
+
 class Tokenizer:
     """Ids of the tokenizers library for whole texts, ``add_special_tokens=False``; added tokens in a text count.
 
@@ -462,6 +472,8 @@ class Tokenizer:
         spec = json.loads(data)
         self.added = [t["content"].encode() for t in spec.get("added_tokens") or []]
         self.letters = {b: c for c, b in _byte_letters().items()}
+        self.model = self.library.model
+        self.hash = Words(np.ones(256, bool), np.arange(256, dtype=np.uint8))
         self.kinds = np.zeros(0x110000, np.uint8)
         self.forget()
         pre = spec.get("pre_tokenizer") or {}
@@ -477,11 +489,13 @@ class Tokenizer:
         return ids.tolist() == self.plain(self._PROBE) and len(off) == 2
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.start, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
+        #: A hash table of pieces, and for each numbered piece its bytes and its ids as ranges of two stores.
+        self.keys, self.numbers = np.zeros(2 * PIECES, np.uint64), np.zeros(2 * PIECES, np.int32)
+        self.bytes, self.flat = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.int32)
+        self.from_byte, self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
-    def _piece(self, piece: str) -> list[int]:
-        return [t.id for t in self.library.model.tokenize("".join([self.letters[b] for b in piece.encode()]))]
+    def _piece(self, piece: bytes) -> list[int]:
+        return [t.id for t in self.model.tokenize("".join([self.letters[b] for b in piece]))]
 
     def plain(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -547,41 +561,66 @@ class Tokenizer:
         at = np.flatnonzero(cut[:n])
         return np.append(at if chars is None else chars[at], len(raw))
 
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        if new:
-            if len(known) + len(new) > PIECES or self.used > PIECE_IDS:
-                self.forget()
-                known, new = self.known, pieces
-            for lo in range(0, len(new), 4096):
-                part = [self._piece(p) for p in new[lo : lo + 4096]]
-                ids = np.array([i for x in part for i in x], np.int32)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                while len(known) + len(part) + 1 > len(self.start):
-                    self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                ends = self.used + np.cumsum([len(x) for x in part])
-                self.start[len(known) + 1 : len(known) + 1 + len(part)] = ends
-                for p in new[lo : lo + 4096]:
-                    known[p] = len(known)
-                self.used += len(ids)
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+    def _places(self, h: np.ndarray) -> np.ndarray:
+        """Where each hash stands in the table, or the empty place where it would."""
+        at = (h >> np.uint64(64 - (len(self.keys).bit_length() - 1))).astype(np.int64)
+        left = np.flatnonzero((self.keys[at] != h) & (self.keys[at] != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+            k = self.keys[at[left]]
+            left = left[(k != h[left]) & (k != 0)]
+        return at
+
+    def _remember(self, data: bytes, h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Encode pieces of new hashes and enter them."""
+        pieces = [data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        parts = [self._piece(x) for x in pieces]
+        first, last = self.count, self.count + len(parts)
+        if last >= len(self.start):
+            self.start, self.from_byte = (np.concatenate([x, np.zeros(max(len(x), len(parts)), np.int64)]) for x in (self.start, self.from_byte))
+        self.from_byte[first + 1 : last + 1] = self.from_byte[first] + np.cumsum(end - begin)
+        self.start[first + 1 : last + 1] = self.start[first] + np.cumsum([len(x) for x in parts])
+        self.bytes = _stored(self.bytes, int(self.from_byte[first]), np.frombuffer(b"".join(pieces), np.uint8))
+        self.flat = _stored(self.flat, int(self.start[first]), np.array([i for x in parts for i in x], np.int32))
+        self.count, number = last, np.arange(first, last)
+        while len(h):
+            # Of those that look for one place the first takes it.
+            at = self._places(h)
+            taken = np.unique(at, return_index=True)[1]
+            self.keys[at[taken]], self.numbers[at[taken]] = h[taken], number[taken]
+            left = np.ones(len(h), bool)
+            left[taken] = False
+            h, number = h[left], number[left]
 
     def _by_pieces(self, data: bytes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bounds = self.bounds(data, off)
         if len(bounds) < 2:
             return np.zeros(len(off), np.int64), np.zeros(0, np.int32)
-        column = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
-        number = self._numbers(column.dictionary.to_pylist())
-        begin = self.start[number]
-        size = self.start[number + 1] - begin
-        end = np.cumsum(size)
-        own = self.flat[np.arange(int(end[-1])) + np.repeat(begin - end + size, size)]
-        lists = pa.ListArray.from_arrays(np.append(0, end).astype(np.int32), own).take(column.indices)
-        total = lists.offsets.to_numpy()
-        return total[np.searchsorted(bounds, off)].astype(np.int64), lists.values.to_numpy()
+        raw, begin, end = np.frombuffer(data, np.uint8), bounds[:-1], bounds[1:]
+        h = self.hash.hashes(raw, begin, end) | np.uint64(1)
+        at = self._places(h)
+        new = np.flatnonzero(self.keys[at] == 0)
+        if len(new):
+            new = new[np.unique(h[new], return_index=True)[1]]
+            if self.count + len(new) > PIECES or len(self.bytes) > PIECE_BYTES:
+                self.forget()
+                new = np.unique(h, return_index=True)[1]
+            if len(new) > PIECES:
+                return self._joined([self.plain(data[a:b].decode()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
+            self._remember(data, h[new], begin[new], end[new])
+            at = self._places(h)
+        number = self.numbers[at]
+        # Equal hashes are not taken for equal pieces: their bytes are compared.
+        width = end - begin
+        same = self.from_byte[number + 1] - self.from_byte[number] == width
+        if same.all():
+            same = self.bytes[np.arange(len(raw)) + np.repeat(self.from_byte[number] - begin, width)] == raw
+        if not same.all():
+            return self._joined([self.plain(data[a:b].decode()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
+        size = self.start[number + 1] - self.start[number]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.arange(int(total[-1])) + np.repeat(self.start[number] - total[:-1], size)]
+        return total[np.searchsorted(bounds, off)], ids
 
     def encode_slice(self, data: bytes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts joined, and where each text's begin in them."""
