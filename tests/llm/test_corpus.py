@@ -115,6 +115,13 @@ def test_vectors_equal_brute_force(spark):
     assert vectors.near_duplicate_vectors(empty).count() == 0
 
 
+def test_vectors_of_repeated_ids_are_separate(spark):
+    near = [1.0, 0.01]
+    rows = [(1, [0.0, 1.0], 0), (1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, near, 0), (3, [0.0, -1.0], 0), (4, [-0.0, 1.0], 0)]
+    got = vectors.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 1, 1)]
+
+
 def test_quantisation_bound_is_rigorous():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 24))
