@@ -27,11 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the least id (shingles of five words, similarity 0.8).
 
-    Documents without an id are no copies and stay; rows that repeat an id stay together.
+    Documents without an id or without words are no copies and stay; of equal rows that repeat an id one stays.
     """
-    found = minhash.near_duplicates(docs)
-    copies = found.filter("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(copies.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    return minhash.one_of_each(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,7 +71,7 @@ def text_sets(batch: pa.RecordBatch, column: str, size: int) -> Iterator[tuple[i
 
 
 def _sketcher(id_col: str, text_col: str, size: int) -> Callable:
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +91,7 @@ def _sketcher(id_col: str, text_col: str, size: int) -> Callable:
                         np.multiply(flat, _PERM[k], out=buf)
                         sig[full, k] = (np.minimum.reduceat(buf, begin) >> np.uint64(32)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(n), pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), pa.array([x.tobytes() if m else None for x, m in zip(sig, n, strict=True)], pa.binary())],
+                    [ids.slice(lo, hi - lo), batch.column("text_hash").slice(lo, hi - lo), pa.array(n), pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), pa.array([x.tobytes() if m else None for x, m in zip(sig, n, strict=True)], pa.binary())],
                     schema=schema,
                 )
         released()
@@ -122,7 +121,7 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 TILE, TILE_SHINGLES = 1024, 1 << 20
 
 PLANTED = "t int, k1 long, k2 long, k3 long, cls long, n long, sketch binary"
-FOUND = "kind int, a long, b long, est double, bid long, " + PLANTED
+FOUND = "kind int, a long, b long, est double, " + PLANTED
 
 
 def _common_prefix(k: np.ndarray) -> np.ndarray:
@@ -133,7 +132,11 @@ def _common_prefix(k: np.ndarray) -> np.ndarray:
 
 
 def _scan(similarity: float, edges: bool) -> Callable:
-    """Pair neighbours of sorted rows; with ``edges``, also hand on the rows at both ends of the partition."""
+    """Pair neighbours of sorted rows; with ``edges``, also hand on the rows at both ends of the partition.
+
+    The ends of all partitions in their order, a few rows for each, are scanned once more: so neighbours
+    meet across the seams, however few rows lie between two seams.
+    """
     least = similarity - SKETCH_SLACK
 
     def pairs(t, k, cls, n, sketch, old: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -171,28 +174,26 @@ def _scan(similarity: float, edges: bool) -> Callable:
         return cls[i[keep]], cls[j[keep]], e[keep], np.unique(np.concatenate([*crowded, i[left], j[left]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid = TaskContext.get().partitionId()
         tail: pa.Table | None = None
-        first = True
+        begun = 0
         names = ["t", "k1", "k2", "k3", "cls", "n", "sketch"]
-        schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("est", pa.float64()), ("bid", pa.int64()), ("t", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("k3", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+        schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("est", pa.float64()), ("t", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("k3", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
 
-        def ends(rows: pa.Table, bid: int, kind: int = 1) -> pa.RecordBatch:
+        def ends(rows: pa.Table, kind: int = 1) -> pa.RecordBatch:
             m = rows.num_rows
             nul = pa.nulls(m, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), nul, nul, pa.nulls(m, pa.float64()), pa.array(np.full(m, bid)), *[rows.column(c).combine_chunks() for c in names]], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), nul, nul, pa.nulls(m, pa.float64()), *[rows.column(c).combine_chunks() for c in names]], schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             new = pa.Table.from_batches([batch])
-            if first and edges:
-                yield ends(new.select(names).slice(0, WINDOW), pid - 1)
-            first = False
             rows = pa.concat_tables([tail, new]) if tail is not None else new
+            if edges and begun < WINDOW:
+                # The first rows of a partition may come in several batches.
+                yield ends(new.select(names).slice(0, WINDOW - begun))
+                begun += new.num_rows
             t = rows.column("t").to_numpy().astype(np.int64)
-            if not edges:
-                t = t + rows.column("bid").to_numpy() * TREES
             k = [rows.column(c).to_numpy() for c in ("k1", "k2", "k3")]
             sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(rows.num_rows, SKETCH)
             a, b, e, crowded = pairs(t, k, rows.column("cls").to_numpy(), rows.column("n").to_numpy(), sketch, tail.num_rows if tail is not None else 0)
@@ -200,13 +201,13 @@ def _scan(similarity: float, edges: bool) -> Callable:
                 m = len(a)
                 nul = pa.nulls(m, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(m, np.int32)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(e), nul, pa.nulls(m, pa.int32()), nul, nul, nul, nul, nul, pa.nulls(m, pa.binary())], schema=schema
+                    [pa.array(np.zeros(m, np.int32)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(e), pa.nulls(m, pa.int32()), nul, nul, nul, nul, nul, pa.nulls(m, pa.binary())], schema=schema
                 )
             if len(crowded):
-                yield ends(rows.select(names).take(pa.array(crowded)), 0, 2)
+                yield ends(rows.select(names).take(pa.array(crowded)), 2)
             tail = rows.slice(max(0, rows.num_rows - WINDOW))
         if tail is not None and edges:
-            yield ends(tail.select(names), pid)
+            yield ends(tail.select(names))
 
     return run
 
@@ -328,28 +329,25 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(_confirmer(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id, kept``.
-
-    Documents are linked when 100 * |A & B| >= percent * |A | B| for their shingle sets. Null and
-    wordless texts have empty sets and link with nothing. A text with fewer words than a
-    shingle is one shingle. Rows with a null id count as copies of nothing (component null,
-    kept true); repeated rows share the id and thus the component. Other columns are not read.
-    """
-    size, similarity = shingle, percent / 100
-
-    base = slim(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = saved(base.mapInArrow(_sketcher("doc_id", "text", size), "doc_id long, n long, f1 long, f2 long, sig binary"), "sketch")
+def _judged(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """``doc_id, text_hash, n, component_id, first``: first marks the rows of the least id and text of their component."""
+    similarity = percent / 100
+    text = F.col(text_col).cast("string")
+    base = slim(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    marked = saved(base.mapInArrow(_sketcher("doc_id", "text", size), "doc_id long, text_hash long, n long, f1 long, f2 long, sig binary"), "sketch")
+    # A class has its own number: ids may repeat with different texts.
     classes = saved(
         marked.filter("n > 0 and doc_id is not null").groupBy("f1", "f2")
-        .agg(F.min("doc_id").alias("cls"), F.first("n").alias("n"), F.first("sig").alias("sig")),
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+        .withColumn("cls", F.monotonically_increasing_id()),
         "classes",
-    )
+    )
     planted = classes.select("cls", "n", "sig").mapInArrow(_plant, PLANTED)
     order = ["t", "k1", "k2", "k3", "cls"]
     found = saved(planted.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan(similarity, True), FOUND), "found")
-    seams = found.filter("kind = 1").drop("kind", "a", "b", "est")
-    seams = saved(seams.repartition("bid").sortWithinPartitions("bid", *order).mapInArrow(_scan(similarity, False), FOUND), "seams")
+    # One task: its rows are bounded by the partitions of the scan.
+    seams = found.filter("kind = 1").drop("kind", "a", "b", "est").dropDuplicates(["t", "cls"]).repartition(1).sortWithinPartitions(*order)
+    seams = saved(seams.mapInArrow(_scan(similarity, False), FOUND), "seams")
     pairs = saved(
         found.filter("kind = 0").select("a", "b", "est").union(seams.filter("kind = 0").select("a", "b", "est"))
         .groupBy("a", "b").agg(F.max("est").alias("est")),
@@ -358,17 +356,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     region = ["t", "k1", F.shiftright("k2", 31).alias("k2"), "cls", "n", "sketch"]
     crowd = saved(found.filter("kind = 2").select(*region).union(seams.filter("kind = 2").select(*region)).dropDuplicates(["t", "cls"]), "crowded")
     discard(found)
+    discard(seams)
 
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowd.select("cls")).distinct()
-    wanted = base.filter("doc_id is not null").withColumnRenamed("doc_id", "id").join(ends.hint("shuffle_hash"), "id")
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(crowd.select("cls")).distinct()
+    ends = ends.join(classes.select("cls", "rep.doc_id", "rep.text_hash"), "cls")
+    wanted = base.filter("doc_id is not null").join(ends.hint("shuffle_hash"), ["doc_id", "text_hash"]).select("cls", "text")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, sets in text_sets(batch, "text", size):
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column("cls").slice(lo, hi - lo), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "set"])
 
     sets = wanted.mapInArrow(sets_of, "id long, set binary")
-    # Rows that repeat an id: the class was named after the id, so only one of its texts carries it.
+    # Rows that repeat an id and its text are one class.
     sets = saved(sets.groupBy("id").agg(F.first("set").alias("set")) if _repeats(marked) else sets, "sets")
 
     sides = pairs.select(F.col("a").alias("x"), "a", "b", "est").union(pairs.select(F.col("b").alias("x"), "a", "b", "est"))
@@ -388,12 +388,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crossing = _crossing_links(crowd, comp, sets, percent)
     if crossing is not None and not crossing.isEmpty():
         comp = connected_components(links.union(crossing))
-    named = classes.select("f1", "f2", "cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
-    named = named.select("f1", "f2", F.coalesce("component", "cls").alias("comp"))
-    out = marked.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
-    component = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = classes.select("f1", "f2", "cls", "rep").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
+    named = saved(named.select("f1", "f2", "rep", F.coalesce("component", "cls").alias("comp")), "named")
+    for done in (pairs, crowd, sets, links, rest, more, classes):
+        discard(done)
+    least = named.groupBy("comp").agg(F.min("rep").alias("least"))
+    named = named.join(least, "comp").select("f1", "f2", "least")
+    out = marked.select("doc_id", "text_hash", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
+    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    component = F.when(linked, F.col("least.doc_id")).otherwise(F.col("doc_id"))
+    first = ~linked | ((F.col("least.doc_id") == F.col("doc_id")) & (F.col("least.text_hash") == F.col("text_hash")))
+    return out.select("doc_id", "text_hash", "n", component.alias("component_id"), first.alias("first"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id, kept``.
+
+    Documents are linked when 100 * |A & B| >= percent * |A | B| for their shingle sets. Null and
+    wordless texts have empty sets and link with nothing. A text with fewer words than a
+    shingle is one shingle. Rows with a null id count as copies of nothing (component null,
+    kept true). Rows that repeat an id are documents of their own: each is judged by its own text, and
+    may lie in another component than the others. Other columns are not read.
+    """
+    out = _judged(docs, id_col, text_col, shingle, percent)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, less all but one of each group of near copies.
+
+    The row of the least id stays; of rows that repeat it, that of the least hash of the text, and of rows
+    equal in both, one. Rows with a null id and those without words are no copies and stay.
+    """
+    judged = saved(_judged(docs, id_col, text_col, shingle, percent), "judged")
+    key = {"__id": F.col(id_col).cast("long"), "__text": F.xxhash64(F.col(text_col).cast("string"))}
+    names = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")]
+    rows = docs.withColumns(key)
+    copies = judged.filter("not first").select(*names).distinct()
+    rows = rows.join(copies.hint("shuffle_hash"), ["__id", "__text"], "left_anti")
+    twice = judged.filter("first and n > 0 and doc_id is not null").groupBy(*names).count().filter("count > 1").drop("count")
+    if _repeats(judged) and not (twice := saved(twice, "twice")).isEmpty():
+        again = rows.join(twice, ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"])
+        rows = rows.join(twice, ["__id", "__text"], "left_anti").unionByName(again)
+    return rows.select(*docs.columns)
 
 
 def _repeats(marked: DataFrame) -> bool:

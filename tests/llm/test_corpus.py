@@ -77,6 +77,32 @@ def test_minhash_awkward(spark):
     assert minhash.near_duplicates(awkward(spark, True)).count() == 0
 
 
+def test_minhash_repeated_ids(spark):
+    """Rows that repeat an id with different texts keep their own links, and one of equal rows stays."""
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(8, a), (8, b), (9, b + " more"), (10, a + " more"), (10, a + " more"), (11, "lonely words here now"), (11, "lonely words here now"), (None, a), (12, ""), (12, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs, shingle=3, percent=85).collect()}
+    assert got == {(8, 8), (9, 8), (10, 8), (11, 11), (None, None), (12, 12)}
+    left = [(r.doc_id, r.text) for r in minhash.one_of_each(docs, shingle=3, percent=85).collect()]
+    assert sorted(left, key=str) == sorted([(8, a), (8, b), (11, rows[5][1]), (None, a), (12, ""), (12, "")], key=str)
+
+
+def test_minhash_tiny_partitions(spark):
+    """Neighbours meet across partitions of a few rows."""
+    base = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join([*base, f"x{k}"])) for k in range(30)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85)
+        assert {r.component_id for r in got.collect()} == {0}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_urls_brute_force(spark):
     given = ["http://a.org/x", "https://EXAMPLE.org/es/1", "http://www.example.org/en/12?x", "http://x.example.org/en/2", "http://b.com/fr/1", "b.com/fr", "http://c.com/de/#t", "://", "http://fr.com", None, "", "http://com/fr/", "x://org?/", "http://notexample.org/es/"]
     rows = spark.createDataFrame([(k, u, "extra", "extra") for k, u in enumerate(given)], "page_id int, url string, host string, verdict string")
