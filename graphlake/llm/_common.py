@@ -23,6 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as no column of any case has."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def slim(df: DataFrame) -> DataFrame:
     """``df``, after lowering the session's bound on Arrow batches where it is larger: long texts else make batches of 64 MB."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -1,11 +1,13 @@
 """URL filters: host-suffix and path-prefix expressions matched by short hash prefixes.
 
 A rule is (host, path, action) and fits the host and its subdomains where the URL's path starts
-with the rule's. Rules of one shape (labels in the host, characters in the path) meet the one
-expression of that shape which a URL has: its digest's first ``PREFIX`` hex digits are the join
-key, the full digest confirms the match, and among the confirmed rules the longest wins.
-Each join keeps every row once, so nothing is shuffled while the rule list is small enough to
-be broadcast; longer lists are joined by shuffle, where AQE splits a hot host.
+with the rule's. A URL is expanded into one expression for each shape of the rules (labels in the host,
+characters in the path) that it is long enough for. One equi-join meets the expressions with the
+rules on the first ``PREFIX`` hex digits of their digests, the full digest confirms the match, and among
+the confirmed rules the longest wins. The plan is the same for five rules and for a million.
+
+Matches are summed up for each host and path, which decide the verdict, and joined back on these: one
+shuffle of the matches and at most one of the rows. Where one URL is a large share of the rows, AQE splits it.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphlake.llm._common import fresh
+
 PREFIX = 8
-#: Rules up to which one shape's table is broadcast.
+#: Rules up to which their table is broadcast.
 BROADCAST_RULES = 50_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,24 +42,21 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(F.translate(raw, _UPPER, _LOWER), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def _shapes(rules) -> dict[tuple[int, int], list[tuple[str, str, str]]]:
-    """Rules by (host labels, path length). Of equal rules with two actions, block stays."""
-    unique: dict[tuple[str, str], str] = {}
+def _unique(rules) -> list[tuple[str, str, str]]:
+    """Rules with hosts in lower case. Of equal rules with two actions, block stays."""
+    actions: dict[tuple[str, str], str] = {}
     for host, path, action in rules:
         key = (host.translate(str.maketrans(_UPPER, _LOWER)), path)
-        unique[key] = "block" if "block" in (action, unique.get(key)) else action
-    out: dict[tuple[int, int], list[tuple[str, str, str]]] = {}
-    for (host, path), action in sorted(unique.items()):
-        out.setdefault((host.count(".") + 1, len(path)), []).append((host, path, action))
-    return out
-
-
-def _confirmed(rules: Column, digest: Column) -> Column:
-    """Those of the rules met by hash prefix whose full digest agrees, in the order of precedence."""
-    return F.transform(
-        F.filter(rules, lambda r: r["full"] == digest),
-        lambda r: F.struct(r["size"].alias("size"), r["host_size"].alias("host_size"), r["rule"].alias("rule"), r["action"].alias("action")),
-    )
+        actions[key] = "block" if "block" in (action, actions.get(key)) else action
+    return sorted((host, path, action) for (host, path), action in actions.items())
+
+
+def _expressions(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """The digests of a URL's expressions, one for each shape it is long enough for."""
+    listed = F.transform(F.split(F.lit(",".join(f"{labels}:{length}" for labels, length in shapes)), ","), lambda x: F.split(x, ":").cast("array<int>"))
+    labels, size = F.size(F.split(host, "\\.")), F.length(path)
+    fits = F.filter(listed, lambda s: (host != "") & (s[0] <= labels) & (s[1] <= size))
+    return F.transform(fits, lambda s: F.sha2(F.concat(F.call_function("substring_index", host, F.lit("."), -s[0]), F.lit("\n"), F.substring(path, F.lit(1), s[1])), 256))
 
 
 def url_verdicts(pages: DataFrame, rules=RULES, url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -63,35 +64,30 @@ def url_verdicts(pages: DataFrame, rules=RULES, url_col: str = "url", default: s
 
     ``rule`` is the winning rule as host and path joined, null where none fits, and then the
     verdict is ``default``: an unlisted URL passes. Null urls and urls without ``://`` have an empty
-    host, which no rule fits. Between fitting rules of equal length the longer host wins.
+    host, which no rule fits. Between fitting rules of equal length the longer host wins. Repeated
+    rows are judged alike, each on its own.
     """
     spark = pages.sparkSession
     kept = pages.drop("host", "path", "rule", "verdict")
     host, path = host_and_path(F.col(url_col))
-    out = kept.withColumns({"host": host, "path": path})
-    winners: list[Column] = []
-    for n, ((labels, length), group) in enumerate(_shapes(rules).items()):
-        has = (F.length("path") >= length) & (F.col("host") != "") & (F.size(F.split("host", "\\.")) >= labels)
-        text = F.concat(F.substring_index("host", ".", -labels), F.lit("\n"), F.substring("path", 1, length) if length else F.lit(""))
-        digest, found = f"_digest{n}", f"_rules{n}"
-        table = spark.createDataFrame(group, "rule_host string, rule_path string, action string")
-        table = table.withColumn("full", F.sha2(F.concat("rule_host", F.lit("\n"), "rule_path"), 256))
-        table = table.groupBy(F.substring("full", 1, PREFIX).alias(f"_key{n}")).agg(
-            F.collect_list(
-                F.struct("full", F.length(F.concat("rule_host", "rule_path")).alias("size"), F.length("rule_host").alias("host_size"), F.concat("rule_host", "rule_path").alias("rule"), "action")
-            ).alias(found)
-        )
-        table = F.broadcast(table) if len(group) <= BROADCAST_RULES else table
-        out = out.withColumn(digest, F.when(has, F.sha2(text, 256))).withColumn(f"_key{n}", F.substring(digest, 1, PREFIX))
-        out = out.join(table, f"_key{n}", "left").drop(f"_key{n}")
-        winners.append(_confirmed(F.col(found), F.col(digest)))
-    if winners:
-        best = F.array_max(F.flatten(F.array(*[F.coalesce(w, F.array().cast("array<struct<size:int,host_size:int,rule:string,action:string>>")) for w in winners])))
-        out = out.withColumn("_best", best)
-        rule, action = F.col("_best.rule"), F.col("_best.action")
-    else:
-        rule, action = F.lit(None).cast("string"), F.lit(None).cast("string")
-    return out.select(*kept.columns, "host", "path", rule.alias("rule"), F.coalesce(action, F.lit(default)).alias("verdict"))
+    given = pages.select(*kept.columns, host.alias("host"), path.alias("path"))
+    own = _unique(rules)
+    if not own:
+        return given.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    table = spark.createDataFrame(own, "rule_host string, rule_path string, action string")
+    table = table.select(
+        F.sha2(F.concat("rule_host", F.lit("\n"), "rule_path"), 256).alias("full"),
+        F.struct(F.length(F.concat("rule_host", "rule_path")).alias("size"), F.length("rule_host").alias("host_size"), F.concat("rule_host", "rule_path").alias("rule"), "action").alias("found"),
+    )
+    table = table.withColumn("key", F.substring("full", 1, PREFIX))
+    shapes = sorted({(h.count(".") + 1, len(p)) for h, p, _ in own})
+    asked = given.select("host", "path", F.explode(_expressions(F.col("host"), F.col("path"), shapes)).alias("digest"))
+    asked = asked.withColumn("key", F.substring("digest", 1, PREFIX))
+    met = asked.join(F.broadcast(table) if len(own) <= BROADCAST_RULES else table, "key").filter(F.col("digest") == F.col("full"))
+    at_host, at_path, best = fresh(given.columns, "rule_host", "rule_path", "best")
+    won = met.groupBy(F.col("host").alias(at_host), F.col("path").alias(at_path)).agg(F.max("found").alias(best))
+    out = given.join(won, (F.col("host") == F.col(at_host)) & (F.col("path") == F.col(at_path)), "left")
+    return out.select(*given.columns, F.col(f"{best}.rule").alias("rule"), F.coalesce(F.col(f"{best}.action"), F.lit(default)).alias("verdict"))
 
 
 def verdict_sql() -> str:

@@ -118,6 +118,18 @@ def test_urls_brute_force(spark):
     assert urls.url_verdicts(spark.createDataFrame([("http://x.h7.org/pppp",)], "url string"), many).first()["rule"] == "h7.org/pp"
 
 
+def test_urls_many_shapes_and_clashing_names(spark):
+    """One plan for any number of rule shapes; helper columns never meet the caller's."""
+    rules = [(".".join(["a"] * (1 + k % 4) + [f"h{k}.org"]), "/" + "p" * k, "block") for k in range(120)]
+    given = spark.createDataFrame([(f"http://x.{h}{p}q", 1, "k", "b", "d") for h, p, _ in rules] + [(None, 1, "k", "b", "d")], "url string, `rule_host` int, key string, best string, digest string")
+    out = urls.url_verdicts(given, rules)
+    assert out.columns == ["url", "rule_host", "key", "best", "digest", "host", "path", "rule", "verdict"]
+    got = {r.url: r for r in out.collect()}
+    assert all(got[f"http://x.{h}{p}q"].rule == h + p and got[f"http://x.{h}{p}q"].best == "b" for h, p, _ in rules)
+    assert got[None].verdict == "allow" and got[None].rule is None
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+
+
 def test_native_operators_run_no_python(spark):
     for df in (urls.url_verdicts(spark.read.parquet(f"{SF}/pages.parquet").select("url")), licenses.license_matches(awkward(spark).select("text"))):
         plan = df._jdf.queryExecution().executedPlan().toString()
