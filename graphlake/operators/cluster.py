@@ -1,12 +1,8 @@
-"""Communities: Leiden by component, cohesion, hubs, splits, numbering, labels."""
+"""Communities: Leiden, cohesion, hubs, splits, numbering, labels."""
 
 from __future__ import annotations
 
-import random
-from collections import defaultdict, deque
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlake.operators.graph import both_ways, degrees, node_degrees, with_pair
@@ -75,147 +71,109 @@ def number_communities(membership: DataFrame) -> DataFrame:
     return membership.join(numbered.select("community", "number"), "community").select("id", F.col("number").alias("community"))
 
 
-def _leiden(ids: list[str], pairs: list[tuple[str, str]], total: float, resolution: float, levels: int = 32) -> dict[str, int]:
-    """Queue-driven local moves, refinement and aggregation, in a seeded order."""
-    order = sorted(ids)
-    place = {x: i for i, x in enumerate(order)}
-    adjacency: list[dict[int, float]] = [defaultdict(float) for _ in order]
-    loops = [0.0] * len(order)
-    for a, b in pairs:
-        i, j = place[a], place[b]
-        if i == j:
-            loops[i] += 2.0
-        else:
-            adjacency[i][j] += 1.0
-            adjacency[j][i] += 1.0
-    groups = [[i] for i in range(len(order))]
-    for level in range(levels):
-        n = len(groups)
-        strength = [sum(adjacency[i].values()) + loops[i] for i in range(n)]
-        com, weight = list(range(n)), strength[:]
-        shuffled = list(range(n))
-        random.Random(42 + level).shuffle(shuffled)
-        queue, waiting, moved = deque(shuffled), set(shuffled), False
-        while queue:
-            v = queue.popleft()
-            waiting.discard(v)
-            own, k = com[v], strength[v]
-            weight[own] -= k
-            near: dict[int, float] = defaultdict(float)
-            for w, x in adjacency[v].items():
-                near[com[w]] += x
-            best, gain = own, near.get(own, 0.0) - resolution * weight[own] * k / total
-            for c in sorted(near):
-                g = near[c] - resolution * weight[c] * k / total
-                if g > gain + 1e-12:
-                    best, gain = c, g
-            weight[best] += k
-            if best != own:
-                com[v], moved = best, True
-                for w in sorted(adjacency[v]):
-                    if com[w] != best and w not in waiting:
-                        waiting.add(w)
-                        queue.append(w)
-        if not moved:
-            break
-        # Refinement: within a community only nodes that are linked stay together.
-        part: dict[int, int] = {}
-        for v in range(n):
-            if v in part:
-                continue
-            stack, part[v] = [v], v
-            while stack:
-                u = stack.pop()
-                for w in adjacency[u]:
-                    if w not in part and com[w] == com[v]:
-                        part[w] = v
-                        stack.append(w)
-        names = {p: i for i, p in enumerate(sorted(set(part.values())))}
-        if len(names) == n:
-            break
-        fresh: list[list[int]] = [[] for _ in names]
-        adj: list[dict[int, float]] = [defaultdict(float) for _ in names]
-        loop = [0.0] * len(names)
-        for v in range(n):
-            p = names[part[v]]
-            fresh[p] += groups[v]
-            loop[p] += loops[v]
-            for w, x in adjacency[v].items():
-                q = names[part[w]]
-                if q == p:
-                    loop[p] += x
-                else:
-                    adj[p][q] += x
-        groups, adjacency, loops = fresh, adj, loop
-    return {order[i]: g for g, members in enumerate(groups) for i in members}
-
-
-def leiden(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, component_limit: int = 500_000) -> DataFrame:
-    """``id, community`` (the least member's id); isolated nodes stand alone.
+def _moved(links: DataFrame, strength: DataFrame, state: DataFrame, resolution: float, rounds: int, seed: int) -> DataFrame:
+    """Local moves ``(id, c)`` by modularity gain, half of the nodes in a round, until two rounds move nothing.
 
-    Every connected component is one sequential task over its own edges, with the weight of the whole
-    graph in the gain. Components over ``component_limit`` edges move by :func:`label_moves` instead, which
-    is a synchronous approximation.
+    ``links``: u, v, w both ways without loops; ``strength``: id, k with loops counted twice, and t, the sum of k over
+    the graph that the node belongs to. A node weighs its own community without itself, as if it had left it. Sums are of whole numbers, so the moves are the same on every run.
     """
-    pairs = cut(with_pair(edges).select("lo", "hi").distinct())
-    comp = connected_components(pairs.select(F.col("lo").alias("source"), F.col("hi").alias("target")))
-    placed = pairs.join(comp.withColumnsRenamed({"id": "lo"}), "lo")
-    total = 2.0 * pairs.count()
-    sizes = placed.groupBy("component").agg(F.count("*").alias("m"))
-    small = placed.join(sizes.filter(F.col("m") <= component_limit).select("component"), "component", "left_semi")
-    large = placed.join(sizes.filter(F.col("m") > component_limit).select("component"), "component", "left_semi")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        links = list(zip(rows["lo"], rows["hi"], strict=True))
-        found = _leiden(sorted({x for p in links for x in p}), links, total, resolution)
-        least: dict[int, str] = {}
-        for x, g in found.items():
-            least[g] = min(least.get(g, x), x)
-        return pd.DataFrame({"id": list(found), "community": [least[g] for g in found.values()]})
-
-    out = small.groupBy("component").applyInPandas(run, "id string, community string")
-    out = out.unionByName(label_moves(large.select(F.col("lo").alias("source"), F.col("hi").alias("target"))))
-    return nodes.select("id").join(out, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+    k, quiet = strength.withColumnRenamed("id", "u"), 0
+    for r in range(rounds):
+        held = state.join(strength.select("id", "k"), "id").groupBy("c").agg(F.sum("k").alias("held"))
+        near = links.join(state.select(F.col("id").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
+        own = state.select(F.col("id").alias("u"), F.col("c").alias("own"))
+        stay = own.select("u", F.col("own").alias("c"), F.lit(0).cast("long").alias("w"))
+        asked = near.unionByName(stay).groupBy("u", "c").agg(F.sum("w").alias("w")).join(own, "u").join(k, "u").join(held, "c")
+        gain = F.col("w") - resolution * F.col("k") * (F.col("held") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0)) / F.col("t")
+        best = asked.withColumn("gain", gain).groupBy("u").agg(
+            F.max(F.struct("gain", (-F.col("c")).alias("c"))).alias("b"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay")
+        )
+        turn = F.pmod(F.xxhash64("u", F.lit(seed)), F.lit(2)) == r % 2
+        best = best.filter(turn & (F.col("b.gain") > F.col("stay") + 1e-12)).select(F.col("u").alias("id"), (-F.col("b.c")).alias("to"))
+        state = cut(state.join(best, "id", "left").select("id", F.coalesce("to", "c").alias("c"), (F.col("to").isNotNull() & (F.col("to") != F.col("c"))).alias("went")))
+        went = state.filter("went").count()
+        state, quiet = state.drop("went"), 0 if went else quiet + 1
+        if quiet == 2:
+            break
+    return state
 
 
-def label_moves(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """Synchronous moves to the community with most links, least name on ties; half of the nodes move in each round."""
-    adjacency = both_ways(edges)
-    state = cut(adjacency.select(F.col("u").alias("id")).distinct().withColumn("community", F.col("id")))
-    if state.isEmpty():
-        return state
-    for k in range(rounds):
-        votes = adjacency.join(state.withColumnsRenamed({"id": "v"}), "v").groupBy("u", "community").agg(F.count("*").alias("n"))
-        best = votes.groupBy(F.col("u").alias("id")).agg(F.min(F.struct((-F.col("n")).alias("less"), "community")).alias("b"))
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == k % 2
-        state = cut(state.join(best, "id", "left").select("id", F.when(turn, F.coalesce("b.community", "community")).otherwise(F.col("community")).alias("community")))
-    return state
+def _inside(links: DataFrame, state: DataFrame) -> DataFrame:
+    """The links within communities."""
+    a, b = state.select(F.col("id").alias("u"), F.col("c").alias("cu")), state.select(F.col("id").alias("v"), F.col("c").alias("cv"))
+    return links.join(a, "u").join(b, "v").filter("cu = cv").select("u", "v", "w")
 
 
-def split_oversized(membership: DataFrame, edges: DataFrame, share: float = 0.25, floor: int = 10, least_cohesion: float = 0.05, loose_from: int = 50, component_limit: int = 500_000) -> DataFrame:
-    """Run Leiden again inside communities over ``max(floor, share * nodes)`` and large loose ones, on their own edges.
+def _linked(links: DataFrame, state: DataFrame) -> DataFrame:
+    """``state`` with every community cut into its connected parts, each named by its least member."""
+    parts = connected_components(_inside(links, state).select(F.col("u").alias("source"), F.col("v").alias("target")))
+    return cut(state.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("c")))
 
-    A community of over ``component_limit`` inner edges is split by :func:`label_moves` instead of one task.
+
+def leiden(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, groups: DataFrame | None = None, rounds: int = 10, levels: int = 32) -> DataFrame:
+    """``id, community`` (the least member's id); isolated nodes stand alone.
+
+    Each level moves nodes between communities by modularity gain, refines every community from single
+    nodes by the same moves over its inner links, cuts what is not connected, and contracts the refined parts to the
+    nodes of the next level, which starts from the unrefined communities. It ends where nothing moves or
+    contracts. All steps are joins and partial sums over the whole graph, the same at every size; at most
+    ``rounds`` rounds of moves are made in a level, two in its refinement, and at most ``levels`` levels. With ``groups`` (id, grp), of
+    which no edge leads to another, each group is a graph of its own.
     """
+    pairs = cut(with_pair(edges).filter("lo <> hi").select("lo", "hi").distinct())
+    if pairs.isEmpty():
+        return nodes.select("id", F.col("id").alias("community"))
+    # Numbers in the order of the ids.
+    ends = pairs.select(F.explode(F.array("lo", "hi")).alias("id")).distinct().orderBy("id")
+    names = cut(ends.withColumn("n", F.monotonically_increasing_id()))
+    lo, hi = names.select(F.col("id").alias("lo"), F.col("n").alias("u")), names.select(F.col("id").alias("hi"), F.col("n").alias("v"))
+    one = pairs.join(lo, "lo").join(hi, "hi").select("u", "v", F.lit(1).cast("long").alias("w"))
+    links = cut(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")))
+    strength = links.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k"))
+    if groups is None:
+        strength = cut(strength.withColumn("t", F.lit(float(links.count()))))
+    else:
+        strength = strength.join(names.withColumnRenamed("id", "name").join(groups.withColumnRenamed("id", "name"), "name").select(F.col("n").alias("id"), "grp"), "id")
+        sums = strength.groupBy("grp").agg(F.sum("k").cast("double").alias("t"))
+        strength = cut(strength.join(sums, "grp").select("id", "k", "t"))
+    size = strength.count()
+    whole, first = links, names.select(F.col("n").alias("node"), F.col("n").alias("at"))
+    state = cut(names.select(F.col("n").alias("id"), F.col("n").alias("c")))
+    for level in range(levels):
+        state = _moved(links, strength, state, resolution, rounds, level)
+        inner = cut(_inside(links, state))
+        alone = cut(state.select("id", F.col("id").alias("c")))
+        parts = _moved(inner, strength, alone, resolution, 2, level)
+        parts = _linked(inner, parts)
+        # Nodes of the next level are the refined parts; they start in the communities that hold them.
+        step = parts.select(F.col("id").alias("at"), F.col("c").alias("part"))
+        first = cut(first.join(step, "at").select("node", F.col("part").alias("at")))
+        count = parts.count()
+        begin = parts.join(state.withColumnRenamed("c", "whole"), "id").groupBy("c").agg(F.min("whole").alias("whole"))
+        a, b = parts.select(F.col("id").alias("u"), F.col("c").alias("pu")), parts.select(F.col("id").alias("v"), F.col("c").alias("pv"))
+        links = cut(links.join(a, "u").join(b, "v").filter("pu <> pv").groupBy(F.col("pu").alias("u"), F.col("pv").alias("v")).agg(F.sum("w").alias("w")))
+        strength = cut(strength.join(parts, "id").groupBy(F.col("c").alias("id")).agg(F.sum("k").alias("k"), F.max("t").alias("t")))
+        state = cut(begin.select(F.col("c").alias("id"), F.col("whole").alias("c")))
+        if count == size:
+            break
+        size = count
+    found = first.join(state.withColumnRenamed("id", "at"), "at").select(F.col("node").alias("id"), "c")
+    found = _linked(whole, cut(found))
+    out = found.join(names.select("id", F.col("n")).withColumnRenamed("id", "name"), F.col("id") == F.col("n")).join(names.select(F.col("n").alias("c"), F.col("id").alias("community")), "c")
+    out = out.select(F.col("name").alias("id"), "community")
+    return nodes.select("id").join(out, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+
+
+def split_oversized(membership: DataFrame, edges: DataFrame, share: float = 0.25, floor: int = 10, least_cohesion: float = 0.05, loose_from: int = 50) -> DataFrame:
+    """Run Leiden again inside communities over ``max(floor, share * nodes)`` and large loose ones, on their own edges."""
     n = membership.count()
     c = cohesion(membership, edges)
     big = c.filter((F.col("size") > max(floor, int(n * share))) | ((F.col("size") >= loose_from) & (F.col("cohesion") < least_cohesion))).select("community")
     a = membership.select(F.col("id").alias("lo"), "community")
     b = membership.select(F.col("id").alias("hi"), F.col("community").alias("other"))
     inner = with_pair(edges).select("lo", "hi").distinct().join(a, "lo").join(b, "hi").filter("community = other").join(big, "community", "left_semi")
-    huge = inner.groupBy("community").agg(F.count("*").alias("m")).filter(F.col("m") > component_limit).select("community")
-    moved = label_moves(inner.join(huge, "community", "left_semi").select(F.col("lo").alias("source"), F.col("hi").alias("target")))
-    inner = inner.join(huge, "community", "left_anti")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        links = list(zip(rows["lo"], rows["hi"], strict=True))
-        found = _leiden(sorted({x for p in links for x in p}), links, 2.0 * len(links), 1.0)
-        least: dict[int, str] = {}
-        for x, g in found.items():
-            least[g] = min(least.get(g, x), x)
-        return pd.DataFrame({"id": list(found), "part": [least[g] for g in found.values()]})
-
-    parts = inner.groupBy("community").applyInPandas(run, "id string, part string").unionByName(moved.withColumnRenamed("community", "part"))
+    inside = membership.join(big, "community", "left_semi").select("id", F.col("community").alias("grp"))
+    parts = leiden(inside.select("id"), inner.select(F.col("lo").alias("source"), F.col("hi").alias("target")), groups=inside).withColumnRenamed("community", "part")
     own = F.col("community").cast("string")
     return membership.join(parts, "id", "left").select("id", F.when(F.col("part").isNotNull(), F.concat(own, F.lit("/"), "part")).otherwise(own).alias("community"))
 
@@ -228,7 +186,3 @@ def modularity(membership: DataFrame, edges: DataFrame) -> DataFrame:
     d = degrees(pairs.select(F.col("lo").alias("source"), F.col("hi").alias("target"))).join(membership, "id").groupBy("community").agg(F.sum("degree").alias("k"))
     return inner.crossJoin(d.agg(F.sum(F.col("k") * F.col("k")).alias("kk"))).select((F.col("inner") / F.col("m") - F.col("kk") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
 
-
-def thin(column: Column, least: int = 3) -> Column:
-    """Whether a community is too small to be reported."""
-    return column < least

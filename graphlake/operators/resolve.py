@@ -233,16 +233,19 @@ def parked_calls(calls: DataFrame, types: DataFrame, receivers: DataFrame, most:
     return first.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most).select("caller_id", "callee", "type_name", "ord")
 
 
-def inherited_methods(types: DataFrame, bases: DataFrame, methods: DataFrame, depth: int = 16) -> DataFrame:
+def inherited_methods(types: DataFrame, bases: DataFrame, methods: DataFrame) -> DataFrame:
     """``type_id, name, id``: each type's own method, or the one found at the nearest level of its bases where it is unique.
 
-    ``bases``: type_id, base_id. Cycles end at the depth bound; a level with two different definitions is ambiguous
-    and binds nothing above it.
+    ``bases``: type_id, base_id. Bases are followed to the top; a base met before is not followed again, which
+    ends cycles. A level with two different definitions is ambiguous and binds nothing above it.
     """
     up = types.select(F.col("id").alias("type_id"), F.col("id").alias("at"), F.lit(0).alias("level"))
-    reach, step = up, up
-    for k in range(1, depth + 1):
-        step = cut(step.join(bases.select(F.col("type_id").alias("at"), "base_id"), "at").select("type_id", F.col("base_id").alias("at"), F.lit(k).alias("level")).distinct().join(reach.select("type_id", "at"), ["type_id", "at"], "left_anti"))
+    reach, step, k = up, up, 0
+    while True:
+        k += 1
+        above = bases.select(F.col("type_id").alias("at"), "base_id")
+        step = step.join(above, "at").select("type_id", F.col("base_id").alias("at"), F.lit(k).alias("level")).distinct()
+        step = cut(step.join(reach.select("type_id", "at"), ["type_id", "at"], "left_anti"))
         if step.isEmpty():
             break
         reach = reach.unionByName(step)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,20 +101,15 @@ def expand_edges(edges: DataFrame, visited: DataFrame) -> DataFrame:
     return induced_subgraph(edges, visited)
 
 
-def expand_dfs(nodes: DataFrame, edges: DataFrame, seeds: list[str], depth: int = 2, ball: int = 200_000) -> DataFrame:
+def expand_dfs(nodes: DataFrame, edges: DataFrame, seeds: list[str], depth: int = 2, batch: int = 2000) -> DataFrame:
     """``id, hop`` in depth-first order of a stack: neighbours pushed in ascending, popped in descending order.
 
-    What it reaches lies in the breadth-first ball of the same depth; the ball's edges come to the
-    driver for the sequential walk, and a ball of over ``ball`` edges is refused.
+    The order is sequential by nature, so the driver walks it. It holds the visited ids and the stack; the
+    neighbours of up to ``batch`` stack tops come from one scan of the adjacency at a time, and nodes at the
+    last level are not looked up at all.
     """
-    around = expand_bfs(nodes, edges, seeds, depth)
-    part = both_ways(induced_subgraph(edges, around).filter("source <> target"))
-    rows = part.limit(2 * ball + 1).collect()
-    if len(rows) > 2 * ball:
-        raise ValueError(f"depth-first expansion walks on the driver: over {ball} edges within depth {depth}")
-    adjacency: dict[str, list[str]] = {}
-    for r in rows:
-        adjacency.setdefault(r["u"], []).append(r["v"])
+    adjacency = cut(both_ways(edges.filter("source <> target")).distinct())
+    known: dict[str, list[str]] = {}
     visited: dict[str, int] = {}
     stack = [(s, 0) for s in reversed(seeds)]
     while stack:
@@ -124,26 +117,41 @@ def expand_dfs(nodes: DataFrame, edges: DataFrame, seeds: list[str], depth: int
         if v in visited or d > depth:
             continue
         visited[v] = d
-        for w in sorted(adjacency.get(v, ())):
+        if d == depth:
+            continue
+        if v not in known:
+            ask = list(dict.fromkeys([v, *(w for w, e in reversed(stack[-4 * batch :]) if e < depth and w not in visited and w not in known)]))[:batch]
+            known.update({w: [] for w in ask})
+            for r in adjacency.filter(F.col("u").isin(ask)).collect():
+                known[r["u"]].append(r["v"])
+        for w in sorted(known.pop(v)):
             if w not in visited:
                 stack.append((w, d + 1))
     return nodes.sparkSession.createDataFrame([(k, v) for k, v in visited.items()], "id string, hop int")
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, most: int = 20) -> DataFrame:
-    """``pos, id`` along the shortest undirected path; of several the least by ids. Empty if there is none."""
+def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
+    """``pos, id`` along the shortest undirected path; of several the least by ids. Empty if there is none.
+
+    Levels grow from ``end`` until they hold ``start`` or nothing is left. A row is a node and its least
+    neighbour one level nearer; the path is read back along these, one row from each level.
+    """
     adjacency = both_ways(edges.filter("source <> target"))
     spark = edges.sparkSession
-    seen = cut(spark.createDataFrame([(start, [start])], "id string, path array<string>"))
-    frontier, found = seen, seen.filter(F.col("id") == end)
-    for _ in range(most):
-        if start == end or not found.isEmpty() or frontier.isEmpty():
-            break
-        step = frontier.withColumnRenamed("id", "u").join(adjacency, "u").groupBy(F.col("v").alias("id")).agg(F.min(F.concat("path", F.array("v"))).alias("path"))
-        frontier = cut(step.join(seen.select("id"), "id", "left_anti"))
-        seen = seen.select("id", "path").unionByName(frontier)
-        found = frontier.filter(F.col("id") == end)
-    return found.select(F.posexplode("path").alias("pos", "id"))
+    level = cut(spark.createDataFrame([(end, end)], "id string, nearer string"))
+    levels, before = [level], None
+    while start != end and level.filter(F.col("id") == start).isEmpty():
+        step = level.select(F.col("id").alias("u")).join(adjacency, "u").groupBy(F.col("v").alias("id")).agg(F.min("u").alias("nearer"))
+        # A neighbour of a level lies in it, before or after it.
+        known = level.select("id") if before is None else level.select("id").unionByName(before.select("id"))
+        before, level = level, cut(step.join(known, "id", "left_anti"))
+        if level.isEmpty():
+            return spark.createDataFrame([], "pos int, id string")
+        levels.append(level)
+    path = [start]
+    for at in reversed(levels[1:]):
+        path.append(at.filter(F.col("id") == path[-1]).first()["nearer"])
+    return spark.createDataFrame(list(enumerate(path)), "pos int, id string")
 
 
 def path_directions(edges: DataFrame, path: DataFrame) -> DataFrame:
@@ -199,6 +207,3 @@ def query(nodes: DataFrame, edges: DataFrame, question: str, depth: int = 2, bud
         return nodes.select(F.lit("").alias("line")).limit(0)
     return render(nodes, edges, expand_bfs(nodes, edges, start, depth, hubs=False), budget)
 
-
-def idf_value(n: int, df: int) -> float:
-    return math.log((n + 1) / (df + 1)) + 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 import re
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,9 +126,63 @@ def test_leiden_finds_cliques_and_repeats(spark):
     assert cluster.modularity(members, e).first()[0] > cluster.modularity(singles, e).first()[0]
 
 
-def test_label_moves_cover_all(spark):
-    e = edges(spark, ("a", "b"), ("b", "c"), ("x", "y"))
-    assert {r.id for r in cluster.label_moves(e).collect()} == {"a", "b", "c", "x", "y"}
+def test_leiden_is_connected_and_no_worse_than_plain_moves(spark):
+    """Communities are connected, and modularity reaches that of sequential greedy moves over the same graph."""
+    rng = random.Random(9)
+    links = {tuple(sorted((f"n{i}", f"n{j}"))) for i in range(80) for j in range(i) if rng.random() < (0.35 if i // 16 == j // 16 else 0.02)}
+    e = spark.createDataFrame(sorted(links), "source string, target string")
+    n = spark.createDataFrame([(f"n{i}",) for i in range(80)], "id string")
+    got = {r.id: r.community for r in cluster.leiden(n, e).collect()}
+    near = defaultdict(set)
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+    for c in set(got.values()):
+        members = {x for x in got if got[x] == c}
+        assert c == min(members)
+        seen, stack = {c}, [c]
+        while stack:
+            for w in near[stack.pop()] & members - seen:
+                seen.add(w)
+                stack.append(w)
+        assert seen == members
+
+    def quality(com):
+        m = len(links)
+        return sum(com[a] == com[b] for a, b in links) / m - sum(sum(len(near[x]) for x in com if com[x] == c) ** 2 for c in set(com.values())) / (4 * m * m)
+
+    com = {x: x for x in near}
+    for _ in range(10):
+        for x in sorted(near):
+            com[x] = max({com[x], *(com[w] for w in near[x])}, key=lambda c: (quality({**com, x: c}), c))
+    assert quality({x: got[x] for x in near}) >= quality(com) - 0.02
+
+
+def test_paths_bases_and_walks_have_no_bounds(spark):
+    chain = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(24)], "source string, target string")
+    assert [r.id for r in search.shortest_path(chain, "n00", "n22").orderBy("pos").collect()] == [f"n{i:02}" for i in range(23)]
+    assert search.shortest_path(chain, "n00", "elsewhere").count() == 0
+    types = spark.createDataFrame([(f"t{i:02}",) for i in range(21)], "id string")
+    bases = spark.createDataFrame([(f"t{i:02}", f"t{i + 1:02}") for i in range(20)] + [("t20", "t18")], "type_id string, base_id string")
+    methods = spark.createDataFrame([("t20", "run", "m")], "type_id string, name string, id string")
+    found = {r.type_id for r in resolve.inherited_methods(types, bases, methods).collect()}
+    assert found == {f"t{i:02}" for i in range(21)}
+    rng = random.Random(4)
+    e = spark.createDataFrame([(f"{rng.randrange(60)}", f"{rng.randrange(60)}") for _ in range(150)], "source string, target string")
+    nodes = spark.createDataFrame([(str(i),) for i in range(60)], "id string")
+    want = {r.id: r.hop for r in search.expand_dfs(nodes, e, ["0", "7"], 6).collect()}
+    assert want == {r.id: r.hop for r in search.expand_dfs(nodes, e, ["0", "7"], 6, batch=25).collect()}
+    near, visited, stack = defaultdict(set), {}, [("7", 0), ("0", 0)]
+    for r in e.collect():
+        if r.source != r.target:
+            near[r.source].add(r.target)
+            near[r.target].add(r.source)
+    while stack:
+        v, d = stack.pop()
+        if v not in visited and d <= 6:
+            visited[v] = d
+            stack += [(w, d + 1) for w in sorted(near[v]) if w not in visited]
+    assert want == visited
 
 
 def test_alias_collision_is_no_alias(spark):
