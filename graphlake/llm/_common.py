@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -119,11 +119,25 @@ class Words:
     @classmethod
     def _tables(cls) -> None:
         if len(cls._powers) == 1:
-            base = np.full(cls._span + 1, cls._base % 2**64, np.uint64)
-            base[0] = 1
-            inv = np.full(cls._span + 1, pow(cls._base, -1, 2**64), np.uint64)
-            inv[0] = 1
-            cls._powers, cls._inverse = np.cumprod(base), np.cumprod(inv)
+            cls._powers, cls._inverse = cls._series(cls._span)
+
+    @classmethod
+    def _series(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The powers of the base and of its inverse up to ``n``."""
+        out = []
+        for x in (cls._base % 2**64, pow(cls._base, -1, 2**64)):
+            steps = np.full(n + 1, x, np.uint64)
+            steps[0] = 1
+            out.append(np.cumprod(steps))
+        return out[0], out[1]
+
+    def ranges(self, data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """The hash of any byte ranges of ``data`` by running sums that are kept; tables for long data live no longer than it."""
+        self._tables()
+        powers, inverse = (self._powers, self._inverse) if len(data) <= self._span else self._series(len(data))
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.values[data] * powers[: len(data)], out=total[1:])
+        return lambda a, b: mixed((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
 
     def split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Return word starts, word ends and, for each text, the index of its first word (one more at the end)."""

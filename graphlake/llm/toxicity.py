@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.llm._common import mixed, plain_words, slim, text_slices
+from graphlake.llm._common import discard, mixed, plain_words, saved, slim, text_slices
 from graphlake.llm.labelled import training_sample
 
 #: Labelled rows of each class that the lexicon and the fit use.
@@ -144,14 +144,7 @@ class Lexicon:
         s, e, first = tok.split(low, off)
         if not len(s):
             return
-        total = np.empty(len(low) + 1, np.uint64)
-        tok._tables(len(low) + 1)
-        total[0] = 0
-        np.cumsum(tok.values[low] * tok._powers[: len(low)], out=total[1:])
-
-        def hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            return mixed((total[b] - total[a]) * tok._inverse[a] + (b - a).astype(np.uint64))
-
+        hashes = tok.ranges(low)
         h = hashes(s, e)
         weight = self._lookup(h, *exact)
         for n, (keys, values) in by_length.items():
@@ -290,9 +283,11 @@ def _cut(x: np.ndarray, y: np.ndarray) -> float | None:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Lexicon:
     """Learn the lexicon and the score from at most ``2 * per_class`` labelled texts outside the held-out fold.
 
-    Without toxic labels the lexicon is empty and every score is near 0.
+    Without toxic labels the lexicon is empty and every score is near 0. The driver receives, for each text of the
+    sample, its sum of sure matches and its distinct near ones: bounded by the sample and the words of its texts.
     """
-    sample = training_sample(slim(docs), labels, label_col, per_class, id_col, text_col)
+    # The bounded sample is read four times below, the documents once.
+    sample = saved(training_sample(slim(docs), labels, label_col, per_class, id_col, text_col), "sample")
     size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     nt, nc = size.get(1, 0), size.get(0, 0)
     if not nt:
@@ -326,9 +321,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
                         sure[text] += w * context_factor(bytes(data[left:a]).decode(errors="ignore"), bytes(data[b:right]).decode(errors="ignore"))
                     else:
                         near[text].append(bytes(lowered(data[a:b])).decode(errors="ignore").lower() + " " + term)
-                yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), pa.array(sure), pa.array(near, pa.list_(pa.string()))], names=["label", "sure", "near"])
+                yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), pa.array(sure), pa.array([sorted(set(x)) for x in near], pa.list_(pa.string()))], names=["label", "sure", "near"])
 
     rows = sample.select("label", "text").mapInArrow(trials, "label int, sure double, near array<string>").toArrow().to_pylist()
+    discard(sample)
     rows.sort(key=lambda r: (r["label"], r["sure"], r["near"]))  # the halves below depend on no order of tasks
     texts = [[x.split(" ") for x in r["near"]] for r in rows if not r["label"]]
     clean_near = frozenset(w for near in texts for w, _ in near)

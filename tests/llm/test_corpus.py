@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -425,7 +426,7 @@ def test_misspelt_terms_count():
 def test_decontamination_equals_brute_force(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     benchmark = [(1, item), (2, "short item"), (3, ""), (4, None), (10, item.upper()), (5, "x " * 30), (6, "one")]
-    docs = [(1, f"intro {item}, end"), (2, "beta gamma delta"), (3, "a Short, ITEM b short item"), (4, None), (5, "x x x x x x x x x x x x"), (6, ""), (7, "kappa " + item.replace("mu", "nu")), (8, "One more"), (8, "One more")]
+    docs = [(1, f"intro {item}, end"), (2, "beta gamma delta"), (3, "a Short, ITEM b short item"), (4, None), (5, "x x x x x x x x x x x x"), (6, ""), (7, "kappa " + item.replace("mu", "nu")), (8, "One more"), (8, "One more"), (9, f"{item} {item} beta gamma delta epsilon zeta eta theta iota kappa lambda")]
     word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     split = lambda t: word.findall((t or "").encode().translate(LOWER))
     windows = {}
@@ -446,7 +447,19 @@ def test_decontamination_equals_brute_force(spark):
                         items |= own
             digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
             assert (r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (i, len(w), len(hit), len(items), digest, bool(hit))
-            assert sum(s.length for s in r.spans) == len(hit) and r.longest_match == max((s.length for s in r.spans), default=0)
+            assert sum(s.length for s in r.spans) == len(hit)
+            longest = 0
+            for _, other in benchmark:
+                v = split(other)
+                for p, q in itertools.product(range(len(w)), range(len(v))):
+                    n = 0
+                    while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                        n += 1
+                    longest = max(longest, n if n >= min(10, len(v)) else 0)
+            assert r.longest_match == longest
+            if longest:
+                v = split({str(k): x for k, x in benchmark}[r.match_item])[r.match_item_start :]
+                assert v[:longest] == w[r.match_start : r.match_start + longest]
         kept = {r.doc_id for r in decontaminate.clean_documents(d, b, block_bytes=block).collect()}
         assert kept == {r.doc_id for r in got if not r.contaminated}
     assert decontaminate.contamination(awkward(spark), b.limit(0)).filter("contaminated").count() == 0
