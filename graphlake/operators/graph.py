@@ -132,3 +132,20 @@ def graph_diff(old_nodes: DataFrame, old_edges: DataFrame, new_nodes: DataFrame,
         nodes(new_nodes, old_nodes, "added").unionByName(nodes(old_nodes, new_nodes, "removed"))
         .unionByName(edges(new_edges, old_edges, "added")).unionByName(edges(old_edges, new_edges, "removed"))
     )
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` numbered from 1 in ``order`` by a range sort: partitions count themselves and start after those before."""
+    from graphlake.plans.storage import cut
+
+    held = cut(rows.orderBy(*order).withColumn(name, F.monotonically_increasing_id()))
+    # The high bits are the sorted partition: one row for each.
+    part = F.shiftright(name, 33)
+    counts = held.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+    starts, total = [], 0
+    for r in counts:
+        starts.append((r["part"], total))
+        total += r["n"]
+    start = rows.sparkSession.createDataFrame(starts, "_part long, _start long")
+    place = F.col("_start") + F.col(name).bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return held.join(F.broadcast(start), F.shiftright(name, 33) == F.col("_part")).select(*rows.columns, place.alias(name))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphlake.operators import analyze, build, cluster, graph, merge, search
 from graphlake.plans import fixtures
-from graphlake.plans.fixtures import EDGES, EVENTS, FOREST_EDGES, NODES, RAW_EDGES, SMALL_EDGES, SMALL_NODES, frame
+from graphlake.plans.fixtures import EDGES, EVENTS, NODES, RAW_EDGES, SMALL_EDGES, SMALL_NODES, frame
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -315,12 +315,17 @@ def modularity(spark, sf_dir):
     return cluster.modularity(_membership(n), e).withColumn("modularity", F.round("modularity", 6))
 
 
-@query(
-    f"""WITH RECURSIVE edges AS ({FOREST_EDGES}), {_ADJ}, walk AS (SELECT DISTINCT u AS id, u AS component FROM adj UNION SELECT a.v, w.component FROM walk w JOIN adj a ON a.u = w.id)
-    SELECT id, min(component) AS component FROM walk GROUP BY id"""
-)
+#: Regions hold trees of nations, suppliers and customers; parts join the regions of all that relate to them.
+_REGIONS = """reg AS (SELECT concat('region_', r_regionkey) AS id, r_regionkey AS r FROM region UNION ALL SELECT concat('nation_', n_nationkey), n_regionkey FROM nation
+    UNION ALL SELECT concat('supplier_', s_suppkey), n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION ALL SELECT concat('customer_', c_custkey), n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey),
+    held AS (SELECT DISTINCT e.target AS id, r FROM edges e JOIN reg ON reg.id = e.source WHERE e.target LIKE 'part%'), link AS (SELECT DISTINCT a.r AS u, b.r AS v FROM held a JOIN held b ON a.id = b.id),
+    walk AS (SELECT DISTINCT r AS u, r AS v FROM reg UNION SELECT w.u, l.v FROM walk w JOIN link l ON l.u = w.v), root AS (SELECT u AS r, min(v) AS root FROM walk GROUP BY u),
+    placed AS (SELECT id, root FROM reg JOIN root USING (r) UNION SELECT id, root FROM held JOIN root USING (r))"""
+
+
+@query(f"{_BASE}, {_REGIONS} SELECT id, min(id) OVER (PARTITION BY root) AS component FROM placed WHERE id IN (SELECT source FROM edges UNION SELECT target FROM edges)")
 def components(spark, sf_dir):
-    return cluster.connected_components(frame(spark, sf_dir, FOREST_EDGES))
+    return cluster.connected_components(frame(spark, sf_dir, EDGES))
 
 
 # ------------------------------------------------------------------ analysis
@@ -454,13 +459,10 @@ def shared_types(spark, sf_dir):
     return merge.shared_types(frame(spark, sf_dir, _DECLARED), frame(spark, sf_dir, EDGES))
 
 
-@query(f"{_BASE} SELECT source, target, relation, row_number() OVER (ORDER BY least(a.ord, b.ord), greatest(a.ord, b.ord), relation) AS pos FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target WHERE relation = 'contains'")
+@query(f"{_BASE} SELECT source, target, relation, row_number() OVER (ORDER BY least(a.ord, b.ord), greatest(a.ord, b.ord), relation, source, target) AS pos FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target")
 def edge_order(spark, sf_dir):
-    from pyspark.sql import Window
-
-    n, e = _graph(spark, sf_dir)
-    ordered = merge.in_adjacency_order(n, e.filter("relation = 'contains'"))
-    return ordered.select("source", "target", "relation", F.row_number().over(Window.orderBy("place")).cast("long").alias("pos"))
+    ordered = merge.in_adjacency_order(*_graph(spark, sf_dir)).select("source", "target", "relation", "place")
+    return graph.numbered(ordered, ["place", "source", "target"], "pos").drop("place")
 
 
 # ------------------------------------------------------------------ build
@@ -550,4 +552,4 @@ def self_import_drop(spark, sf_dir):
     return build.drop_self_imports(mixed).select("source", "target")
 
 
-from graphlake import queries_build, queries_corpus, queries_languages  # noqa: E402,F401  (they add to the registry)
+from graphlake import queries_build, queries_corpus, queries_languages, queries_report  # noqa: E402,F401  (they add to the registry)
