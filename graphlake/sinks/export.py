@@ -133,3 +133,40 @@ def report_lines(nodes: DataFrame, edges: DataFrame, membership: DataFrame, top:
     gods = god_nodes(nodes, edges, top).select(F.lit("3 hubs").alias("section"), (-F.col("degree")).cast("long").alias("ord"), F.concat("label", F.lit(" - "), F.col("degree").cast("string"), F.lit(" edges")).alias("line"))
     com = cohesion(membership, edges).select(F.lit("4 communities").alias("section"), F.col("community").cast("long").alias("ord"), F.concat(F.lit("Community "), F.col("community").cast("string"), F.lit(": "), F.col("size").cast("string"), F.lit(" members")).alias("line"))
     return summary.unionByName(trust).unionByName(gods).unionByName(com)
+
+
+def wiki_index(membership: DataFrame, names: DataFrame) -> DataFrame:
+    """``ord, line`` of the wiki's index: a link for each community, the largest first."""
+    size = membership.groupBy("community").agg(F.count("*").alias("size")).join(names, "community")
+    link = F.concat_ws("-", slug(F.col("name")), F.col("community").cast("string"))
+    return size.select(F.format_string("%012d|%09d", 999999999999 - F.col("size"), "community").alias("ord"), F.concat(F.lit("- [["), link, F.lit("]] ("), F.col("size").cast("string"), F.lit(")")).alias("line"))
+
+
+def god_articles(nodes: DataFrame, edges: DataFrame, gods: DataFrame, top: int = 20) -> DataFrame:
+    """``name, body``: an article for each god node with its first neighbours by degree; names that repeat carry the id."""
+    from pyspark.sql import Window
+
+    from graphlake.operators.graph import both_ways
+
+    g = gods.select("id", "label", "degree")
+    near = both_ways(edges).join(g.select(F.col("id").alias("u")), "u").join(node_degrees(nodes, edges).select(F.col("id").alias("v"), F.col("label").alias("other"), F.col("degree").alias("k")), "v")
+    first = near.withColumn("i", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("k"), "v"))).filter(F.col("i") <= top)
+    listed = first.groupBy(F.col("u").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "other"))), lambda r: F.concat(F.lit("- "), r["other"])), "\n").alias("lines"))
+    same = g.groupBy(slug(F.col("label")).alias("slug")).agg(F.count("*").alias("n"))
+    a = g.withColumn("slug", slug(F.col("label"))).join(same, "slug").join(listed, "id", "left")
+    name = F.when(F.col("n") > 1, F.concat_ws("-", "slug", "id")).otherwise(F.col("slug"))
+    return a.select(name.alias("name"), F.concat(F.lit("# "), "label", F.lit("\n\nEdges: "), F.col("degree").cast("string"), F.lit("\n\n"), F.coalesce("lines", F.lit(""))).alias("body"))
+
+
+def stale_articles(written: DataFrame, articles: DataFrame) -> DataFrame:
+    """Names among ``written`` that no article has any more: the files to remove."""
+    return written.select("name").join(articles.select("name"), "name", "left_anti")
+
+
+def analysis_sidecar(membership: DataFrame, cohesion: DataFrame, gods: DataFrame, surprises: DataFrame) -> DataFrame:
+    """The analysis beside a graph document as JSON lines: ``part, key, line``; one line for each member, community, god and surprise."""
+    m = membership.select(F.lit("community").alias("part"), F.concat_ws("|", F.format_string("%09d", "community"), "id").alias("key"), F.to_json(F.struct("community", "id")).alias("line"))
+    c = cohesion.select(F.lit("cohesion").alias("part"), F.format_string("%09d", "community").alias("key"), F.to_json(F.struct("community", "size")).alias("line"))
+    g = gods.select(F.lit("god").alias("part"), F.col("id").alias("key"), F.to_json(F.struct("id", "label", "degree")).alias("line"))
+    s = surprises.select(F.lit("surprise").alias("part"), F.concat_ws("|", "source", "target", "relation").alias("key"), F.to_json(F.struct("source", "target", "relation", "score")).alias("line"))
+    return m.unionByName(c).unionByName(g).unionByName(s)
