@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -97,10 +98,49 @@ def minhash_of(text: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (((h[:, None] * a + b) % _PRIME) & _MAX).min(0)
 
 
+#: Characters of texts whose signatures are made in one step, and permutations of a step: they bound its memory.
+_STEP_CHARS, _STEP_PERMS = 1 << 20, 16
+
+
+def minhash_many(texts: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """:func:`minhash_of` of many texts: each distinct shingle of them is hashed once."""
+    out = np.zeros((len(texts), PERMS), np.uint64)
+    keys, rows = [], []
+    for k, text in enumerate(texts):
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        if len(c) < 3:
+            out[k] = minhash_of(text, a, b)
+        else:
+            keys.append(np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:]))
+            rows.append(k)
+    if not rows:
+        return out
+    known, at = np.unique(np.concatenate(keys), return_inverse=True)
+    begin = np.concatenate([[0], np.cumsum([len(x) for x in keys])[:-1]])
+    names = ("".join(map(chr, (x >> 42, (x >> 21) & 0x1FFFFF, x & 0x1FFFFF))) for x in known.tolist())
+    h = np.array([int.from_bytes(hashlib.sha1(n.encode("utf-8", "surrogatepass")).digest()[:4], "little") for n in names], np.uint64)
+    for lo in range(0, PERMS, _STEP_PERMS):
+        with np.errstate(over="ignore"):
+            values = (((h[:, None] * a[lo : lo + _STEP_PERMS] + b[lo : lo + _STEP_PERMS]) % _PRIME) & _MAX).astype(np.uint32)
+        out[rows, lo : lo + _STEP_PERMS] = np.minimum.reduceat(values[at.reshape(-1)], begin, axis=0)
+    return out
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
-def minhash_signature(text: pd.Series) -> pd.Series:
+def minhash_signature(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     a, b = _coefficients()
-    return text.map(lambda s: minhash_of(s, a, b).astype(np.int64), na_action="ignore")
+    for text in parts:
+        given = text[text.notna()]
+        made: list[np.ndarray] = []
+        held, chars = [], 0
+        for s in given:
+            held.append(s)
+            chars += len(s)
+            if chars >= _STEP_CHARS:
+                made += list(minhash_many(held, a, b).astype(np.int64))
+                held, chars = [], 0
+        made += list(minhash_many(held, a, b).astype(np.int64))
+        yield pd.Series(pd.Series(made, index=given.index, dtype=object).reindex(text.index).where(text.notna(), None), dtype=object)
 
 
 def lsh_pairs(rows: DataFrame, id_col: str, signature_col: str) -> DataFrame:

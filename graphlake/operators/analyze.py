@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,33 +115,42 @@ def import_cycles(links: DataFrame, max_length: int = 5, top: int | None = 20) -
     return found.orderBy("length", "cycle").limit(top) if top else found
 
 
-def _brandes(adjacency: dict[str, list[str]], sources: list[str], edges: bool) -> dict:
-    out: dict = {}
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of ranges one after the other."""
+    end = np.cumsum(size)
+    return np.arange(int(end[-1]) if len(end) else 0) + np.repeat(first - end + size, size)
+
+
+def _brandes(begin: np.ndarray, near: np.ndarray, sources: list[int], edges: bool) -> np.ndarray:
+    """Sums over ``sources`` of what each node, or each place of ``near``, carries of their shortest paths, level by level.
+
+    ``near[begin[v]:begin[v + 1]]`` are the neighbours of node v.
+    """
+    n = len(begin) - 1
+    out = np.zeros(len(near) if edges else n)
     for s in sources:
-        order, count, level, parents = [], {s: 1.0}, {s: 0}, {s: []}
-        queue = deque([s])
-        while queue:
-            v = queue.popleft()
-            order.append(v)
-            for w in adjacency.get(v, ()):
-                if w not in level:
-                    level[w] = level[v] + 1
-                    count[w] = 0.0
-                    parents[w] = []
-                    queue.append(w)
-                if level[w] == level[v] + 1:
-                    count[w] += count[v]
-                    parents[w].append(v)
-        share = dict.fromkeys(order, 0.0)
-        for w in reversed(order):
-            for v in parents[w]:
-                c = count[v] / count[w] * (1 + share[w])
-                share[v] += c
-                if edges:
-                    key = (min(v, w), max(v, w))
-                    out[key] = out.get(key, 0.0) + c
-            if w != s and not edges:
-                out[w] = out.get(w, 0.0) + share[w]
+        level, count, share = np.full(n, -1, np.int32), np.zeros(n), np.zeros(n)
+        level[s], count[s] = 0, 1.0
+        front, steps = np.array([s]), []
+        while len(front):
+            size = begin[front + 1] - begin[front]
+            place, v = _ranges(begin[front], size), np.repeat(front, size)
+            w = near[place]
+            depth = level[front[0]] + 1
+            level[w[level[w] < 0]] = depth
+            on = level[w] == depth
+            place, v, w = place[on], v[on], w[on]
+            count += np.bincount(w, count[v], n)
+            steps.append((place, v, w))
+            front = np.unique(w)
+        for place, v, w in reversed(steps):
+            c = count[v] / count[w] * (1 + share[w])
+            share += np.bincount(v, c, n)
+            if edges:
+                out[place] += c
+        if not edges:
+            share[s] = 0.0
+            out += share
     return out
 
 
@@ -183,21 +194,31 @@ def _dependencies(nodes: DataFrame, edges: DataFrame, pivots: int | None, per_ed
     sources = nodes.select("id") if k == n else nodes.select("id").orderBy(F.xxhash64("id"), "id").limit(k)
     if edges.count() > BETWEENNESS_EDGES:
         return _dependencies_by_joins(sources, cut(around), per_edge), n, k
-    adjacency: dict[str, list[str]] = {}
-    for r in around.toLocalIterator():
-        adjacency.setdefault(r["u"], []).append(r["v"])
-    shared = nodes.sparkSession.sparkContext.broadcast(adjacency)
+    # Numbers in the order of the ids; the adjacency of so many edges is two arrays of bounded size.
+    every = sources.select("id").unionByName(around.select(F.col("u").alias("id"))).distinct().orderBy("id").toArrow().column("id")
+    names = every.to_pylist()
+    number = {x: i for i, x in enumerate(names)}
+    table = around.toArrow()
+    u, v = (pc.index_in(table.column(c), value_set=every).to_numpy().astype(np.int64) for c in ("u", "v"))
+    order = np.argsort(u, kind="stable")
+    near, begin = v[order], np.searchsorted(u[order], np.arange(len(names) + 1))
+    shared = nodes.sparkSession.sparkContext.broadcast((begin, near))
+    chosen = sorted(number[r["id"]] for r in sources.collect())
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            d = _brandes(shared.value, part["id"].tolist(), per_edge)
-            if per_edge:
-                yield pd.DataFrame({"a": pd.Series([x[0] for x in d], dtype=object), "b": pd.Series([x[1] for x in d], dtype=object), "d": pd.Series(list(d.values()), dtype=float)})
-            else:
-                yield pd.DataFrame({"id": pd.Series(list(d), dtype=object), "d": pd.Series(list(d.values()), dtype=float)})
-
-    spread = sources.repartition(max(1, min(64, k // 8)), "id")
-    return spread.mapInPandas(run, "a string, b string, d double" if per_edge else "id string, d double"), n, k
+            d = _brandes(*shared.value, part["s"].tolist(), per_edge)
+            at = np.flatnonzero(d)
+            yield pd.DataFrame({"at": at, "d": d[at]})
+
+    work = nodes.sparkSession.createDataFrame([(s,) for s in chosen], "s long").repartition(max(1, min(64, k // 8)), "s")
+    sums = work.mapInPandas(run, "at long, d double").groupBy("at").agg(F.sum("d").alias("d"))
+    if per_edge:
+        ends = np.repeat(np.arange(len(names)), np.diff(begin))
+        spots = pa.table({"at": np.arange(len(near)), "a": pa.array(names).take(pa.array(np.minimum(ends, near))), "b": pa.array(names).take(pa.array(np.maximum(ends, near)))})
+        return sums.join(nodes.sparkSession.createDataFrame(spots), "at").select("a", "b", "d"), n, k
+    spots = pa.table({"at": np.arange(len(names)), "id": pa.array(names)})
+    return sums.join(nodes.sparkSession.createDataFrame(spots), "at").select("id", "d"), n, k
 
 
 def node_betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = 100, exact_upto: int = 1000) -> DataFrame:

@@ -122,3 +122,15 @@ _METHODS = "SELECT DISTINCT concat('supplier_', l_suppkey) AS type_id, concat('m
 )
 def cross_repo_calls(spark, sf_dir):
     return merge.cross_repo_calls(*(frame(spark, sf_dir, x) for x in (_PARKED, _TYPES, _METHODS)))
+
+
+@query(
+    """WITH v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings), p AS (SELECT a.id, b.id AS other, round(list_cosine_similarity(a.x, b.x), 12) AS score FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS i FROM p)
+    SELECT concat('vec_', least(id, other)) AS source, concat('vec_', greatest(id, other)) AS target, 'semantically_similar_to' AS relation, 'INFERRED' AS confidence, round(max(score), 6) AS score FROM r WHERE i = 1 AND score >= 0.3 GROUP BY least(id, other), greatest(id, other)"""
+)
+def semantic_similarity_edges(spark, sf_dir):
+    from graphlake.operators.semantic import semantic_similarity_edges as edges
+
+    found = edges(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector")), 0.3)
+    return found.select(F.concat(F.lit("vec_"), "source").alias("source"), F.concat(F.lit("vec_"), "target").alias("target"), "relation", "confidence", F.round("score", 6).alias("score"))

@@ -104,6 +104,14 @@ def test_random_graph_traversal(spark):
         assert comp[i] == min(brute_distances(pairs, i))
 
 
+def test_minhash_of_many_equals_each(spark):
+    a, b = similarity._coefficients()
+    texts = ["", "a", "ab", "abc", "abcabcabc", "é世\U0001f600x" * 5, "the quick brown fox " * 9]
+    assert (similarity.minhash_many(texts, a, b) == [similarity.minhash_of(t, a, b) for t in texts]).all()
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", similarity.minhash_signature("t").alias("s")).collect()
+    assert {r.t: r.s for r in rows} == {**{t: similarity.minhash_of(t, a, b).astype("int64").tolist() for t in texts}, None: None}
+
+
 def test_betweenness_of_a_path(spark):
     n, e = nodes(spark, "a", "b", "c"), edges(spark, ("a", "b"), ("b", "c"))
     assert {r.id: r.betweenness for r in analyze.node_betweenness(n, e).collect()} == {"a": 0.0, "b": 1.0, "c": 0.0}
