@@ -94,10 +94,11 @@ class Model:
         for lo in range(0, len(counts), 512):
             v = _unit(_weighted(counts[lo : lo + 512], self.idf) @ self.topics)
             cos = v @ self.known.T
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(cos, near, 1), 0) ** SHARPNESS
+            # Of neighbours tied with the last one all vote.
+            last = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k]
+            w = np.where(cos >= last[:, None], np.maximum(cos, 0), 0) ** SHARPNESS
             total = w.sum(1)
-            vote = np.divide((w * self.labels[near]).sum(1), total, out=np.full(len(v), self.prior, np.float32), where=total > 0)
+            vote = np.divide(w @ self.labels, total, out=np.full(len(v), self.prior, np.float32), where=total > 0)
             out[lo : lo + 512] = np.clip(vote, 0, 1)
         return out
 

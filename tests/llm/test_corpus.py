@@ -373,6 +373,26 @@ def test_classifiers_hold_out(spark):
     assert docs.count() == QUERIES["op7_quality"](spark, "/root/testdata/sf0.01").count()
 
 
+def test_quality_votes_equal_brute_force():
+    """The nearest labelled vectors vote with their similarity; of ties with the last one all vote."""
+    rng = np.random.default_rng(8)
+    counts = rng.poisson(0.02, (90, quality.TERMS)).astype(np.float32)
+    counts[40:60] = counts[10]
+    labels = rng.integers(0, 2, 90)
+    model = quality.Model(counts, labels)
+    asked = np.concatenate([counts[:12], rng.poisson(0.02, (20, quality.TERMS)).astype(np.float32), np.zeros((1, quality.TERMS), np.float32)])
+    got = model.score(asked)
+    for row, score in zip(asked, got, strict=True):
+        if not row.any():
+            assert score == pytest.approx(labels.mean(), abs=1e-6)
+            continue
+        v = (np.sqrt(row / row.sum()) * model.idf) @ model.topics
+        cos = model.known @ (v / np.linalg.norm(v))
+        last = sorted(cos)[-quality.NEIGHBOURS]
+        w = [max(c, 0) ** quality.SHARPNESS if c >= last - 1e-6 else 0 for c in cos.tolist()]
+        assert score == pytest.approx(sum(x * y for x, y in zip(w, labels, strict=True)) / sum(w), abs=1e-3)
+
+
 def test_classifiers_awkward(spark):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 11)] + [(None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
     for module, scorer, label in ((quality, quality._scores, "quality"), (toxicity, toxicity.scores, "toxic")):
