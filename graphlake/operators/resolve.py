@@ -32,11 +32,6 @@ def new_edges(found: DataFrame, existing: DataFrame, only_relation: str | None =
     return first.select("source", "target", *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
-def definition_key(label: Column) -> Column:
-    """A label without call parentheses and leading dot, in lower case letters and digits."""
-    return F.regexp_replace(F.lower(label), "[^a-z0-9_]+", "")
-
-
 def is_test_path(path: Column) -> Column:
     """A test directory among the segments, or a test's file name."""
     parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")

@@ -75,6 +75,7 @@ def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
     names = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names}
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for t in names:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **frames)

@@ -552,4 +552,4 @@ def self_import_drop(spark, sf_dir):
     return build.drop_self_imports(mixed).select("source", "target")
 
 
-from graphlake import queries_build, queries_corpus, queries_functions, queries_languages, queries_report  # noqa: E402,F401  (they add to the registry)
+from graphlake import queries_build, queries_corpus, queries_functions, queries_languages, queries_report, queries_sources  # noqa: E402,F401  (they add to the registry)

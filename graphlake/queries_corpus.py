@@ -237,24 +237,6 @@ def label_similarity(spark, sf_dir):
 
 # ------------------------------------------------------------------ sources
 
-_PATHS = "SELECT path FROM (VALUES ('src/a.py'), ('doc/guide.md'), ('img/x.PNG'), ('paper.pdf'), ('clip.mp4'), ('.mcp.json'), ('data.bin'), ('.env'), ('.env.example'), ('keys/server.pem'), ('.ssh/config'), ('home/id_rsa.pub'), ('node_modules/x.js'), ('go.sum'), ('build/out.js'), ('src/keep/b.go'), ('logs/a/b.log'), ('logs/important.log'), ('.npmrc')) AS t(path)"
-
-
-@query(
-    f"""SELECT path, CASE WHEN path = '.mcp.json' THEN 'code' WHEN regexp_matches(path, '\\.(py|js|go)$') THEN 'code' WHEN path LIKE '%.pdf' THEN 'paper' WHEN lower(path) LIKE '%.png' THEN 'image' WHEN path LIKE '%.mp4' THEN 'video' WHEN path LIKE '%.md' THEN 'document' END AS category FROM ({_PATHS})"""
-)
-def classify_files(spark, sf_dir):
-    return spark.sql(_PATHS).select("path", files.category(F.col("path")).alias("category"))
-
-
-@query(f"SELECT path, path IN ('.env', 'keys/server.pem', '.ssh/config', 'home/id_rsa.pub', '.npmrc') AS sensitive, path IN ('node_modules/x.js', 'go.sum', 'build/out.js') AS skipped FROM ({_PATHS})")
-def sensitive_files(spark, sf_dir):
-    return spark.sql(_PATHS).select("path", files.is_sensitive(F.col("path")).alias("sensitive"), files.is_skipped(F.col("path")).alias("skipped"))
-
-
-@query(f"SELECT path, path IN ('logs/a/b.log', 'doc/guide.md', 'src/keep/b.go') OR path LIKE 'build/%' AS ignored FROM ({_PATHS})")
-def ignore_rules(spark, sf_dir):
-    return files.ignored(spark.sql(_PATHS), ["# comment", "*.log", "!important.log", "build/", "/doc", "src/**/b.go"])
 
 
 @query("SELECT doc_id, CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), ' ')) END::INTEGER AS words FROM documents")
@@ -272,71 +254,12 @@ def normalize_id_ascii(spark, sf_dir):
     return frame(spark, sf_dir, "SELECT page_id, url FROM pages").select("page_id", text.normalize_id_ascii(F.col("url")).alias("id"))
 
 
-_MD = "SELECT 'a.md' AS path, concat_ws(chr(10), '---', 'title: \"Guide\"', 'tags: x', '---', '# Top', 'see [one](two.md) and [[Wiki|w]]', '## Sub', '```', '# not a heading', '[no](no.md)', '```', '### Deep', '## Next', '[ref]: https://example.org/x', '[anchor](#top)') AS content"
-
-
-@query("SELECT 'a.md' AS path, * FROM (VALUES (5, 1, 'Top', -1), (7, 2, 'Sub', 5), (12, 3, 'Deep', 7), (13, 2, 'Next', 5)) AS t(line, level, title, parent_line)")
-def markdown_headings(spark, sf_dir):
-    return documents.headings(spark.sql(_MD)).withColumn("parent_line", F.coalesce("parent_line", F.lit(-1)))
-
-
-@query("SELECT 'a.md' AS path, * FROM (VALUES (6, 'inline', 'two.md'), (6, 'wiki', 'Wiki'), (14, 'reference', 'https://example.org/x')) AS t(line, kind, target)")
-def markdown_links(spark, sf_dir):
-    return documents.links(spark.sql(_MD))
-
-
-@query("SELECT 'a.md' AS path, * FROM (VALUES ('title', 'Guide'), ('tags', 'x')) AS t(key, value)")
-def markdown_frontmatter(spark, sf_dir):
-    return documents.frontmatter(spark.sql(_MD))
-
-
-_SRC = "SELECT * FROM (VALUES ('m.py', concat_ws(chr(10), '# NOTE: keep in step', 'import os', 'class A(B):', '    def f(self):', '        # TODO fix', '        return g(os.path)', 'def g(x):', '    return x')), ('x.go', concat_ws(chr(10), '// Code generated. DO NOT EDIT', '// TODO: none', 'func main() {', '  run()', '}')), ('y.ts', concat_ws(chr(10), '// WHY: RFC 2119 and ADR-7', 'export class T extends U {', '  go() { help() }', '}')), ('bad.py', 'def (')) AS t(path, content)"
-
-
-@query("SELECT * FROM (VALUES ('m.py', 1, 'NOTE', 'keep in step'), ('m.py', 5, 'TODO', 'fix'), ('y.ts', 1, 'WHY', 'RFC 2119 and ADR-7')) AS t(path, line, kind, note)")
-def rationale_comments(spark, sf_dir):
-    return documents.rationale(spark.sql(_SRC))
-
-
-@query("SELECT * FROM (VALUES ('y.ts', 1, 'RFC-2119'), ('y.ts', 1, 'ADR-7')) AS t(path, line, document)")
-def document_citations(spark, sf_dir):
-    return documents.citations(spark.sql(_SRC))
-
-
-@query(
-    """SELECT * FROM (VALUES ('m.py', 'class', 'A', '', ''), ('m.py', 'base', 'A', 'A', 'B'), ('m.py', 'method', 'f', 'A', ''), ('m.py', 'call', 'g', 'A.f', 'g'), ('m.py', 'function', 'g', '', ''), ('m.py', 'import', 'os', '', 'os'),
-    ('x.go', 'function', 'main', '', ''), ('x.go', 'call', 'run', 'main', 'run'), ('y.ts', 'class', 'T', '', ''), ('y.ts', 'base', 'T', '', 'U'), ('y.ts', 'call', 'go', 'T', 'go'), ('y.ts', 'call', 'help', 'T', 'help'), ('bad.py', 'error', 'SyntaxError', '', '-')) AS t(path, kind, name, owner, target)"""
-)
-def extract_code(spark, sf_dir):
-    facts = code.extract_code(spark.sql(_SRC))
-    return facts.select("path", "kind", "name", F.coalesce("owner", F.lit("")).alias("owner"), F.when(F.col("kind") == "error", "-").otherwise(F.coalesce("target", F.lit(""))).alias("target"))
-
-
-_MANIFESTS = "SELECT * FROM (VALUES ('go.mod', concat_ws(chr(10), 'module example.org/a', 'require (', '  example.org/b v1.2.0', ')')), ('package.json', '{\"name\": \"web\", \"dependencies\": {\"left\": \"1\"}}'), ('x/pyproject.toml', concat_ws(chr(10), '[project]', 'name = \"py\"', 'dependencies = [\"Numpy>=1\"]')), ('broken/Cargo.toml', '= no'), ('pom.xml', concat('<project><groupId>g</groupId><artifactId>a</artifactId><properties><d>dep</d></properties><dependencies><dependency><groupId>g2</groupId><artifactId>$', '{d}</artifactId></dependency></dependencies></project>'))) AS t(path, content)"
-
-
-@query("SELECT * FROM (VALUES ('go.mod', 'go', 'example.org/a', ''), ('go.mod', 'go', 'example.org/a', 'example.org/b'), ('package.json', 'npm', 'web', ''), ('package.json', 'npm', 'web', 'left'), ('x/pyproject.toml', 'python', 'py', ''), ('x/pyproject.toml', 'python', 'py', 'numpy'), ('pom.xml', 'maven', 'g:a', ''), ('pom.xml', 'maven', 'g:a', 'g2:dep')) AS t(path, ecosystem, package, dependency)")
-def manifests(spark, sf_dir):
-    return code.manifests(spark.sql(_MANIFESTS))
-
-
-_CONFIG = "SELECT '.mcp.json' AS path, '{\"mcpServers\": {\"files\": {\"command\": \"npx\", \"args\": [\"-y\", \"@scope/files@1.2\"], \"env\": {\"TOKEN\": \"x\", \"HOME\": \"y\"}}, \"web\": {\"command\": \"node\", \"args\": [\"w.js\"]}}}' AS content"
 
 
-@query("SELECT '.mcp.json' AS path, * FROM (VALUES ('files', 'npx', '@scope/files', 'HOME,TOKEN'), ('web', 'node', '', '')) AS t(server, command, package, env)")
-def mcp_servers(spark, sf_dir):
-    return configs.mcp_servers(spark.sql(_CONFIG)).fillna("", ["package", "env"])
 
 
-@query("SELECT '.mcp.json' AS path, * FROM (VALUES ('mcpServers', 1), ('mcpServers.files', 2), ('mcpServers.web', 2), ('mcpServers.files.command', 3), ('mcpServers.files.args', 3), ('mcpServers.files.env', 3), ('mcpServers.web.command', 3), ('mcpServers.web.args', 3), ('mcpServers.files.env.TOKEN', 4), ('mcpServers.files.env.HOME', 4)) AS t(key, level)")
-def json_keys(spark, sf_dir):
-    return configs.json_keys(spark.sql(_CONFIG))
 
 
-@query("SELECT 1 AS chunk, 'a_b' AS source, 'c' AS target, 'calls' AS relation, 'EXTRACTED' AS confidence")
-def parse_fragment(spark, sf_dir):
-    answer = 'Sure:\n```json\n{"nodes": [], "edges": [{"source": "A b", "target": "C", "relation": "calls", "confidence": "extracted"}, {"source": "x"}]}\n```'
-    return configs.parse_fragment(spark.createDataFrame([(1, answer)], "chunk int, answer string"))
 
 
 @query(

@@ -76,13 +76,6 @@ def guarded_calls(spark, sf_dir):
     return languages.guarded_calls(frame(spark, sf_dir, _USES), frame(spark, sf_dir, _BINDINGS), bad)
 
 
-_PLACES = "SELECT path FROM (VALUES ('/work/repo/src/a.py'), ('/work/repo/b.go'), ('/work/other/c.rs'), ('/d.txt'), ('/work/x/y/z.py'), ('/e/f/g.md')) AS t(path)"
-
-
-@query("SELECT * FROM (VALUES ('/work/repo/src/a.py', 'a.py'), ('/work/repo/b.go', '../b.go'), ('/work/other/c.rs', '../../other/c.rs'), ('/d.txt', 'd.txt'), ('/work/x/y/z.py', '../../x/y/z.py'), ('/e/f/g.md', 'g.md')) AS t(path, portable)")
-def portable_paths(spark, sf_dir):
-    # The last and the fourth are over three steps up from the root, as the root lies four deep.
-    return spark.sql(_PLACES).select("path", F.when(F.startswith("path", F.lit("/work")), languages.portable_path(F.col("path"), "/work/repo/src")).otherwise(languages.portable_path(F.col("path"), "/work/repo/src/deep")).alias("portable"))
 
 
 _GRAPHS = "SELECT ord, path FROM (VALUES (1, 'home/a/api/out/graph.json'), (2, 'home/b/api/out/graph.json'), (3, 'home/web/out/graph.json'), (4, 'out/graph.json'), (5, 'srv/b/api/out/graph.json')) AS t(ord, path)"
@@ -101,13 +94,6 @@ def hyperedge_dedupe(spark, sf_dir):
     return merge.dedupe_hyperedges(frame(spark, sf_dir, _GROUPS))
 
 
-_REGISTRY = [("php", (".php",), ()), ("blade", (".blade.php",), ()), ("make", (".mk",), ("Makefile",)), ("python", (".py", ".pyi"), ()), ("starlark", (".bzl",), ("BUILD",)), ("stubs", (".pyi",), ())]
-
-
-@query("SELECT * FROM (VALUES ('a/view.blade.php', 'blade'), ('x.PHP', 'php'), ('Makefile', 'make'), ('src/BUILD', 'starlark'), ('t.pyi', 'stubs'), ('m.py', 'python'), ('.py', NULL), ('none', NULL), ('a.b.py', 'python')) AS t(path, language)")
-def language_lookup(spark, sf_dir):
-    rows = spark.createDataFrame([(p,) for p in ("a/view.blade.php", "x.PHP", "Makefile", "src/BUILD", "t.pyi", "m.py", ".py", "none", "a.b.py")], "path string")
-    return rows.select("path", files.language_of(F.col("path"), _REGISTRY).alias("language"))
 
 
 @query(f"{_BASE} SELECT id, label, source_file, degree FROM nd WHERE community = 3")
@@ -122,11 +108,3 @@ def _facts(spark):
     return code.extract_code(spark.createDataFrame(rows, "path string, content string"))
 
 
-@query("SELECT * FROM (VALUES ('t.py', 'run', 3, 'table'), ('t.py', 'run', 4, 'argument'), ('t.py', 'run', 4, 'argument'), ('t.py', 'o', 5, 'argument'), ('t.py', 'stop', 5, 'getattr')) AS t(path, name, line, target)")
-def indirect_references(spark, sf_dir):
-    return _facts(spark).filter("kind = 'indirect'").select("path", "name", "line", "target")
-
-
-@query("SELECT * FROM (VALUES ('p.astro', 'import', './h', 2), ('p.astro', 'function', 'go', 6)) AS t(path, kind, name, line)")
-def component_scripts(spark, sf_dir):
-    return _facts(spark).filter("path = 'p.astro'").select("path", "kind", "name", "line")

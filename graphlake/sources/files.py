@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -187,7 +186,3 @@ def chunk_files(files: DataFrame, budget_tokens: int, group: list[str]) -> DataF
 
     folded = files.groupBy(*group).agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step)["out"].alias("out"))
     return folded.select(*group, F.explode("out").alias("x")).select(*group, "x.pos", "x.chunk")
-
-
-def stable_groups(items: list[tuple[str, str]]) -> dict[str, list[str]]:
-    return {k: [v for _, v in g] for k, g in groupby(sorted(items), key=lambda x: x[0])}
