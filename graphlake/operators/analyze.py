@@ -235,3 +235,18 @@ def edge_betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     total = d.groupBy("a", "b").agg((F.sum("d") * scale).alias("betweenness"))
     pairs = with_pair(edges.filter("source <> target")).select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
     return pairs.join(total, ["a", "b"], "left").select("a", "b", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+
+
+#: Nodes up to which edges are ranked by betweenness where a graph has no communities.
+BRIDGE_NODES = 5000
+
+
+def bridge_surprises(nodes: DataFrame, edges: DataFrame, top: int = 10, most_nodes: int = BRIDGE_NODES) -> DataFrame:
+    """For a graph without communities: its edges of highest betweenness with a note, ``a, b, betweenness, note``.
+
+    Larger graphs than ``most_nodes`` have no such list, by definition.
+    """
+    if nodes.count() > most_nodes:
+        return nodes.sparkSession.createDataFrame([], "a string, b string, betweenness double, note string")
+    first = edge_betweenness(nodes, edges).withColumn("betweenness", F.round("betweenness", 9)).orderBy(F.desc("betweenness"), "a", "b").limit(top)
+    return first.withColumn("note", F.concat(F.lit("bridges parts of the graph, betweenness "), F.format_number("betweenness", 3)))

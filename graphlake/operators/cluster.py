@@ -186,3 +186,26 @@ def modularity(membership: DataFrame, edges: DataFrame) -> DataFrame:
     d = degrees(pairs.select(F.col("lo").alias("source"), F.col("hi").alias("target"))).join(membership, "id").groupBy("community").agg(F.sum("degree").alias("k"))
     return inner.crossJoin(d.agg(F.sum(F.col("k") * F.col("k")).alias("kk"))).select((F.col("inner") / F.col("m") - F.col("kk") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
 
+
+def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, hub_percent: float = 0.0) -> DataFrame:
+    """``id, community``: numbered communities of a whole graph, the largest first.
+
+    With ``hub_percent``, nodes over that percentile of degree are set aside, the rest is clustered
+    without them, and hubs, and nodes that have hubs alone for neighbours, then join the community that most of their placed
+    neighbours have (hubs first). What has no placed neighbour stands alone. Oversized and loose communities are split.
+    """
+    links = edges.filter("source <> target")
+    hubs = cut(hubs_over_percentile(nodes, edges, hub_percent).select("id")) if hub_percent > 0 else nodes.select("id").filter("false")
+    inner = links.join(hubs.withColumnRenamed("id", "source"), "source", "left_anti").join(hubs.withColumnRenamed("id", "target"), "target", "left_anti")
+    rest = nodes.select("id").join(hubs, "id", "left_anti")
+    linked = links.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    inside = inner.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    stranded = rest.join(linked, "id", "left_semi").join(inside, "id", "left_anti")
+    placed = rest.join(stranded, "id", "left_anti")
+    found = cut(split_oversized(leiden(placed, inner, resolution), inner))
+    for late in (hubs, stranded):
+        late = late.join(found, "id", "left_anti")
+        votes = late.select(F.col("id").alias("u")).join(both_ways(links), "u").join(found.select(F.col("id").alias("v"), "community"), "v").groupBy("u", "community").agg(F.count("*").alias("n"))
+        best = votes.groupBy(F.col("u").alias("id")).agg(F.min(F.struct((-F.col("n")).alias("less"), "community")).alias("b")).select("id", F.col("b.community").alias("community"))
+        found = cut(found.unionByName(late.join(best, "id", "left").select("id", F.coalesce("community", "id").alias("community"))))
+    return number_communities(found)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphlake.functions import names
+from graphlake.functions import names, text
 from graphlake.operators import analyze, cluster
 from graphlake.plans.fixtures import RAW_EDGES, frame
-from graphlake.queries import _BASE, _COH, SQL, _graph, _membership, query
+from graphlake.queries import _BASE, _COH, SQL, _graph, _membership, _small, query
 from graphlake.sinks import export
 
 _LABELS = "SELECT p_partkey AS k, concat('.', p_name, '_', p_partkey, '()') AS label, concat('lib.', replace(p_type, ' ', '.')) AS dotted, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END AS package FROM part"
@@ -101,3 +101,22 @@ SQL["wiki_articles"] = f"""{_BASE}, r AS (SELECT community, label, degree, row_n
 SQL["obsidian_notes"] = f"""{_BASE}, t AS (SELECT id, file_type, concat(regexp_replace(label, '[\\\\/:*?"<>|#^\\[\\]]', '_', 'g'), ' (', id, ')') AS name FROM nodes),
     l AS (SELECT e.source AS id, string_agg(DISTINCT concat('- ', relation, ' [[', t.name, ']]'), chr(10) ORDER BY concat('- ', relation, ' [[', t.name, ']]')) AS links FROM edges e JOIN t ON t.id = e.target GROUP BY e.source)
     SELECT name, concat('---', chr(10), 'type: ', file_type, chr(10), '---', chr(10), coalesce(links, '')) AS body FROM t LEFT JOIN l ON l.id = t.id"""
+
+
+@query("SELECT doc_id, md5(strip_accents(coalesce(text, ''))) AS plain FROM documents")
+def plain_letters(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", F.md5(text.strip_diacritics(F.coalesce("text", F.lit("")))).alias("plain"))
+
+
+@query("SELECT doc_id, md5(trim(regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[^\\p{L}\\p{N}]+', ' ', 'g'))) AS form FROM documents")
+def label_forms(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", F.md5(text.norm_label(F.coalesce("text", F.lit("")))).alias("form"))
+
+
+@query(f"SELECT a, b, betweenness, concat('bridges parts of the graph, betweenness ', format('{{:.3f}}', betweenness)) AS note FROM (SELECT * FROM ({SQL['betweenness_edges']}) ORDER BY betweenness DESC, a, b LIMIT 10)")
+def surprises_without_communities(spark, sf_dir):
+    n, e = _small(spark, sf_dir)
+    found = analyze.bridge_surprises(n, e, 10, 10_000_000)
+    return found.withColumn("betweenness", F.round("betweenness", 6))

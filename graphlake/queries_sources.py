@@ -166,3 +166,16 @@ _ANSWERS = """SELECT CAST(c_custkey AS INT) AS chunk, CASE WHEN c_custkey % 3 =
 @query("SELECT c_custkey::INTEGER AS chunk, concat('a_', c_custkey) AS source, concat('c', c_nationkey) AS target, 'calls' AS relation, 'EXTRACTED' AS confidence FROM customer WHERE c_custkey % 3 <> 0")
 def parse_fragment(spark, sf_dir):
     return configs.parse_fragment(frame(spark, sf_dir, _ANSWERS))
+
+
+_LINKED = """SELECT concat('doc/n', c_nationkey, '/', c_custkey, '.md') AS path, concat_ws(chr(10), concat('[up](../n', (c_nationkey + 1) % 25, '/', c_custkey + 1, '.md#top)'), concat('[same](./', c_custkey, '.md?raw)'), '[root](/doc/../doc/none.md)',
+    '[far](https://example.org/x.md)') AS content FROM customer"""
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, concat('doc/n', c_nationkey, '/', c_custkey, '.md') AS path FROM customer) SELECT a.path, 1 AS line, concat('../n', (a.n + 1) % 25, '/', a.k + 1, '.md#top') AS target, b.path AS file FROM c a JOIN c b ON b.k = a.k + 1 AND b.n = (a.n + 1) % 25
+    UNION ALL SELECT path, 2, concat('./', k, '.md?raw'), path FROM c"""
+)
+def markdown_targets(spark, sf_dir):
+    md = frame(spark, sf_dir, _LINKED)
+    return documents.resolve_links(documents.links(md), md).select("path", "line", "target", "file")

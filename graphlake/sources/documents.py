@@ -68,3 +68,18 @@ def citations(files: DataFrame) -> DataFrame:
     """``path, line, document`` of decision records and requests for comments that a line names."""
     found = lines(files).select("path", "line", F.explode(F.regexp_extract_all("text", F.lit(r"\b((?:ADR|RFC)[- ]?\d+)\b"), F.lit(1))).alias("document"))
     return found.select("path", "line", F.regexp_replace(F.upper("document"), r"^(ADR|RFC)[- ]?0*", "$1-").alias("document")).distinct()
+
+
+def resolve_links(found: DataFrame, files: DataFrame) -> DataFrame:
+    """Inline and reference links ``path, line, kind, target`` with ``file``, the file ``path`` that they lead to.
+
+    A target is taken from its document's folder, or from the root with a leading slash; ``.`` and ``..`` are followed
+    and anchors and query parts left out. Links that lead elsewhere than to a file of ``files`` are dropped.
+    """
+    bare = F.regexp_replace("target", r"[#?].*$", "")
+    local = found.filter("kind <> 'wiki'").filter(~F.col("target").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")).withColumn("bare", bare).filter("bare <> ''")
+    folder = F.when(F.startswith("bare", F.lit("/")), F.lit("")).otherwise(F.regexp_replace("path", r"[^/]*$", ""))
+    steps = F.filter(F.split(F.concat(folder, "bare"), "/"), lambda p: ~p.isin("", "."))
+    up = F.aggregate(steps, F.array().cast("array<string>"), lambda a, p: F.when(p != "..", F.concat(a, F.array(p))).otherwise(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))))
+    known = files.select(F.col("path").alias("file"))
+    return local.withColumn("file", F.array_join(up, "/")).join(known, "file", "left_semi").select("path", "line", "kind", "target", "file")

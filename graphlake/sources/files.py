@@ -186,3 +186,13 @@ def chunk_files(files: DataFrame, budget_tokens: int, group: list[str]) -> DataF
 
     folded = files.groupBy(*group).agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step)["out"].alias("out"))
     return folded.select(*group, F.explode("out").alias("x")).select(*group, "x.pos", "x.chunk")
+
+
+def chunk_key(files: DataFrame, group: list[str], version: str) -> DataFrame:
+    """``group, key``: the key of each chunk's answer, from the version and its files' own keys in order of path.
+
+    A chunk is bounded by its token budget, so its keys make a short list.
+    """
+    keyed = files.select(*group, "path", cache_key(version).alias("own"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("path", "own"))), lambda x: x["own"])
+    return keyed.groupBy(*group).agg(F.sha2(F.concat_ws("\x00", F.lit(version), F.array_join(ordered, "\x00")), 256).alias("key"))

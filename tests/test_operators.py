@@ -337,3 +337,22 @@ def test_resolve_calls_equals_brute_force(spark):
         if target and (proven or not call[3].endswith(".ts")):
             want[call[1]] = (target, "EXTRACTED" if proven else "INFERRED")
     assert {r.source: (r.target, r.confidence) for r in got.collect()} == want and len(want) > 50
+
+
+def test_communities_of_a_graph_with_a_hub(spark):
+    """A hub set aside and the leaves that know it alone join the community of the hub's neighbours."""
+    names = [a + x for a in "pq" for x in "abcd"]
+    links = [(a + x, a + y) for a in "pq" for x in "abcd" for y in "abcd" if x < y] + [("hub", x) for x in ["pa", "pb", "pc", "qa"]] + [("hub", "leaf1"), ("leaf2", "hub")]
+    n = spark.createDataFrame([(x,) for x in [*names, "hub", "leaf1", "leaf2", "alone"]], "id string")
+    n = n.selectExpr("id", "id AS label", "'f' AS source_file")
+    got = {r.id: r.community for r in cluster.communities(n, spark.createDataFrame(links, "source string, target string"), hub_percent=95.0).collect()}
+    assert len({got["p" + x] for x in "abcd"}) == 1 and len({got["q" + x] for x in "abcd"}) == 1 and got["pa"] != got["qa"]
+    assert got["hub"] == got["leaf1"] == got["leaf2"] == got["pa"] == 0 and len(got) == 12
+
+
+def test_chunk_keys_depend_on_files_and_version(spark):
+    rows = spark.createDataFrame([("a", "x", "1"), ("a", "y", "2"), ("b", "y", "2"), ("b", "x", "1")], "chunk string, path string, content string")
+    one = {r.chunk: r.key for r in files.chunk_key(rows, ["chunk"], "v1").collect()}
+    assert one["a"] == one["b"] and len(one["a"]) == 64
+    assert one["a"] != files.chunk_key(rows.filter("path = 'x'"), ["chunk"], "v1").first()["key"]
+    assert one["a"] != files.chunk_key(rows, ["chunk"], "v2").first()["key"]
