@@ -62,18 +62,14 @@ def graph_json_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(e)
 
 
-#: Nodes and links up to which one document is written.
-DOCUMENT_ROWS = 2_000_000
+def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str, parts: bool = False) -> None:
+    """One canonical node-link document at ``path`` (a folder holding one text file), which has a single writer.
 
-
-def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str, most: int = DOCUMENT_ROWS) -> None:
-    """One canonical node-link document at ``path`` (a folder holding one text file), up to ``most`` rows.
-
-    A single document has a single writer. A larger graph is written as the same lines in two sorted tables,
-    ``path/nodes`` and ``path/links``, by many; ``configs.read_graph_lines`` reads those.
+    With ``parts``, for graphs too large for that, the same lines go to two sorted tables, ``path/nodes`` and
+    ``path/links``, by many writers; ``configs.read_graph_lines`` reads those.
     """
     rows = graph_json_rows(nodes, edges)
-    if rows.count() > most:
+    if parts:
         for k, name in ((0, "nodes"), (1, "links")):
             rows.filter(F.col("part") == k).orderBy("key", "line").select("line").write.mode("overwrite").text(f"{path}/{name}")
         return

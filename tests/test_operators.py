@@ -242,7 +242,7 @@ def test_graph_document_round_trip(spark, tmp_path):
     n2, e2 = configs.read_graph(spark, str(tmp_path / "g"))
     assert {r.id for r in n2.collect()} == {"a", "b"}
     assert [(r.source, r.target, r.confidence_score) for r in e2.collect()] == [("a", "b", 1.0)]
-    export.write_graph_json(n, e, str(tmp_path / "lines"), most=1)
+    export.write_graph_json(n, e, str(tmp_path / "lines"), parts=True)
     n3, e3 = configs.read_graph_lines(spark, str(tmp_path / "lines"))
     assert {r.id for r in n3.collect()} == {"a", "b"} and [(r.source, r.target, r.confidence_score) for r in e3.collect()] == [("a", "b", 1.0)]
 
