@@ -24,27 +24,29 @@ def collapse_edges(edges: DataFrame) -> DataFrame:
 
     A reversed edge of the same relation is skipped; a generic relation never replaces a specific
     one; of one relation the higher confidence stays, then the located edge, then the higher score;
-    otherwise the later edge replaces and takes over what it lacks itself. Equal rows are dropped
-    before the shuffle, which bounds a pair's array by its distinct facts.
+    otherwise the later edge replaces and takes over what it lacks itself. One shuffle, by pair: sets are
+    built up before it, so equal rows are dropped there and a pair's array is bounded by its distinct facts.
     """
     rest = [c for c in edges.columns if c not in ("source", "target", "relation")]
-    item = F.struct("source", "target", "relation", *rest)
-    grouped = with_pair(edges.distinct()).groupBy("lo", "hi").agg(F.array_sort(F.collect_list(item)).alias("facts"))
+    ranked = with_pair(edges).withColumn("_rank", rank_of(F.col("confidence")))
+    # The rank follows from the confidence, so it does not change the order.
+    item = F.struct("source", "target", "relation", *rest, "_rank")
+    grouped = ranked.groupBy("lo", "hi").agg(F.array_sort(F.collect_set(item)).alias("facts"))
     first = F.element_at("facts", 1)
 
     def step(acc: Column, e: Column) -> Column:
         same = acc["relation"] == e["relation"]
         reversed_ = same & (acc["source"] == e["target"]) & (acc["target"] == e["source"])
         weaker = e["relation"].isin(*GENERIC_RELATIONS) & ~acc["relation"].isin(*GENERIC_RELATIONS)
-        ra, rb = rank_of(acc["confidence"]), rank_of(e["confidence"])
+        ra, rb = acc["_rank"], e["_rank"]
         located = acc["location"].isNotNull() & e["location"].isNull()
         scored = F.coalesce(acc["score"] > e["score"], F.lit(False))
         keeps = reversed_ | weaker | (same & ((ra > rb) | ((ra == rb) & (located | scored))))
-        merged = F.struct(*[e[c].alias(c) for c in ("source", "target", "relation")], *[(F.coalesce(e[c], acc[c]) if c != "confidence" else e[c]).alias(c) for c in rest])
+        merged = F.struct(*[e[c].alias(c) for c in ("source", "target", "relation")], *[(F.coalesce(e[c], acc[c]) if c != "confidence" else e[c]).alias(c) for c in rest], e["_rank"].alias("_rank"))
         return F.when(keeps, acc).otherwise(merged)
 
     kept = F.aggregate(F.slice("facts", 2, F.greatest(F.size("facts") - 1, F.lit(0))), first, step)
-    return grouped.select(kept.alias("e")).select("e.*")
+    return grouped.select(kept.alias("e")).select("e.*").drop("_rank")
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
