@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlake.functions.text import tokens
-from graphlake.operators.graph import both_ways, hub_threshold, induced_subgraph, node_degrees
+from graphlake.operators.graph import both_ways, induced_subgraph, node_degrees, threshold_of
 from graphlake.plans.storage import cut
 
 
@@ -73,22 +73,31 @@ def find(nodes: DataFrame, edges: DataFrame, text: str, k: int = 10) -> DataFram
     return top_scored(score_nodes(nodes, edges, [text]), k)
 
 
+def _ends(edges: DataFrame) -> DataFrame:
+    """``u, v`` of edges from either end, without loops; a pair may repeat, as every level drops repetitions."""
+    e = edges.filter("source <> target")
+    return e.select(F.explode(F.array(F.struct(F.col("source").alias("u"), F.col("target").alias("v")), F.struct(F.col("target").alias("u"), F.col("source").alias("v")))).alias("x")).select("x.*")
+
+
 def expand_bfs(nodes: DataFrame, edges: DataFrame, seeds: list[str], depth: int = 2, hubs: bool = True) -> DataFrame:
     """``id, hop`` of the nodes within ``depth`` of the seeds.
 
     With ``hubs`` false, nodes of at least the hub threshold's degree are reached but not expanded, seeds
     excepted. One join for each level; every level is cut into a table.
     """
-    adjacency = both_ways(edges.filter("source <> target"))
+    adjacency = _ends(edges)
     spark = nodes.sparkSession
     seen = nodes.filter(F.col("id").isin(*seeds)).select("id", F.lit(0).alias("hop"))
+    busy = None
     if not hubs:
-        limit = hub_threshold(nodes, edges).first()["threshold"]
-        busy = node_degrees(nodes, edges).filter((F.col("degree") >= limit) & ~F.col("id").isin(*seeds)).select(F.col("id").alias("u"))
-        adjacency = adjacency.join(busy, "u", "left_anti")
+        d = cut(node_degrees(nodes, edges).select("id", "degree"))
+        limit = threshold_of(d).first()["threshold"]
+        busy = cut(d.filter((F.col("degree") >= limit) & ~F.col("id").isin(*seeds)).select("id"))
     frontier = seen
     for hop in range(1, depth + 1):
-        step = frontier.select(F.col("id").alias("u")).join(adjacency, "u").select(F.col("v").alias("id")).distinct()
+        # Hubs are taken from the level, not from all edges.
+        open_ = frontier if busy is None else frontier.join(busy, "id", "left_anti")
+        step = open_.select(F.col("id").alias("u")).join(adjacency, "u").select(F.col("v").alias("id")).distinct()
         frontier = cut(step.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)))
         if frontier.isEmpty():
             break
@@ -136,7 +145,7 @@ def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
     Levels grow from ``end`` until they hold ``start`` or nothing is left. A row is a node and its least
     neighbour one level nearer; the path is read back along these, one row from each level.
     """
-    adjacency = both_ways(edges.filter("source <> target"))
+    adjacency = _ends(edges)
     spark = edges.sparkSession
     level = cut(spark.createDataFrame([(end, end)], "id string, nearer string"))
     levels, before = [level], None

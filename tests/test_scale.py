@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ast
 
+from graphlake.operators import search
+from graphlake.plans import fixtures
 from graphlake.sources.code import _Walk
 
 
@@ -18,3 +20,29 @@ def test_functions_find_their_class_without_a_scan_of_all_rows():
     assert [walk.rows[k][1:4] for k in range(6)] == [
         ("class", "A", None), ("method", "f", "A"), ("function", "g", "A.f"), ("function", "h", None), ("class", "B", "h"), ("method", "k", "h.B"),
     ]
+
+
+def test_edges_by_numbers_are_the_edges_of_the_sql(spark, tmp_path):
+    for table, sql in {
+        "part": "SELECT 1 AS p_partkey", "region": "SELECT 0 AS r_regionkey",
+        "nation": "SELECT * FROM VALUES (0, 1), (0, 1), (1, NULL), (NULL, 2) AS t(n_regionkey, n_nationkey)",
+        "supplier": "SELECT * FROM VALUES (1, 5), (1, 5), (NULL, 6), (2, NULL) AS t(s_nationkey, s_suppkey)",
+        "customer": "SELECT * FROM VALUES (1, 5), (2, 5) AS t(c_nationkey, c_custkey)",
+        "orders": "SELECT * FROM VALUES (1, 5, 'F'), (2, 5, 'P'), (3, NULL, 'O'), (4, 6, NULL) AS t(o_orderkey, o_custkey, o_orderstatus)",
+        "lineitem": "SELECT * FROM VALUES (1, 5, 7, 'O', 'R', 1), (1, 5, 7, 'F', 'N', 2), (2, 5, 7, 'F', 'A', 1), (2, NULL, 8, 'O', 'N', 1), (3, 5, NULL, 'F', NULL, 3), (4, 6, NULL, NULL, 'R', 1), (9, 6, 9, 'O', 'N', 4) AS t(l_orderkey, l_suppkey, l_partkey, l_linestatus, l_returnflag, l_linenumber)",
+    }.items():
+        spark.sql(sql).write.parquet(f"file://{tmp_path}/{table}.parquet")
+    for place in (f"file://{tmp_path}", "/root/testdata/sf0.001"):
+        # With a blank at its end the SELECT is not known and stands as it is.
+        got, want = fixtures.frame(spark, place, fixtures.EDGES), fixtures.frame(spark, place, fixtures.EDGES + " ")
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and not want.isEmpty()
+
+
+def test_hub_suppression_reads_each_level_and_edges_without_sums_of_all_pairs(spark):
+    n = spark.createDataFrame([(f"n{i}", "") for i in range(120)], "id string, source_file string")
+    pairs = [("n0", f"n{i}") for i in range(1, 90)] + [("n90", "n0"), ("n90", "n91"), ("n91", "n92"), ("n92", "n91"), ("n92", "n92")]
+    e = spark.createDataFrame(pairs, "source string, target string")
+    got = {r.id: r.hop for r in search.expand_bfs(n, e, ["n90"], 3, hubs=False).collect()}
+    assert got == {"n90": 0, "n0": 1, "n91": 1, "n92": 2}
+    assert "Join" not in search._ends(e)._jdf.queryExecution().toString() and "Aggregate" not in search._ends(e)._jdf.queryExecution().toString()
