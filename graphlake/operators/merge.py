@@ -80,8 +80,11 @@ def shared_types(types: DataFrame, existing: DataFrame) -> DataFrame:
 
 def cross_repo_calls(parked: DataFrame, types: DataFrame, methods: DataFrame) -> DataFrame:
     """Parked calls ``caller_id, repo, callee, type_name`` bound to the one type of that name in other repositories and its one method."""
-    m = parked.join(types.select(F.col("label").alias("type_name"), F.col("id").alias("type_id"), F.col("repo").alias("type_repo")), "type_name").filter("repo <> type_repo")
-    sole = unique_match(m, ["caller_id", "callee", "type_name"], "type_id")
+    # Types are summed up by name and repository before calls meet them: least and greatest id are all that uniqueness needs.
+    held = types.groupBy(F.col("label").alias("type_name"), F.col("repo").alias("type_repo")).agg(F.min("id").alias("type_id"), F.max("id").alias("_most"))
+    asked = parked.select("caller_id", "repo", "callee", "type_name").distinct()
+    m = asked.join(held, "type_name").filter("repo <> type_repo")
+    sole = m.groupBy("caller_id", "callee", "type_name").agg(F.min("type_id").alias("type_id"), F.max("_most").alias("_most")).filter("type_id = _most").drop("_most")
     one = unique_match(methods, ["type_id", "name"]).select("type_id", F.col("name").alias("callee"), F.col("id").alias("target"))
     return sole.join(one, ["type_id", "callee"]).select(F.col("caller_id").alias("source"), "target", F.lit("calls").alias("relation"), F.lit("INFERRED").alias("confidence"), F.lit(0.8).alias("score")).distinct()
 

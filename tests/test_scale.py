@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ast
 
-from graphlake.operators import search
+from graphlake.operators import merge, search
 from graphlake.plans import fixtures
 from graphlake.sources.code import _Walk
 
@@ -46,3 +46,15 @@ def test_hub_suppression_reads_each_level_and_edges_without_sums_of_all_pairs(sp
     got = {r.id: r.hop for r in search.expand_bfs(n, e, ["n90"], 3, hubs=False).collect()}
     assert got == {"n90": 0, "n0": 1, "n91": 1, "n92": 2}
     assert "Join" not in search._ends(e)._jdf.queryExecution().toString() and "Aggregate" not in search._ends(e)._jdf.queryExecution().toString()
+
+
+def test_calls_across_repositories_meet_sums_of_types(spark):
+    parked = spark.createDataFrame([("c1", "r0", "f", "T"), ("c2", "r1", "f", "T"), ("c3", "r2", "f", "T"), ("c4", "r0", "f", "U"), ("c5", None, "f", "U")], "caller_id string, repo string, callee string, type_name string")
+    types = spark.createDataFrame([("t0", "T", "r0"), ("t1", "T", "r1"), ("t1", "T", "r1"), ("u1", "U", "r1"), ("u2", "U", "r1")], "id string, label string, repo string")
+    methods = spark.createDataFrame([("t0", "f", "m0"), ("t1", "f", "m1"), ("u1", "f", "m2")], "type_id string, name string, id string")
+    found = merge.cross_repo_calls(parked, types, methods)
+    assert {(r.source, r.target) for r in found.collect()} == {("c1", "m1"), ("c2", "m0")}
+    # Below the join with calls, types are one row for each name and repository.
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(k for k, line in enumerate(plan) if "Aggregate [label" in line and "repo" in line)
+    assert any("Join" in line and "type_name" in line for line in plan[:at])
