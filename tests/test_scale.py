@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import ast
 
-from graphlake.operators import merge, search
+import pytest
+from pyspark.sql import functions as F
+
+from graphlake.operators import analyze, merge, search
 from graphlake.plans import fixtures
 from graphlake.sources.code import _Walk
 
@@ -58,3 +61,69 @@ def test_calls_across_repositories_meet_sums_of_types(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
     at = next(k for k, line in enumerate(plan) if "Aggregate [label" in line and "repo" in line)
     assert any("Join" in line and "type_name" in line for line in plan[:at])
+
+
+def brute_betweenness(ids, pairs, sources):
+    """Sums over sources of the shares of shortest paths through each node and pair, by counting paths."""
+    near = {i: set() for i in ids}
+    for a, b in pairs:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+
+    def search(s):
+        far, ways, todo = {s: 0}, {s: 1}, [s]
+        for v in todo:
+            for w in near[v]:
+                if w not in far:
+                    far[w], ways[w] = far[v] + 1, 0
+                    todo.append(w)
+                if far[w] == far[v] + 1:
+                    ways[w] += ways[v]
+        return far, ways
+
+    found = {i: search(i) for i in ids}
+    node, edge = {i: 0.0 for i in ids}, {tuple(sorted((a, b))): 0.0 for a in ids for b in near[a]}
+    for s in sources:
+        far, ways = found[s]
+        for t in far:
+            back, there = found[t]
+            for v in far:
+                if v not in (s, t) and s != t and far[v] + back[v] == far[t]:
+                    node[v] += ways[v] * there[v] / ways[t]
+            for a in far:
+                for b in near[a]:
+                    if far[a] + 1 + back[b] == far[t]:
+                        edge[tuple(sorted((a, b)))] += ways[a] * there[b] / ways[t]
+    return node, edge
+
+
+@pytest.mark.parametrize("bound", [16_000_000, 0])
+@pytest.mark.parametrize("rounds", [64, 1])
+def test_betweenness_of_cores_with_trees_is_that_of_all_paths(spark, monkeypatch, bound, rounds):
+    monkeypatch.setattr(analyze, "BETWEENNESS_EDGES", bound)
+    monkeypatch.setattr(analyze, "PEEL_ROUNDS", rounds)
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("c", "f"), ("d", "e"), ("e", "f"), ("a", "g"), ("g", "h"), ("g", "i"), ("i", "j"), ("f", "k")]
+    pairs += [("x", "y"), ("p", "q"), ("q", "r"), ("q", "s"), ("s", "t"), ("u", "u"), ("b", "a"), ("out", "k")]
+    ids = sorted({i for p in pairs for i in p} | {"alone"})
+    known = [i for i in ids if i != "out"]
+    n, e = spark.createDataFrame([(i,) for i in known], "id string"), spark.createDataFrame(pairs, "source string, target string")
+    node, edge = brute_betweenness(ids, pairs, known)
+    k = len(known)
+    got = {r.id: r.betweenness for r in analyze.node_betweenness(n, e, pivots=None, exact_upto=0).collect()}
+    assert got == pytest.approx({i: node[i] / ((k - 1) * (k - 2)) for i in known})
+    got = {(r.a, r.b): r.betweenness for r in analyze.edge_betweenness(n, e).collect()}
+    assert got == pytest.approx({p: d / (k * (k - 1)) for p, d in edge.items()})
+    if (bound, rounds) == (0, 64):
+        return
+    pivots = [r.id for r in n.orderBy(F.xxhash64("id"), "id").limit(4).collect()]
+    node, _ = brute_betweenness(ids, pairs, pivots)
+    got = {r.id: r.betweenness for r in analyze.node_betweenness(n, e, pivots=4, exact_upto=0).collect()}
+    assert got == pytest.approx({i: node[i] * k / 4 / ((k - 1) * (k - 2)) for i in known})
+
+
+def test_bridges_are_listed_whatever_the_number_of_nodes(spark):
+    n = spark.range(5003).select(F.concat(F.lit("n"), "id").alias("id"))
+    e = n.filter("id <> 'n0'").select(F.lit("n0").alias("source"), F.col("id").alias("target"))
+    found = analyze.bridge_surprises(n, e, 3).collect()
+    assert [(r.a, r.b) for r in found] == [("n0", "n1"), ("n0", "n10"), ("n0", "n100")] and found[0].betweenness == pytest.approx(2 / 5003)
