@@ -67,14 +67,75 @@ def _pairwise(fn):
     return lambda a, b: pd.Series([None if x is None or y is None else fn(x, y) for x, y in zip(a, b, strict=True)])
 
 
+#: Longest strings that :func:`jaro_many` compares in columns; longer ones are compared one by one.
+_COLUMN_CHARS = 64
+
+
+def _codes(texts: list[str], width: int) -> np.ndarray:
+    """Code points in columns (place, text), zero beyond a text's end."""
+    joined = "".join(t.ljust(width, "\0") for t in texts).encode("utf-32-le", "surrogatepass")
+    return np.ascontiguousarray(np.frombuffer(joined, np.uint32).reshape(len(texts), width).T)
+
+
+def jaro_many(a: list[str], b: list[str], winkler: bool) -> np.ndarray:
+    """:func:`jaro` or :func:`jaro_winkler` of many pairs: the same steps, each for all pairs of two lengths at once."""
+    one = jaro_winkler if winkler else jaro
+    out = np.zeros(len(a))
+    la, lb = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
+    shape = np.where((la > _COLUMN_CHARS) | (lb > _COLUMN_CHARS) | (la == 0) | (lb == 0), -1, la * (_COLUMN_CHARS + 1) + lb)
+    for key in np.unique(shape).tolist():
+        rows = np.flatnonzero(shape == key)
+        if key < 0 or len(rows) < 16:
+            out[rows] = [one(a[k], b[k]) for k in rows.tolist()]
+            continue
+        n, m = divmod(key, _COLUMN_CHARS + 1)
+        x, y = _codes([a[k] for k in rows.tolist()], n), _codes([b[k] for k in rows.tolist()], m)
+        reach = max(0, max(n, m) // 2 - 1)
+        used, hit = np.zeros(y.shape, bool), np.zeros(x.shape, bool)
+        for i in range(n):
+            for j in range(max(0, i - reach), min(m, i + reach + 1)):
+                now = (y[j] == x[i]) & ~used[j] & ~hit[i]
+                used[j] |= now
+                hit[i] |= now
+        found = hit.sum(0)
+        # The k-th used character of either side stands in column k.
+        left, right = np.zeros((min(n, m), len(rows)), np.uint32), np.zeros((min(n, m), len(rows)), np.uint32)
+        for text, mark, side in ((x, hit, left), (y, used, right)):
+            at = np.zeros(len(rows), np.int64)
+            for i in range(len(text)):
+                pick = np.flatnonzero(mark[i])
+                side[at[pick], pick] = text[i, pick]
+                at[pick] += 1
+        swaps = (left != right).sum(0) // 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            j = np.where(found > 0, (found / n + found / m + (found - swaps) / found) / 3, 0.0)
+        if n == m:
+            j[(x == y).all(0)] = 1.0
+        if winkler:
+            prefix, going = np.zeros(len(rows)), np.ones(len(rows), bool)
+            for i in range(min(4, n, m)):
+                going &= x[i] == y[i]
+                prefix += going
+            j = np.where(j <= 0.7, j, j + prefix * 0.1 * (1 - j))
+        out[rows] = j
+    return out
+
+
+def _compared(a: pd.Series, b: pd.Series, winkler: bool) -> pd.Series:
+    given = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    out[given] = jaro_many(a[given].tolist(), b[given].tolist(), winkler)
+    return pd.Series(out).astype("Float64").where(pd.Series(given), pd.NA)
+
+
 @F.pandas_udf(T.DoubleType())
 def jaro_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _pairwise(jaro)(a, b).astype(float)
+    return _compared(a, b, False)
 
 
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _pairwise(jaro_winkler)(a, b).astype(float)
+    return _compared(a, b, True)
 
 
 @F.pandas_udf(T.IntegerType())

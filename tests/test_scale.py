@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import ast
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from graphlake.functions import similarity
 from graphlake.operators import analyze, merge, search
 from graphlake.plans import fixtures
 from graphlake.sources.code import _Walk
@@ -127,3 +129,19 @@ def test_bridges_are_listed_whatever_the_number_of_nodes(spark):
     e = n.filter("id <> 'n0'").select(F.lit("n0").alias("source"), F.col("id").alias("target"))
     found = analyze.bridge_surprises(n, e, 3).collect()
     assert [(r.a, r.b) for r in found] == [("n0", "n1"), ("n0", "n10"), ("n0", "n100")] and found[0].betweenness == pytest.approx(2 / 5003)
+
+
+@pytest.mark.parametrize("letters,longest", [("ab", 6), ("abcdé世\U0001f600", 20), ("abc\0", 70)])
+def test_jaro_of_many_pairs_is_that_of_each(letters, longest):
+    draw = random.Random(longest)
+    word = lambda: "".join(draw.choice(letters) for _ in range(draw.randint(0, longest)))
+    pairs = [(word(), word()) for _ in range(3000)] + [("martha", "marhta")] * 20 + [("same", "same")] * 20 + [("abcd", "wxyz")] * 20
+    a, b = [p[0] for p in pairs], [p[1] for p in pairs]
+    assert similarity.jaro_many(a, b, False).tolist() == [similarity.jaro(x, y) for x, y in pairs]
+    assert similarity.jaro_many(a, b, True).tolist() == [similarity.jaro_winkler(x, y) for x, y in pairs]
+
+
+def test_label_similarity_compares_in_columns(spark, monkeypatch):
+    rows = spark.createDataFrame([("abc", "abd"), (None, "x"), ("x", None)], "a string, b string")
+    got = rows.select("a", similarity.jaro_similarity("a", "b").alias("j"), similarity.jaro_winkler_similarity("a", "b").alias("w")).collect()
+    assert [(r.j, r.w) for r in got] == [(similarity.jaro("abc", "abd"), similarity.jaro_winkler("abc", "abd")), (None, None), (None, None)]
