@@ -204,9 +204,25 @@ def minhash_signature(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(pd.Series(made, index=given.index, dtype=object).reindex(text.index).where(text.notna(), None), dtype=object)
 
 
+def _banded(rows: DataFrame, id_col: str, signature_col: str) -> DataFrame:
+    """``id, band, key``: one row for each row and band; equal keys are equal rows of the band."""
+    bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.alias("band"), F.slice(signature_col, k * ROWS + 1, F.lit(ROWS)).alias("rows"))))
+    return rows.select(F.col(id_col).alias("id"), bands.alias("x")).select("id", F.col("x.band").alias("band"), F.sha2(F.array_join(F.col("x.rows").cast("array<string>"), ","), 256).alias("key"))
+
+
+def lsh_classes(rows: DataFrame, id_col: str, signature_col: str) -> DataFrame:
+    """``id, band, class_id, size``: for each band the class of rows that agree on it, named by its least id, where it has two or more.
+
+    Two rows are a pair of :func:`lsh_pairs` if and only if they share a band's class, so no pair is lost; there are
+    at most as many rows as there are bands for each row, where the pairs are quadratic in the size of a class.
+    """
+    keyed = _banded(rows, id_col, signature_col)
+    classes = keyed.groupBy("band", "key").agg(F.min("id").alias("class_id"), F.count("*").alias("size")).filter("size > 1")
+    return keyed.join(classes, ["band", "key"]).select("id", "band", "class_id", "size")
+
+
 def lsh_pairs(rows: DataFrame, id_col: str, signature_col: str) -> DataFrame:
     """Pairs ``(a, b)``, a < b, that agree on all rows of at least one band."""
-    bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.alias("band"), F.slice(signature_col, k * ROWS + 1, F.lit(ROWS)).alias("rows"))))
-    keyed = rows.select(F.col(id_col).alias("id"), bands.alias("x")).select("id", F.col("x.band").alias("band"), F.sha2(F.array_join(F.col("x.rows").cast("array<string>"), ","), 256).alias("key"))
+    keyed = _banded(rows, id_col, signature_col)
     left, right = keyed.withColumnRenamed("id", "a"), keyed.withColumnRenamed("id", "b")
     return left.join(right, ["band", "key"]).filter("a < b").select("a", "b").distinct()

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import ast
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from graphlake.functions import similarity
+from graphlake.functions import similarity, text
 from graphlake.operators import analyze, merge, search
 from graphlake.plans import fixtures
 from graphlake.sources.code import _Walk
@@ -145,3 +146,25 @@ def test_label_similarity_compares_in_columns(spark, monkeypatch):
     rows = spark.createDataFrame([("abc", "abd"), (None, "x"), ("x", None)], "a string, b string")
     got = rows.select("a", similarity.jaro_similarity("a", "b").alias("j"), similarity.jaro_winkler_similarity("a", "b").alias("w")).collect()
     assert [(r.j, r.w) for r in got] == [(similarity.jaro("abc", "abd"), similarity.jaro_winkler("abc", "abd")), (None, None), (None, None)]
+
+
+def test_entropy_is_that_of_counts_and_leaves_lambdas_out(spark):
+    texts = ["", "a", "ab", "aab", "abcd" * 4, "é世\U0001f600x" * 5, "the quick brown fox " * 9, None]
+    f = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.entropy(F.col("t")).alias("h"))
+    for r in f.collect():
+        want = None if r.t is None else -sum(r.t.count(c) / len(r.t) * math.log2(r.t.count(c) / len(r.t)) for c in set(r.t)) if r.t else 0.0
+        assert r.h == (want if want is None else pytest.approx(want))
+    assert "lambda" not in f._jdf.queryExecution().toString()
+
+
+def test_classes_of_bands_hold_every_pair_and_no_other(spark):
+    draw = random.Random(3)
+    rows = [(f"d{k}", [draw.randint(0, 1) for _ in range(126)]) for k in range(40)]
+    rows += [(f"n{k}", [v if i % 9 else 1 for i, v in enumerate(rows[0][1])][: 9 * (k % 14)] + [7 + k] * (126 - 9 * (k % 14))) for k in range(30)]
+    f = spark.createDataFrame(rows, "id string, s array<long>")
+    want = {(r.a, r.b) for r in similarity.lsh_pairs(f, "id", "s").collect()}
+    held = {}
+    for r in similarity.lsh_classes(f, "id", "s").collect():
+        held.setdefault((r.band, r.class_id), []).append((r.id, r.size))
+    assert all(len(x) == x[0][1] and min(i for i, _ in x) == c for (_, c), x in held.items())
+    assert {(a, b) for x in held.values() for a, _ in x for b, _ in x if a < b} == want and want
