@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from graphlake.functions import similarity, text
 from graphlake.operators import analyze, merge, search
 from graphlake.plans import fixtures
+from graphlake.queries import QUERIES
 from graphlake.sources.code import _Walk
 
 
@@ -168,3 +169,9 @@ def test_classes_of_bands_hold_every_pair_and_no_other(spark):
         held.setdefault((r.band, r.class_id), []).append((r.id, r.size))
     assert all(len(x) == x[0][1] and min(i for i, _ in x) == c for (_, c), x in held.items())
     assert {(a, b) for x in held.values() for a, _ in x for b, _ in x if a < b} == want and want
+
+
+@pytest.mark.parametrize("name", ["resolve_calls", "indirect_calls"])
+def test_calls_are_numbered_without_a_window_over_all_rows(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "Window" not in plan
