@@ -197,8 +197,11 @@ def merge_declarations(nodes: DataFrame) -> DataFrame:
 
 def go_import_fanout(imports: DataFrame, packages: DataFrame, existing: DataFrame) -> DataFrame:
     """Imports ``source, import_path`` of a package become edges to its files ``import_path, file_id``; no pair twice."""
-    found = imports.join(packages, "import_path").select("source", F.col("file_id").alias("target"), F.lit("imports_from").alias("relation")).distinct()
-    return found.filter("source <> target").join(existing.select("source", "target"), ["source", "target"], "left_anti").select("source", "target", "relation")
+    # Files of a package as one list, and what a source takes as one group: no table of all pairs is made distinct.
+    files = packages.groupBy("import_path").agg(F.collect_set("file_id").alias("files"))
+    taken = imports.select("source", "import_path").distinct().join(files, "import_path").groupBy("source").agg(F.array_distinct(F.flatten(F.collect_list("files"))).alias("files"))
+    found = taken.select("source", F.explode("files").alias("target")).filter("source <> target")
+    return found.join(existing.select("source", "target"), ["source", "target"], "left_anti").select("source", "target", F.lit("imports_from").alias("relation"))
 
 
 def member_calls(calls: DataFrame, types: DataFrame, methods: DataFrame, receivers: DataFrame, existing: DataFrame) -> DataFrame:

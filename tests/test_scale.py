@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphlake.functions import similarity, text
-from graphlake.operators import analyze, merge, search
+from graphlake.operators import analyze, merge, resolve, search
 from graphlake.plans import fixtures
 from graphlake.queries import QUERIES
 from graphlake.sources.code import _Walk
@@ -175,3 +175,13 @@ def test_classes_of_bands_hold_every_pair_and_no_other(spark):
 def test_calls_are_numbered_without_a_window_over_all_rows(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan and "Window" not in plan
+
+
+def test_go_imports_are_gathered_for_each_source(spark):
+    imports = spark.createDataFrame([("f1", "p"), ("f1", "p"), ("f1", "q"), ("f2", "q"), ("f3", "none"), (None, "p")], "source string, import_path string")
+    packages = spark.createDataFrame([("p", "f1"), ("p", "f2"), ("q", "f2"), ("q", "f2"), ("q", "f4"), ("q", None)], "import_path string, file_id string")
+    have = spark.createDataFrame([("f1", "f4", "calls")], "source string, target string, relation string")
+    found = resolve.go_import_fanout(imports, packages, have)
+    assert sorted((r.source, r.target) for r in found.collect()) == [("f1", "f2"), ("f2", "f4")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [source#" in plan and ", target#" not in "".join(x for x in plan.split("\n") if "Aggregate" in x)
