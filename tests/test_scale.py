@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphlake.functions import similarity, text
-from graphlake.operators import analyze, merge, resolve, search
+from graphlake.operators import analyze, blocks, cluster, merge, resolve, search
 from graphlake.plans import fixtures
 from graphlake.queries import QUERIES
 from graphlake.sources.code import _Walk
@@ -185,3 +185,26 @@ def test_go_imports_are_gathered_for_each_source(spark):
     assert sorted((r.source, r.target) for r in found.collect()) == [("f1", "f2"), ("f2", "f4")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [source#" in plan and ", target#" not in "".join(x for x in plan.split("\n") if "Aggregate" in x)
+
+
+def test_leiden_sends_numbers_of_nodes_and_agrees_with_joins(spark, monkeypatch):
+    rng = random.Random(4)
+    links = [(f"n{i}", f"n{j}") for i in range(40) for j in range(i) if i // 20 == j // 20 and rng.random() < (0.5 if i // 10 == j // 10 else 0.05)]
+    links += [(b, a) for a, b in links[:9]] + [("n1", "n1"), ("n2", None)]
+    e = spark.createDataFrame(links, "source string, target string")
+    n = spark.createDataFrame([(f"n{i}",) for i in range(41)], "id string")
+    grp = n.select("id", (F.substring("id", 2, 9).cast("int") / 20).cast("int").alias("grp"))
+    hashes = spark.range(50).select("id", F.xxhash64("id", F.lit(3)).alias("h")).toPandas()
+    assert (blocks.xxhash64(hashes["id"].to_numpy(), 3).astype("int64") == hashes["h"]).all()
+    monkeypatch.setattr(blocks, "BLOCK_LINKS", 40)
+    levels, contracted = [], blocks.contracted
+    monkeypatch.setattr(blocks, "contracted", lambda *a: levels.append(1) or contracted(*a))
+    for groups in (grp,):
+        joined = {r.id: r.community for r in cluster.leiden(n, e, groups=groups, held_nodes=0).collect()}
+        assert 3 < len(set(joined.values())) < 30 and len(joined) == 41
+        # Without the moves by joins: rounds over blocks shuffle no links.
+        with monkeypatch.context() as m:
+            m.setattr(cluster, "_moved", None)
+            assert {r.id: r.community for r in cluster.leiden(n, e, groups=groups).collect()} == joined
+    # What was contracted is moved again in a second level.
+    assert levels
