@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphlake.fixed import CREDENTIAL_DIRS, DOCUMENT_SUFFIXES, IMAGE_SUFFIXES, LOCK_FILES, PAPER_SUFFIXES, SENSITIVE_NAMES, SKIP_DIRS, TEMPLATE_NAMES, VIDEO_SUFFIXES
 from graphlake.functions.text import suffix
@@ -168,24 +169,29 @@ def split_by_cache(files: DataFrame, cache: DataFrame, version: str) -> tuple[Da
 def chunk_files(files: DataFrame, budget_tokens: int, group: list[str]) -> DataFrame:
     """``*group, pos, chunk``: files ``pos, size, image`` dealt in order to chunks of ``3 * budget_tokens`` bytes.
 
-    A file costs its bytes plus 2000. An image is a chunk of its own. The running sum with reset is a fold
-    over one group's sizes; group by directory to bound it.
+    A file costs its bytes plus 2000; one of unknown size stays in the chunk before it and fills it. An image is a chunk of
+    its own. A group's numbers meet in one task, which walks over them once; contents do not.
     """
     budget = 3 * budget_tokens
-    item = F.struct("pos", "size", "image")
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("used"), F.lit(False).alias("open"), F.array().cast("array<struct<pos:bigint,chunk:int>>").alias("out"))
-
-    def step(acc: Column, f: Column) -> Column:
-        cost = f["size"] + 2000
-        fresh = f["image"] | (acc["open"] & (acc["used"] + cost > budget))
-        n = acc["n"] + (fresh & acc["open"]).cast("int")
-        placed = F.concat(acc["out"], F.array(F.struct(f["pos"].cast("bigint").alias("pos"), n.alias("chunk"))))
-        return F.when(f["image"], F.struct((n + 1).alias("n"), F.lit(0).cast("long").alias("used"), F.lit(False).alias("open"), placed.alias("out"))).otherwise(
-            F.struct(n.alias("n"), (F.when(fresh, F.lit(0).cast("long")).otherwise(acc["used"]) + F.least(cost, F.lit(budget + 2000))).cast("long").alias("used"), F.lit(True).alias("open"), placed.alias("out"))
-        )
-
-    folded = files.groupBy(*group).agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step)["out"].alias("out"))
-    return folded.select(*group, F.explode("out").alias("x")).select(*group, "x.pos", "x.chunk")
+
+    def deal(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["pos", "size", "image"], kind="stable")
+        known = rows["size"].notna().tolist()
+        n, used, fresh, out = 0, 0, True, []
+        for size, image, given in zip(rows["size"].fillna(0).astype("int64").tolist(), rows["image"].tolist(), known, strict=True):
+            cost = size + 2000
+            if not fresh and (image or (given and used + cost > budget)):
+                n, used = n + 1, 0
+            out.append(n)
+            if image:
+                n, used, fresh = n + 1, 0, True
+            else:
+                used, fresh = used + (min(cost, budget + 2000) if given else budget + 2000), False
+        return pd.DataFrame({**{c: [v] * len(out) for c, v in zip(group, key, strict=True)}, "pos": rows["pos"].to_numpy(), "chunk": out})
+
+    rows = files.select(*group, F.col("pos").cast("long"), F.col("size").cast("long"), "image")
+    schema = T.StructType([*(rows.schema[c] for c in group), T.StructField("pos", T.LongType()), T.StructField("chunk", T.IntegerType())])
+    return rows.groupBy(*group).applyInPandas(deal, schema)
 
 
 def chunk_key(files: DataFrame, group: list[str], version: str) -> DataFrame:

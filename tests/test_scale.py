@@ -208,3 +208,24 @@ def test_leiden_sends_numbers_of_nodes_and_agrees_with_joins(spark, monkeypatch)
             assert {r.id: r.community for r in cluster.leiden(n, e, groups=groups).collect()} == joined
     # What was contracted is moved again in a second level.
     assert levels
+
+
+def test_chunks_are_dealt_in_one_walk_without_contents(spark):
+    from graphlake.sources import files
+
+    rng = random.Random(2)
+    rows = [(g, k, None if rng.random() < 0.05 else rng.randint(0, 2500), rng.random() < 0.1) for g in ("a", None) for k in range(60)]
+    want, n, used, open_, last = {}, 0, 0, False, "-"
+    for g, k, size, image in rows:
+        if g != last:
+            n, used, open_, last = 0, 0, False, g
+        over = size is not None and used + size + 2000 > 9000
+        n, used = (n + 1, 0) if open_ and (image or over) else (n, used)
+        want[g, k] = n
+        n, used, open_ = (n + 1, 0, False) if image else (n, used + (11000 if size is None else min(size + 2000, 11000)), True)
+    f = spark.createDataFrame(rows, "source string, pos long, size long, image boolean")
+    assert {(r.source, r.pos): r.chunk for r in files.chunk_files(f, 3000, ["source"]).collect()} == want
+    # Each group's list is built by no fold that copies it, and texts are measured before rows are numbered.
+    assert "aggregate(" not in files.chunk_files(f, 3000, ["source"])._jdf.queryExecution().toString()
+    plan = QUERIES["chunk_budget"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("row_number") < plan.index("octet_length")
