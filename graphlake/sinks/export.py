@@ -112,8 +112,10 @@ def obsidian_notes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def html_meta_graph(membership: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges between communities with their counts: what a page shows of a graph too large to draw."""
-    a, b = membership.select(F.col("id").alias("source"), F.col("community").alias("ca")), membership.select(F.col("id").alias("target"), F.col("community").alias("cb"))
-    m = edges.join(a, "source").join(b, "target").filter("ca <> cb")
+    # Members are few beside edges: they are looked up by hash, so edges are not sorted.
+    member = membership.select("id", "community").hint("shuffle_hash")
+    a, b = member.toDF("source", "ca"), member.toDF("target", "cb")
+    m = edges.select("source", "target").join(a, "source").join(b, "target").filter("ca <> cb")
     return m.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.count("*").alias("n"))
 
 

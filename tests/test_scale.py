@@ -229,3 +229,12 @@ def test_chunks_are_dealt_in_one_walk_without_contents(spark):
     assert "aggregate(" not in files.chunk_files(f, 3000, ["source"])._jdf.queryExecution().toString()
     plan = QUERIES["chunk_budget"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("row_number") < plan.index("octet_length")
+
+
+def test_communities_and_surprises_meet_edges_without_sorting_them(spark):
+    plan = QUERIES["html_meta_graph"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    # Edges are derived in the plan, not read back from a table written before.
+    assert "/cut-" not in plan.toString() and "lineitem" in plan.toString()
+    for name in ("html_meta_graph", "report_surprises"):
+        text = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+        assert text.count("ShuffledHashJoin") >= 2
