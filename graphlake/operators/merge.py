@@ -26,7 +26,10 @@ def repo_tags(paths: DataFrame) -> DataFrame:
 
 
 def prefixed(nodes: DataFrame, edges: DataFrame, tag: str, offset: int) -> tuple[DataFrame, DataFrame]:
-    """Own nodes become ``tag::id`` with community numbers moved by ``offset``; external ones stay as they are."""
+    """Own nodes become ``tag::id`` with community numbers moved by ``offset``; external ones stay as they are.
+
+    Edges with an end that is no node of ``nodes`` are left out.
+    """
     own = ~F.coalesce(F.col("external"), F.lit(False))
     n = nodes.withColumn("local_id", F.col("id")).withColumn("repo", F.when(own, F.lit(tag)))
     n = n.withColumn("community", F.when(own, F.col("community") + offset).otherwise(F.col("community"))).withColumn("id", F.when(own, F.concat(F.lit(f"{tag}::"), "id")).otherwise(F.col("id")))

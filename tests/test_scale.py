@@ -238,3 +238,8 @@ def test_communities_and_surprises_meet_edges_without_sorting_them(spark):
     for name in ("html_meta_graph", "report_surprises"):
         text = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
         assert text.count("ShuffledHashJoin") >= 2
+
+
+def test_merged_graphs_look_up_each_end_once(spark):
+    plan = QUERIES["merge_graph_edges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join" in line for line in plan.split("\n")) == 4
