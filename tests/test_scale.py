@@ -243,3 +243,49 @@ def test_communities_and_surprises_meet_edges_without_sorting_them(spark):
 def test_merged_graphs_look_up_each_end_once(spark):
     plan = QUERIES["merge_graph_edges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Join" in line for line in plan.split("\n")) == 4
+
+
+def test_edges_of_questions_are_numbers_that_spell_the_ids(spark, tmp_path):
+    for table, sql in {
+        "part": "SELECT * FROM VALUES (-7, 30), (NULL, NULL), (1152921504606846975, -30) AS t(p_partkey, p_size)", "region": "SELECT 0 AS r_regionkey",
+        "nation": "SELECT * FROM VALUES (0, 1), (0, NULL), (NULL, 2) AS t(n_regionkey, n_nationkey)",
+        "supplier": "SELECT * FROM VALUES (1, 5), (1, 5), (NULL, 6), (2, NULL) AS t(s_nationkey, s_suppkey)",
+        "customer": "SELECT * FROM VALUES (1, -5), (2, 5) AS t(c_nationkey, c_custkey)",
+        "orders": "SELECT * FROM VALUES (1, -5, 'F'), (2, 5, 'P'), (3, NULL, 'O') AS t(o_orderkey, o_custkey, o_orderstatus)",
+        "lineitem": "SELECT * FROM VALUES (1, 5, -7, 'O', 'R', 1), (1, 5, 1152921504606846975, 'F', 'N', 2), (2, 5, NULL, 'F', 'A', 1), (2, NULL, 8, 'O', 'N', 1) AS t(l_orderkey, l_suppkey, l_partkey, l_linestatus, l_returnflag, l_linenumber)",
+    }.items():
+        spark.sql(sql).write.parquet(f"file://{tmp_path}/{table}.parquet")
+    spell = lambda c: fixtures.spelled(F.col(c)).alias(c)
+    for place in (f"file://{tmp_path}", "/root/testdata/sf0.001"):
+        want = fixtures.frame(spark, place, fixtures.EDGES)
+        got = fixtures.frame(spark, place, fixtures.NUMBERED_EDGES)
+        assert dict(got.dtypes)["source"] == dict(got.dtypes)["target"] == "bigint"
+        got = got.select(spell("source"), spell("target"), "relation", "confidence")
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and not want.isEmpty()
+    want, got = fixtures.frame(spark, place, fixtures.NODES).select("id", "community"), fixtures.frame(spark, place, fixtures.NUMBERED_NODES).select(spell("id"), "community")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    beyond = spark.range(1).select(F.lit(1 << 60).alias("k")).selectExpr(fixtures._number("part_", "k"))
+    with pytest.raises(Exception, match="beyond 61 bits"):
+        beyond.collect()
+
+
+def test_cohesion_drops_parallel_edges_within_communities_only(spark):
+    m = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("d", 2), ("e", 2), ("e", 2), ("f", 3)], "id string, community int")
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "b"), ("b", "c"), ("a", "d"), ("c", "d"), ("d", "e"), ("a", "a"), ("x", "a"), ("f", None)], "source string, target string")
+    found = cluster.cohesion(m, e)
+    assert {r.community: (r.size, r.cohesion) for r in found.collect()} == {1: (3, pytest.approx(2 / 3)), 2: (3, pytest.approx(2 / 3)), 3: (1, 1.0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(k for k, x in enumerate(plan) if "Aggregate [lo#" in x)
+    assert sum("Join" in x for x in plan[at:]) == 2
+
+
+def test_questions_sum_up_the_ends_of_edges_once(spark):
+    n = spark.createDataFrame([(i,) for i in "abcdef"], "id string")
+    e = spark.createDataFrame([("a", "b", "calls", "INFERRED"), ("a", "c", "calls", "INFERRED"), ("b", "c", "uses", "AMBIGUOUS"), ("d", "a", "uses", "EXTRACTED"), ("b", None, "uses", "INFERRED")], "source string, target string, relation string, confidence string")
+    c = spark.createDataFrame([(1, 9, 0.1), (2, 4, 0.1), (3, 9, 0.2)], "community int, size long, cohesion double")
+    b = spark.createDataFrame([("a", 0.5), ("d", 0.0)], "id string, betweenness double")
+    found = analyze.questions(n, e, b, c, 100)
+    assert [tuple(r) for r in found.collect()] == [(1, "b", "c"), (2, "a", "bridge"), (3, "a", "2"), (3, "b", "2"), (4, "d", "3"), (5, "1", "9")]
+    # What is left to plan reads sums of nodes, without a join or a second sum of the edges.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
