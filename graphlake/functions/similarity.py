@@ -221,8 +221,10 @@ def lsh_classes(rows: DataFrame, id_col: str, signature_col: str) -> DataFrame:
     return keyed.join(classes, ["band", "key"]).select("id", "band", "class_id", "size")
 
 
-def lsh_pairs(rows: DataFrame, id_col: str, signature_col: str) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, that agree on all rows of at least one band."""
-    keyed = _banded(rows, id_col, signature_col)
+def lsh_pairs(rows: DataFrame, id_col: str, signature_col: str, same_col: str | None = None) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, that agree on all rows of at least one band, and on ``same_col`` where it is named."""
+    keyed, on = _banded(rows, id_col, signature_col), ["band", "key"]
+    if same_col:
+        keyed, on = keyed.join(rows.select(F.col(id_col).alias("id"), F.col(same_col).alias("same")), "id"), [*on, "same"]
     left, right = keyed.withColumnRenamed("id", "a"), keyed.withColumnRenamed("id", "b")
-    return left.join(right, ["band", "key"]).filter("a < b").select("a", "b").distinct()
+    return left.join(right, on).filter("a < b").select("a", "b").distinct()

@@ -75,6 +75,10 @@ def entropy(label: pd.Series) -> pd.Series:
     return label.map(one, na_action="ignore").astype(float)
 
 
+#: The same, never moved by the planner below an aggregate before it: where labels are grouped first, each is measured once.
+entropy_in_place = F.pandas_udf(entropy.func, T.DoubleType()).asNondeterministic()
+
+
 @F.pandas_udf(T.StringType())
 def shorten_label(text: pd.Series) -> pd.Series:
     """At most 80 columns, cut between words where possible."""

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphlake.functions import similarity, text
-from graphlake.operators import analyze, blocks, cluster, merge, resolve, search
+from graphlake.operators import analyze, blocks, cluster, entities, merge, resolve, search
 from graphlake.plans import fixtures
 from graphlake.queries import QUERIES
 from graphlake.sources.code import _Walk
@@ -289,3 +289,43 @@ def test_questions_sum_up_the_ends_of_edges_once(spark):
     # What is left to plan reads sums of nodes, without a join or a second sum of the edges.
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan
+
+
+def test_merges_seek_components_between_stars_only(spark, monkeypatch):
+    words = ["payment gateway service", "payment gateway servce", "invoice ledger exporter", "report builder 12", "report builder 012", "report builder 13", "aa"]
+    rows = [(f"n{k}", words[k % 7].upper(), "concept" if k % 3 else "image", f"f{k % 4}.md" if k % 5 else None, None, k) for k in range(60)]
+    # One id stands in the stars of two forms and so joins them.
+    rows += [("both", words[0], "concept", "f1.md", "L1", 70), ("both", words[2], "concept", "f1.md", "L1", 71), ("n_c1", words[2], "concept", "f2.md", "L1", 72), ("code", words[0], "code", "f1.md", None, 73)]
+    for held in (rows, rows[:60]):
+        n = spark.createDataFrame(held, "id string, label string, file_type string, source_file string, source_location string, ord long")
+        exact = entities.exact_norm_merge(n).select("id", "winner")
+        sent = []
+        with monkeypatch.context() as m:
+            m.setattr(entities, "connected_components", lambda e: sent.append(e.count()) or cluster.connected_components(e))
+            got = sorted(tuple(r) for r in entities.merge_map(n).collect())
+        # The same by components of all edges at once.
+        edges = exact.toDF("source", "target").unionByName(entities.fuzzy_pairs(n).toDF("source", "target")).collect()
+        root = {r[0]: r[0] for r in held}
+        for _ in root:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        rank = lambda r: (r[0].endswith("_c1"), len(r[0]), r[5], r[0])
+        best = {c: min((r for r in held if root[r[0]] == c), key=rank)[0] for c in root.values()}
+        assert got == sorted((r[0], best[root[r[0]]]) for r in held if best[root[r[0]]] != r[0]) and len(got) > 20
+        assert sent[0] < 12 < exact.count()
+
+
+def test_fuzzy_pairs_of_other_numbers_never_meet(spark):
+    n = spark.createDataFrame([(f"n{k}", f"quarterly report builder number {k}", "concept", "f.md", None, k) for k in range(60)] + [("z", "quarterly report builder number 007", "concept", "f.md", None, 99)], "id string, label string, file_type string, source_file string, source_location string, ord long")
+    c = entities.fuzzy_candidates(n).withColumn("numbers", entities._same_numbers(F.col("norm")))
+    held = c.collect()
+    assert all((x.numbers == y.numbers) == (entities._numbers(x.norm) == entities._numbers(y.norm)) for x in held for y in held)
+    every, few = similarity.lsh_pairs(c, "id", "signature").count(), similarity.lsh_pairs(c, "id", "signature", "numbers").count()
+    assert few <= 1 < every
+    pairs = [(a.norm, b.norm, k % 2 == 0) for k, a in enumerate(held) for b in held[:40]]
+    got = entities.merges.func(*map(entities.pd.Series, zip(*pairs, strict=True)))
+    assert got.tolist() == [entities.should_merge(*p) for p in pairs]
+    # The entropy of a form is taken above the sum over its nodes, not below.
+    plan = c._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(k for k, x in enumerate(plan) if "Aggregate [norm" in x)
+    assert any("entropy(" in x for x in plan[:at]) and not any("entropy(" in x for x in plan[at:])
